@@ -2,7 +2,8 @@
 
 Each line is hashed; a HyperLogLog sketch of the sites per line hash merges by aggregation. Lines whose estimate is
 clearly at or over the threshold are boilerplate, lines clearly under it are not, and lines near it get an exact
-distinct count. Boilerplate lines are then taken out of every document.
+distinct count. Boilerplate lines are then taken out of every document: up to SMALL of them (counted first) go to all
+executors as one hash table and no text is shuffled; more are joined with the documents' lines.
 
 Defined cases: a line with no word is never boilerplate; a null site counts as none; a null text has no lines and stays
 null; repeated rows are cleaned alike; documents left without lines become empty; other columns are kept as they are;
@@ -19,6 +20,7 @@ from boxwright.llm.common import cut
 MIN_SITES = 10
 LG_K = 12
 BAND = 0.10  # six standard errors of a sketch with 2**12 registers
+SMALL = 200_000  # hashes, 1.6 MB
 HAS_WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -40,17 +42,29 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "
     return cut(sure.unionByName(exact), "boilerplate")
 
 
-def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", text: str = "text", site: str = "source", found: str | None = None) -> DataFrame:
+def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", text: str = "text", site: str = "source", found: str | None = None, small: int = SMALL) -> DataFrame:
     """docs with boilerplate lines taken out of the text. With `found`, a column of that name counts the lines removed."""
+    spark = docs.sparkSession
     gone = boilerplate_lines(docs, min_sites, text, site)
-    mine = docs.select(F.col(f"`{key}`").alias("_k"), F.explode(F.array_distinct(F.split(F.col(f"`{text}`"), "\n"))).alias("_line")).select("_k", _hash(F.col("_line")).alias("line_hash"))
-    hits = cut(mine.join(gone, "line_hash").groupBy("_k").agg(F.collect_set("line_hash").alias("_gone")), "hits")  # bounded by the document
-    joined = docs.join(hits, F.col(f"`{key}`") == F.col("_k"), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), _hash(x)), F.lit(False)))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    n = gone.count()
+    if n <= small:
+        size = 1 << max(0, n.bit_length() - 1)
+        slots: list[list[int]] = [[] for _ in range(size)]
+        for (h,) in gone.collect():
+            slots[h % size].append(h)
+        found_lines = spark.createDataFrame([(slots,)], "slots array<array<bigint>>")
+        joined = docs.withColumn("_slots", found_lines.scalar())
+        kept = F.filter(lines, lambda x: ~F.array_contains(F.get(F.col("_slots"), F.pmod(_hash(x), F.lit(size)).cast("int")), _hash(x)))
+    else:
+        mine = docs.select(F.col(f"`{key}`").alias("_k"), F.explode(F.array_distinct(lines)).alias("_line")).select("_k", _hash(F.col("_line")).alias("line_hash"))
+        hits = cut(mine.join(gone, "line_hash").groupBy("_k").agg(F.collect_set("line_hash").alias("_gone")), "hits")  # bounded by the document
+        joined = docs.join(hits, F.col(f"`{key}`") == F.col("_k"), "left")
+        kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), _hash(x)), F.lit(False)))
+    joined = joined.withColumn("_kept", kept)
+    same = F.size("_kept") == F.size(lines)
+    cleaned = F.when(same | F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).otherwise(F.array_join("_kept", "\n"))
     columns = [cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != found]
     if found:
-        n = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("bigint")
-        columns.append(n.alias(found))
+        columns.append(F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("bigint").alias(found))
     return joined.select(*columns)
