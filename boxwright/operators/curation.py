@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.functions.geometry import BOX, box, hbb_iou, intersects
-from boxwright.operators import folds, matching
+from boxwright.operators import matching
 from boxwright.taxonomy import coarse_of
 
 
@@ -17,23 +17,20 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def without_overlaps(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """In order, the crops (x1..y2) of each group that intersect none kept before; other columns ride along."""
-    fields = [c.alias(f"o{i}") for i, c in enumerate(order)] + [F.col(c) for c in df.columns if c not in keys]
-    grouped = folds.ordered(df, keys, fields)
-    sides = lambda x: [x[c] for c in BOX]
-    kept = folds.accept_if_free(F.col("items"), lambda k, x: intersects(sides(k), sides(x)))
-    return grouped.select(*keys, F.explode(kept).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in df.columns if c not in keys])
+def clear_of_truth(crops: DataFrame, truth: DataFrame) -> DataFrame:
+    """Crops (image_id, x1..y2) that intersect no truth of their image."""
+    t = truth.where(~F.col("difficult")).select(F.col("image_id").alias("t_image"), *[F.col(c).alias(f"t_{c}") for c in BOX])
+    return crops.join(t, (F.col("image_id") == F.col("t_image")) & intersects(box(), box("t_")), "left_anti")
 
 
-def quota_then_reject(df: DataFrame, group: list[str], image: str, order: list[Column], n: int) -> DataFrame:
-    """Top n per group first; crops that overlap an earlier one of their image go afterwards, and have used up quota."""
-    return without_overlaps(top_per(df, group, order, n), [image], order)
+def quota_then_reject(crops: DataFrame, truth: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """Top n per group first; crops that touch a truth go afterwards, and have used up quota."""
+    return clear_of_truth(top_per(crops, group, order, n), truth)
 
 
-def reject_then_quota(df: DataFrame, group: list[str], image: str, order: list[Column], n: int) -> DataFrame:
-    """Overlaps go first; the quota counts what is left."""
-    return top_per(without_overlaps(df, [image], order), group, order, n)
+def reject_then_quota(crops: DataFrame, truth: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """Crops that touch a truth go first; the quota counts what is left."""
+    return top_per(clear_of_truth(crops, truth), group, order, n)
 
 
 def ids_by_name(df: DataFrame, name: str, out: str = "id") -> DataFrame:
@@ -71,36 +68,87 @@ def demo_samples(annotations: DataFrame, taxonomy: str = "xh25") -> DataFrame:
     return annotations.groupBy(coarse_of(F.col("class_id"), taxonomy).alias("coarse")).agg(F.min("stem").alias("stem"))
 
 
-def ship_frequency(ships: Column, small: Column, vehicles: Column, ship_factor: int = 2, small_factor: int = 3, vehicle_factor: int = 2) -> Column:
-    """The greatest of the factors that apply."""
-    of = lambda n, k: F.when(n > 0, F.lit(k)).otherwise(F.lit(1))
-    return F.greatest(of(ships, ship_factor), of(small, small_factor), of(vehicles, vehicle_factor))
+def class_frequency(classes: Column, factors: dict[int, int]) -> Column:
+    """How often an image is used: the greatest factor of the classes (an array) that it shows, else once."""
+    return F.greatest(F.lit(1), *[F.when(F.array_contains(classes, c), F.lit(k)).otherwise(F.lit(1)) for c, k in factors.items()], F.lit(1))
 
 
-def hard_negatives(detections: DataFrame, truth: DataFrame, min_score: float, side: float, margin: float, per_group: int, group: Column) -> DataFrame:
-    """Confident detections whose crop, widened by a margin, touches no truth; the best of each source group."""
-    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    crops = detections.where(F.col("score") >= min_score).select(
-        "image_id", "ord", "score", group.alias("group_id"), (cx - side / 2).alias("x1"), (cy - side / 2).alias("y1"), (cx + side / 2).alias("x2"), (cy + side / 2).alias("y2")
-    )
-    t = truth.where(~F.col("difficult")).select("image_id", *[F.col(c).alias(f"t_{c}") for c in BOX])
+def hard_negatives(detections: DataFrame, truth: DataFrame, images: DataFrame, min_score: float, size: int, margin: float, per_group: int, seed: int = 42, taxonomy: str = "xh25") -> DataFrame:
+    """Crops around confident ship and vehicle detections that match no truth of their coarse class, and that, widened by a margin,
+    touch no truth at all; the best of each source group. images: image_id, stem, group_id, width, height."""
+    from boxwright.functions.geometry import crop_origin_from_corners
+    from boxwright.taxonomy import match_iou
+
+    coarse = coarse_of(F.col("class_id"), taxonomy)
+    t = truth.where(~F.col("difficult")).select(F.col("image_id").alias("t_image"), coarse.alias("t_coarse"), *[F.col(c).alias(f"t_{c}") for c in BOX])
+    sure = detections.withColumn("coarse", coarse).where(F.col("coarse").isin("ship", "vehicle") & (F.col("score") >= min_score))
+    same = (F.col("image_id") == F.col("t_image")) & (F.col("coarse") == F.col("t_coarse"))
+    loose = sure.join(t, same & (hbb_iou(box(), box("t_")) >= match_iou(F.col("class_id"), taxonomy)), "left_anti").join(images, "image_id")
+    side = lambda c: F.least(F.lit(size), F.col(c))
+    left = crop_origin_from_corners(F.col("x1"), F.col("x2"), side("width"), F.col("width"))
+    top = crop_origin_from_corners(F.col("y1"), F.col("y2"), side("height"), F.col("height"))
+    crops = loose.select("image_id", "stem", "group_id", "ord", "score", "coarse", left.alias("x1"), top.alias("y1"), (left + side("width")).alias("x2"), (top + side("height")).alias("y2"))
     wide = [F.col("x1") - margin, F.col("y1") - margin, F.col("x2") + margin, F.col("y2") + margin]
-    clear = crops.join(t.withColumnRenamed("image_id", "t_image"), (F.col("image_id") == F.col("t_image")) & intersects(wide, box("t_")), "left_anti")
-    return top_per(clear, ["group_id"], [F.desc("score"), F.col("ord")], per_group)
+    clear = crops.join(t, (F.col("image_id") == F.col("t_image")) & intersects(wide, box("t_")), "left_anti")
+    rank = F.sha2(F.concat_ws(":", F.lit(str(seed)), "stem", F.col("ord").cast("string")), 256)
+    return top_per(clear, ["group_id"], [F.desc("score"), rank], per_group)
+
+
+def _crop(df: DataFrame, size: int) -> DataFrame:
+    """The box replaced by a crop around its centre, held inside the image (width, height)."""
+    from boxwright.functions.geometry import crop_origin_from_centre
+
+    w, h = F.least(F.lit(size), F.col("width")), F.least(F.lit(size), F.col("height"))
+    left = crop_origin_from_centre((F.col("x1") + F.col("x2")) / 2, w, F.col("width"))
+    top = crop_origin_from_centre((F.col("y1") + F.col("y2")) / 2, h, F.col("height"))
+    made = df.select("*", left.alias("_l"), top.alias("_t"), w.alias("_w"), h.alias("_h"))
+    sides = {"x1": F.col("_l"), "y1": F.col("_t"), "x2": F.col("_l") + F.col("_w"), "y2": F.col("_t") + F.col("_h")}
+    return made.withColumns({k: v.cast("double") for k, v in sides.items()}).drop("_l", "_t", "_w", "_h")
+
+
+def _seeded(seed: int, kind: str) -> Column:
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(kind), "stem", F.col("ord").cast("string")), 256)
 
 
-def hard_examples(detections: DataFrame, truth: DataFrame, per_group: int, group: Column, low: float, taxonomy: str = "xh25") -> DataFrame:
-    """Missed truths, found truths of low score and unmatched detections; smallest first for truths, best first for the others,
-    with a cap per group, coarse class and kind."""
+def hard_examples(detections: DataFrame, truth: DataFrame, images: DataFrame, per_positive: int, per_negative: int, floor: float, size: int, seed: int = 42, taxonomy: str = "xh25") -> DataFrame:
+    """Ship and vehicle truths that were missed (smallest first) and confident unmatched detections that touch no truth (best
+    first), with caps per group and coarse class; negatives whose crop touches a truth go after the cap. size 0: no crops."""
     found = matching.greedy_match(detections, truth, ("coarse",), taxonomy)
-    t = truth.where(~F.col("difficult")).join(found.select("image_id", F.col("t_ord").alias("ord"), F.col("score").alias("hit")), ["image_id", "ord"], "left")
-    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    missed = F.when(F.col("hit").isNull(), "missed").when(F.col("hit") < low, "weak")
-    pos = t.select("image_id", "ord", coarse_of(F.col("class_id"), taxonomy).alias("coarse"), missed.alias("kind"), size.alias("first")).where("kind is not null")
-    neg = detections.join(found.select("image_id", F.col("p_ord").alias("ord")), ["image_id", "ord"], "left_anti")
-    neg = neg.select("image_id", "ord", coarse_of(F.col("class_id"), taxonomy).alias("coarse"), F.lit("false_positive").alias("kind"), (-F.col("score")).alias("first"))
-    both = pos.unionByName(neg).withColumn("group_id", group)
-    return top_per(both, ["group_id", "coarse", "kind"], [F.col("first"), F.col("image_id"), F.col("ord")], per_group).drop("first")
+    wanted = lambda df: df.withColumn("coarse", coarse_of(F.col("class_id"), taxonomy)).where(F.col("coarse").isin("ship", "vehicle"))
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    missed = wanted(truth.where(~F.col("difficult"))).join(found.select("image_id", F.col("t_ord").alias("ord")), ["image_id", "ord"], "left_anti").join(images, "image_id")
+    positive = top_per(missed.withColumn("score", F.lit(None).cast("double")), ["group_id", "coarse"], [area, _seeded(seed, "positive")], per_positive)
+    false = wanted(detections).where(F.col("score") >= floor).join(found.select("image_id", F.col("p_ord").alias("ord")), ["image_id", "ord"], "left_anti")
+    negative = top_per(clear_of_truth(false, truth).join(images, "image_id"), ["group_id", "coarse"], [F.desc("score"), _seeded(seed, "negative")], per_negative)
+    if size:
+        positive, negative = _crop(positive, size), clear_of_truth(_crop(negative, size), truth)
+    columns = ["image_id", "stem", "group_id", "coarse", "ord", "score", *BOX]
+    return positive.select(F.lit("positive").alias("kind"), *columns).unionByName(negative.select(F.lit("negative").alias("kind"), *columns))
+
+
+def expert_crops(proposals: DataFrame, truth: DataFrame, images: DataFrame, size: int, floor: float, per_group: int, ratio: float, seed: int = 42, vehicle: int = 24) -> DataFrame:
+    """A crop for every vehicle truth; for confident background proposals whose crop touches no vehicle, at most per_group of a
+    source group; and, up to ceil(positives x ratio) negatives, one from images without vehicles, in order of a seeded rank."""
+    vehicles = truth.where((F.col("class_id") == vehicle) & ~F.col("difficult"))
+    columns = ["image_id", "stem", "group_id", "ord", "score", *BOX]
+    positive = _crop(vehicles.withColumn("score", F.lit(1.0)).join(images, "image_id"), size).select(F.lit("positive").alias("kind"), *columns)
+    labelled = matching.label_proposals(proposals.where("false"), proposals, truth, vehicle)
+    loose = labelled.where((F.col("reason") == "background") & (F.col("score") >= floor)).join(images, "image_id")
+    negative = reject_then_quota(_crop(loose, size), vehicles, ["group_id"], [F.desc("score"), F.col("ord")], per_group).select(F.lit("negative").alias("kind"), *columns)
+    missing = -(-vehicles.count() * ratio // 1) - negative.count()
+    left, top = (_fill_origin(c, seed, size, part) for c, part in (("width", 1), ("height", 17)))
+    empty = images.join(vehicles.select("image_id"), "image_id", "left_anti").orderBy(F.sha2(F.concat(F.lit(f"{seed}:fill:"), "stem"), 256)).limit(max(0, int(missing)))
+    fill = empty.select(
+        F.lit("fill").alias("kind"), "image_id", "stem", "group_id", F.lit(None).cast("bigint").alias("ord"), F.lit(0.0).alias("score"), left.alias("x1"), top.alias("y1"),
+        (left + F.least(F.lit(size), F.col("width"))).alias("x2"), (top + F.least(F.lit(size), F.col("height"))).alias("y2"),
+    )
+    return positive.unionByName(negative).unionByName(fill)
+
+
+def _fill_origin(side: str, seed: int, size: int, at: int) -> Column:
+    """Eight bytes of the image's digest, unsigned, modulo the origins that fit."""
+    head = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:background:"), "stem"), 256), at, 16), 16, 10).cast("decimal(20,0)")
+    return (head % (F.col(side) - F.least(F.lit(size), F.col(side)) + 1).cast("decimal(20,0)")).cast("double")
 
 
 def duplicate_components(pairs: DataFrame, nodes: DataFrame, key: str = "stem", max_rounds: int = 40) -> DataFrame:

@@ -51,14 +51,16 @@ def for_images(df: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def inside_tile(margin: float) -> Column:
-    """Tile-local boxes whose centre lies in the tile's valid area and that keep `margin` from edges inside the image.
+    """Tile-local boxes whose centre lies in the tile's valid area and that keep `margin` from edges inside the image (no such test at margin 0).
     Columns: x1..y2 in the tile; tile_x, tile_y, valid_width, valid_height; image_width, image_height."""
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     centred = (cx >= 0) & (cx < F.col("valid_width")) & (cy >= 0) & (cy < F.col("valid_height"))
-    left = (F.col("tile_x") > 0) & (F.col("x1") <= margin)
-    top = (F.col("tile_y") > 0) & (F.col("y1") <= margin)
-    right = (F.col("tile_x") + F.col("valid_width") < F.col("image_width")) & (F.col("x2") >= F.col("valid_width") - margin)
-    bottom = (F.col("tile_y") + F.col("valid_height") < F.col("image_height")) & (F.col("y2") >= F.col("valid_height") - margin)
+    if not margin:
+        return centred
+    left = (F.col("tile_x") > 0) & (F.col("x1") < margin)
+    top = (F.col("tile_y") > 0) & (F.col("y1") < margin)
+    right = (F.col("tile_x") + F.col("valid_width") < F.col("image_width")) & (F.col("x2") > F.col("valid_width") - margin)
+    bottom = (F.col("tile_y") + F.col("valid_height") < F.col("image_height")) & (F.col("y2") > F.col("valid_height") - margin)
     return centred & ~(left | top | right | bottom)
 
 

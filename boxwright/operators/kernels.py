@@ -13,27 +13,30 @@ def _centre_size(b: list[Column]) -> tuple[Column, Column, Column, Column]:
     return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2, b[2] - b[0], b[3] - b[1]
 
 
-def gaussian_distance(a: list[Column], b: list[Column]) -> Column:
+def gaussian_distance(a: list[Column], b: list[Column], eps: float = 1e-7) -> Column:
     """Gaussian combined distance of two boxes, seen as Gaussians, normalised by either's size and averaged."""
     ax, ay, aw, ah = _centre_size(a)
     bx, by, bw, bh = _centre_size(b)
-    side = lambda w, h: ((ax - bx) / w) ** 2 + ((ay - by) / h) ** 2 + (((aw - bw) / w) ** 2 + ((ah - bh) / h) ** 2) / 4
+    side = lambda w, h: ((ax - bx) / (w + eps)) ** 2 + ((ay - by) / (h + eps)) ** 2 + (((aw - bw) / (w + eps)) ** 2 + ((ah - bh) / (h + eps)) ** 2) / 4
     return (side(aw, ah) + side(bw, bh)) / 2
 
 
-def gaussian_similarity(a: list[Column], b: list[Column]) -> Column:
-    return F.exp(-F.sqrt(gaussian_distance(a, b)))
+def gaussian_similarity(a: list[Column], b: list[Column], root_eps: float = 1e-12) -> Column:
+    """1 for equal boxes; the root is softened near 0."""
+    return F.exp(root_eps**0.5 - F.sqrt(gaussian_distance(a, b) + root_eps))
 
 
-def dense_mask(boxes: DataFrame, scale: float, threshold: float) -> DataFrame:
-    """boxes with dense: does any other box of the image lie so near, in centre and outline, that exp(-distance / scale) exceeds
-    the threshold? An equi-join on the image with the distance as a residual."""
-    other = boxes.select("image_id", F.col("ord").alias("o_ord"), *[F.col(c).alias(f"o_{c}") for c in BOX])
+def dense_mask(boxes: DataFrame, scale: float, threshold: float, vehicle: int = 24) -> DataFrame:
+    """boxes with dense: does any other vehicle of the image lie so near, in outline and in centre (over the mean diagonal), that
+    exp(-distance / scale) exceeds the threshold? An equi-join on the image with the distance as a residual."""
+    vehicles = boxes.where(F.col("class_id") == vehicle)
+    other = vehicles.select("image_id", F.col("ord").alias("o_ord"), *[F.col(c).alias(f"o_{c}") for c in BOX])
     ax, ay, aw, ah = _centre_size(box())
     bx, by, bw, bh = _centre_size(box("o_"))
-    outline = ((aw - bw) ** 2 + (ah - bh) ** 2) / 4
-    apart = F.sqrt(outline + ((ax - bx) / aw) ** 2 + ((ay - by) / ah) ** 2)
-    near = boxes.join(other, "image_id").where((F.col("ord") != F.col("o_ord")) & (F.exp(-apart / scale) > threshold))
+    outline = (aw - bw) ** 2 + (ah - bh) ** 2
+    diagonal = ((aw + bw) / 2) ** 2 + ((ah + bh) / 2) ** 2
+    apart = F.sqrt(outline + ((ax - bx) ** 2 + (ay - by) ** 2) / F.greatest(diagonal, F.lit(1e-9)))
+    near = vehicles.join(other, "image_id").where((F.col("ord") != F.col("o_ord")) & (F.exp(-apart / scale) > threshold))
     hit = near.select("image_id", "ord").distinct().withColumn("dense", F.lit(True))
     return boxes.join(hit, ["image_id", "ord"], "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
 

@@ -104,22 +104,24 @@ def first_overlapping_truth(detections: DataFrame, truth: DataFrame, iou: float,
 
 
 def label_proposals(main: DataFrame, proposals: DataFrame, truth: DataFrame, class_id: int = 24, iou: float = 0.35) -> DataFrame:
-    """Proposals with label and reason. The main model claims truth first; then each proposal by falling score takes the best
-    free truth (recoverable_truth). The others: duplicate_main if they overlap a truth that main claimed, duplicate_proposal
-    if they overlap one that a proposal claimed, else background."""
+    """Proposals with matched truth, label and reason.
+
+    The main model claims truth first. A proposal that overlaps a detection of the main model is duplicate_main and claims
+    nothing. Of the others, by falling score, each claims the best free truth (recoverable_truth); one that finds none is
+    duplicate_proposal, with the first claimed truth it overlaps, or background. A truth that a proposal overlaps but did not
+    get was claimed before its turn, so the claims at the end decide.
+    """
     of = lambda df: df.where(F.col("class_id") == class_id)
-    truth = of(truth).where(~F.col("difficult"))
-    by_main = greedy_match(of(main), truth, ("all",), iou=iou).select("image_id", F.col("t_ord").alias("ord")).withColumn("by", F.lit("main"))
-    free = truth.join(by_main, ["image_id", "ord"], "left_anti")
-    wanted = of(proposals)
-    won = greedy_match(wanted, free, ("all",), iou=iou).select("image_id", F.col("p_ord").alias("ord"), F.col("t_ord").alias("matched"))
-    claimed = by_main.unionByName(won.select("image_id", F.col("matched").alias("ord"), F.lit("proposal").alias("by")))
-    boxes = truth.join(claimed, ["image_id", "ord"]).select("image_id", "by", *[F.col(c).alias(f"t_{c}") for c in BOX])
-    touch = wanted.join(boxes, "image_id").where(hbb_iou(box(), box("t_")) >= iou)
-    over = touch.groupBy("image_id", "ord").agg(F.bool_or(F.col("by") == "main").alias("over_main"))
-    joined = wanted.join(won, ["image_id", "ord"], "left").join(over, ["image_id", "ord"], "left")
-    reason = F.when(F.col("matched").isNotNull(), "recoverable_truth").when(F.col("over_main"), "duplicate_main").when(F.col("over_main").isNotNull(), "duplicate_proposal").otherwise("background")
-    return joined.withColumn("label", F.col("matched").isNotNull().cast("int")).withColumn("reason", reason).drop("over_main")
+    main, truth, wanted = of(main), of(truth).where(~F.col("difficult")), of(proposals)
+    by_main = greedy_match(main, truth, ("all",), iou=iou).select("image_id", F.col("t_ord").alias("ord"))
+    again = overlapping(wanted, main, iou, ["image_id"]).select("image_id", "ord").withColumn("duplicate", F.lit(True))
+    rest = wanted.join(again, ["image_id", "ord"], "left_anti")
+    won = greedy_match(rest, truth.join(by_main, ["image_id", "ord"], "left_anti"), ("all",), iou=iou).select("image_id", F.col("p_ord").alias("ord"), F.col("t_ord").alias("won"))
+    claimed = truth.join(by_main.unionByName(won.select("image_id", F.col("won").alias("ord"))), ["image_id", "ord"], "left_semi")
+    over = first_overlapping_truth(rest, claimed, iou).select("image_id", "ord", F.col("t_ord").alias("held"))
+    joined = wanted.join(won, ["image_id", "ord"], "left").join(again, ["image_id", "ord"], "left").join(over, ["image_id", "ord"], "left")
+    reason = F.when(F.col("duplicate"), "duplicate_main").when(F.col("won").isNotNull(), "recoverable_truth").when(F.col("held").isNotNull(), "duplicate_proposal").otherwise("background")
+    return joined.withColumn("matched", F.coalesce("won", "held")).withColumn("label", F.col("won").isNotNull().cast("int")).withColumn("reason", reason).drop("duplicate", "won", "held")
 
 
 def first_fit_pairs(left: DataFrame, right: DataFrame, iou: float) -> DataFrame:
@@ -134,9 +136,15 @@ def first_fit_pairs(left: DataFrame, right: DataFrame, iou: float) -> DataFrame:
     return grouped.select("image_id", F.explode(free).alias("m")).select("image_id", F.col("m.p").alias("l_ord"), F.col("m.t").alias("r_ord"))
 
 
+def consensus(main: DataFrame, first: DataFrame, second: DataFrame, truth: DataFrame, class_id: int = 24, iou: float = 0.35) -> DataFrame:
+    """Proposals of two models that agree, one to one in first-fit order: (image_id, l_ord, r_ord, label of the first's)."""
+    a, b = (label_proposals(main, p, truth, class_id, iou).where("reason <> 'duplicate_main'") for p in (first, second))
+    return first_fit_pairs(a, b, iou).join(a.select("image_id", F.col("ord").alias("l_ord"), "label"), ["image_id", "l_ord"])
+
+
 def ap_match(detections: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
     """Matches of average precision, per class and threshold: each detection keeps its best truth, then each truth its
-    detection of the greatest IoU. Two windows, no fold: this is not the greedy matching."""
+    best-scored detection. Two windows, no fold: this is not the greedy matching."""
     t = truth.select("image_id", "class_id", F.col("ord").alias("t_ord"), *[F.col(c).alias(f"t_{c}") for c in BOX])
     p = detections.select("image_id", "class_id", F.col("ord").alias("p_ord"), "score", *[F.col(c).alias(f"p_{c}") for c in BOX])
     edges = p.join(t, ["image_id", "class_id"]).withColumn("iou", hbb_iou(box("p_"), box("t_"))).where(F.col("iou") >= min(thresholds))
@@ -144,7 +152,7 @@ def ap_match(detections: DataFrame, truth: DataFrame, thresholds: list[float]) -
     best = Window.partitionBy("image_id", "p_ord").orderBy(F.desc("iou"), "t_ord")
     edges = edges.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
     edges = edges.withColumn("threshold", F.explode(F.array(*[F.lit(float(v)) for v in thresholds]))).where("iou >= threshold")
-    own = Window.partitionBy("image_id", "t_ord", "threshold").orderBy(F.desc("iou"), F.desc("score"), "p_ord")
+    own = Window.partitionBy("image_id", "t_ord", "threshold").orderBy(F.desc("score"), "p_ord")
     return edges.withColumn("_r", F.row_number().over(own)).where("_r = 1").select("image_id", "class_id", "p_ord", "t_ord", "threshold", "iou")
 
 

@@ -38,7 +38,10 @@ class Objective:
         return 2 * self.tp / n if n else 0.0
 
 
-def is_better(a: Objective, b: Objective, eps: float = 1e-12) -> bool:
+EPSILON = 0.0005
+
+
+def is_better(a: Objective, b: Objective, eps: float = EPSILON) -> bool:
     """Greater F1; of those within eps a lower FDR; of those a greater recall. Not transitive, so choices fold in order."""
     for x, y in ((a.f1, b.f1), (-a.fdr, -b.fdr), (a.recall, b.recall)):
         if abs(x - y) > eps:
@@ -46,7 +49,7 @@ def is_better(a: Objective, b: Objective, eps: float = 1e-12) -> bool:
     return False
 
 
-def select_best(candidates: Sequence[tuple[float, Objective]], recall_floor: float, eps: float = 1e-12) -> tuple[float, Objective]:
+def select_best(candidates: Sequence[tuple[float, Objective]], recall_floor: float, eps: float = EPSILON) -> tuple[float, Objective]:
     """Of those that keep the floor (else of all), the first that no later one betters."""
     pool = [c for c in candidates if c[1].recall >= recall_floor] or list(candidates)
     best = pool[0]
@@ -81,7 +84,7 @@ def _objectives(counts: DataFrame) -> dict[int, Objective]:
     return {r[0]: Objective(r[1], r[2], r[3]) for r in counts.groupBy("candidate").agg(F.sum("tp"), F.sum("fp"), F.sum("fn")).orderBy("candidate").collect()}
 
 
-def optimize_thresholds(detections: DataFrame, truth: DataFrame, grid: Sequence[float], recall_floor: float, taxonomy: str = "xh25", passes: int = 1) -> tuple[dict[int, float], Objective]:
+def optimize_thresholds(detections: DataFrame, truth: DataFrame, grid: Sequence[float], recall_floor: float, taxonomy: str = "xh25", passes: int = 2) -> tuple[dict[int, float], Objective]:
     """The best global threshold, then class by class (those that occur) the best for that class with the others held."""
     from boxwright.operators.filters import n_classes
 
@@ -103,16 +106,43 @@ def optimize_thresholds(detections: DataFrame, truth: DataFrame, grid: Sequence[
     return current, best
 
 
-def ranking_score(metrics: dict[str, float], least_recall: float, most_fdr: float) -> tuple[float, ...]:
-    """Lexicographic: six numbers, minus infinity where a gate fails."""
-    gate = metrics["recall"] >= least_recall and metrics["fdr"] <= most_fdr
-    keys = ("ship_recall", "ship_precision", "vehicle_recall", "vehicle_precision", "aircraft_recall", "aircraft_precision")
-    return tuple(metrics.get(k, 0.0) if gate else float("-inf") for k in keys)
-
-
-def optimize_ranking(scored: Sequence[tuple[float, dict[str, float]]], least_recall: float, most_fdr: float) -> float:
-    """The first threshold of the greatest score."""
-    return max(scored, key=lambda e: (ranking_score(e[1], least_recall, most_fdr), -e[0]))[0]
+def ranking_score(candidate: Objective, base: Objective) -> tuple:
+    """Lexicographic gain of a coarse class over its baseline: both rates improved, how many did, the lesser gain counted in
+    single detections (only if both did), the gains' sum, more hits, fewer false ones."""
+    gains = candidate.recall - base.recall, base.fdr - candidate.fdr
+    units = gains[0] * max(1, base.tp + base.fn), gains[1] * max(1, base.tp + base.fp)
+    better = [g > 1e-12 for g in gains]
+    return all(better), sum(better), min(units) if all(better) else float("-inf"), sum(units), candidate.tp, -candidate.fp
+
+
+def group_counts(detections: DataFrame, truth: DataFrame, coarse: str, maps: Sequence[dict[int, float]], taxonomy: str) -> list[Objective]:
+    """Counts of one coarse class by itself under each map, all in one job."""
+    of = lambda df: df.where(coarse_of(F.col("class_id"), taxonomy) == coarse)
+    frame = detections.sparkSession.createDataFrame([(i, c, float(t)) for i, m in enumerate(maps) for c, t in m.items()], "candidate int, class_id int, threshold double")
+    found = _objectives(candidate_counts(of(detections), of(truth), frame, taxonomy=taxonomy))
+    return [found.get(i, Objective(0, 0, 0)) for i in range(len(maps))]
+
+
+def optimize_ranking(detections: DataFrame, truth: DataFrame, baseline: dict[str, Objective], grid: Sequence[float], taxonomy: str = "xh25", passes: int = 2) -> dict[int, float]:
+    """Per coarse class the best common threshold (the first of equals), then class by class a strictly better one."""
+    from boxwright.taxonomy import TAXONOMIES
+
+    grid, out = sorted(set(grid)), {}
+    spans = {n: range(low, high + 1) for n, low, high in TAXONOMIES[taxonomy]}
+    for group in sorted(spans):
+        rank = lambda o, g=group: ranking_score(o, baseline[g])
+        scored = group_counts(detections, truth, group, [dict.fromkeys(spans[group], t) for t in grid], taxonomy)
+        at = max(range(len(grid)), key=lambda i: (rank(scored[i]), -i))
+        current, best = dict.fromkeys(spans[group], grid[at]), rank(scored[at])
+        for _ in range(passes):
+            for c in spans[group]:
+                maps = [current | {c: t} for t in grid]
+                scored = group_counts(detections, truth, group, maps, taxonomy)
+                at = max(range(len(grid)), key=lambda i: (rank(scored[i]), -i))
+                if rank(scored[at]) > best:
+                    current, best = maps[at], rank(scored[at])
+        out |= current
+    return out
 
 
 def threshold_counts(detections: DataFrame, truth: DataFrame, grid: Sequence[float], taxonomy: str = "xh25") -> DataFrame:
@@ -148,24 +178,26 @@ def fold_totals(counts: DataFrame, folds: DataFrame, candidate: str) -> DataFram
     return joined.select("fold", candidate, *[(F.col(f"all_{c}") - F.col(c)).alias(f"train_{c}") for c in ("tp", "fp", "fn")], *[F.col(c).alias(f"hold_{c}") for c in ("tp", "fp", "fn")])
 
 
-def gated_choice(totals: DataFrame, candidate: str, least_recall: Column, most_fdr: Column) -> DataFrame:
-    """Per fold the candidate of greatest training F1 that passes both gates (ties: lower FDR, greater recall, lower candidate);
-    folds in which none passes are absent."""
+def gated_choice(totals: DataFrame, candidate: str, least_recall: Column, most_fdr: Column, tie: float = 0.0001, first: Sequence[str] = (), where: Column | None = None) -> DataFrame:
+    """Per fold the candidate that passes both gates with the greatest training F1; of those within `tie` of it the one of lowest
+    FDR, greatest recall, lowest candidate (columns in `first`, ascending, go before). Folds in which none passes are absent."""
     tp, fp, fn = (F.col(f"train_{c}") for c in ("tp", "fp", "fn"))
     scored = totals.withColumn("f1", S.f1(tp, fp, fn)).withColumn("recall", S.recall(tp, fn)).withColumn("fdr", S.false_discovery(tp, fp))
-    passing = scored.where((F.col("recall") >= least_recall) & (F.col("fdr") <= most_fdr))
-    best = F.min_by(F.struct(candidate, "f1", "recall", "fdr", "hold_tp", "hold_fp", "hold_fn"), F.struct((-F.col("f1")), F.col("fdr"), (-F.col("recall")), F.col(candidate)))
-    return passing.groupBy("fold").agg(best.alias("b")).select("fold", "b.*")
-
-
-def calibrate(detections: DataFrame, truth: DataFrame, folds: DataFrame, grid: Sequence[float], baseline: float, recall_slack: float = 0.01, fdr_slack: float = 0.01) -> tuple[DataFrame, dict]:
-    """Per fold: the baseline threshold's counts on the other folds set a recall floor and an FDR cap; the gated best is chosen
-    there and judged on the fold. The final threshold is the upper median of the folds' choices."""
-    levels = sorted({*grid, baseline})
-    totals = cut(fold_totals(threshold_counts(detections, truth, levels), folds, "threshold"))
+    passing = scored.where((F.col("recall") >= least_recall) & (F.col("fdr") <= most_fdr) & (F.lit(True) if where is None else where))
+    tied = passing.join(passing.groupBy("fold").agg(F.max("f1").alias("_top")), "fold").where(F.col("f1") >= F.col("_top") - tie)
+    order = F.struct(*[F.col(c) for c in first], F.col("fdr"), (-F.col("recall")).alias("r"), F.col(candidate))
+    best = F.min_by(F.struct(candidate, "f1", "recall", "fdr", "hold_tp", "hold_fp", "hold_fn"), order)
+    return tied.groupBy("fold").agg(best.alias("b")).select("fold", "b.*")
+
+
+def calibrate(detections: DataFrame, truth: DataFrame, folds: DataFrame, grid: Sequence[float], baseline: float, recall_slack: float = 0.01, fdr_slack: float = 0.01, baseline_detections: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """Per fold: the counts of the baseline's detections over its threshold on the other folds set a recall floor and an FDR cap;
+    the gated best is chosen there and judged on the fold. The final threshold is the upper median of the folds' choices."""
+    totals = cut(fold_totals(threshold_counts(detections, truth, grid), folds, "threshold"))
+    before = fold_totals(threshold_counts(detections if baseline_detections is None else baseline_detections, truth, [baseline]), folds, "threshold")
     tp, fp, fn = (F.col(f"train_{c}") for c in ("tp", "fp", "fn"))
-    base = totals.where(F.col("threshold") == baseline).select("fold", (S.recall(tp, fn) - recall_slack).alias("floor"), (S.false_discovery(tp, fp) + fdr_slack).alias("cap"))
-    chosen = gated_choice(totals.join(base, "fold").where(F.col("threshold").isin(*[float(g) for g in grid])), "threshold", F.col("floor"), F.col("cap"))
+    floor, cap = F.greatest(F.lit(0.0), S.recall(tp, fn) - recall_slack), F.least(F.lit(1.0), S.false_discovery(tp, fp) + fdr_slack)
+    chosen = gated_choice(totals.join(before.select("fold", floor.alias("floor"), cap.alias("cap")), "fold"), "threshold", F.col("floor"), F.col("cap"))
     rows = chosen.orderBy("fold").collect()  # as many as folds
     out = Objective(sum(r["hold_tp"] for r in rows), sum(r["hold_fp"] for r in rows), sum(r["hold_fn"] for r in rows))
     picked = sorted(r["threshold"] for r in rows)
@@ -189,7 +221,7 @@ def competition(metrics: DataFrame, least_recall: float = 0.85, most_fdr: float
     """(recall, fdr, seconds) judged: accuracy before timing; an unknown latency passes."""
     accurate = (F.col("recall") >= least_recall) & (F.col("fdr") <= most_fdr)
     quick = F.coalesce(F.col("seconds") <= most_seconds, F.lit(True))
-    return metrics.withColumn("accuracy_passed", accurate).withColumn("latency_passed", quick).withColumn("verdict", F.when(~accurate, "accuracy").when(~quick, "latency").otherwise("passed"))
+    return metrics.withColumn("accuracy_passed", accurate).withColumn("latency_passed", quick).withColumn("verdict", F.when(~accurate, "accuracy_gate_failed").when(~quick, "timing_gate_failed").otherwise("pass_candidate"))
 
 
 def seven_metrics(before: DataFrame, after: DataFrame, lower_is_better: Sequence[str] = (), least_improved: int = 6, tie: float = 1e-12) -> tuple[DataFrame, DataFrame]:

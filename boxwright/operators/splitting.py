@@ -22,57 +22,48 @@ def rank(seed: int, value: str) -> str:
 
 
 def group_vectors(images: DataFrame, annotations: DataFrame, coarse) -> dict[str, dict[str, int]]:
-    """Per group: images, and boxes by fine class ('f<id>') and coarse class ('c<name>')."""
+    """Per group: images, boxes by fine ('f<id>') and coarse class ('c<name>'), and images that show a fine class ('p<id>')."""
     n = images.groupBy("group_id").agg(F.count("*").alias("n"))
-    boxes = annotations.join(images.select("image_id", "group_id"), "image_id")
-    per = boxes.groupBy("group_id", F.concat(F.lit("f"), F.col("class_id").cast("string")).alias("k")).agg(F.count("*").alias("n"))
+    boxes = annotations.where(~F.col("difficult")).join(images.select("image_id", "group_id"), "image_id")
+    fine = F.col("class_id").cast("string")
+    per = boxes.groupBy("group_id", F.concat(F.lit("f"), fine).alias("k")).agg(F.count("*").alias("n"))
     per = per.unionByName(boxes.groupBy("group_id", F.concat(F.lit("c"), coarse).alias("k")).agg(F.count("*").alias("n")))
+    per = per.unionByName(boxes.groupBy("group_id", F.concat(F.lit("p"), fine).alias("k")).agg(F.countDistinct("image_id").alias("n")))
     out = {r["group_id"]: {"images": r["n"]} for r in n.orderBy("group_id").collect()}
-    for r in per.collect():
+    for r in per.orderBy("group_id", "k").collect():
         out[r["group_id"]][r["k"]] = r["n"]
     return out
 
 
-def partition_score(folds: Sequence[Mapping[str, int]], total: Mapping[str, int], n_groups: Sequence[int]) -> float:
-    """Weighted squared relative deviations of the folds from equal shares."""
-    k, out = len(folds), 0.0
-    for fold, groups in zip(folds, n_groups, strict=True):
-        out += WEIGHTS["groups"] * (groups / max(1, sum(n_groups)) - 1 / k) ** 2
-        for name, whole in total.items():
-            kind = "images" if name == "images" else "fine" if name[0] == "f" else "coarse"
-            out += WEIGHTS[kind] * (fold.get(name, 0) / whole - 1 / k) ** 2 if whole else 0.0
-    return out
+def weight(name: str) -> float:
+    return WEIGHTS[name] if name in ("images", "groups") else WEIGHTS["fine" if name[0] == "f" else "coarse"]
+
+
+def partition_score(folds: Sequence[Mapping[str, int]], total: Mapping[str, int]) -> float:
+    """Weighted squared deviations of the folds' shares from equal ones."""
+    equal = 1 / len(folds)
+    return sum(weight(n) * sum((f.get(n, 0) / whole - equal) ** 2 for f in folds) for n, whole in total.items() if whole > 0)
 
 
 def build_folds(vectors: Mapping[str, Mapping[str, int]], k: int, seed: int = 42) -> dict[str, int]:
-    """Groups to folds: the rarest class's groups first (ties by seeded rank), each to the fold that leaves the best score
-    (ties: fewest images, then lowest fold)."""
+    """Groups to folds: those that hold the largest shares of the fine classes first (then more boxes, more images, seeded
+    rank), each to the fold that leaves the best score (ties: fewest images, then seeded rank of group and fold)."""
+    if len(vectors) < k:
+        raise ValueError("fewer groups than folds")
+    vectors = {g: {"groups": 1, **{n: c for n, c in v.items() if n[0] != "p"}} for g, v in vectors.items()}
     total: dict[str, int] = {}
-    for v in vectors.values():
-        for name, n in v.items():
+    for g in sorted(vectors):
+        for name, n in vectors[g].items():
             total[name] = total.get(name, 0) + n
-    rarity = lambda v: min((total[n] for n in v if n != "images"), default=10**18)
-    order = sorted(vectors, key=lambda g: (rarity(vectors[g]), -vectors[g]["images"], rank(seed, g)))
+    fine = lambda g: [(n, c) for n, c in vectors[g].items() if n[0] == "f"]
+    order = sorted(vectors, key=lambda g: (-sum(c / total[n] for n, c in fine(g)), -sum(c for _, c in fine(g)), -vectors[g]["images"], rank(seed, g)))
     folds: list[dict[str, int]] = [{} for _ in range(k)]
-    groups, out = [0] * k, {}
-
-    def change(f: int, v: Mapping[str, int]) -> float:
-        """The score's change if the group went to fold f; only the names it touches move."""
-        d = WEIGHTS["groups"] * (((groups[f] + 1) / len(vectors) - 1 / k) ** 2 - (groups[f] / len(vectors) - 1 / k) ** 2)
-        for name, n in v.items():
-            kind = "images" if name == "images" else "fine" if name[0] == "f" else "coarse"
-            x, w = folds[f].get(name, 0), total[name]
-            d += WEIGHTS[kind] * (((x + n) / w - 1 / k) ** 2 - (x / w - 1 / k) ** 2)
-        return d
-
-    for i, g in enumerate(order):
-        empty = [f for f in range(k) if not groups[f]]
-        pool = empty if len(empty) >= len(order) - i else range(k)
-        f = min(pool, key=lambda f: (change(f, vectors[g]), folds[f].get("images", 0), f))
-        for name, n in vectors[g].items():
-            folds[f][name] = folds[f].get(name, 0) + n
-        groups[f] += 1
-        out[g] = f
+    out = {}
+    for g in order:
+        tried = [{n: f.get(n, 0) + vectors[g].get(n, 0) for n in {*f, *vectors[g]}} for f in folds]
+        scores = [(partition_score([*folds[:f], tried[f], *folds[f + 1 :]], total), tried[f]["images"], rank(seed, f"{g}:{f}"), f) for f in range(k)]
+        out[g] = min(scores)[-1]
+        folds[out[g]] = tried[out[g]]
     return out
 
 
@@ -112,15 +103,16 @@ def cover(vectors: Mapping[str, Mapping[str, int]], ratio: float, seed: int = 42
     return found
 
 
-def objective(chosen: set[str], vectors: Mapping[str, Mapping[str, int]], total: Mapping[str, int], ratio: float) -> tuple[float, float]:
-    """Deviation of images, then of class shares, from the ratio."""
+def objective(chosen: set[str], vectors: Mapping[str, Mapping[str, int]], total: Mapping[str, int], ratio: float) -> tuple[float, float, float, float]:
+    """The greatest deviation of a fine class's boxes from the ratio; squared, then plain deviations of boxes, presence and
+    coarse classes summed; that of the images."""
     mine: dict[str, int] = {}
     for g in chosen:
         for name, n in vectors[g].items():
             mine[name] = mine.get(name, 0) + n
-    images = abs(mine.get("images", 0) - total["images"] * ratio)
-    shares = sum((mine.get(n, 0) / t - ratio) ** 2 for n, t in total.items() if n != "images" and t)
-    return round(images, 9), round(shares, 12)
+    apart = {n: abs(mine.get(n, 0) / t - ratio) for n, t in total.items() if t}
+    counted = [apart[n] for n in sorted(apart) if n[0] in "fcp"]
+    return max((v for n, v in apart.items() if n[0] == "f"), default=0.0), sum(v * v for v in counted), sum(counted), apart["images"]
 
 
 def select_validation(vectors: Mapping[str, Mapping[str, int]], ratio: float, seed: int = 42, rounds: int = 512, beam: int = 48) -> set[str]:
@@ -157,23 +149,24 @@ def select_validation(vectors: Mapping[str, Mapping[str, int]], ratio: float, se
     return chosen
 
 
-def binary_split(labels: Mapping[str, Sequence[int]], ratio: float, least_positive: int, seed: int = 42) -> set[str]:
-    """Holdout groups of a yes/no label by seeded rank up to the share of rows; groups with positives are added, in the same
-    order, until the holdout has enough."""
-    n = sum(len(v) for v in labels.values())
-    order = sorted(labels, key=lambda g: rank(seed, g))
-    chosen, rows = set(), 0
-    for g in order:
-        if rows >= n * ratio:
+def expert_split(vehicles: Mapping[str, int], ratio: float, seed: int = 42, least: int = 3) -> set[str]:
+    """Holdout groups (vehicles by group): a half-even share of the groups by seeded rank. If they hold all vehicles, the last
+    one with any goes back; if too few, the next groups with vehicles come in while some remain outside."""
+    order = sorted(vehicles, key=lambda g: rank(seed, g))
+    n = max(1, min(len(order) - 1, round(len(order) * ratio)))
+    total, held = sum(vehicles.values()), set(order[:n])
+    have = lambda: sum(vehicles[g] for g in held)
+    need = min(least, total - 1)
+    if have() == total:
+        held.remove(next(g for g in reversed(order[:n]) if vehicles[g]))
+    for g in order[n:]:
+        if have() >= need:
             break
-        chosen.add(g)
-        rows += len(labels[g])
-    for g in order:
-        if sum(sum(labels[x]) for x in chosen) >= least_positive:
-            break
-        if sum(labels[g]) and g not in chosen and any(sum(labels[x]) for x in labels if x not in chosen and x != g):
-            chosen.add(g)
-    return chosen
+        if vehicles[g] and total - have() - vehicles[g] > 0:
+            held.add(g)
+    if have() < need or have() >= total:
+        raise ValueError("no split has vehicles on both sides")
+    return held
 
 
 def combination_split(labels: Mapping[str, Sequence[int]], ratio: float, most: int = 12) -> set[str]:

@@ -74,20 +74,21 @@ def fuse_ranking(sources: dict[str, DataFrame], picks: dict[str, tuple[str, floa
     return out
 
 
-def fuse_multiscale(small: DataFrame, middle: DataFrame, large: DataFrame, thresholds: DataFrame, iou: float, vehicle_min_score: float, vehicle_min_area: float) -> DataFrame:
+def fuse_multiscale(small: DataFrame, middle: DataFrame, large: DataFrame, thresholds: DataFrame, aircraft: tuple[float, float], ship: tuple[float, float], vehicle_min_score: float, vehicle_min_area: float) -> DataFrame:
     """Aircraft of the small scale with the middle's as supplements, ships of the large scale with the small's, vehicles of
-    the large scale without those both low and small. Thresholds: (class_id, threshold); a class without one raises."""
+    the large scale without those both low and small. Primary boxes pass their class's threshold (class_id, threshold; a class
+    without one raises); `aircraft` and `ship` are the supplements' score bound and the IoU at which they are duplicates."""
 
     def over(df: DataFrame, coarse: str) -> DataFrame:
         joined = df.where(coarse_of(F.col("class_id")) == coarse).join(F.broadcast(thresholds), "class_id", "left")
         bound = F.coalesce("threshold", F.raise_error(F.concat(F.lit("no threshold for class "), F.col("class_id").cast("string"))).cast("double"))
         return joined.where(F.col("score") >= bound).select(*FIELDS)
 
-    aircraft = add_supplements(over(small, "aircraft"), over(middle, "aircraft"), iou)
-    ships = add_supplements(over(large, "ship"), over(small, "ship"), iou)
+    planes = add_supplements(over(small, "aircraft"), select_coarse(middle, "aircraft", aircraft[0]).select(*FIELDS), aircraft[1])
+    ships = add_supplements(over(large, "ship"), select_coarse(small, "ship", ship[0]).select(*FIELDS), ship[1])
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     vehicles = over(large, "vehicle").where(~((F.col("score") < vehicle_min_score) & (size < vehicle_min_area)))
-    return aircraft.unionByName(ships).unionByName(vehicles)
+    return planes.unionByName(ships).unionByName(vehicles)
 
 
 def final_order(detections: DataFrame) -> DataFrame:

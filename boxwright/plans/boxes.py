@@ -71,7 +71,7 @@ TILED = "tl AS (SELECT *, ord % 3 * 60 AS tx, ord % 2 * 50 AS ty FROM det)"
 
 
 @query("PF9", f"""WITH {TILED} SELECT ord FROM tl WHERE (x1 + x2) / 2 >= 0 AND (x1 + x2) / 2 < 100 AND (y1 + y2) / 2 >= 0 AND (y1 + y2) / 2 < 100
-  AND NOT (tx > 0 AND x1 <= 4) AND NOT (ty > 0 AND y1 <= 4) AND NOT (tx + 100 < 220 AND x2 >= 96) AND NOT (ty + 100 < 150 AND y2 >= 96)""", ("det",))
+  AND NOT (tx > 0 AND x1 < 4) AND NOT (ty > 0 AND y1 < 4) AND NOT (tx + 100 < 220 AND x2 > 96) AND NOT (ty + 100 < 150 AND y2 > 96)""", ("det",))
 def pf9(spark, d):
     return _tiled(spark, d).where(filters.inside_tile(4)).select("ord")
 
@@ -258,31 +258,34 @@ def _vehicles(df):
     return df.withColumn("class_id", F.lit(24))
 
 
-def _j5_sql() -> str:
-    def greedy(name: str, p: str, t: str) -> str:
-        return f"""{name} AS (SELECT image_id, m.p AS p, m.t AS t FROM (SELECT image_id, unnest({accept_sql('l', 'k.p = x.p OR k.t = x.t')}) AS m FROM (SELECT p.image_id, list({{'p': p.ord, 't': t.ord}} ORDER BY p.score DESC, p.ord, {iou_sql('p', 't')} DESC, t.ord) AS l
+def _j5_sql(proposals: str = "SELECT * FROM det WHERE ord % 4 = 2", name: str = "") -> str:
+    """Tables up to lab{name}: the proposals with matched, label and reason."""
+
+    def greedy(table: str, p: str, t: str) -> str:
+        return f"""{table} AS (SELECT image_id, m.p AS p, m.t AS t FROM (SELECT image_id, unnest({accept_sql('l', 'k.p = x.p OR k.t = x.t')}) AS m FROM (SELECT p.image_id, list({{'p': p.ord, 't': t.ord}} ORDER BY p.score DESC, p.ord, {iou_sql('p', 't')} DESC, t.ord) AS l
   FROM {p} p JOIN {t} t ON p.image_id = t.image_id WHERE {iou_sql('p', 't')} >= 0.35::DOUBLE GROUP BY p.image_id)))"""
 
-    over = lambda by: f"EXISTS (SELECT 1 FROM claimed c WHERE c.by = '{by}' AND c.image_id = q.image_id AND {iou_sql('q', 'c')} >= 0.35::DOUBLE)"
-    return f"""WITH mn AS (SELECT * FROM det WHERE ord % 4 = 0), pr AS (SELECT * FROM det WHERE ord % 4 = 2), tr AS (SELECT * FROM truth WHERE NOT difficult),
-{greedy('bm', 'mn', 'tr')}, fr AS (SELECT * FROM tr WHERE ord NOT IN (SELECT t FROM bm)), {greedy('wn', 'pr', 'fr')},
-claimed AS (SELECT tr.*, 'main' AS by FROM tr JOIN bm ON tr.ord = bm.t UNION ALL SELECT tr.*, 'proposal' FROM tr JOIN wn ON tr.ord = wn.t)
-SELECT q.image_id, q.ord, wn.t AS matched, CAST(wn.t IS NOT NULL AS INT) AS label, CASE WHEN wn.t IS NOT NULL THEN 'recoverable_truth' WHEN {over('main')} THEN 'duplicate_main' WHEN {over('proposal')} THEN 'duplicate_proposal' ELSE 'background' END AS reason
-FROM pr q LEFT JOIN wn ON q.ord = wn.p"""
+    return f"""mn{name} AS (SELECT * FROM det WHERE ord % 8 = 0), pr{name} AS ({proposals}), tr{name} AS (SELECT * FROM truth WHERE NOT difficult),
+{greedy('bm' + name, 'mn' + name, 'tr' + name)}, fr{name} AS (SELECT * FROM tr{name} WHERE ord NOT IN (SELECT t FROM bm{name})),
+rs{name} AS (SELECT p.* FROM pr{name} p WHERE NOT EXISTS (SELECT 1 FROM mn{name} c WHERE c.image_id = p.image_id AND {iou_sql('p', 'c')} >= 0.35::DOUBLE)), {greedy('wn' + name, 'rs' + name, 'fr' + name)},
+cl{name} AS (SELECT * FROM tr{name} WHERE ord IN (SELECT t FROM bm{name} UNION ALL SELECT t FROM wn{name})), hd{name} AS (SELECT q.ord, min(c.ord) AS held FROM rs{name} q JOIN cl{name} c ON c.image_id = q.image_id AND {iou_sql('q', 'c')} >= 0.35::DOUBLE GROUP BY q.ord),
+lab{name} AS (SELECT q.*, coalesce(wn{name}.t, held) AS matched, CAST(wn{name}.t IS NOT NULL AS INT) AS label, CASE WHEN q.ord NOT IN (SELECT ord FROM rs{name}) THEN 'duplicate_main' WHEN wn{name}.t IS NOT NULL THEN 'recoverable_truth' WHEN held IS NOT NULL THEN 'duplicate_proposal' ELSE 'background' END AS reason
+FROM pr{name} q LEFT JOIN wn{name} ON q.ord = wn{name}.p LEFT JOIN hd{name} ON hd{name}.ord = q.ord)"""
 
 
-@query("J5", _j5_sql(), ("det", "truth"))
+@query("J5", f"WITH {_j5_sql()} SELECT image_id, ord, matched, label, reason FROM lab", ("det", "truth"))
 def j5(spark, d):
     det, t = _vehicles(view(spark, d, "det")), _vehicles(view(spark, d, "truth"))
-    return matching.label_proposals(det.where("ord % 4 = 0"), det.where("ord % 4 = 2"), t).select("image_id", "ord", "matched", "label", "reason")
+    return matching.label_proposals(det.where("ord % 8 = 0"), det.where("ord % 4 = 2"), t).select("image_id", "ord", "matched", "label", "reason")
 
 
-@query("J6", f"""WITH l AS (SELECT * FROM det WHERE ord % 4 = 0), r AS (SELECT * FROM det WHERE ord % 4 = 2)
-SELECT image_id, m.p AS l_ord, m.t AS r_ord FROM (SELECT image_id, unnest({accept_sql('l', 'k.p = x.p OR k.t = x.t')}) AS m FROM (SELECT l.image_id, list({{'p': l.ord, 't': r.ord}} ORDER BY l.score DESC, l.ord, r.score DESC, r.ord) AS l
-FROM l JOIN r ON l.image_id = r.image_id WHERE {iou_sql('l', 'r')} >= 0.3::DOUBLE GROUP BY l.image_id))""", ("det",))
+@query("J6", f"""WITH {_j5_sql("SELECT * FROM det WHERE ord % 8 = 2")}, {_j5_sql("SELECT * FROM det WHERE ord % 8 IN (4, 6)", "2")}, l AS (SELECT * FROM lab WHERE reason <> 'duplicate_main'), r AS (SELECT * FROM lab2 WHERE reason <> 'duplicate_main'),
+ff AS (SELECT image_id, m.p AS l_ord, m.t AS r_ord FROM (SELECT image_id, unnest({accept_sql('l', 'k.p = x.p OR k.t = x.t')}) AS m FROM (SELECT l.image_id, list({{'p': l.ord, 't': r.ord}} ORDER BY l.score DESC, l.ord, r.score DESC, r.ord) AS l
+FROM l JOIN r ON l.image_id = r.image_id WHERE {iou_sql('l', 'r')} >= 0.35::DOUBLE GROUP BY l.image_id)))
+SELECT ff.image_id, l_ord, r_ord, label FROM ff JOIN lab ON lab.ord = l_ord""", ("det", "truth"))
 def j6(spark, d):
-    det = view(spark, d, "det")
-    return matching.first_fit_pairs(det.where("ord % 4 = 0"), det.where("ord % 4 = 2"), 0.3)
+    det, t = _vehicles(view(spark, d, "det")), _vehicles(view(spark, d, "truth"))
+    return matching.consensus(det.where("ord % 8 = 0"), det.where("ord % 8 = 2"), det.where("ord % 8 in (4, 6)"), t)
 
 
 @query("J7", f"SELECT p.ord FROM det p WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE p.image_id = t.image_id AND {iou_sql('p', 't')} >= 0.2::DOUBLE)", ("det", "truth"))
@@ -298,7 +301,7 @@ def j8(spark, d):
 AP_EDGES = f"""e AS (SELECT p.image_id, p.class_id, p.ord AS p_ord, t.ord AS t_ord, p.score, {iou_sql('p', 't')} AS iou FROM det p JOIN (SELECT * FROM truth WHERE NOT difficult) t ON p.image_id = t.image_id AND p.class_id = t.class_id),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, p_ord ORDER BY iou DESC, t_ord) AS r FROM e WHERE iou >= 0.1::DOUBLE) WHERE r = 1),
 w AS (SELECT b.*, threshold FROM b, (SELECT unnest([0.1::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE]) AS threshold) WHERE iou >= threshold),
-ap AS (SELECT image_id, class_id, p_ord, t_ord, threshold, iou FROM (SELECT *, row_number() OVER (PARTITION BY image_id, t_ord, threshold ORDER BY iou DESC, score DESC, p_ord) AS q FROM w) WHERE q = 1)"""
+ap AS (SELECT image_id, class_id, p_ord, t_ord, threshold, iou FROM (SELECT *, row_number() OVER (PARTITION BY image_id, t_ord, threshold ORDER BY score DESC, p_ord) AS q FROM w) WHERE q = 1)"""
 
 
 @query("J9", f"WITH {AP_EDGES} SELECT * FROM ap", ("det", "truth"))
@@ -382,13 +385,13 @@ def n3(spark, d):
     return suppression.fuse_ranking(sources, {"ship": ("a", 0.1), "aircraft": ("b", 0.2), "vehicle": ("a", 0.3)}, ("c", 0.4), 0.1)
 
 
-@query("N4", f"""{supplement_sql(_n('ord % 6 = 0', 'class_id = 12 AND score >= 0.2::DOUBLE'), _n('ord % 6 = 2', 'class_id = 12 AND score >= 0.2::DOUBLE'), '0.15::DOUBLE')} UNION ALL
-{supplement_sql(_n('ord % 6 = 4', 'class_id = 0 AND score >= 0.1::DOUBLE'), _n('ord % 6 = 0', 'class_id = 0 AND score >= 0.1::DOUBLE'), '0.15::DOUBLE')} UNION ALL
+@query("N4", f"""{supplement_sql(_n('ord % 6 = 0', 'class_id = 12 AND score >= 0.2::DOUBLE'), _n('ord % 6 = 2', 'class_id = 12 AND score >= 0.5::DOUBLE'), '0.15::DOUBLE')} UNION ALL
+{supplement_sql(_n('ord % 6 = 4', 'class_id = 0 AND score >= 0.1::DOUBLE'), _n('ord % 6 = 0', 'class_id = 0 AND score >= 0.6::DOUBLE'), '0.25::DOUBLE')} UNION ALL
 {_n('ord % 6 = 4', 'class_id = 24 AND score >= 0.3::DOUBLE AND NOT (score < 0.5::DOUBLE AND (x2 - x1) * (y2 - y1) < 1500)')}""", ("nmsbox",))
 def n4(spark, d):
     b = view(spark, d, "nmsbox")
     t = spark.createDataFrame([(0, 0.1), (12, 0.2), (24, 0.3)], "class_id int, threshold double")
-    return suppression.fuse_multiscale(b.where("ord % 6 = 0"), b.where("ord % 6 = 2"), b.where("ord % 6 = 4"), t, 0.15, 0.5, 1500.0)
+    return suppression.fuse_multiscale(b.where("ord % 6 = 0"), b.where("ord % 6 = 2"), b.where("ord % 6 = 4"), t, (0.5, 0.15), (0.6, 0.25), 0.5, 1500.0)
 
 
 @query("N5", supplement_sql(_n("ord % 4 = 0", "class_id = 0"), _n("ord % 4 = 2", "class_id = 0"), "0.25::DOUBLE"), ("nmsbox",))

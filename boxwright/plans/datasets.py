@@ -194,10 +194,11 @@ def snk13(spark, d):
     return sinks.coco_ground_truth(a).agg(F.count("*").alias("n"), F.max("id").cast("bigint").alias("top"))
 
 
-@query("SNK14", "SELECT image_id, count(*) AS n FROM (SELECT image_id, unnest(range(9)) AS t FROM img WHERE width > 64 AND height > 64) WHERE image_id % 4 <> 0 AND false GROUP BY image_id", ("img",))
+@query("SNK14", """WITH t AS (SELECT image_id, width, unnest(list_distinct(list_append(range(0, CAST(height - 63 AS BIGINT), 48), CAST(height - 64 AS BIGINT)))) AS y FROM img),
+u AS (SELECT image_id, unnest(list_distinct(list_append(range(0, CAST(width - 63 AS BIGINT), 48), CAST(width - 64 AS BIGINT)))) AS x FROM t) SELECT image_id, count(*) AS n FROM u WHERE image_id % 4 <> 0 GROUP BY image_id""", ("img",))
 def snk14(spark, d):
     t = inference.tiles(view(spark, d, "img"), 64, 0.25).withColumns({"config": F.lit("c"), "fingerprint": F.sha2(F.col("image_id").cast("string"), 256)})
-    return sinks.misses(t, t).groupBy("image_id").agg(F.count("*").alias("n"))
+    return sinks.misses(t, t.where("image_id % 4 = 0")).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
 # ---- windows, quotas, orders -------------------------------------------------------------------------------------------
@@ -209,25 +210,26 @@ def w1(spark, d):
     return curation.top_per(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), rank, F.col("doc_id")], 5).select("source", "doc_id")
 
 
-CROPS = "SELECT ord, class_id, score, x1, y1, x2, y2, image_id FROM det"
-KEPT = "SELECT image_id, m.ord AS ord, m.class_id AS class_id, m.score AS score, m.x1 AS x1, m.y1 AS y1, m.x2 AS x2, m.y2 AS y2 FROM (SELECT image_id, unnest({fold}) AS m FROM (SELECT image_id, list({{'score': score, 'ord': ord, 'class_id': class_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY score DESC, ord) AS l FROM ({src}) GROUP BY image_id))"
-TOUCH = "k.x1 < x.x2 AND x.x1 < k.x2 AND k.y1 < x.y2 AND x.y1 < k.y2"
+NO_TRUTH = "NOT EXISTS (SELECT 1 FROM truth t WHERE NOT t.difficult AND t.image_id = c.image_id AND c.x1 + 8 < t.x2 AND t.x1 < c.x2 - 8 AND c.y1 + 8 < t.y2 AND t.y1 < c.y2 - 8)"
+RANKED = "SELECT *, row_number() OVER (PARTITION BY image_id, class_id % 3 ORDER BY score DESC, ord) AS r"
 
 
-def _ranked_crops(spark, d):
-    return view(spark, d, "det").select("image_id", "ord", "class_id", "score", *G.BOX), [-F.col("score"), F.col("ord")]
+def _crops(spark, d):
+    """Detections as crops a little smaller than their boxes, with a kind."""
+    c = view(spark, d, "det").select("image_id", "ord", "score", (F.col("class_id") % 3).alias("kind"), F.col("x1") + 8, F.col("y1") + 8, F.col("x2") - 8, F.col("y2") - 8)
+    return c.toDF("image_id", "ord", "score", "kind", *G.BOX), [-F.col("score"), F.col("ord")]
 
 
-@query("W2", KEPT.format(fold=accept_sql("l", TOUCH), src="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, class_id % 3 ORDER BY score DESC, ord) AS r FROM det) WHERE r <= 6"), ("det",))
+@query("W2", f"SELECT image_id, ord FROM ({RANKED} FROM det) c WHERE r <= 4 AND {NO_TRUTH}", ("det", "truth"))
 def w2(spark, d):
-    df, order = _ranked_crops(spark, d)
-    return curation.quota_then_reject(df.withColumn("kind", F.col("class_id") % 3), ["image_id", "kind"], "image_id", order, 6).select("image_id", "ord", "class_id", "score", *G.BOX)
+    df, order = _crops(spark, d)
+    return curation.quota_then_reject(df, view(spark, d, "truth"), ["image_id", "kind"], order, 4).select("image_id", "ord")
 
 
-@query("W3", "SELECT image_id, ord, class_id, score, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY image_id, class_id % 3 ORDER BY score DESC, ord) AS r FROM (" + KEPT.format(fold=accept_sql("l", TOUCH), src=CROPS) + ")) WHERE r <= 2", ("det",))
+@query("W3", f"SELECT image_id, ord FROM ({RANKED} FROM det c WHERE {NO_TRUTH}) WHERE r <= 2", ("det", "truth"))
 def w3(spark, d):
-    df, order = _ranked_crops(spark, d)
-    return curation.reject_then_quota(df.withColumn("kind", F.col("class_id") % 3), ["image_id", "kind"], "image_id", order, 2).select("image_id", "ord", "class_id", "score", *G.BOX)
+    df, order = _crops(spark, d)
+    return curation.reject_then_quota(df, view(spark, d, "truth"), ["image_id", "kind"], order, 2).select("image_id", "ord")
 
 
 @query("W4", f"SELECT group_id, coarse, ord FROM (SELECT group_id, {coarse_sql('class_id')} AS coarse, ord, row_number() OVER (PARTITION BY group_id, {coarse_sql('class_id')} ORDER BY (x2 - x1) * (y2 - y1), sha256('42:' || ord), ord) AS r FROM truth JOIN img USING (image_id)) WHERE r <= 3", ("truth", "img"))
@@ -313,7 +315,7 @@ def o25(spark, d):
     return search.compare_reports(r, r).select("key", "recall_change", "fdr_change")
 
 
-@query("O26", """SELECT image_id, CASE WHEN NOT (image_id % 11 / 10.0::DOUBLE >= 0.85::DOUBLE AND image_id % 5 / 10.0::DOUBLE <= 0.2::DOUBLE) THEN 'accuracy' WHEN NOT coalesce(CASE WHEN image_id % 4 > 0 THEN image_id % 30 END <= 20, true) THEN 'latency' ELSE 'passed' END AS verdict FROM img""", ("img",))
+@query("O26", """SELECT image_id, CASE WHEN NOT (image_id % 11 / 10.0::DOUBLE >= 0.85::DOUBLE AND image_id % 5 / 10.0::DOUBLE <= 0.2::DOUBLE) THEN 'accuracy_gate_failed' WHEN NOT coalesce(CASE WHEN image_id % 4 > 0 THEN image_id % 30 END <= 20, true) THEN 'timing_gate_failed' ELSE 'pass_candidate' END AS verdict FROM img""", ("img",))
 def o26(spark, d):
     i = F.col("image_id")
     m = view(spark, d, "img").select("image_id", (i % 11 / F.lit(10.0)).alias("recall"), (i % 5 / F.lit(10.0)).alias("fdr"), F.when(i % 4 > 0, (i % 30).cast("double")).alias("seconds"))
@@ -350,14 +352,15 @@ tt AS (SELECT threshold, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM pf GRO
 sc AS (SELECT *, 2 * train_tp / (2 * train_tp + train_fp + train_fn) AS f1, train_tp / (train_tp + train_fn) AS recall, train_fp / (train_tp + train_fp) AS fdr FROM ft)"""
 
 
-@query("O7", f"WITH {FT} SELECT fold, arg_min(threshold, {{'a': -f1, 'b': fdr, 'c': -recall, 'd': threshold}}) AS threshold FROM sc WHERE recall >= 0.05::DOUBLE AND fdr <= 0.9::DOUBLE GROUP BY fold", ("det", "truth", "img"))
+@query("O7", f"WITH {FT}, ps AS (SELECT * FROM sc WHERE recall >= 0.05::DOUBLE AND fdr <= 0.9::DOUBLE), ti AS (SELECT * FROM ps QUALIFY f1 >= max(f1) OVER (PARTITION BY fold) - 0.0001::DOUBLE) SELECT fold, arg_min(threshold, {{'b': fdr, 'c': -recall, 'd': threshold}}) AS threshold FROM ti GROUP BY fold", ("det", "truth", "img"))
 def o7(spark, d):
     totals = search.fold_totals(search.threshold_counts(view(spark, d, "det"), view(spark, d, "truth"), GRID), _folds(spark, d), "threshold")
     return search.gated_choice(totals, "threshold", F.lit(0.05), F.lit(0.9)).select("fold", "threshold")
 
 
 @query("O9", f"""WITH {FT}, ba AS (SELECT fold, recall - 0.2::DOUBLE AS floor, fdr + 0.2::DOUBLE AS cap FROM sc WHERE threshold = 0.3::DOUBLE)
-SELECT fold, arg_min(threshold, {{'a': -f1, 'b': fdr, 'c': -recall, 'd': threshold}}) AS threshold FROM sc JOIN ba USING (fold) WHERE recall >= floor AND fdr <= cap GROUP BY fold""", ("det", "truth", "img"))
+, ps AS (SELECT sc.* FROM sc JOIN ba USING (fold) WHERE recall >= floor AND fdr <= cap), ti AS (SELECT * FROM ps QUALIFY f1 >= max(f1) OVER (PARTITION BY fold) - 0.0001::DOUBLE)
+SELECT fold, arg_min(threshold, {{'b': fdr, 'c': -recall, 'd': threshold}}) AS threshold FROM ti GROUP BY fold""", ("det", "truth", "img"))
 def o9(spark, d):
     return search.calibrate(view(spark, d, "det"), view(spark, d, "truth"), _folds(spark, d), GRID, 0.3, 0.2, 0.2)[0].select("fold", "threshold")
 
@@ -376,13 +379,10 @@ def o10(spark, d):
     return c.groupBy("candidate").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
 
 
-@query("O8", f"WITH {PC} SELECT arg_min(candidate, {{'a': -(2 * tp / (2 * tp + fp + fn)), 'b': fp / (tp + fp), 'c': candidate}}) AS candidate FROM pc", ("det", "truth"))
+@query("O8", f"WITH {PC} , sf AS (SELECT *, 2 * tp / (2 * tp + fp + fn) AS f1 FROM pc) SELECT arg_min(candidate, {{'b': fp / (tp + fp), 'r': -tp / (tp + fn), 'c': candidate}}) AS candidate FROM (SELECT * FROM sf QUALIFY f1 >= max(f1) OVER () - 0.0001::DOUBLE)", ("det", "truth"))
 def o8(spark, d):
-    from boxwright.functions import scalar as S
-
-    c = o10(spark, d)
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.agg(F.min_by("candidate", F.struct(-S.f1(tp, fp, fn), S.false_discovery(tp, fp), F.col("candidate"))).alias("candidate"))
+    c = o10(spark, d).select(F.lit(0).alias("fold"), "candidate", *[F.col(x).alias(f"train_{x}") for x in ("tp", "fp", "fn")], *[F.lit(0).alias(f"hold_{x}") for x in ("tp", "fp", "fn")])
+    return search.gated_choice(c, "candidate", F.lit(0.0), F.lit(1.0)).select("candidate")
 
 
 @query("O11", "SELECT image_id, CASE WHEN image_id % 2 = 0 THEN image_id % 7 >= 3 ELSE image_id % 7 <= 3 END AS passed FROM img", ("img",))
@@ -400,9 +400,11 @@ def o1(spark, d):
 
 @query("O4")
 def o4(spark, d):
-    rows = metrics.sweep(view(spark, d, "det"), view(spark, d, "truth"), GRID).orderBy("place").collect()  # the grid
-    best = search.optimize_ranking([(r["threshold"], {"recall": r["recall"], "fdr": r["fdr"], "ship_recall": r["recall"]}) for r in rows], 0.1, 0.9)
-    return spark.createDataFrame([(best,)], "threshold double")
+    """On three classes, one of each coarse class, against a baseline at a common threshold."""
+    small = lambda n: view(spark, d, n).withColumn("class_id", F.col("class_id") % 3)
+    base = {n: search.group_counts(small("det"), small("truth"), n, [{i: 0.5}], "legacy3")[0] for i, n in enumerate(("aircraft", "ship", "vehicle"))}
+    chosen = search.optimize_ranking(small("det"), small("truth"), base, GRID, "legacy3", passes=1)
+    return spark.createDataFrame(sorted(chosen.items()), "class_id int, threshold double")
 
 
 def _vectors(spark, d):
@@ -451,42 +453,49 @@ def o18(spark, d):
 def o19(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.sum("toxic").cast("int").alias("p"), F.count("*").cast("int").alias("n")).collect()  # the sources
     labels = {r["source"]: [1] * r["p"] + [0] * (r["n"] - r["p"]) for r in rows}
-    return spark.createDataFrame([(s,) for s in sorted(splitting.binary_split(labels, 0.2, 3))], "source string")
+    return spark.createDataFrame([(s,) for s in sorted(splitting.expert_split({g: sum(v) for g, v in labels.items()}, 0.2))], "source string")
 
 
-@query("O20")
+@query("O20", f"""WITH {MATCHED}, g AS (SELECT image_id, stem, group_id FROM img),
+ps AS (SELECT t.image_id, t.ord, {coarse_sql('t.class_id')} AS coarse, (x2 - x1) * (y2 - y1) AS size, stem, group_id FROM truth t JOIN g USING (image_id) WHERE NOT difficult AND (class_id <= 3 OR class_id = 24) AND t.ord NOT IN (SELECT t_ord FROM matched WHERE scope = 'coarse')),
+ng AS (SELECT d.image_id, d.ord, {coarse_sql('d.class_id')} AS coarse, score, x1, x2, y1, y2, stem, group_id FROM det d JOIN g USING (image_id) WHERE (class_id <= 3 OR class_id = 24) AND score >= 0.3::DOUBLE AND d.ord NOT IN (SELECT p_ord FROM matched WHERE scope = 'coarse')
+  AND NOT EXISTS (SELECT 1 FROM truth t WHERE NOT t.difficult AND t.image_id = d.image_id AND d.x1 < t.x2 AND t.x1 < d.x2 AND d.y1 < t.y2 AND t.y1 < d.y2)),
+rp AS (SELECT *, row_number() OVER (PARTITION BY group_id, coarse ORDER BY size, sha256('42:positive:' || stem || ':' || ord)) AS r FROM ps), rn AS (SELECT *, row_number() OVER (PARTITION BY group_id, coarse ORDER BY score DESC, sha256('42:negative:' || stem || ':' || ord)) AS r FROM ng)
+SELECT 'positive' AS kind, ord FROM rp WHERE r <= 2 UNION ALL SELECT 'negative', ord FROM rn WHERE r <= 3""", ("det", "truth", "img"))
 def o20(spark, d):
-    return curation.hard_examples(view(spark, d, "det"), view(spark, d, "truth"), 3, F.floor(F.col("image_id") / 3).cast("string"), 0.5)
+    found = curation.hard_examples(view(spark, d, "det"), view(spark, d, "truth"), view(spark, d, "img"), 2, 3, 0.3, 0)
+    return found.select("kind", "ord")
+
 
+def _crop_sql(low: str, high: str, limit: str) -> str:
+    return f"least(greatest(round_even(({low} + {high} - least(10, {limit})) / 2, 0), 0), {limit} - least(10, {limit}))"
 
-@query("O21", f"""WITH c AS (SELECT image_id, ord, score, CAST(CAST(floor(image_id / 3) AS BIGINT) AS VARCHAR) AS group_id, (x1 + x2) / 2 - 5 AS x1, (y1 + y2) / 2 - 5 AS y1, (x1 + x2) / 2 + 5 AS x2, (y1 + y2) / 2 + 5 AS y2 FROM det WHERE score >= 0.2::DOUBLE),
-f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE NOT t.difficult AND t.image_id = c.image_id AND c.x1 - 1 < t.x2 AND t.x1 < c.x2 + 1 AND c.y1 - 1 < t.y2 AND t.y1 < c.y2 + 1))
-SELECT group_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, ord) AS r FROM f) WHERE r <= 4""", ("det", "truth"))
+
+@query("O21", f"""WITH s AS (SELECT d.*, {coarse_sql('class_id')} AS coarse FROM det d WHERE score >= 0.2::DOUBLE), l AS (SELECT s.*, stem, group_id, width, height FROM s JOIN img USING (image_id) WHERE coarse IN ('ship', 'vehicle')
+  AND NOT EXISTS (SELECT 1 FROM truth t WHERE NOT t.difficult AND t.image_id = s.image_id AND {coarse_sql('t.class_id')} = coarse AND {iou_sql('s', 't')} >= CASE WHEN coarse = 'vehicle' THEN 0.35::DOUBLE ELSE 0.5::DOUBLE END)),
+c AS (SELECT *, {_crop_sql('x1', 'x2', 'width')} AS cx, {_crop_sql('y1', 'y2', 'height')} AS cy FROM l),
+f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE NOT t.difficult AND t.image_id = c.image_id AND c.cx - 1 < t.x2 AND t.x1 < c.cx + 11 AND c.cy - 1 < t.y2 AND t.y1 < c.cy + 11))
+SELECT group_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, sha256('42:' || stem || ':' || ord)) AS r FROM f) WHERE r <= 4""", ("det", "truth", "img"))
 def o21(spark, d):
-    return curation.hard_negatives(view(spark, d, "det"), view(spark, d, "truth"), 0.2, 10.0, 1.0, 4, F.floor(F.col("image_id") / 3).cast("string")).select("group_id", "ord")
+    return curation.hard_negatives(view(spark, d, "det"), view(spark, d, "truth"), view(spark, d, "img"), 0.2, 10, 1.0, 4).select("group_id", "ord")
 
 
-@query("O22", "SELECT image_id, CAST(greatest(CASE WHEN image_id % 2 > 0 THEN 2 ELSE 1 END, CASE WHEN image_id % 3 > 1 THEN 3 ELSE 1 END, CASE WHEN image_id % 5 > 3 THEN 2 ELSE 1 END) AS INT) AS factor FROM img", ("img",))
+@query("O22", "SELECT image_id, CAST(greatest(1, max(CASE class_id WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END)) AS INT) AS factor FROM truth GROUP BY image_id", ("truth",))
 def o22(spark, d):
-    i = F.col("image_id")
-    return view(spark, d, "img").select("image_id", curation.ship_frequency(i % 2, i % 3 - 1, i % 5 - 3).cast("int").alias("factor"))
+    c = view(spark, d, "truth").groupBy("image_id").agg(F.collect_set("class_id").alias("classes"))
+    return c.select("image_id", curation.class_frequency(F.col("classes"), {1: 2, 2: 3}).cast("int").alias("factor"))
 
 
 @query("O23")
 def o23(spark, d):
-    """Expert crops: labelled proposals, overlaps rejected, then all positives and a quota of negatives."""
     det, t = _vehicles(view(spark, d, "det")), _vehicles(view(spark, d, "truth"))
-    labelled = matching.label_proposals(det.where("ord % 4 = 0"), det.where("ord % 4 = 2"), t)
-    crops = labelled.select("image_id", "ord", "label", "score", *G.BOX)
-    kept = curation.without_overlaps(crops, ["image_id"], [-F.col("label"), -F.col("score"), F.col("ord")])
-    rank = F.sha2(F.concat(F.lit("42:"), F.col("ord").cast("string")), 256)
-    return curation.fill_quota(kept, ["image_id"], F.col("label") == 1, 1.0, [rank]).select("image_id", "ord", "label")
+    return curation.expert_crops(det.where("ord % 4 = 2"), t, view(spark, d, "img"), 30, 0.2, 3, 1.5).select("image_id", "kind", "ord", "score")
 
 
 @query("O24")
 def o24(spark, d):
     det, t = _vehicles(view(spark, d, "det")), _vehicles(view(spark, d, "truth"))
-    labelled = matching.label_proposals(det.where("ord % 4 = 0"), det.where("ord % 4 = 2"), t)
+    labelled = matching.label_proposals(det.where("ord % 8 = 0"), det.where("ord % 4 = 2"), t)
     return curation.confirmer_features(labelled, view(spark, d, "img").select("image_id", "width", "height"))
 
 
@@ -517,18 +526,19 @@ def o32(spark, d):
 CS = "SELECT ord, image_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS w, y2 - y1 AS h FROM {}"
 
 
-@query("K1", f"""WITH p AS ({CS.format('det')}), t AS ({CS.format('truth')}), q AS (SELECT p.ord AS p_ord, t.ord AS t_ord, (pow((p.cx - t.cx) / p.w, 2) + pow((p.cy - t.cy) / p.h, 2) + (pow((p.w - t.w) / p.w, 2) + pow((p.h - t.h) / p.h, 2)) / 4
- + pow((p.cx - t.cx) / t.w, 2) + pow((p.cy - t.cy) / t.h, 2) + (pow((p.w - t.w) / t.w, 2) + pow((p.h - t.h) / t.h, 2)) / 4) / 2 AS d FROM p JOIN t ON p.image_id = t.image_id WHERE abs(p.ord - t.ord) <= 9)
-SELECT p_ord, t_ord, round(exp(-sqrt(d)), 8) AS s FROM q""", ("det", "truth"))
+@query("K1", f"""WITH p AS ({CS.format('det')}), t AS ({CS.format('truth')}), q AS (SELECT p.ord AS p_ord, t.ord AS t_ord, (pow((p.cx - t.cx) / (p.w + 1e-7), 2) + pow((p.cy - t.cy) / (p.h + 1e-7), 2) + (pow((p.w - t.w) / (p.w + 1e-7), 2) + pow((p.h - t.h) / (p.h + 1e-7), 2)) / 4
+ + pow((p.cx - t.cx) / (t.w + 1e-7), 2) + pow((p.cy - t.cy) / (t.h + 1e-7), 2) + (pow((p.w - t.w) / (t.w + 1e-7), 2) + pow((p.h - t.h) / (t.h + 1e-7), 2)) / 4) / 2 AS d FROM p JOIN t ON p.image_id = t.image_id WHERE abs(p.ord - t.ord) <= 9)
+SELECT p_ord, t_ord, round(exp(1e-6 - sqrt(d + 1e-12)), 8) AS s FROM q""", ("det", "truth"))
 def k1(spark, d):
     from boxwright.plans.boxes import _pairs
 
     return _pairs(spark, d).select("p_ord", "t_ord", F.round(kernels.gaussian_similarity(G.box("p_"), G.box("t_")), 8).alias("s"))
 
 
-@query("K2", f"""WITH b AS ({CS.format('truth')}) SELECT ord, EXISTS (SELECT 1 FROM b o WHERE o.image_id = b.image_id AND o.ord <> b.ord AND exp(-sqrt((pow(b.w - o.w, 2) + pow(b.h - o.h, 2)) / 4 + pow((b.cx - o.cx) / b.w, 2) + pow((b.cy - o.cy) / b.h, 2)) / 2) > 0.5::DOUBLE) AS dense FROM b""", ("truth",))
+@query("K2", f"""WITH b AS ({CS.format('truth')}) SELECT ord, EXISTS (SELECT 1 FROM b o WHERE o.image_id = b.image_id AND o.ord <> b.ord AND o.ord % 8 = 1 AND b.ord % 8 = 1 AND exp(-sqrt(pow(b.w - o.w, 2) + pow(b.h - o.h, 2) + (pow(b.cx - o.cx, 2) + pow(b.cy - o.cy, 2)) / (pow((b.w + o.w) / 2, 2) + pow((b.h + o.h) / 2, 2))) / 2) > 0.3::DOUBLE) AS dense FROM b""", ("truth",))
 def k2(spark, d):
-    return kernels.dense_mask(view(spark, d, "truth"), 2.0, 0.5).select("ord", "dense")
+    t = view(spark, d, "truth").withColumn("class_id", F.when(F.col("ord") % 8 == 1, 24).otherwise(0))
+    return kernels.dense_mask(t, 2.0, 0.3).select("ord", "dense")
 
 
 @query("K3", f"""WITH c AS (SELECT t.image_id, t.ord, p.ord AS candidate, {iou_sql('p', 't')} AS affinity, t.ord % 8 = 1 AS dense FROM det p JOIN truth t ON p.image_id = t.image_id WHERE {iou_sql('p', 't')} > 0)

@@ -14,7 +14,7 @@ VIEWS = {
     "det": """SELECT CAST(floor(event_id / 100) AS BIGINT) AS image_id, CAST((event_id * 7) % 25 AS INT) AS class_id, event_id AS ord,
   CAST(event_id % 97 AS DOUBLE) / CAST(97 AS DOUBLE) AS score, CAST((event_id * 37) % 90 AS DOUBLE) AS x1, CAST((event_id * 53) % 90 AS DOUBLE) AS y1,
   CAST((event_id * 37) % 90 + 20 + event_id % 7 AS DOUBLE) AS x2, CAST((event_id * 53) % 90 + 20 + event_id % 5 AS DOUBLE) AS y2 FROM {events} WHERE event_id % 2 = 0""",
-    "truth": """SELECT CAST(floor(event_id / 100) AS BIGINT) AS image_id, CAST((event_id * 7 + 1) % 25 AS INT) AS class_id, event_id AS ord,
+    "truth": """SELECT CAST(floor(event_id / 100) AS BIGINT) AS image_id, CAST((event_id * 7 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 19 END) % 25 AS INT) AS class_id, event_id AS ord,
   CAST((event_id * 37) % 90 + 2 AS DOUBLE) AS x1, CAST((event_id * 53) % 90 AS DOUBLE) AS y1,
   CAST((event_id * 37) % 90 + 22 + event_id % 7 AS DOUBLE) AS x2, CAST((event_id * 53) % 90 + 20 + event_id % 5 AS DOUBLE) AS y2, event_id % 41 = 0 AS difficult FROM {events} WHERE event_id % 4 = 1""",
     "img": """SELECT image_id, 'scene' || CAST(CAST(floor(image_id / 3) AS BIGINT) AS STRING) || '_crop' || CAST(image_id % 3 AS STRING) AS stem,

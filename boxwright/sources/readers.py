@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,21 +101,19 @@ def dota_boxes(files: DataFrame, names: dict[str, int]) -> DataFrame:
     known = F.create_map(*[x for n, i in names.items() for x in (F.lit(n), F.lit(i))])
     f = F.split(F.trim("value"), "\\s+")
     rows = split_lines(files).where(~F.lower("value").rlike("^\\s*(imagesource|gsd)\\s*:") & (F.size(f) >= 9)).withColumn("f", f)
-    words = F.slice("f", 9, F.size("f") - 8)
-    tail = F.element_at(words, -1).isin("0", "1") & (F.size(words) > 1)
-    whole, short = F.array_join(words, " "), F.array_join(F.slice(words, 1, F.size(words) - 1), " ")
+    words = F.slice("f", 9, F.greatest(F.size("f") - 8, F.lit(0)))
+    tail = F.try_element_at(words, F.lit(-1)).isin("0", "1") & (F.size(words) > 1)
+    whole, short = F.array_join(words, " "), F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " ")
     hit = F.coalesce(known[whole], F.when(tail, known[short]))
     point = lambda i: F.struct(F.get("f", i).try_cast("double").alias("x"), F.get("f", i + 1).try_cast("double").alias("y"))
     p = F.array(*[point(i) for i in (0, 2, 4, 6)])
     good = F.forall(p, lambda q: _finite(q["x"]) & _finite(q["y"]))
-    return rows.select("path", F.col("line_no").cast("bigint").alias("ord"), F.when(good, hit).alias("class_id"), p.alias("polygon"), (F.when(tail, F.element_at(words, -1)) == "1").alias("difficult")).na.fill(False, ["difficult"])
+    return rows.select("path", F.col("line_no").cast("bigint").alias("ord"), F.when(good, hit).alias("class_id"), p.alias("polygon"), (F.when(tail, F.try_element_at(words, F.lit(-1))) == "1").alias("difficult")).na.fill(False, ["difficult"])
 
 
 def image_probe(files: DataFrame) -> DataFrame:
     """(path, format, width, height, damaged) of binaryFile rows, from the headers of PNG and of baseline or progressive JPEG.
     Pixels are a decoder's business; sizes need none."""
-    import pandas as pd
-
     @F.pandas_udf("struct<format:string,width:int,height:int,damaged:boolean>")
     def probe(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_size_of(bytes(c)) for c in content], columns=["format", "width", "height", "damaged"])

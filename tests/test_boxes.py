@@ -59,7 +59,7 @@ def test_missing_threshold_raises(spark):
     assert filters.over_class_threshold(d, none).count() == 1
     assert filters.pipeline_filter(d, none).count() == 0
     with pytest.raises(Exception, match="no threshold"):
-        suppression.fuse_multiscale(d, d, d, none, 0.5, 0.5, 1.0).collect()
+        suppression.fuse_multiscale(d, d, d, none, (0.5, 0.5), (0.5, 0.5), 0.5, 1.0).collect()
 
 
 def test_tiles(spark):

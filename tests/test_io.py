@@ -112,12 +112,20 @@ def test_named_specs():
 
 
 def test_quota_orders_differ(spark):
-    rows = [(1, 0, 0.9, UNIT), (1, 0, 0.8, (1, 1, 11, 11)), (1, 0, 0.7, (50, 50, 60, 60))]
-    df = detections(spark, rows).select("image_id", "ord", "score", "x1", "y1", "x2", "y2")
+    rows = [(1, 0, 0.9, UNIT), (1, 0, 0.8, (20, 20, 30, 30)), (1, 0, 0.7, (50, 50, 60, 60))]
+    t = truths(spark, [(1, 0, (5, 5, 8, 8))])
     order = [-F.col("score"), F.col("ord")]
-    before = curation.quota_then_reject(df, ["image_id"], "image_id", order, 2)
-    after = curation.reject_then_quota(df, ["image_id"], "image_id", order, 2)
-    assert sorted(r["ord"] for r in before.collect()) == [0] and sorted(r["ord"] for r in after.collect()) == [0, 2]
+    before = curation.quota_then_reject(detections(spark, rows), t, ["image_id"], order, 2)
+    after = curation.reject_then_quota(detections(spark, rows), t, ["image_id"], order, 2)
+    assert sorted(r["ord"] for r in before.collect()) == [1] and sorted(r["ord"] for r in after.collect()) == [1, 2]
+
+
+def test_expert_crops_fill_up(spark):
+    t = truths(spark, [(1, 24, UNIT), (1, 24, (70, 70, 80, 80))])
+    images = spark.createDataFrame([(i, f"s{i}", f"g{i}", 100, 100) for i in range(1, 6)], "image_id bigint, stem string, group_id string, width int, height int")
+    p = detections(spark, [(1, 24, 0.9, (30, 30, 40, 40)), (1, 24, 0.8, UNIT)])
+    got = curation.expert_crops(p, t, images, 20, 0.1, 5, 2.0).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in got} == {"positive": 2, "negative": 1, "fill": 3}
 
 
 def test_numbering_and_components(spark):
