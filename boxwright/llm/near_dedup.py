@@ -3,14 +3,16 @@
 A document's set is its distinct word shingles. Documents with equal sets form a class, and only one of each class goes on.
 Under each permutation both the least and the greatest value are kept, so a signature of 2 x permutations values costs
 half the hash evaluations; minima and maxima go to different bands. Classes that share a band's key are candidates.
-Within a bucket, the signatures' agreement (one byte a value) rules out pairs far under the threshold; what is left is
+Within a bucket, the agreement of longer signatures (two bits a value; with four bytes of each band's key, by which a
+pair is asked about once) rules out pairs under the threshold by four standard deviations; what is left is
 confirmed on the full sets of shingle hashes, and confirmed links are contracted to components.
 
 Two rounds keep dense groups linear: the first confirms each member's most similar partners only; the second takes
 every pair of a bucket whose members are still in different components. Large buckets are split: in the first round into
 blocks that all hold the bucket's smallest member, in the second into pairs of blocks, so no task holds a whole bucket.
 
-Candidates: at similarity s, a pair misses all 32 bands of 8 with probability (1 - s^8)^32: 4e-5 at .85, 1e-8 at .9.
+Candidates: at similarity s, a pair misses all b bands of r values with probability (1 - s^r)^b. r is the greatest that keeps
+this under MISS at the threshold: 32 bands of 8 at .85 (4e-5; 1e-8 at .9), 42 of 6 at .8 (3e-6).
 
 Defined cases: a text with fewer words than a shingle is one shingle, the whole sequence; without words (or null) the
 set is empty and linked with nothing; rows that share a doc_id count as one document; an empty table gives no rows;
@@ -30,17 +32,31 @@ from boxwright.llm.bytekit import SPACES, STEP, mix, pieces, shingle_hashes, tex
 from boxwright.llm.common import connected_components, cut, dedupe_columns
 
 SHINGLE = 5
-PERMUTATIONS = 128
-BANDS = 32
-BLOCK = 2048
-MARGIN = 0.10  # 4.5 standard deviations of the signatures' agreement at .85
+PERMUTATIONS = 128  # whose minima and maxima are banded
+ESTIMATES = 512  # whose minima and maxima estimate similarity
+BLOCK = 512
+MISS = 1e-4  # the most that a pair at the threshold may be missed with
 
 _rng = np.random.Generator(np.random.PCG64(77))
-MULTIPLIER = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
-FLIP = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
+MULTIPLIER = _rng.integers(0, 2**32, ESTIMATES, dtype=np.uint32) | np.uint32(1)
+FLIP = _rng.integers(0, 2**32, ESTIMATES, dtype=np.uint32)
 SIGNED = "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary"
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and values in each."""
+    s = percent / 100
+    rows = max(r for r in range(1, 33) if r == 1 or (1 - s**r) ** (2 * PERMUTATIONS // r) <= MISS)
+    return 2 * PERMUTATIONS // rows, rows
+
+
+def least_agreement(percent: int) -> float:
+    """Four standard deviations of the estimate under the threshold: two bits of unequal values agree in a quarter of cases."""
+    s = percent / 100
+    p = s + (1 - s) / 4
+    return s - 4 * (p * (1 - p) / (2 * ESTIMATES)) ** 0.5 / 0.75
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every row."""
     data, offsets = text_bytes(column)
@@ -59,20 +75,25 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield a + row, s[:0]
 
 
-def signature(u: np.ndarray) -> np.ndarray:
-    """Minima, then maxima, of each permutation over the set; 32 bits each."""
+def signature(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minima and maxima of each permutation over the set; 32 bits each."""
     x = (u >> np.uint64(32)).astype(np.uint32)
-    low, high = np.full(PERMUTATIONS, 2**32 - 1, np.uint32), np.zeros(PERMUTATIONS, np.uint32)
-    for s in range(0, len(x), 2048):
-        v = (x[s : s + 2048][None, :] ^ FLIP[:, None]) * MULTIPLIER[:, None]
+    low, high = np.full(ESTIMATES, 2**32 - 1, np.uint32), np.zeros(ESTIMATES, np.uint32)
+    for s in range(0, len(x), 512):
+        v = (x[s : s + 512][None, :] ^ FLIP[:, None]) * MULTIPLIER[:, None]
         np.minimum(low, v.min(axis=1), out=low)
         np.maximum(high, v.max(axis=1), out=high)
-    return np.concatenate([low, high])
+    return low, high
+
+
+def two_bits(values: np.ndarray) -> np.ndarray:
+    """Two bits of each value, 32 values in a word."""
+    bits = ((values >> np.uint32(11)) & np.uint32(3)).astype(np.uint64).reshape(-1, 32)
+    return (bits << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def _signer(k: int):
+def _signer(k: int, bands_n: int, per: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per = 2 * PERMUTATIONS // BANDS
         weight = STEP[:per][None, :]
         for batch in batches:
             n_rows = batch.num_rows
@@ -82,9 +103,10 @@ def _signer(k: int):
                 n[row] = len(u)
                 if len(u):
                     f1[row], f2[row] = mix(u).sum(), mix(u ^ np.uint64(0x5BD1E9955BD1E995)).sum()
-                    sig = signature(u)
-                    keys = mix((sig.reshape(BANDS, per).astype(np.uint64) * weight).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * STEP[40])
-                    bands[row], sigs[row] = keys.view(np.int64), (sig >> np.uint32(11)).astype(np.uint8).tobytes()
+                    low, high = signature(u)
+                    sig = np.concatenate([low[:PERMUTATIONS], high[:PERMUTATIONS]])
+                    keys = mix((sig[: bands_n * per].reshape(bands_n, per).astype(np.uint64) * weight).sum(axis=1) + np.arange(bands_n, dtype=np.uint64) * STEP[40])
+                    bands[row], sigs[row] = keys.view(np.int64), two_bits(np.concatenate([low, high])).tobytes() + keys.astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                 names=["doc_id", "n", "f1", "f2", "bands", "sig"],
@@ -94,21 +116,24 @@ def _signer(k: int):
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of every row of a with every row of b."""
-    out = np.empty((len(a), len(b)), np.float32)
+    """Estimated similarity of every row of a with every row of b; rows are words of two-bit values."""
+    apart = np.empty((len(a), len(b)), np.float32)
     for i in range(len(a)):
-        out[i] = (b == a[i]).sum(axis=1)
-    return (out / a.shape[1] - 1 / 256) * (256 / 255)
+        x = b ^ a[i]
+        apart[i] = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+    return 1 - apart / (32 * a.shape[1]) * np.float32(4 / 3)
 
 
 def _pairs(least: float, threshold: float, top: int | None):
     """Candidate pairs of each bucket (rows sorted by bucket): of different components, sizes and signatures near enough."""
 
-    def of(ids, n, sig, comp):
+    def of(ids, n, sig, comp, band):
         k = len(ids)
         if k < 2 or (comp == comp[0]).all():
             return None
-        s = np.frombuffer(b"".join(sig), np.uint8).reshape(k, -1)
+        both = np.frombuffer(b"".join(sig), np.uint8).reshape(k, -1)
+        size = 2 * ESTIMATES // 4
+        s, bands = (np.ascontiguousarray(x).view(t) for x, t in ((both[:, :size], np.uint64), (both[:, size:], np.uint32)))
         # all pairs have a member outside the largest component
         names, counts = np.unique(comp, return_counts=True)
         rest = np.arange(k) if top else np.flatnonzero(comp != names[np.argmax(counts)])
@@ -119,16 +144,17 @@ def _pairs(least: float, threshold: float, top: int | None):
             ok = (j >= least) & (comp[rows][:, None] != comp[None, :])
             ok &= np.minimum(n[rows][:, None], n[None, :]) >= (threshold - 1e-9) * np.maximum(n[rows][:, None], n[None, :])
             if top and k > top + 1:
+                # the most similar ones, the smallest id of equals first, which whole groups have in common
                 j[~ok] = -1
-                # the most similar, and the smallest id of equals, which whole groups have in common
-                best = np.argsort(-np.round(j, 1) * 1.0 + ids.argsort().argsort()[None, :] / (2.0 * k) * 0.1, axis=1, kind="stable")[:, :top]
-                near = np.argsort(-j, axis=1, kind="stable")[:, :1]
-                best = np.concatenate([best, near], axis=1)
-                r, c = np.repeat(np.arange(len(rows)), best.shape[1]), best.ravel()
+                best = np.lexsort((np.broadcast_to(ids, j.shape), -j), axis=1)[:, :top]
+                r, c = np.repeat(np.arange(len(rows)), top), best.ravel()
                 keep = ok[r, c]
                 r, c = r[keep], c[keep]
             else:
                 r, c = np.nonzero(ok)
+                # a pair that shares several bands is asked about in the first of them
+                first = np.concatenate([(bands[rows[r[i : i + 65536]]] == bands[c[i : i + 65536]]).argmax(axis=1) for i in range(0, len(r), 65536)]) if len(r) else r
+                r, c = r[first == band], c[first == band]
             a, b = ids[rows[r]], ids[c]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
         return np.unique(np.concatenate(found, axis=1), axis=1) if found else None
@@ -139,10 +165,10 @@ def _pairs(least: float, threshold: float, top: int | None):
 
         def whole(table):
             keys = table.column("key").to_numpy()
-            ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "comp"))
+            ids, n, comp, band = (table.column(c).to_numpy() for c in ("id", "n", "comp", "band"))
             sig = table.column("sig").to_pylist()
             edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            found = [p for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1 and (p := of(ids[s:e], n[s:e], sig[s:e], comp[s:e])) is not None]
+            found = [p for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1 and (p := of(ids[s:e], n[s:e], sig[s:e], comp[s:e], band[s])) is not None]
             return np.unique(np.concatenate(found, axis=1), axis=1) if found else None
 
         for batch in batches:
@@ -208,16 +234,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, key: s
     """doc_id, n_shingles, component_id (the smallest doc_id linked, over any number of links), kept (doc_id = component_id)."""
     spark = docs.sparkSession
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(read.mapInArrow(_signer(k), SIGNED), "signed")
+    signed = cut(read.mapInArrow(_signer(k, *banding(percent)), SIGNED), "signed")
     classes = cut(signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
     nodes = signed.where("n > 0").join(classes.select("f1", "f2", F.col("id").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "bands", "sig")
-    keyed = nodes.select("id", F.explode("bands").alias("key"))
+    keyed = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = cut(keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("low")).where("k > 1"), "buckets")
     members = cut(keyed.join(buckets, "key"), "members")
     held = cut(nodes.select("id", "n", "sig").join(members.select("id").distinct(), "id", "left_semi"), "held")
-    least = percent / 100 - MARGIN
+    least = least_agreement(percent)
     edges = None
-    for top in (2, None):
+    for top in (1, None):
         if edges is None:
             state = held.withColumn("comp", F.col("id"))
             rows = members
@@ -233,8 +259,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, key: s
             blocks = F.when(F.col("id") == F.col("low"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
         else:
             blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * 1000003 + F.greatest(own, j))
-        dealt = rows.select("id", "key", F.explode(blocks).alias("block")).select("id", F.xxhash64("key", "block").alias("key"))
-        sent = dealt.join(state, "id").select("key", "id", "n", "comp", "sig").repartition("key").sortWithinPartitions("key")
+        dealt = rows.select("id", "key", "band", F.explode(blocks).alias("block")).select("id", "band", F.xxhash64("key", "block").alias("key"))
+        sent = dealt.join(state, "id").select("key", "band", "id", "n", "comp", "sig").repartition("key").sortWithinPartitions("key")
         pairs = sent.mapInArrow(_pairs(least, percent / 100, top), "a bigint, b bigint").distinct()
         pairs = cut(pairs, "pairs")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
