@@ -4,14 +4,16 @@ A byte goes if a string of `length` bytes that covers it also starts earlier (sm
 
 Suffixes are taken at anchors only. Every string of `length` bytes has one: the place, among its grams of GRAM bytes, with
 the least hash (leftmost of equals). Equal strings have equal anchors, so it is enough to compare suffixes there.
-1. Anchors of all documents are hashed; an anchor whose gram occurs once is dropped (a map task settles the grams that
-   repeat within it and sends each once, so a common gram costs a row a task).
-2. The other anchors' contexts, at most length - GRAM bytes before and length bytes after, are cut out. Equal
-   contexts are settled by a pre-aggregation that keeps the earliest; the other ones lose all strings at that anchor.
-3. The suffixes are range-partitioned by their leading bytes with sampled splitters, and sorted in each bucket by
-   multikey quicksort, a word of eight bytes at a time on the rows still tied; likewise the reversed bytes before the
-   anchor. Neighbours' common prefixes give, for every number of bytes before the anchor, the classes of equal strings.
-   Splitters only compare the anchor's own gram, so equal strings never lie on two sides of a boundary.
+1. The grams of all anchors are counted (a map task sends each gram once, so a common gram costs a row a task). Those
+   that repeat go into a bitmap of fixed size, which is broadcast; when it fills up it only lets more through.
+2. Documents are read again. Anchors that the bitmap lets through have their contexts cut out: the bytes of the strings
+   that chose them, at most 2 x length - GRAM. Of equal contexts in a batch only the earliest goes on; the others
+   lose all strings at that anchor at once, and no text is shuffled for them.
+3. The suffixes at the other anchors are range-partitioned by their leading bytes, by splitters from a sample of documents
+   (which only balances the buckets). A bucket is sorted by multikey quicksort, a word of eight bytes at a time on the
+   rows still tied; likewise the reversed bytes before the anchors. Neighbours' common prefixes give, for every number of
+   bytes before the anchor, the classes of equal strings. Splitters are whole grams, and so are the chunks in
+   which a bucket is worked off, so equal strings never lie on two sides of a boundary.
 4. All but the earliest of a class lose those bytes; spans are merged per document.
 
 Defined cases: a null text is empty; documents under `length` bytes lose nothing; rows that share a doc_id and text are
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from boxwright.llm.common import cut, dedupe_columns
 
 LENGTH = 100
 GRAM = 24
+FILTER_BITS = 27  # 16 MB; about 16 places a repeated gram for 8 million of them
+SAMPLE = 1000
 TOP = np.uint32(2**32 - 1)
 
 
@@ -75,67 +80,123 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return place, h[place], place - starts[end], place - starts[new]
 
 
-def _anchor_rows(length: int, gram: int):
+def _gram_rows(length: int, gram: int):
+    """Each batch's distinct anchor grams, and whether they repeat within it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            data, offsets = text_bytes(batch.column(1))
-            hs, ds, ps = [], [], []
-            for a, b in pieces(offsets):
-                off = offsets[a : b + 1] - offsets[a]
-                place, h, _, _ = anchors(data[offsets[a] : offsets[b]], off, length, gram)
-                row = np.searchsorted(off, place, side="right") - 1
-                hs.append(h)
-                ds.append(keys[a + row])
-                ps.append((place - off[row]).astype(np.int32))
-            if not hs:
-                continue
-            h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
-            _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            known = n[back] > 1
-            # kind 0 asks whether others have the gram, kind 1 is known to repeat; a gram known to repeat asks once, on behalf of none
-            ask = np.zeros(len(h), bool)
-            ask[first] = True
-            index = np.r_[np.flatnonzero(ask), np.flatnonzero(known)]
-            kind = np.r_[np.where(known[ask], 2, 0), np.full(known.sum(), 1)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h[index].view(np.int64)), pa.array(d[index]), pa.array(p[index])], names=["kind", "h", "doc_id", "pos"])
+            data, offsets = text_bytes(batch.column(0))
+            found = [anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)[1] for a, b in pieces(offsets)]
+            if found:
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "many"])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one hash partition's questions: the places whose gram occurs elsewhere too."""
-    table = [b for b in batches if b.num_rows]
-    if not table:
-        return
-    h, kind = (np.concatenate([b.column(i).to_numpy() for b in table]) for i in (1, 0))
-    _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-    hit = np.flatnonzero((n[back] > 1) & (kind == 0))
-    d, p = (np.concatenate([b.column(i).to_numpy() for b in table])[hit] for i in (2, 3))
-    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p)], names=["doc_id", "pos"])
+def _filter_words(bits: int):
+    """Of one hash partition's grams: the bitmap's words that those which repeat set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if not held:
+            return
+        h, back, n = np.unique(np.concatenate([x for x, _ in held]).view(np.uint64), return_inverse=True, return_counts=True)
+        many = np.bincount(back, np.concatenate([m for _, m in held])) > 0
+        at = np.unique(_filter_place(h[(n > 1) | many], bits))
+        if len(at):
+            word, start = np.unique(at >> 6, return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), start)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["w", "m"])
+
+    return run
+
+
+def _filter_place(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def repeated_grams(read: DataFrame, length: int, gram: int, bits: int) -> bytes:
+    """The bitmap (2**bits places) of the anchor grams that occur more than once in the corpus."""
+    rows = read.select("text").mapInArrow(_gram_rows(length, gram), "h bigint, many boolean").repartition("h")
+    words = rows.mapInArrow(_filter_words(bits), "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    return out.tobytes()
 
 
-def _contexts(length: int, gram: int):
+def splitters(read: DataFrame, length: int, gram: int, buckets: int, sample: int = SAMPLE) -> list[bytes]:
+    """Leading grams that part the suffixes of at most `sample` documents into as many equal shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for a, b in pieces(offsets):
+                part = data[offsets[a] : offsets[b]]
+                place = anchors(part, offsets[a : b + 1] - offsets[a], length, gram)[0][::4]
+                yield pa.RecordBatch.from_arrays([pa.array([part[p : p + gram].tobytes() for p in place], pa.binary())], names=["lead"])
+
+    leads = read.select("text").limit(sample).mapInArrow(run, "lead binary").toArrow()
+    found = sorted(set(leads.column("lead").to_pylist()))
+    return [found[i * len(found) // buckets] for i in range(1, buckets)] if len(found) > buckets else found
+
+
+def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans with those of one document that touch made one."""
+    if not len(doc):
+        return doc, s, e
+    by = np.lexsort((s, doc))
+    doc, s, e = doc[by], s[by], e[by]
+    first = np.r_[True, doc[1:] != doc[:-1]]
+    shift = (np.cumsum(first) - 1) * (int(e.max()) + 2)  # keeps documents apart on one line
+    reach = np.maximum.accumulate(e + shift)
+    new = np.flatnonzero(np.r_[True, (s + shift)[1:] > reach[:-1]])
+    return doc[new], s[new], (reach - shift)[np.r_[new[1:], len(doc)] - 1]
+
+
+def _contexts(length: int, gram: int, bits: int, shared, cuts):
+    schema = ["bucket", "doc_id", "pos", "least", "most", "context"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, edges = np.frombuffer(shared.value, np.uint8), np.array(cuts.value, f"S{gram}")
         for batch in batches:
+            keys = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
-            keys, asked = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            out: list[list] = [[], [], [], [], [], []]
+            got: list[list] = [[], [], [], [], []]
             for a, b in pieces(offsets):
-                off = offsets[a : b + 1] - offsets[a]
-                part = data[offsets[a] : offsets[b]].tobytes()
-                place, _, least, most = anchors(data[offsets[a] : offsets[b]], off, length, gram)
-                row = np.searchsorted(off, place, side="right") - 1
-                for r in range(b - a):
-                    lo, hi = np.searchsorted(row, [r, r + 1])
-                    mine = np.flatnonzero(np.isin(place[lo:hi] - off[r], asked[a + r])) + lo
-                    for i in mine:
-                        p, x, y = int(place[i]), int(least[i]), int(most[i])
-                        for column, value in zip(out, (keys[a + r], p - int(off[r]), x, y, part[p - y : p], part[p : p + length - x]), strict=True):
-                            column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            names = ["doc_id", "pos", "least", "most", "before", "after"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+                part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                place, h, least, most = anchors(part, off, length, gram)
+                at = _filter_place(h, bits)
+                through = np.flatnonzero((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                place, least, most = place[through], least[through], most[through]
+                power, inverse = _powers(len(part))
+                total = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(BYTE[part] * power[: len(part)], out=total[1:])
+                start, end = place - most, place + length - least
+                same = mix((total[end] - total[start]) * inverse[start]) + (most * length + least).astype(np.uint64)
+                for column, value in zip(got, (place + offsets[a], a + np.searchsorted(off, place, side="right") - 1, least, most, same), strict=True):
+                    column.append(value)
+            if not got[0] or not sum(map(len, got[0])):
+                continue
+            place, row, least, most, same = (np.concatenate(x) for x in got)
+            doc, pos = keys[row], place - offsets[row]
+            # of equal contexts the earliest stands for all of the batch
+            by = np.lexsort((pos, doc, same))
+            first = np.r_[True, same[by][1:] != same[by][:-1]]
+            lead = by[first][np.cumsum(first) - 1]
+            later = by[(doc[lead] != doc[by]) | (pos[lead] != pos[by])]
+            d, s, e = _merged(doc[later], (pos - most)[later], (pos - least + length)[later])
+            yield pa.RecordBatch.from_arrays([pa.array((d * 7919 % (len(edges) + 1)).astype(np.int32)), pa.array(d), pa.array(s.astype(np.int64)), pa.array(np.full(len(d), -1, np.int32)), pa.array((e - s).astype(np.int32)), pa.nulls(len(d), pa.binary())], names=schema)
+            keep = by[first]
+            for k in range(0, len(keep), 50_000):
+                of = keep[k : k + 50_000]
+                size = most[of] + length - least[of]
+                edge = np.r_[0, np.cumsum(size)]
+                index = np.repeat(place[of] - most[of] - edge[:-1], size) + np.arange(edge[-1])
+                grams = data[place[of][:, None] + np.arange(gram)]
+                bucket = np.searchsorted(edges, np.ascontiguousarray(grams).view(f"S{gram}").ravel(), side="right")
+                body = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(data[index].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(doc[of]), pa.array(pos[of].astype(np.int64)), pa.array(least[of].astype(np.int32)), pa.array(most[of].astype(np.int32)), body], names=schema)
 
     return run
 
@@ -165,14 +226,15 @@ def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.r_[0, common] if n else common
 
 
-def _padded(column: pa.Array, width: int, from_end: bool) -> np.ndarray:
-    data, offsets = text_bytes(column)
-    size = np.diff(offsets)
-    j = np.arange(width)[None, :]
-    at = (offsets[1:, None] - 1 - j) if from_end else (offsets[:-1, None] + j)
-    if not len(data):
-        return np.zeros((len(size), width), np.uint8)
-    return np.where(j < size[:, None], data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
+def _sides(table: pa.Table, most: np.ndarray, wide: int, narrow: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes from the anchor on, and those before it backwards, as rows padded with zeros."""
+    data, offsets = text_bytes(table.column("context"))
+    anchor, j, k = offsets[:-1] + most, np.arange(wide)[None, :], np.arange(narrow)[None, :]
+    top = len(data) - 1
+    after, before = anchor[:, None] + j, anchor[:, None] - 1 - k
+    right = np.where(after < offsets[1:, None], data[np.minimum(after, top)], 0).astype(np.uint8)
+    left = np.where(before >= offsets[:-1, None], data[np.maximum(before, 0)], 0).astype(np.uint8)
+    return right, left
 
 
 def _later(length: int, gram: int):
@@ -185,8 +247,9 @@ def _later(length: int, gram: int):
         table, keys, pos, least, most = table.take(pa.array(by)), keys[by], pos[by], least[by], most[by]
         n = len(keys)
         place = np.cumsum(np.r_[True, (keys[1:] != keys[:-1]) | (pos[1:] != pos[:-1])]) - 1  # the same place twice is one
-        right, common_r = multikey_sort(_padded(table.column("after").combine_chunks(), wide, False))
-        left, common_l = multikey_sort(_padded(table.column("before").combine_chunks(), narrow, True))
+        after, before = _sides(table, most, wide, narrow)
+        right, common_r = multikey_sort(after)
+        left, common_l = multikey_sort(before)
         first, last = np.full(n, -1), np.full(n, -1)
         docs, starts, ends = [], [], []
         rank_r, rank_l = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -211,16 +274,23 @@ def _later(length: int, gram: int):
         docs.append(keys[open_])
         starts.append(pos[open_] - first[open_])
         ends.append(pos[open_] - last[open_] + length)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (docs, starts, ends)], names=["doc_id", "s", "e"])
+        spans = _merged(*(np.concatenate(x).astype(np.int64) for x in (docs, starts, ends)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in spans], names=["doc_id", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # batches come in order of the leading gram: whole grams are done as soon as enough rows are there
+        # rows come in order of the leading gram: whole grams are worked off as soon as enough rows are there
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
+            table = pa.Table.from_batches([batch])
+            done = table.filter(pc.equal(table.column("least"), -1))
+            if len(done):
+                s = done.column("pos").to_numpy()
+                yield pa.RecordBatch.from_arrays([done.column("doc_id").combine_chunks(), pa.array(s), pa.array(s + done.column("most").to_numpy())], names=["doc_id", "s", "e"])
+            table = table.filter(pc.not_equal(table.column("least"), -1))
+            held.append(table)
+            size += len(table)
             if size > 60_000:
-                table = pa.Table.from_batches(held).combine_chunks()
+                table = pa.concat_tables(held).combine_chunks()
                 lead = table.column("lead")
                 tail = lead[len(lead) - 1].as_py()
                 k = len(lead) - 1
@@ -228,9 +298,9 @@ def _later(length: int, gram: int):
                     k -= 1
                 if k:
                     yield chunk(table.slice(0, k))
-                held, size = table.slice(k).combine_chunks().to_batches(), len(table) - k
+                held, size = [table.slice(k)], len(table) - k
         if size:
-            yield chunk(pa.Table.from_batches(held).combine_chunks())
+            yield chunk(pa.concat_tables(held).combine_chunks())
 
     return run
 
@@ -262,33 +332,24 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, filter_bits: int = FILTER_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans: array of s, e): the byte spans to remove, unmerged, of the documents that have any."""
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(read.mapInArrow(_anchor_rows(length, gram), "kind int, h bigint, doc_id bigint, pos int"), "anchors")
-    asked = rows.where("kind <> 1").repartition("h").mapInArrow(_repeated, "doc_id bigint, pos int")
-    places = rows.where("kind = 1").select("doc_id", "pos").unionByName(asked)
-    wanted = cut(places.groupBy("doc_id").agg(F.collect_list("pos").alias("asked")), "places")  # bounded by the document
-    found = read.join(wanted, "doc_id").select("doc_id", "text", "asked")
-    schema = "doc_id bigint, pos int, least int, most int, before binary, after binary"
-    found = cut(found.mapInArrow(_contexts(length, gram), schema), "contexts")
-    same = ["least", "most", "before", "after"]
-    place = F.struct("doc_id", "pos")
-    # equal contexts: the earliest stands for all
-    earliest = cut(found.groupBy(*same).agg(F.min(place).alias("p"), F.count("*").alias("c")), "earliest")
-    first = earliest.select("p.doc_id", "p.pos", *same, F.substring("after", 1, gram).alias("lead"))
-    ranged = first.repartitionByRange("lead").sortWithinPartitions("lead")
-    spans = ranged.mapInArrow(_later(length, gram), "doc_id bigint, s bigint, e bigint")
-    digest = lambda: F.xxhash64(*same)
-    many = earliest.where("c > 1").select(digest().alias("x"), *[F.col(c).alias(f"_{c}") for c in same], F.col("p").alias("lead_place"))
-    copies = found.withColumn("x", digest()).join(many, "x").where(" and ".join(f"{c} = _{c}" for c in same)).where((F.col("lead_place.doc_id") != F.col("doc_id")) | (F.col("lead_place.pos") != F.col("pos")))
-    copied = copies.select("doc_id", (F.col("pos") - F.col("most")).cast("bigint").alias("s"), (F.col("pos") - F.col("least") + length).cast("bigint").alias("e"))
-    return spans.unionByName(copied).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(repeated_grams(read, length, gram, filter_bits))
+    buckets = min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = spark.sparkContext.broadcast(splitters(read, length, gram, buckets))
+    schema = "bucket int, doc_id bigint, pos bigint, least int, most int, context binary"
+    found = read.mapInArrow(_contexts(length, gram, filter_bits, shared, cuts), schema).repartition("bucket")
+    lead = F.when(F.col("least") >= 0, F.expr(f"substring(context, most + 1, {gram})"))
+    spans = found.withColumn("lead", lead).sortWithinPartitions("lead").mapInArrow(_later(length, gram), "doc_id bigint, s bigint, e bigint")
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    spans = cut(repeated_spans(docs, length, gram, key, text), "spans")
-    joined = read.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    spans = cut(repeated_spans(docs, length, gram, key=key, text=text), "spans")
+    # one plan at every size: spans grow with the corpus, so they are never broadcast
+    joined = read.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
