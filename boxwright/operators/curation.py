@@ -55,13 +55,13 @@ def fill_quota(df: DataFrame, keys: list[str], positive: Column, ratio: float, o
 def aliases(df: DataFrame, stem: str, suffix: str, order: list[Column], out: str = "alias") -> DataFrame:
     """stem__suffix01, 02, ... within each stem."""
     nth = F.row_number().over(Window.partitionBy(stem).orderBy(*order))
-    return df.withColumn(out, F.concat(F.col(stem), F.lit(f"__{suffix}"), F.lpad(nth.cast("string"), 2, "0")))
+    return df.withColumn(out, F.concat(F.col(stem), F.lit(f"__{suffix}"), F.format_string("%02d", nth)))
 
 
 def repeat(df: DataFrame, stem: str, factor: Column, suffix: str, out: str = "alias") -> DataFrame:
     """Each row `factor` times: itself, then aliases numbered from 1."""
     copies = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(factor, F.lit(1)) - 1)))
-    return copies.withColumn(out, F.when(F.col("_i") == 0, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit(f"__{suffix}"), F.lpad(F.col("_i").cast("string"), 2, "0")))).drop("_i")
+    return copies.withColumn(out, F.when(F.col("_i") == 0, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit(f"__{suffix}"), F.format_string("%02d", F.col("_i"))))).drop("_i")
 
 
 def demo_samples(annotations: DataFrame, taxonomy: str = "xh25") -> DataFrame:

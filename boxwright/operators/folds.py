@@ -17,8 +17,13 @@ DENSE = 4000  # rows of a group from which the pandas form is the better choice
 
 
 def ordered(df: DataFrame, keys: list[str], fields: list[Column], out: str = "items") -> DataFrame:
-    """One row per group: its rows as structs, sorted by the fields in order."""
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(out))
+    """One row per group: its rows as structs, sorted by the fields in order.
+
+    The fold costs far more time a byte than other stages, so the shuffle has a fixed number of partitions: sized by bytes,
+    as adaptive execution does, a few tasks would do all the work. groupBy uses the same partitioning again.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(out))
 
 
 def fold(items: Column, state: Column, step: Callable[[Column, Column], Column]) -> Column:

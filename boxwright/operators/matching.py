@@ -41,8 +41,18 @@ def resolve(edges: DataFrame, group: tuple[str, ...] = ("image_id", "scope", "ke
     """One-to-one matches: detections by falling score then place, each takes its best free truth (the first of equals)."""
     fields = [(-F.col("score")).alias("s"), F.col("p_ord").alias("p"), (-F.col("iou")).alias("i"), F.col("t_ord").alias("t")]
     grouped = folds.ordered(edges, list(group), fields, "edges")
-    free = folds.accept_if_free(F.col("edges"), lambda k, x: (k["p"] == x["p"]) | (k["t"] == x["t"]))
-    return grouped.select(*group, F.explode(free).alias("m")).select(*group, F.col("m.p").alias("p_ord"), F.col("m.t").alias("t_ord"), (-F.col("m.i")).alias("iou"), (-F.col("m.s")).alias("score"))
+    # what is claimed is kept in plain arrays, so that each step is two primitive searches
+    kinds = dict(edges.dtypes)
+    names = {"p": kinds["p_ord"], "t": kinds["t_ord"], "i": kinds["iou"], "s": kinds["score"]}
+    none = F.struct(*[F.array().cast(f"array<{kind}>").alias(n) for n, kind in names.items()])
+
+    def step(acc: Column, x: Column) -> Column:
+        taken = F.array_contains(acc["p"], x["p"]) | F.array_contains(acc["t"], x["t"])
+        return F.when(taken, acc).otherwise(F.struct(*[F.concat(acc[n], F.array(x[n])).alias(n) for n in names]))
+
+    won = grouped.select(*group, folds.fold(F.col("edges"), none, step).alias("m"))
+    each = won.select(*group, F.explode(F.arrays_zip("m.p", "m.t", "m.i", "m.s")).alias("e"))
+    return each.select(*group, F.col("e.p").alias("p_ord"), F.col("e.t").alias("t_ord"), (-F.col("e.i")).alias("iou"), (-F.col("e.s")).alias("score"))
 
 
 def greedy_match(detections: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("all", "coarse", "fine"), taxonomy: str = "xh25", iou: float | None = None) -> DataFrame:

@@ -42,7 +42,7 @@ def suppress_classes(detections: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules: (class_id, method 'iou' or 'diou', threshold), one row a class and broadcast. A box goes if one kept before
     overlaps it by at least the threshold (at threshold 0 only the first stays). Classes without a rule are untouched."""
     ruled = detections.join(F.broadcast(rules), "class_id")
-    grouped = ruled.groupBy("image_id", "class_id", "method", "threshold").agg(F.sort_array(F.collect_list(F.struct(*_structs()))).alias("items"))
+    grouped = folds.ordered(ruled, ["image_id", "class_id", "method", "threshold"], _structs())
     overlap = lambda k, x: F.when(F.col("method") == "diou", diou(_sides(k), _sides(x))).otherwise(hbb_iou(_sides(k), _sides(x)))
     kept = _rows(grouped, folds.accept_if_free(F.col("items"), lambda k, x: overlap(k, x) >= F.col("threshold")), ["image_id", "class_id"])
     rest = detections.join(F.broadcast(rules.select("class_id")), "class_id", "left_anti")

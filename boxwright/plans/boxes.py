@@ -133,10 +133,10 @@ def g4(spark, d):
     return _pairs(spark, d).select("p_ord", "t_ord", F.round(G.polygon_iou(G.polygon(G.box("p_")), G.polygon(G.box("t_"))), 6).alias("iou"))
 
 
-@query("G5", f"""SELECT p.ord AS p_ord, t.ord AS t_ord, round({iou_sql('p', 't')} - (pow((p.x1 + p.x2) / 2 - (t.x1 + t.x2) / 2, 2) + pow((p.y1 + p.y2) / 2 - (t.y1 + t.y2) / 2, 2))
-  / (pow(greatest(p.x2, t.x2) - least(p.x1, t.x1), 2) + pow(greatest(p.y2, t.y2) - least(p.y1, t.y1), 2)), 9) AS diou {PAIRS}""", ("det", "truth"))
+@query("G5", f"""SELECT p.ord AS p_ord, t.ord AS t_ord, {iou_sql('p', 't')} - (pow((p.x1 + p.x2) / 2 - (t.x1 + t.x2) / 2, 2) + pow((p.y1 + p.y2) / 2 - (t.y1 + t.y2) / 2, 2))
+  / (pow(greatest(p.x2, t.x2) - least(p.x1, t.x1), 2) + pow(greatest(p.y2, t.y2) - least(p.y1, t.y1), 2)) AS diou {PAIRS}""", ("det", "truth"))
 def g5(spark, d):
-    return _pairs(spark, d).select("p_ord", "t_ord", F.round(G.diou(G.box("p_"), G.box("t_")), 9).alias("diou"))
+    return _pairs(spark, d).select("p_ord", "t_ord", G.diou(G.box("p_"), G.box("t_")).alias("diou"))
 
 
 @query("G6", """SELECT ord, CAST(least(greatest(round_even((x1 + x2 - 64) / 2, 0), 0), 56) AS INT) AS left_a, CAST(least(greatest(round_even((x1 + x2) / 2 - 32::DOUBLE, 0), 0), 56) AS INT) AS left_b FROM det""", ("det",))
@@ -221,7 +221,7 @@ def j1(spark, d):
     return matching.greedy_match(view(spark, d, "det"), view(spark, d, "truth"))
 
 
-MODELS = """, two AS (SELECT 'a' AS model, * FROM det WHERE ord % 6 <> 0 UNION ALL SELECT 'b', * FROM det WHERE ord % 10 <> 0),
+MODELS = """, two AS (SELECT 'a' AS model, * FROM det UNION ALL SELECT 'b', image_id, class_id, ord, score, x1 + ord % 7, y1, x2 + ord % 7, y2 FROM det),
 e2 AS (SELECT p.model, p.image_id, c.coarse, p.ord AS p, t.ord AS t, p.score AS s, {iou} AS i FROM two p JOIN truth t ON p.image_id = t.image_id AND NOT t.difficult AND {cp} = {ct}, (SELECT 1) z, LATERAL (SELECT {cp} AS coarse) c
   WHERE {iou} >= CASE WHEN t.class_id = 24 THEN 0.35::DOUBLE ELSE 0.5::DOUBLE END),
 m2 AS (SELECT model, image_id, coarse, unnest({accept}) AS m FROM (SELECT model, image_id, coarse, list({{'p': p, 't': t}} ORDER BY s DESC, p, i DESC, t) AS l FROM e2 GROUP BY ALL))""".format(
@@ -231,7 +231,8 @@ m2 AS (SELECT model, image_id, coarse, unnest({accept}) AS m FROM (SELECT model,
 
 def _models(spark, d):
     det = view(spark, d, "det")
-    return det.where("ord % 6 <> 0").withColumn("model", F.lit("a")).unionByName(det.where("ord % 10 <> 0").withColumn("model", F.lit("b")))
+    moved = det.withColumns({c: F.col(c) + F.col("ord") % 7 for c in ("x1", "x2")})
+    return det.withColumn("model", F.lit("a")).unionByName(moved.withColumn("model", F.lit("b")))
 
 
 @query("J2", "WITH one AS (SELECT 1)" + MODELS + " SELECT model, image_id, coarse, m.p AS p_ord, m.t AS t_ord FROM m2", ("det", "truth"))
@@ -258,14 +259,14 @@ def _vehicles(df):
     return df.withColumn("class_id", F.lit(24))
 
 
-def _j5_sql(proposals: str = "SELECT * FROM det WHERE ord % 4 = 2", name: str = "") -> str:
+def _j5_sql(main: str = "ord % 2 = 0", proposals: str = "ord % 2 = 1", name: str = "") -> str:
     """Tables up to lab{name}: the proposals with matched, label and reason."""
 
     def greedy(table: str, p: str, t: str) -> str:
         return f"""{table} AS (SELECT image_id, m.p AS p, m.t AS t FROM (SELECT image_id, unnest({accept_sql('l', 'k.p = x.p OR k.t = x.t')}) AS m FROM (SELECT p.image_id, list({{'p': p.ord, 't': t.ord}} ORDER BY p.score DESC, p.ord, {iou_sql('p', 't')} DESC, t.ord) AS l
   FROM {p} p JOIN {t} t ON p.image_id = t.image_id WHERE {iou_sql('p', 't')} >= 0.35::DOUBLE GROUP BY p.image_id)))"""
 
-    return f"""mn{name} AS (SELECT * FROM det WHERE ord % 8 = 0), pr{name} AS ({proposals}), tr{name} AS (SELECT * FROM truth WHERE NOT difficult),
+    return f"""mn{name} AS (SELECT * FROM det WHERE {main}), pr{name} AS (SELECT * FROM det WHERE {proposals}), tr{name} AS (SELECT * FROM truth WHERE NOT difficult),
 {greedy('bm' + name, 'mn' + name, 'tr' + name)}, fr{name} AS (SELECT * FROM tr{name} WHERE ord NOT IN (SELECT t FROM bm{name})),
 rs{name} AS (SELECT p.* FROM pr{name} p WHERE NOT EXISTS (SELECT 1 FROM mn{name} c WHERE c.image_id = p.image_id AND {iou_sql('p', 'c')} >= 0.35::DOUBLE)), {greedy('wn' + name, 'rs' + name, 'fr' + name)},
 cl{name} AS (SELECT * FROM tr{name} WHERE ord IN (SELECT t FROM bm{name} UNION ALL SELECT t FROM wn{name})), hd{name} AS (SELECT q.ord, min(c.ord) AS held FROM rs{name} q JOIN cl{name} c ON c.image_id = q.image_id AND {iou_sql('q', 'c')} >= 0.35::DOUBLE GROUP BY q.ord),
@@ -276,16 +277,16 @@ FROM pr{name} q LEFT JOIN wn{name} ON q.ord = wn{name}.p LEFT JOIN hd{name} ON h
 @query("J5", f"WITH {_j5_sql()} SELECT image_id, ord, matched, label, reason FROM lab", ("det", "truth"))
 def j5(spark, d):
     det, t = _vehicles(view(spark, d, "det")), _vehicles(view(spark, d, "truth"))
-    return matching.label_proposals(det.where("ord % 8 = 0"), det.where("ord % 4 = 2"), t).select("image_id", "ord", "matched", "label", "reason")
+    return matching.label_proposals(det.where("ord % 2 = 0"), det.where("ord % 2 = 1"), t).select("image_id", "ord", "matched", "label", "reason")
 
 
-@query("J6", f"""WITH {_j5_sql("SELECT * FROM det WHERE ord % 8 = 2")}, {_j5_sql("SELECT * FROM det WHERE ord % 8 IN (4, 6)", "2")}, l AS (SELECT * FROM lab WHERE reason <> 'duplicate_main'), r AS (SELECT * FROM lab2 WHERE reason <> 'duplicate_main'),
+@query("J6", f"""WITH {_j5_sql("ord % 3 = 0", "ord % 3 = 1")}, {_j5_sql("ord % 3 = 0", "ord % 3 = 2", "2")}, l AS (SELECT * FROM lab WHERE reason <> 'duplicate_main'), r AS (SELECT * FROM lab2 WHERE reason <> 'duplicate_main'),
 ff AS (SELECT image_id, m.p AS l_ord, m.t AS r_ord FROM (SELECT image_id, unnest({accept_sql('l', 'k.p = x.p OR k.t = x.t')}) AS m FROM (SELECT l.image_id, list({{'p': l.ord, 't': r.ord}} ORDER BY l.score DESC, l.ord, r.score DESC, r.ord) AS l
 FROM l JOIN r ON l.image_id = r.image_id WHERE {iou_sql('l', 'r')} >= 0.35::DOUBLE GROUP BY l.image_id)))
 SELECT ff.image_id, l_ord, r_ord, label FROM ff JOIN lab ON lab.ord = l_ord""", ("det", "truth"))
 def j6(spark, d):
     det, t = _vehicles(view(spark, d, "det")), _vehicles(view(spark, d, "truth"))
-    return matching.consensus(det.where("ord % 8 = 0"), det.where("ord % 8 = 2"), det.where("ord % 8 in (4, 6)"), t)
+    return matching.consensus(*(det.where(f"ord % 3 = {i}") for i in range(3)), t)
 
 
 @query("J7", f"SELECT p.ord FROM det p WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE p.image_id = t.image_id AND {iou_sql('p', 't')} >= 0.2::DOUBLE)", ("det", "truth"))
@@ -377,27 +378,27 @@ def _n(src: str, cond: str) -> str:
     return f"SELECT {DET} FROM nmsbox WHERE {src} AND {cond}"
 
 
-@query("N3", f"""{_n('ord % 6 = 0', 'class_id = 0 AND score >= 0.1::DOUBLE')} UNION ALL {_n('ord % 6 = 2', 'class_id = 12 AND score >= 0.2::DOUBLE')}
-UNION ALL {supplement_sql(_n('ord % 6 = 0', 'class_id = 24 AND score >= 0.3::DOUBLE'), _n('ord % 6 <> 0', 'class_id = 24 AND score >= 0.4::DOUBLE'), '0.1::DOUBLE')}""", ("nmsbox",))
+@query("N3", f"""{_n('ord % 3 = 0', 'class_id = 0 AND score >= 0.1::DOUBLE')} UNION ALL {_n('ord % 3 = 1', 'class_id = 12 AND score >= 0.2::DOUBLE')}
+UNION ALL {supplement_sql(_n('ord % 3 = 0', 'class_id = 24 AND score >= 0.3::DOUBLE'), _n('ord % 3 = 2', 'class_id = 24 AND score >= 0.4::DOUBLE'), '0.1::DOUBLE')}""", ("nmsbox",))
 def n3(spark, d):
     b = view(spark, d, "nmsbox")
-    sources = {"a": b.where("ord % 6 = 0"), "b": b.where("ord % 6 = 2"), "c": b.where("ord % 6 <> 0")}
+    sources = {"a": b.where("ord % 3 = 0"), "b": b.where("ord % 3 = 1"), "c": b.where("ord % 3 = 2")}
     return suppression.fuse_ranking(sources, {"ship": ("a", 0.1), "aircraft": ("b", 0.2), "vehicle": ("a", 0.3)}, ("c", 0.4), 0.1)
 
 
-@query("N4", f"""{supplement_sql(_n('ord % 6 = 0', 'class_id = 12 AND score >= 0.2::DOUBLE'), _n('ord % 6 = 2', 'class_id = 12 AND score >= 0.5::DOUBLE'), '0.15::DOUBLE')} UNION ALL
-{supplement_sql(_n('ord % 6 = 4', 'class_id = 0 AND score >= 0.1::DOUBLE'), _n('ord % 6 = 0', 'class_id = 0 AND score >= 0.6::DOUBLE'), '0.25::DOUBLE')} UNION ALL
-{_n('ord % 6 = 4', 'class_id = 24 AND score >= 0.3::DOUBLE AND NOT (score < 0.5::DOUBLE AND (x2 - x1) * (y2 - y1) < 1500)')}""", ("nmsbox",))
+@query("N4", f"""{supplement_sql(_n('ord % 3 = 0', 'class_id = 12 AND score >= 0.2::DOUBLE'), _n('ord % 3 = 1', 'class_id = 12 AND score >= 0.5::DOUBLE'), '0.15::DOUBLE')} UNION ALL
+{supplement_sql(_n('ord % 3 = 2', 'class_id = 0 AND score >= 0.1::DOUBLE'), _n('ord % 3 = 0', 'class_id = 0 AND score >= 0.6::DOUBLE'), '0.25::DOUBLE')} UNION ALL
+{_n('ord % 3 = 2', 'class_id = 24 AND score >= 0.3::DOUBLE AND NOT (score < 0.5::DOUBLE AND (x2 - x1) * (y2 - y1) < 1500)')}""", ("nmsbox",))
 def n4(spark, d):
     b = view(spark, d, "nmsbox")
     t = spark.createDataFrame([(0, 0.1), (12, 0.2), (24, 0.3)], "class_id int, threshold double")
-    return suppression.fuse_multiscale(b.where("ord % 6 = 0"), b.where("ord % 6 = 2"), b.where("ord % 6 = 4"), t, (0.5, 0.15), (0.6, 0.25), 0.5, 1500.0)
+    return suppression.fuse_multiscale(b.where("ord % 3 = 0"), b.where("ord % 3 = 1"), b.where("ord % 3 = 2"), t, (0.5, 0.15), (0.6, 0.25), 0.5, 1500.0)
 
 
-@query("N5", supplement_sql(_n("ord % 4 = 0", "class_id = 0"), _n("ord % 4 = 2", "class_id = 0"), "0.25::DOUBLE"), ("nmsbox",))
+@query("N5", supplement_sql(_n("ord % 2 = 0", "class_id = 0"), _n("ord % 2 = 1", "class_id = 0"), "0.25::DOUBLE"), ("nmsbox",))
 def n5(spark, d):
     b = view(spark, d, "nmsbox").where("class_id = 0")
-    return suppression.add_supplements(b.where("ord % 4 = 0"), b.where("ord % 4 = 2"), 0.25)
+    return suppression.add_supplements(b.where("ord % 2 = 0"), b.where("ord % 2 = 1"), 0.25)
 
 
 RATES = "CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN tp + fp > 0 THEN fp / (tp + fp) ELSE 0 END AS fdr"

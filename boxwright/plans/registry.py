@@ -13,16 +13,16 @@ SQL: dict[str, str] = {}
 VIEWS = {
     "det": """SELECT CAST(floor(event_id / 100) AS BIGINT) AS image_id, CAST((event_id * 7) % 25 AS INT) AS class_id, event_id AS ord,
   CAST(event_id % 97 AS DOUBLE) / CAST(97 AS DOUBLE) AS score, CAST((event_id * 37) % 90 AS DOUBLE) AS x1, CAST((event_id * 53) % 90 AS DOUBLE) AS y1,
-  CAST((event_id * 37) % 90 + 20 + event_id % 7 AS DOUBLE) AS x2, CAST((event_id * 53) % 90 + 20 + event_id % 5 AS DOUBLE) AS y2 FROM {events} WHERE event_id % 2 = 0""",
-    "truth": """SELECT CAST(floor(event_id / 100) AS BIGINT) AS image_id, CAST((event_id * 7 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 19 END) % 25 AS INT) AS class_id, event_id AS ord,
+  CAST((event_id * 37) % 90 + 20 + event_id % 7 AS DOUBLE) AS x2, CAST((event_id * 53) % 90 + 20 + event_id % 5 AS DOUBLE) AS y2 FROM {events}""",
+    "truth": """SELECT CAST(floor(event_id / 100) AS BIGINT) AS image_id, CAST((event_id * 7 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) % 25 AS INT) AS class_id, event_id AS ord,
   CAST((event_id * 37) % 90 + 2 AS DOUBLE) AS x1, CAST((event_id * 53) % 90 AS DOUBLE) AS y1,
-  CAST((event_id * 37) % 90 + 22 + event_id % 7 AS DOUBLE) AS x2, CAST((event_id * 53) % 90 + 20 + event_id % 5 AS DOUBLE) AS y2, event_id % 41 = 0 AS difficult FROM {events} WHERE event_id % 4 = 1""",
+  CAST((event_id * 37) % 90 + 22 + event_id % 7 AS DOUBLE) AS x2, CAST((event_id * 53) % 90 + 20 + event_id % 5 AS DOUBLE) AS y2, event_id % 41 = 0 AS difficult FROM {events}""",
     "img": """SELECT image_id, 'scene' || CAST(CAST(floor(image_id / 3) AS BIGINT) AS STRING) || '_crop' || CAST(image_id % 3 AS STRING) AS stem,
   'scene' || CAST(CAST(floor(image_id / 3) AS BIGINT) AS STRING) AS group_id, CAST(120 AS INT) AS width, CAST(110 + image_id % 7 AS INT) AS height,
   CASE WHEN image_id % 5 = 0 THEN 'L' ELSE 'RGB' END AS mode FROM (SELECT DISTINCT CAST(floor(event_id / 100) AS BIGINT) AS image_id FROM {events}) e""",
     "nmsbox": """SELECT CAST(floor(event_id / 200) AS BIGINT) AS image_id, CAST(event_id % 3 * 12 AS INT) AS class_id, event_id AS ord, CAST(event_id % 97 AS DOUBLE) / CAST(97 AS DOUBLE) AS score,
   CAST((event_id * 37) % 100 AS DOUBLE) AS x1, CAST((event_id * 53) % 100 AS DOUBLE) AS y1, CAST((event_id * 37) % 100 + 25 + event_id % 40 AS DOUBLE) AS x2,
-  CAST((event_id * 53) % 100 + 25 + event_id % 31 AS DOUBLE) AS y2 FROM {events} WHERE event_id % 2 = 0""",
+  CAST((event_id * 53) % 100 + 25 + event_id % 31 AS DOUBLE) AS y2 FROM {events}""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
