@@ -43,15 +43,15 @@ def resolve(edges: DataFrame, group: tuple[str, ...] = ("image_id", "scope", "ke
     grouped = folds.ordered(edges, list(group), fields, "edges")
     # what is claimed is kept in plain arrays, so that each step is two primitive searches
     kinds = dict(edges.dtypes)
-    names = {"p": kinds["p_ord"], "t": kinds["t_ord"], "i": kinds["iou"], "s": kinds["score"]}
-    none = F.struct(*[F.array().cast(f"array<{kind}>").alias(n) for n, kind in names.items()])
+    claims = [F.array().cast(f"array<{kinds[c]}>").alias(n) for n, c in (("p", "p_ord"), ("t", "t_ord"))]
 
     def step(acc: Column, x: Column) -> Column:
         taken = F.array_contains(acc["p"], x["p"]) | F.array_contains(acc["t"], x["t"])
-        return F.when(taken, acc).otherwise(F.struct(*[F.concat(acc[n], F.array(x[n])).alias(n) for n in names]))
+        more = [F.concat(acc[n], F.array(v)).alias(n) for n, v in (("p", x["p"]), ("t", x["t"]), ("m", x))]
+        return F.when(taken, acc).otherwise(F.struct(*more))
 
-    won = grouped.select(*group, folds.fold(F.col("edges"), none, step).alias("m"))
-    each = won.select(*group, F.explode(F.arrays_zip("m.p", "m.t", "m.i", "m.s")).alias("e"))
+    zero = F.struct(*claims, folds.none_of(F.col("edges")).alias("m"))
+    each = grouped.select(*group, F.explode(F.aggregate("edges", zero, step, lambda acc: acc["m"])).alias("e"))
     return each.select(*group, F.col("e.p").alias("p_ord"), F.col("e.t").alias("t_ord"), (-F.col("e.i")).alias("iou"), (-F.col("e.s")).alias("score"))
 
 
