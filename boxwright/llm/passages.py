@@ -5,8 +5,8 @@ gives its compact windows: a triple l <= c <= r says that every run of tokens th
 its least hash at c. Only windows of at least the passage length matter, about 2n / t of them per function.
 Windows with equal hashes are tied to the earliest and to the last of their group (not to all: a group costs links in
 proportion to its size). Links of two documents are joined by overlap; where at least `need` of the functions agree
-over one stretch, the stretch's tokens are compared: it is trimmed to the shared tokens, and it is a near-duplicate
-passage if it has the length and the similarity asked for.
+over one stretch, the stretch's tokens are compared: the runs in it that begin and end with shared tokens and have the
+length and the similarity asked for are near-duplicate passages, those that overlap joined.
 
 A function agrees with probability s at similarity s; three of six do with probability .98 at .8, and always for equal passages.
 
@@ -17,6 +17,7 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ SHINGLE = 5
 MIN_WORDS = 50
 FUNCTIONS = 6
 NEED = 3
+DRIFT = 64  # tokens by which an alignment may leave the shifts of its seeds
 
 
 def compact_windows(h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,31 +167,72 @@ def _sequences(k: int, ids):
     return run
 
 
-def shared_runs(u: np.ndarray, v: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """Passages of u and v: stretches of shared tokens, closed over short gaps, that are long and similar enough."""
-    common = np.intersect1d(u, v)
-    if not len(common):
+def _chain(q: np.ndarray) -> np.ndarray:
+    """Indices of a longest strictly ascending chain."""
+    if len(q) < 2 or (q[1:] > q[:-1]).all():
+        return np.arange(len(q))
+    tails, at, before = [], [], np.full(len(q), -1)
+    for i, x in enumerate(q.tolist()):
+        k = bisect_left(tails, x)
+        before[i] = at[k - 1] if k else -1
+        tails[k : k + 1], at[k : k + 1] = [x], [i]
+    out, i = [], at[-1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1])
+
+
+def shared_runs(u: np.ndarray, v: np.ndarray, least: int, percent: int, shifts: tuple[int, int] | None = None) -> list[tuple[int, int, int, int]]:
+    """Passages of u and v: what the runs cover that are long and similar enough, runs that overlap joined.
+
+    A run begins and ends with shared tokens. Of tokens i to j of the alignment (places p and q) it is similar enough if
+    (100 + percent) (j - i + 1) >= percent (p_j - p_i + q_j - q_i + 2), so with a_i = (100 + percent) i - percent (p_i + q_i)
+    the longest run from i ends at the last j with a_j >= a_i - (100 - percent). `shifts` bounds q - p, give or take DRIFT."""
+    by = np.argsort(v, kind="stable")
+    w = v[by]
+    first, last = np.searchsorted(w, u, "left"), np.searchsorted(w, u, "right")
+    p = np.flatnonzero(last > first)
+    if not len(p):
         return []
-    hit = np.flatnonzero(np.isin(u, common))
-    # edits leave gaps of five tokens a word; a gap longer than a fifth of the length asked for parts two passages
-    parts = np.split(hit, np.flatnonzero(np.diff(hit) > max(6, least // 5)) + 1)
-    found = []
-    where = np.argsort(v, kind="stable")
-    for p in parts:
-        a, b = int(p[0]), int(p[-1]) + 1
-        if b - a < least:
-            continue
-        at = where[np.minimum(np.searchsorted(v, u[p], sorter=where), len(v) - 1)]
-        mid = int(np.median(at - p))
-        near = at[np.abs(at - p - mid) <= max(8, least // 5)]
-        if not len(near):
-            continue
-        c, d = int(near.min()), int(near.max()) + 1
-        x, y = np.unique(u[a:b]), np.unique(v[c:d])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if d - c >= least and 100 * both >= percent * (len(x) + len(y) - both):
-            found.append((a, b, c, d))
-    return found
+    f, z = first[p], last[p] - 1
+    once = f == z
+    middle = sum(shifts) // 2 if shifts else int(np.median((by[f] - p)[once] if once.any() else by[f] - p))
+    # of equal tokens, the one nearest the alignment
+    block = np.searchsorted(w, w, "left") * (len(v) + 1)
+    k = np.searchsorted(block + by, block[f] + np.clip(p + middle, 0, len(v)))
+    low, high = by[np.clip(k - 1, f, z)], by[np.clip(k, f, z)]
+    q = np.where(np.abs(low - p - middle) <= np.abs(high - p - middle), low, high)
+    if shifts:
+        inside = (q - p >= shifts[0] - DRIFT) & (q - p <= shifts[1] + DRIFT)
+        p, q = p[inside], q[inside]
+    straight = _chain(q)
+    plain = once.all() and len(straight) == len(q)
+    p, q = p[straight], q[straight]
+    if not len(p):
+        return []
+    a = (100 + percent) * np.arange(len(p)) - percent * (p + q)
+    ahead = np.maximum.accumulate(a[::-1])[::-1]
+    end = np.searchsorted(-ahead, 100 - percent - a, "right") - 1
+    start = np.flatnonzero((p[end] - p >= least - 1) & (q[end] - q >= least - 1))
+    end = end[start]
+    if not plain:
+        # with repeated or moved tokens, a stretch closed over short gaps may also do by the sets of its tokens
+        for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > max(6, least // 5)) + 1):
+            i, j = int(part[0]), int(part[-1])
+            if p[j] - p[i] >= least - 1 and q[j] - q[i] >= least - 1:
+                x, y = np.unique(u[p[i] : p[j] + 1]), np.unique(v[q[i] : q[j] + 1])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    start, end = np.r_[start, i], np.r_[end, j]
+        by = np.argsort(start, kind="stable")
+        start, end = start[by], end[by]
+    if not len(start):
+        return []
+    reach = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    i, j = start[new], reach[np.r_[new[1:], len(reach)] - 1]
+    return list(zip(p[i].tolist(), (p[j] + 1).tolist(), q[i].tolist(), (q[j] + 1).tolist(), strict=True))
 
 
 def _verify(least: int, percent: int):

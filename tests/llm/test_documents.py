@@ -227,6 +227,60 @@ def test_edited_passage_is_found(spark):
     assert got == {1: True, 2: True, 3: False, 4: False}
 
 
+def covered(found, side):
+    return {i for x in found for i in range(*x[2 * side : 2 * side + 2])}
+
+
+def test_runs_are_those_of_brute_force():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    hits = 0
+    for trial in range(60):
+        base, extra = list(range(1, 71)), iter(range(1000, 9000))
+        sides = []
+        for _ in range(2):
+            t, i = [], 0
+            while i < len(base):
+                how = r.random()
+                cut, new = (r.integers(1, 6), r.integers(0, 6)) if how < (trial % 6) * 0.02 else (0, 0)
+                t += [next(extra) for _ in range(new)]
+                i += cut
+                t += base[i : i + 1]
+                i += 1
+            sides.append(np.array([*(next(extra) for _ in range(r.integers(0, 5))), *t], np.uint32))
+        u, v = sides
+        want = []
+        same = u[:, None] == v[None, :]
+        for a in range(len(u)):
+            for b in range(a + 20, len(u) + 1):
+                cols = np.flatnonzero(same[a:b].any(axis=0))
+                for k, c in enumerate(cols):
+                    d = cols[k:] + 1
+                    both = np.arange(1, len(d) + 1)
+                    ok = (d - c >= 20) & (100 * both >= 80 * (b - a + d - c - both))
+                    # both ends are shared tokens
+                    want += [(a, b, c, int(e)) for e in d[ok] if same[a, c:e].any() and same[b - 1, c:e].any() and same[a:b, c].any()]
+        got = passages.shared_runs(u, v, 20, 80)
+        assert covered(got, 0) == covered(want, 0) and covered(got, 1) == covered(want, 1)
+        hits += bool(want)
+    assert 20 < hits
+
+
+def test_runs_inside_and_across_edits():
+    import numpy as np
+
+    def tokens(words):
+        return np.array([hash(tuple(words[i : i + 5])) & 0xFFFFFFFF for i in range(len(words) - 4)], np.uint32)
+
+    p = list(range(140))
+    q = [-w if i >= 64 and (i - 64) % 7 == 3 else w for i, w in enumerate(p)]
+    found = passages.shared_runs(tokens(p), tokens(q), 46, 80)
+    assert set(range(60)) <= covered(found, 0)
+    q = [-w - 1 if 48 <= i < 53 else w for i, w in enumerate(p[:100])]
+    assert passages.shared_runs(tokens(p[:100]), tokens(q), 46, 80) == [(0, 96, 0, 96)]
+
+
 def test_compact_windows_cover_every_run():
     import numpy as np
 
