@@ -7,6 +7,10 @@ Windows with equal hashes are tied to the earliest and to the last of their grou
 proportion to its size). Links of two documents are joined by overlap; where at least `need` of the functions agree
 over one stretch, the stretch's tokens are compared: the runs in it that begin and end with shared tokens and have the
 length and the similarity asked for are near-duplicate passages, those that overlap joined.
+What first and last do not show, a second pass does: two documents with a passage in common share some tokens in a row
+(`sure_run`), so a seed picked among these by content; pairs that share a seed are compared as wholes unless the
+seed lies in passages found in both and both are in one component. Such pairs change no has_passage and no class_id;
+n_links counts the pairs that were compared and found.
 
 A function agrees with probability s at similarity s; three of six do with probability .98 at .8, and always for equal passages.
 
@@ -17,12 +21,14 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwright.llm.bytekit import SPACES, STEP, mix, pieces, shingle_hashes, text_bytes, word_hashes, words
@@ -34,6 +40,8 @@ MIN_WORDS = 50
 FUNCTIONS = 6
 NEED = 3
 DRIFT = 64  # tokens by which an alignment may leave the shifts of its seeds
+GRAM = 14
+BLOCK = 512
 
 
 def compact_windows(h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,6 +243,63 @@ def shared_runs(u: np.ndarray, v: np.ndarray, least: int, percent: int, shifts:
     return list(zip(p[i].tolist(), (p[j] + 1).tolist(), q[i].tolist(), (q[j] + 1).tolist(), strict=True))
 
 
+def sure_run(least: int, percent: int, k: int) -> int:
+    """Every passage has so many shared tokens in a row: an edit costs 2k - 1 tokens of the two sides at least, so g edits ask for
+    g (2k - 1) percent / (100 - percent) shared tokens, and these make g + 1 rows at most."""
+    shared = -(-2 * percent * least // (100 + percent))
+    edits = range(least) if percent < 100 else range(1)
+    return min(-(-max(shared, -(-g * (2 * k - 1) * percent // max(1, 100 - percent))) // (g + 1)) for g in edits)
+
+
+def whole_runs(u: np.ndarray, v: np.ndarray, least: int, percent: int, run: int) -> list[tuple[int, int, int, int]]:
+    """Passages of two whole documents: along every alignment that has `run` shared tokens in a row."""
+    by = np.argsort(v, kind="stable")
+    w = v[by]
+    first = np.searchsorted(w, u, "left")
+    n = np.searchsorted(w, u, "right") - first
+    p = np.repeat(np.arange(len(u)), n)
+    q = by[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+    order = np.lexsort((p, q - p))
+    p, shift = p[order], (q - p)[order]
+    edge = np.flatnonzero(np.r_[True, (shift[1:] != shift[:-1]) | (p[1:] != p[:-1] + 1), True]) if len(p) else np.zeros(1, int)
+    seen = np.unique(shift[edge[:-1]][np.diff(edge) >= run])
+    groups = np.split(seen, np.flatnonzero(np.diff(seen) > 16) + 1) if len(seen) else []
+    return sorted({x for s in groups for x in shared_runs(u, v, least, percent, (int(s[0]), int(s[-1])))})
+
+
+def _seeds(k: int, least: int, run: int):
+    """Grams of tokens picked so that any `run` tokens in a row hold one, by content alone: the least of each window."""
+    size = max(1, min(GRAM, run * 2 // 3))
+    wide = run - size + 1
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for a, tokens, edge in _tokens(batch.column(1), k):
+                n = len(tokens) - size + 1
+                if n < wide:
+                    continue
+                g = tokens[:n] * STEP[40]
+                for j in range(1, size):
+                    g += tokens[j : n + j] * STEP[40 + j]
+                g = mix(g)
+                least_of = sliding_window_view(g, wide).argmin(axis=1) + np.arange(n - wide + 1)
+                row = np.searchsorted(edge, np.arange(n - wide + 1), side="right") - 1
+                whole = (np.arange(n - wide + 1) + run <= edge[row + 1]) & (np.diff(edge)[row] >= least)
+                at = np.unique(least_of[whole])
+                row = np.searchsorted(edge, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(keys[a + row]), pa.array((at - edge[row]).astype(np.int32))], names=["g", "doc_id", "at"])
+
+    return mapped, size
+
+
+def _in_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = [b for b in batches if b.num_rows]
+    if table:
+        _, back, n = np.unique(np.concatenate([b.column(0).to_numpy() for b in table]), return_inverse=True, return_counts=True)
+        yield from pa.Table.from_batches(table).filter(pa.array(n[back] > 1)).to_batches()
+
+
 def _verify(least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,11 +315,18 @@ def _verify(least: int, percent: int):
     return run
 
 
-def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80, k: int = SHINGLE, functions: int = FUNCTIONS, need: int = NEED, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(x, y, xs, xe, ys, ye): passages (token places) of documents x < y, of at least min_words words, verified."""
-    spark = docs.sparkSession
-    least = min_words - k + 1
-    read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+def _verify_whole(least: int, percent: int, run: int):
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = [batch.column(n).to_pylist() for n in ("x", "y", "left", "right")]
+            rows = [(x, y, *r) for x, y, u, v in zip(*c, strict=True) for r in whole_runs(np.frombuffer(u, np.uint32), np.frombuffer(v, np.uint32), least, percent, run)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=["x", "y", "xs", "xe", "ys", "ye"])
+
+    return mapped
+
+
+def _linked(read: DataFrame, k: int, least: int, functions: int, need: int) -> DataFrame:
+    """Stretches of pairs of documents that the first and the last compact windows of the groups link."""
     rows = cut(read.mapInArrow(_windows(k, least, functions), "kind int, h bigint, doc_id bigint, l int, c int, r int"), "windows")
     columns = ["h", "doc_id", "l", "c", "r"]
     asked = rows.where("kind <> 1").repartition("h").mapInArrow(_repeated, "h bigint, doc_id bigint, l int, c int, r int")
@@ -273,15 +345,82 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
     grouped = pair.groupBy("x", "y").agg(F.collect_set("e").alias("links")).where(F.size("links") >= need)  # bounded by two documents
     stretches = cut(grouped.mapInArrow(_stretches(least, need), "x bigint, y bigint, xs bigint, xe bigint, ys bigint, ye bigint"), "stretches")
     discard(linked)
-    ids = stretches.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    discard(ends)
+    return stretches
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once the plans they belong to are collected; big steps should not wait for that."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80, k: int = SHINGLE, functions: int = FUNCTIONS, need: int = NEED, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(x, y, xs, xe, ys, ye): passages (token places) of documents x < y, of at least min_words words, verified.
+
+    First the links of compact windows. Then pairs of documents that share a seed (a gram that any passage must hold in
+    common) which lies outside the passages found in one of them, or whose documents are still in different components:
+    those with the first and last of a seed's documents, and after these all that still are so."""
+    least = min_words - k + 1
+    read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    stretches = _linked(read, k, least, functions, need)
+    _let_go(docs.sparkSession)
+    found = _compared(read, stretches, k, _verify(least, percent), "passages")
+    run = sure_run(least, percent, k)
+    mapped, size = _seeds(k, least, run)
+    seeds = cut(read.mapInArrow(mapped, "g bigint, doc_id bigint, at int").repartition("g").mapInArrow(_in_common, "g bigint, doc_id bigint, at int"), "seeds")
+    for every in (False, True):
+        pairs = _open_pairs(seeds, found, size, every)
+        _let_go(docs.sparkSession)
+        more = _compared(read, pairs, k, _verify_whole(least, percent, run), "more")
+        found = cut(found.unionByName(more).distinct(), "all")
+    discard(seeds)
+    return found
+
+
+def _compared(read: DataFrame, pairs: DataFrame, k: int, verify, name: str) -> DataFrame:
+    """The passages that `verify` finds for pairs x, y (of their stretches xs, xe, ys, ye, or of all their tokens)."""
+    spark = read.sparkSession
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     bitmap = spark.sparkContext.broadcast(_bitmap(ids))
     tokens = cut(read.mapInArrow(_sequences(k, bitmap), "doc_id bigint, tokens binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "tokens")
-    left = tokens.select(F.col("doc_id").alias("x"), F.col("tokens").alias("left"))
-    right = tokens.select(F.col("doc_id").alias("y"), F.col("tokens").alias("right"))
     # only the stretch of each document travels on
-    first = stretches.join(left, "x").select("x", "y", "xs", "xe", "ys", "ye", F.expr("substring(left, cast(xs * 4 + 1 as int), cast((xe - xs) * 4 as int))").alias("left"))
-    second = first.join(right, "y").select("x", "y", "xs", "xe", "ys", "ye", "left", F.expr("substring(right, cast(ys * 4 + 1 as int), cast((ye - ys) * 4 as int))").alias("right"))
-    return cut(second.mapInArrow(_verify(least, percent), "x bigint, y bigint, xs bigint, xe bigint, ys bigint, ye bigint"), "passages")
+    part = lambda side, s, e: F.expr(f"substring({side}, cast({s} * 4 + 1 as int), cast(({e} - {s}) * 4 as int))") if s in pairs.columns else F.col(side)
+    first = pairs.join(tokens.select(F.col("doc_id").alias("x"), F.col("tokens").alias("left")), "x").withColumn("left", part("left", "xs", "xe"))
+    second = first.join(tokens.select(F.col("doc_id").alias("y"), F.col("tokens").alias("right")), "y").withColumn("right", part("right", "ys", "ye"))
+    out = cut(second.select(*pairs.columns, "left", "right").mapInArrow(verify, "x bigint, y bigint, xs bigint, xe bigint, ys bigint, ye bigint"), name)
+    discard(tokens)
+    discard(pairs)
+    return out
+
+
+def _open_pairs(seeds: DataFrame, found: DataFrame, size: int, every: bool) -> DataFrame:
+    """Pairs x < y of documents that share a seed outside the passages found in one of them, or in two components: every such
+    pair, or those with the seed's first and last document that has it outside (or with its first and last, if none has)."""
+    spans = found.select(F.col("x").alias("d"), F.struct(F.col("xs").alias("s"), F.col("xe").alias("e")).alias("span")).unionByName(found.select(F.col("y").alias("d"), F.struct(F.col("ys").alias("s"), F.col("ye").alias("e")).alias("span")))
+    label = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    longest = spans.groupBy("d", "span.s").agg(F.max("span.e").alias("e"))  # at most as many as the document has tokens
+    known = longest.groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("spans")).join(label, F.col("d") == F.col("node"))
+    inside = F.exists("spans", lambda r: (r["s"] <= F.col("at")) & (F.col("at") + size <= r["e"]))
+    state = seeds.join(known, F.col("doc_id") == F.col("d"), "left").select("g", "doc_id", (~F.coalesce(inside, F.lit(False))).alias("open"), F.coalesce("component", "doc_id").alias("comp"))
+    members = cut(state.groupBy("g", "doc_id", "comp").agg(F.max("open").alias("open")), "members")
+    groups = members.groupBy("g").agg(F.count("*").alias("n"), F.max("open").alias("any"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(~F.col("open"), "doc_id", "comp")).alias("head"), F.max(F.struct("open", "doc_id", "comp")).alias("tail")).where("n > 1 and (any or lo <> hi)")
+    needed = F.expr("a.open or b.open or a.comp <> b.comp")
+    if not every:
+        edge = lambda name, is_open: F.struct(F.col(f"{name}.doc_id").alias("doc_id"), F.col(f"{name}.comp").alias("comp"), is_open.alias("open"))
+        edges = groups.select("g", F.explode(F.array_distinct(F.array(edge("head", F.col("any")), edge("tail", F.col("any"))))).alias("b"))
+        both = members.select("g", F.struct("doc_id", "comp", "open").alias("a")).join(edges, "g").where(F.expr("a.doc_id <> b.doc_id") & needed)
+    else:
+        # a large group is dealt in pairs of blocks
+        parts = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * 1000003 + F.greatest(own, j))
+        dealt = members.join(groups.select("g", "n"), "g").select("g", F.explode(blocks).alias("block"), "doc_id", "comp", "open")
+        one, other = (dealt.select("g", "block", F.struct("doc_id", "comp", "open").alias(n)) for n in "ab")
+        both = one.join(other, ["g", "block"]).where(F.expr("a.doc_id < b.doc_id") & needed)
+    pairs = cut(both.select(F.least("a.doc_id", "b.doc_id").alias("x"), F.greatest("a.doc_id", "b.doc_id").alias("y")).distinct(), "pairs")
+    discard(members)
+    return pairs
 
 
 def passage_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

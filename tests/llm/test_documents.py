@@ -227,6 +227,25 @@ def test_edited_passage_is_found(spark):
     assert got == {1: True, 2: True, 3: False, 4: False}
 
 
+def test_passages_among_looser_variants_are_found(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    many = lambda n: [word() for _ in range(n)]
+
+    def loose(p):
+        at = r.sample(range(6, 55, 8), 5)
+        return [word() if i in at else w for i, w in enumerate(p)]
+
+    rows, middle = [], []
+    for group in range(6):
+        p = many(60)
+        for j in range(22):
+            rows.append((group * 100 + j, " ".join([*many(40), *(p if j in (10, 11) else loose(p)), *many(40)])))
+        middle.append((group * 100 + 10, group * 100 + 11))
+    found = {(x["x"], x["y"]) for x in passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(middle) <= found
+
+
 def covered(found, side):
     return {i for x in found for i in range(*x[2 * side : 2 * side + 2])}
 
@@ -279,6 +298,10 @@ def test_runs_inside_and_across_edits():
     assert set(range(60)) <= covered(found, 0)
     q = [-w - 1 if 48 <= i < 53 else w for i, w in enumerate(p[:100])]
     assert passages.shared_runs(tokens(p[:100]), tokens(q), 46, 80) == [(0, 96, 0, 96)]
+    assert passages.sure_run(46, 80, 5) == 21
+    # two passages in another order, in whole documents
+    x, y = [*p[:70], *range(500, 560), *p[70:]], [*p[70:], *range(800, 900), *p[:70]]
+    assert passages.whole_runs(tokens(x), tokens(y), 46, 80, 21) == [(0, 66, 170, 236), (130, 196, 0, 66)]
 
 
 def test_compact_windows_cover_every_run():
