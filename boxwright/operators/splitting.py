@@ -169,20 +169,32 @@ def expert_split(vehicles: Mapping[str, int], ratio: float, seed: int = 42, leas
     return held
 
 
-def combination_split(labels: Mapping[str, Sequence[int]], ratio: float, most: int = 12) -> set[str]:
-    """For few groups: the combination nearest the ratio in positives, then in rows (the first of equals in order of name)."""
-    names = sorted(labels)[:most] if len(labels) > most else sorted(labels)
-    pos, n = sum(map(sum, labels.values())), sum(map(len, labels.values()))
-    best = None
-    for size in range(1, len(names)):
-        for c in itertools.combinations(names, size):
-            p, r = sum(sum(labels[g]) for g in c), sum(len(labels[g]) for g in c)
-            if 0 < p < pos or not pos:
-                score = (abs(p - pos * ratio), abs(r - n * ratio), c)
-                best = min(best, score) if best else score
-    if best is None:
-        raise ValueError("no combination leaves positives on both sides")
-    return set(best[2])
+def combination_split(labels: Mapping[str, Sequence[int]], ratio: float, seed: int = 42, least: int = 3) -> set[str]:
+    """Holdout groups: the first smallest combination of groups with positives, by seeded rank, that (with one more group, if need
+    be) holds `least` positives and leaves positives and negatives on both sides; then groups by rank up to a half-even share."""
+    order = sorted(labels, key=lambda g: rank(seed, g))
+    if len(order) < 2:
+        raise ValueError("fewer than two groups")
+    pos = {g: sum(labels[g]) for g in order}
+    neg = {g: len(labels[g]) - pos[g] for g in order}
+    all_pos, all_neg = sum(pos.values()), sum(neg.values())
+    if all_pos < 2 or all_neg < 2:
+        raise ValueError("fewer than two positives or negatives")
+    need = min(least, all_pos - 1)
+    valid = lambda s: need <= sum(pos[g] for g in s) < all_pos and 0 < sum(neg[g] for g in s) < all_neg
+    having = [g for g in order if pos[g]]
+    chosen = (set(c) for size in range(1, len(having) + 1) for c in itertools.combinations(having, size))
+    tried = (t for c in chosen if sum(pos[g] for g in c) >= need for t in (c, *(c | {g} for g in order if g not in c)))
+    held = next(filter(valid, tried), None)
+    if held is None:
+        raise ValueError("no combination has positives and negatives on both sides")
+    n = max(1, min(len(order) - 1, round(len(order) * ratio)))
+    for g in order:
+        if len(held) >= n:
+            break
+        if valid(held | {g}):
+            held = held | {g}
+    return held
 
 
 def disjoint(assigned: DataFrame, group: str = "group_id", split: str = "split") -> DataFrame:

@@ -446,7 +446,7 @@ def o17(spark, d):
 def o18(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.sum("toxic").cast("int").alias("p"), F.count("*").cast("int").alias("n")).collect()  # the sources
     labels = {r["source"]: [1] * r["p"] + [0] * (r["n"] - r["p"]) for r in rows}
-    return spark.createDataFrame([(s,) for s in sorted(splitting.combination_split(labels, 0.2, most=10))], "source string")
+    return spark.createDataFrame([(s,) for s in sorted(splitting.combination_split(labels, 0.2))], "source string")
 
 
 @query("O19")

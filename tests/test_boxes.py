@@ -114,3 +114,12 @@ def test_validation_covers_every_class():
     left = {n for g in set(vectors) - chosen for n in vectors[g] if n[0] == "f"}
     assert held == left == {f"f{i}" for i in range(6)}
     assert sum(vectors[g]["images"] for g in chosen) == 12
+
+
+def test_any_group_may_be_held_out():
+    labels = {f"g{i:02}": [0, 0] for i in range(14)} | {g: [1, 1, 1, 0, 0] for g in ("g12", "g13")}
+    held = splitting.combination_split(labels, 0.2)
+    assert len(held) == 3 and len(held & {"g12", "g13"}) == 1
+    first = min(("g12", "g13"), key=lambda g: splitting.rank(42, g))
+    rest = sorted(set(labels) - {"g12", "g13"}, key=lambda g: splitting.rank(42, g))
+    assert held == {first, *rest[:2]}
