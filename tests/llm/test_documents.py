@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,17 @@ def test_passages(docs, rows, none):
     assert passages.passage_report(none).count() == 0
 
 
+def test_added_tokens_are_ids():
+    from tokenizers import Tokenizer
+
+    coder, plain = packing.byte_bpe(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n  y", "<|endoftext", "<|endoftext|"):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert coder.encode(text, allowed_special="all") == want
+    got = next(iter(packing._cutter(tokenizer_path(), 64, 1)(iter([pa.record_batch({"doc_id": [7], "text": ["a <|endoftext|> b"]})]))))
+    assert got.column("doc_tokens").to_pylist() == [5]
+
+
 def test_edited_passage_is_found(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
