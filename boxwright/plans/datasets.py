@@ -394,7 +394,7 @@ def o11(spark, d):
 @query("O1")
 def o1(spark, d):
     small = lambda n: view(spark, d, n).withColumn("class_id", F.col("class_id") % 3)
-    chosen, best = search.optimize_thresholds(small("det"), small("truth"), [0.3, 0.6], 0.1, taxonomy="legacy3", passes=1)
+    chosen, best = search.optimize_thresholds(small("det"), small("truth"), [0.2, 0.4, 0.6], 0.1, taxonomy="legacy3")
     return spark.createDataFrame([(c, t, best.tp, best.fp, best.fn) for c, t in sorted(chosen.items())], "class_id int, threshold double, tp bigint, fp bigint, fn bigint")
 
 
@@ -403,7 +403,7 @@ def o4(spark, d):
     """On three classes, one of each coarse class, against a baseline at a common threshold."""
     small = lambda n: view(spark, d, n).withColumn("class_id", F.col("class_id") % 3)
     base = {n: search.group_counts(small("det"), small("truth"), n, [{i: 0.5}], "legacy3")[0] for i, n in enumerate(("aircraft", "ship", "vehicle"))}
-    chosen = search.optimize_ranking(small("det"), small("truth"), base, [0.3, 0.6], "legacy3", passes=1)
+    chosen = search.optimize_ranking(small("det"), small("truth"), base, GRID, "legacy3")
     return spark.createDataFrame(sorted(chosen.items()), "class_id int, threshold double")
 
 
@@ -427,7 +427,7 @@ def o12(spark, d):
 @query("O14")
 def o14(spark, d):
     v = _vectors(spark, d)
-    chosen = splitting.select_validation(v, 0.15, rounds=20)
+    chosen = splitting.select_validation(v, 0.15)
     return spark.createDataFrame([(g, "val" if g in chosen else "train") for g in sorted(v)], "group_id string, split string")
 
 

@@ -123,3 +123,30 @@ def test_any_group_may_be_held_out():
     first = min(("g12", "g13"), key=lambda g: splitting.rank(42, g))
     rest = sorted(set(labels) - {"g12", "g13"}, key=lambda g: splitting.rank(42, g))
     assert held == {first, *rest[:2]}
+
+
+def test_searches_run_by_the_operators_defaults(spark, monkeypatch):
+    from boxwright.plans import datasets, registry
+
+    asked = {}
+
+    def note(name, give):
+        def run(*a, **k):
+            asked[name] = (a, k)
+            return give
+
+        return run
+
+    class Counts:
+        tp = fp = fn = 0
+
+    monkeypatch.setattr(datasets, "view", lambda *a: spark.createDataFrame([(1,)], "class_id int"))
+    monkeypatch.setattr(datasets, "_vectors", lambda *a: {})
+    monkeypatch.setattr(search, "group_counts", lambda *a: [None])
+    monkeypatch.setattr(search, "optimize_thresholds", note("O1", ({0: 0.2}, Counts)))
+    monkeypatch.setattr(search, "optimize_ranking", note("O4", {0: 0.2}))
+    monkeypatch.setattr(splitting, "select_validation", note("O14", set()))
+    for name in ("O1", "O4", "O14"):
+        registry.QUERIES[name](spark, "")
+    assert not any({"passes", "rounds"} & set(k) for _, k in asked.values())
+    assert asked["O1"][0][2] == [0.2, 0.4, 0.6] and asked["O4"][0][3] == datasets.GRID
