@@ -16,6 +16,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -139,6 +140,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     whole = max(1, nodes[0].total)
     rows, above = [], [(0.0, 0.0, 0.0)] * len(nodes)
     place = [0] * len(nodes)
+    tags = [Counter(nodes[c].tag for c in x.children) for x in nodes]
     for x in nodes:
         for k, c in enumerate(x.children):
             place[c] = k
@@ -148,7 +150,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         around = above[x.parent] if i else (0.0, 0.0, 0.0)
         fenced = x.tag in ("nav", "footer", "aside", "form", "header")
         above[i] = (around[0] + (bad > 0), around[1] + (good > 0 or x.tag in ("article", "main")), around[2] + fenced)
-        same = sum(nodes[c].tag == x.tag for c in up.children) if len(up.children) < 200 else len(up.children)
+        same = tags[x.parent if i else 0][x.tag]
         rows.append(
             [
                 *(float(x.tag == k) for k in KINDS),

@@ -110,3 +110,17 @@ def test_a_changed_archive_is_refused(spark, pages, tmp_path):
 
 def test_entities_are_decoded():
     assert html_extraction.text_of([(0, "a &lt; b &#233;")], [True]) == "a < b é" == html.unescape("a &lt; b &#233;")
+
+
+def test_equal_siblings_are_counted_on_long_pages():
+    from boxwright.llm.html_extraction import features, parse
+
+    def column(page):
+        nodes = parse(page)[0]
+        at = next(i for i, x in enumerate(nodes) if x.tag == "h1")
+        return features(nodes)[at], len(nodes[nodes[at].parent].children)
+
+    short, few = column("<body><h1>a</h1>" + "<p>b</p>" * 3 + "</body>")
+    long, many = column("<body><h1>a</h1>" + "<p>b</p>" * 300 + "</body>")
+    at = [i for i in range(len(short)) if short[i] == few and long[i] == many][0] + 1
+    assert (few, many) == (4, 301) and short[at] == long[at] == 1.0
