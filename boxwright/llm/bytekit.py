@@ -118,3 +118,24 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         total = total + h[j : len(h) - k + 1 + j] * STEP[j]
     return mix(total)
+
+
+def filter_place(h: np.ndarray, bits: int) -> np.ndarray:
+    """Place of a mixed hash in a bitmap of 2**bits places."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by the column."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        keys = table.column(column).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        held = table.slice(last)
+        if last:
+            yield table.slice(0, last)
+    if held is not None and len(held):
+        yield held

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxwright.llm.bytekit import filter_place, mix
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or (local mode only) one of our own."""
@@ -103,3 +107,43 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def _words_of(at: np.ndarray) -> pa.RecordBatch:
+    """The words of a bitmap that ascending distinct places set."""
+    if not len(at):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["w", "m"])
+    word, start = np.unique(at >> 6, return_index=True)
+    return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), start).view(np.int64))], names=["w", "m"])
+
+
+def _collected(words: DataFrame, bits: int) -> bytes:
+    rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("m").to_numpy().view(np.uint64)
+    return out.tobytes()
+
+
+def repeated_bitmap(rows: DataFrame, bits: int) -> bytes:
+    """Of rows (h, many), a bitmap of 2**bits places with those h set that come more than once or are many in one row. Its size
+    is fixed; with very many such h it only lets more through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if held:
+            h, back, n = np.unique(np.concatenate([x for x, _ in held]).view(np.uint64), return_inverse=True, return_counts=True)
+            many = np.bincount(back, np.concatenate([m for _, m in held])) > 0
+            yield _words_of(np.unique(filter_place(h[(n > 1) | many], bits)))
+
+    return _collected(rows.repartition("h").mapInArrow(run, "w bigint, m bigint"), bits)
+
+
+def bitmap_of(ids: DataFrame, bits: int = 24) -> bytes:
+    """A bitmap of 2**bits places with those of the ids (the frame's one column) set: its size is fixed; with many more ids it
+    only lets more through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _words_of(np.unique(mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64))
+
+    return _collected(ids.mapInArrow(run, "w bigint, m bigint"), bits)

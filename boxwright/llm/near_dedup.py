@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.bytekit import SPACES, STEP, mix, pieces, shingle_hashes, text_bytes, word_hashes, words
-from boxwright.llm.common import connected_components, cut, dedupe_columns
+from boxwright.llm.bytekit import SPACES, STEP, mix, pieces, shingle_hashes, text_bytes, whole_groups, word_hashes, words
+from boxwright.llm.common import bitmap_of, connected_components, cut, dedupe_columns
 
 SHINGLE = 5
 PERMUTATIONS = 128  # whose minima and maxima are banded
@@ -160,26 +160,15 @@ def _pairs(least: float, threshold: float, top: int | None):
         return np.unique(np.concatenate(found, axis=1), axis=1) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        emit = lambda p: pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
-
-        def whole(table):
+        for table in whole_groups(batches, "key"):
             keys = table.column("key").to_numpy()
             ids, n, comp, band = (table.column(c).to_numpy() for c in ("id", "n", "comp", "band"))
             sig = table.column("sig").to_pylist()
             edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
             found = [p for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1 and (p := of(ids[s:e], n[s:e], sig[s:e], comp[s:e], band[s])) is not None]
-            return np.unique(np.concatenate(found, axis=1), axis=1) if found else None
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = table.column("key").to_numpy()
-            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            held = table.slice(last)
-            if last and (p := whole(table.slice(0, last))) is not None:
-                yield emit(p)
-        if held is not None and len(held) and (p := whole(held)) is not None:
-            yield emit(p)
+            if found:
+                p = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
 
     return run
 
@@ -201,21 +190,6 @@ def _setter(k: int, ids):
     return run
 
 
-def _bitmap(ids: DataFrame, bits: int = 24) -> bytes:
-    """A bitmap of 2**bits places with those of the ids set: its size is fixed; with many more ids it only lets more through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-            word, start = np.unique(at >> 6, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), start).view(np.int64)) if len(at) else pa.array([], pa.int64())], names=["w", "m"])
-
-    rows = ids.mapInArrow(run, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows.column("w").to_numpy()] = rows.column("m").to_numpy().view(np.uint64)
-    return out.tobytes()
-
-
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, key: s
         pairs = sent.mapInArrow(_pairs(least, percent / 100, top), "a bigint, b bigint").distinct()
         pairs = cut(pairs, "pairs")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        bitmap = spark.sparkContext.broadcast(_bitmap(asked))
+        bitmap = spark.sparkContext.broadcast(bitmap_of(asked))
         sets = cut(read.mapInArrow(_setter(k, bitmap), "doc_id bigint, members binary").join(asked.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "sets")
         left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right"))

@@ -1,75 +1,102 @@
 """Operator 9: near-duplicate passages by compact windows.
 
-A token is the hash of five consecutive words. Under each hash function, the Cartesian tree of a document's token hashes
-gives its compact windows: a triple l <= c <= r says that every run of tokens that starts in l..c and ends in c..r has
-its least hash at c. Only windows of at least the passage length matter, about 2n / t of them per function.
-Windows with equal hashes are tied to the earliest and to the last of their group (not to all: a group costs links in
-proportion to its size). Links of two documents are joined by overlap; where at least `need` of the functions agree
-over one stretch, the stretch's tokens are compared: the runs in it that begin and end with shared tokens and have the
-length and the similarity asked for are near-duplicate passages, those that overlap joined.
-What first and last do not show, a second pass does: two documents with a passage in common share some tokens in a row
-(`sure_run`), so a seed picked among these by content; pairs that share a seed are compared as wholes unless the
-seed lies in passages found in both and both are in one component. Such pairs change no has_passage and no class_id;
-n_links counts the pairs that were compared and found.
-
-A function agrees with probability s at similarity s; three of six do with probability .98 at .8, and always for equal passages.
-
-Defined cases: null, empty and short texts have no passages; rows that share a doc_id are one document; equal texts are
-compared once, by their smallest doc_id, and inherit its passages besides being passages of each other; an empty table
-gives no rows; extra columns are ignored.
+A token is the hash of five consecutive words. Under a hash function, the Cartesian tree of a document's token hashes gives
+its compact windows: a triple l <= c <= r says that every run of tokens that starts in l..c and ends in c..r has its least
+hash at c. Only windows of at least the passage length matter, about 2n / t of them per function.
+1. Functions come in pairs (`BANDS`). Within a document, the windows of a pair's two functions are joined as intervals: where
+   they overlap by the passage length, all runs there share both minima, and the two tokens together are a cell's key.
+   Windows whose token is the centre of no other window of the first function are left out before (a bitmap of fixed size).
+   At similarity s a passage shares a given key with probability s^2, so one of four with .98 at .8, and always if equal.
+2. Cells with equal keys form a group. Each is tied to the group's first and last cell (so links grow as the cells do). Ties
+   of two documents that lie on one alignment make a stretch, whose tokens are compared: the runs in it that begin and end
+   with shared tokens and have the length and the similarity asked for are near-duplicate passages, those that overlap joined.
+3. First and last may be unlike the rest. What is still open is compared pair by pair: two cells of a group unless both lie in
+   passages found and their documents are linked already. Groups of up to `SMALL` cells give their open pairs at once. In
+   larger ones, a passage in common means common tokens around the cells: tokens that at most SMALL cells of the group hold
+   make small groups again; cells that share only commoner ones must share as many of these as a passage must have in common,
+   and are compared so in pairs of blocks.
+So every document with a passage in common with another is reported with it, and linked documents are in one class; of a
+passage that many documents hold, not all pairs are listed.
+
+Defined cases: null, empty and short texts have no passages; rows that share a doc_id are one document; a null doc_id is
+compared with nothing and keeps a null class; equal texts are compared once, by their smallest doc_id, and inherit its
+passages besides being passages of each other; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.bytekit import SPACES, STEP, mix, pieces, shingle_hashes, text_bytes, word_hashes, words
-from boxwright.llm.common import connected_components, cut, dedupe_columns, discard
-from boxwright.llm.near_dedup import _bitmap
+from boxwright.llm.bytekit import SPACES, STEP, filter_place, mix, pieces, shingle_hashes, text_bytes, whole_groups, word_hashes, words
+from boxwright.llm.common import bitmap_of, connected_components, cut, dedupe_columns, discard, repeated_bitmap
 
 SHINGLE = 5
 MIN_WORDS = 50
-FUNCTIONS = 6
-NEED = 3
-DRIFT = 64  # tokens by which an alignment may leave the shifts of its seeds
-GRAM = 14
+BANDS = 4
+DRIFT = 64  # tokens by which an alignment may leave the shifts of its ties
+FILTER_BITS = 27  # 16 MB
+SMALL = 16
 BLOCK = 512
+CELL = "h bigint, doc_id bigint, c int, lo int, hi int"
+RUN = "x bigint, y bigint, xs bigint, xe bigint, ys bigint, ye bigint"
+STRETCH = ["x", "y", "xs", "xe", "ys", "ye", "near", "far"]
 
 
-def compact_windows(h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """l, c, r of the windows of at least `least` tokens; rows are h[first[i]:first[i + 1]]. Level by level down the Cartesian trees."""
-    lo, hi = first[:-1], first[1:]
-    out = []
+def _trees(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int, points: np.ndarray | None = None):
+    """(l, c, r) of the Cartesian trees of the ranges lo..hi, level by level; with `points` (ascending), only of ranges that hold one."""
     while True:
         wide = hi - lo >= least
+        if points is not None:
+            wide &= np.searchsorted(points, lo) < np.searchsorted(points, hi)
         lo, hi = lo[wide], hi[wide]
         if not len(lo):
-            break
+            return
         # ranges are disjoint and ascend: minima between their edges, every second one is a range
         edges = np.stack([lo, hi], axis=1).ravel()
-        ends_at = edges[-1] == len(h)
-        low = np.minimum.reduceat(h, edges[:-1] if ends_at else edges)[::2]
+        low = np.minimum.reduceat(h, edges[:-1] if edges[-1] == len(h) else edges)[::2]
         size = hi - lo
         start = np.cumsum(size) - size
         at = np.repeat(lo - start, size) + np.arange(size.sum())
         hit = at[h[at] == np.repeat(low, size)]
         c = hit[np.searchsorted(hit, lo)]  # the leftmost of equals
-        out.append((lo, c, hi - 1))
+        yield lo, c, hi - 1
         lo, hi = np.stack([lo, c + 1], axis=1).ravel(), np.stack([c, hi], axis=1).ravel()
+
+
+def compact_windows(h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """l, c, r of the windows of at least `least` tokens; rows are h[first[i]:first[i + 1]]."""
+    out = list(_trees(h, first[:-1], first[1:], least))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def joined_windows(windows, h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Interval join of some windows (l, c, r) with those of a second function h that overlap them by `least` tokens and hold
+    the same runs: the window's index, the other's centre, and both ends of what they have in common."""
+    l, c, r = windows
+    of = np.argsort(c)
+    found = []
+    for a, k, b in _trees(h, first[:-1], first[1:], least, c[of]):
+        at = np.searchsorted(a, c[of], side="right") - 1
+        inside = (at >= 0) & (c[of] <= b[np.maximum(at, 0)])
+        of, at = of[inside], at[inside]
+        s, e = np.maximum(l[of], a[at]), np.minimum(r[of], b[at])
+        ok = (l[of] <= k[at]) & (k[at] <= r[of]) & (e - s + 1 >= least)
+        found.append((of[ok], k[at][ok], s[ok], e[ok]))
+    if not found:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _tokens(column: pa.Array, k: int):
     """Per piece of the batch: first row, token hashes with rows closed up, and the rows' edges in them."""
     data, offsets = text_bytes(column)
@@ -84,77 +111,76 @@ def _tokens(column: pa.Array, k: int):
         yield a, s[at], edge
 
 
-def _windows(k: int, least: int, functions: int):
-    schema = ("kind", "h", "doc_id", "l", "c", "r")
+def _hashed(tokens: np.ndarray, f: int) -> np.ndarray:
+    return mix((tokens ^ STEP[20 + f]) * STEP[40 + f])
+
+
+def _centres(k: int, least: int, bands: int):
+    """Each batch's distinct centres of windows of the first functions, and whether they repeat within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            got: list[list] = [[], [], [], [], []]
-            for a, tokens, edge in _tokens(batch.column(1), k):
-                for f in range(functions):
-                    h = mix((tokens ^ STEP[20 + f]) * STEP[30 + f])
-                    lo, c, hi = compact_windows(h, edge, least)
-                    row = np.searchsorted(edge, c, side="right") - 1
-                    for column, value in zip(got, (h[c], keys[a + row], lo - edge[row], c - edge[row], hi - edge[row]), strict=True):
-                        column.append(value)
-            if not got[0]:
-                continue
-            h, d, lo, c, hi = (np.concatenate(x) for x in got)
-            _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            known = n[back] > 1
-            ask = np.zeros(len(h), bool)
-            ask[first] = True
-            index = np.r_[np.flatnonzero(ask), np.flatnonzero(known)]
-            kind = np.r_[np.where(known[ask], 2, 0), np.full(known.sum(), 1)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h[index].view(np.int64)), pa.array(d[index]), *(pa.array(x[index].astype(np.int32)) for x in (lo, c, hi))], names=schema)
+            got = []
+            for _, tokens, edge in _tokens(batch.column(1), k):
+                for f in range(bands):
+                    h = _hashed(tokens, f)
+                    got.append(mix(h[compact_windows(h, edge, least)[1]]))
+            if got:
+                h, n = np.unique(np.concatenate(got), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "many"])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = [b for b in batches if b.num_rows]
-    if not table:
-        return
-    column = lambda i: np.concatenate([b.column(i).to_numpy() for b in table])
-    kind, h = column(0), column(1)
-    _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-    hit = np.flatnonzero((n[back] > 1) & (kind == 0))
-    yield pa.RecordBatch.from_arrays([pa.array(column(i)[hit]) for i in range(1, 6)], names=["h", "doc_id", "l", "c", "r"])
+def _cells(k: int, least: int, bands: int, bits: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for a, tokens, edge in _tokens(batch.column(1), k):
+                got: list[list] = [[], [], [], [], []]
+                for f in range(bands):
+                    h = _hashed(tokens, f)
+                    l, c, r = compact_windows(h, edge, least)
+                    at = filter_place(mix(h[c]), bits)
+                    through = np.flatnonzero((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                    l, c, r = l[through], c[through], r[through]
+                    other = _hashed(tokens, bands + f)
+                    of, c2, s, e = joined_windows((l, c, r), other, edge, least)
+                    row = np.searchsorted(edge, s, side="right") - 1
+                    key = mix(h[c[of]] * STEP[0] + other[c2] * STEP[1] + STEP[2 + f])
+                    for column, value in zip(got, (key.view(np.int64), keys[a + row], c[of] - edge[row], s - edge[row], e - edge[row]), strict=True):
+                        column.append(value)
+                h, d, *places = (np.concatenate(x) for x in got)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), *(pa.array(x.astype(np.int32)) for x in places)], names=["h", "doc_id", "c", "lo", "hi"])
 
+    return run
 
-def _stretches(least: int, need: int):
-    """Of one pair's links (x's window, y's window): stretches where enough functions agree."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ("xl", "xc", "xr", "yl", "yc", "yr")
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            xs, ys, links = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            edges = links.offsets.to_numpy()
-            flat = links.values.slice(edges[0], edges[-1] - edges[0])
-            v = np.stack([flat.field(f).to_numpy() for f in fields], axis=1).astype(np.int64)
-            row = np.repeat(np.arange(len(xs)), np.diff(edges))
-            # links whose centres are equally far apart (give or take edits) belong to one alignment
-            shift = v[:, 1] - v[:, 4]
-            order = np.lexsort((v[:, 1], shift, row))
-            v, shift, row = v[order], shift[order], row[order]
-            group = np.cumsum(np.r_[True, (row[1:] != row[:-1]) | (shift[1:] - shift[:-1] > 16)]) - 1
-            # within it, a stretch goes on while the next window overlaps what has been reached
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a pair's ties by shift: stretches, those of nearly equal shifts (edits between) that overlap made one."""
+    names = ("shift", "xs", "xe", "ys", "ye")
+    for batch in batches:
+        x, y, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        edges = ties.offsets.to_numpy()
+        flat = ties.values.slice(edges[0], edges[-1] - edges[0])
+        v = np.stack([flat.field(n).to_numpy() for n in names], axis=1).astype(np.int64)
+        row = np.repeat(np.arange(len(x)), np.diff(edges))
+        order = np.lexsort((v[:, 1], v[:, 0], row))
+        v, row = v[order], row[order]
+        if len(v):
+            group = np.cumsum(np.r_[True, (row[1:] != row[:-1]) | (v[1:, 0] - v[:-1, 0] > 16)])
             order = np.lexsort((v[:, 1], group))
             v, row, group = v[order], row[order], group[order]
-            base = group * (int(v[:, 2].max()) + least + 2) if len(v) else group
+            base = group * (int(v[:, 2].max()) + 2)
             reach = np.maximum.accumulate(v[:, 2] + base)
-            new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | ((v[:, 0] + base)[1:] + least // 2 > reach[:-1])]) if len(v) else group
-            size = np.diff(np.r_[new, len(v)])
-            if len(v):
-                low, high = np.minimum.reduceat(v, new, axis=0), np.maximum.reduceat(v, new, axis=0)
-                keep = size >= need
-                at = row[new][keep]
-                out = [xs[at], ys[at], low[keep, 0], high[keep, 2] + 1, low[keep, 3], high[keep, 5] + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["x", "y", "xs", "xe", "ys", "ye"])
-
-    return run
+            new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | ((v[:, 1] + base)[1:] > reach[:-1])])
+            low, high, row = np.minimum.reduceat(v, new, axis=0), np.maximum.reduceat(v, new, axis=0), row[new]
+            # how far a place in y's part of the stretch lies behind the same place in x's
+            part = low[:, 1] - low[:, 3]
+            out = (x[row], y[row], low[:, 1], high[:, 2], low[:, 3], high[:, 4], part - high[:, 0], part - low[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=STRETCH)
 
 
 def _sequences(k: int, ids):
@@ -242,72 +268,16 @@ def shared_runs(u: np.ndarray, v: np.ndarray, least: int, percent: int, shifts:
     i, j = start[new], reach[np.r_[new[1:], len(reach)] - 1]
     return list(zip(p[i].tolist(), (p[j] + 1).tolist(), q[i].tolist(), (q[j] + 1).tolist(), strict=True))
 
-
-def sure_run(least: int, percent: int, k: int) -> int:
-    """Every passage has so many shared tokens in a row: an edit costs 2k - 1 tokens of the two sides at least, so g edits ask for
-    g (2k - 1) percent / (100 - percent) shared tokens, and these make g + 1 rows at most."""
-    shared = -(-2 * percent * least // (100 + percent))
-    edits = range(least) if percent < 100 else range(1)
-    return min(-(-max(shared, -(-g * (2 * k - 1) * percent // max(1, 100 - percent))) // (g + 1)) for g in edits)
-
-
-def whole_runs(u: np.ndarray, v: np.ndarray, least: int, percent: int, run: int) -> list[tuple[int, int, int, int]]:
-    """Passages of two whole documents: along every alignment that has `run` shared tokens in a row."""
-    by = np.argsort(v, kind="stable")
-    w = v[by]
-    first = np.searchsorted(w, u, "left")
-    n = np.searchsorted(w, u, "right") - first
-    p = np.repeat(np.arange(len(u)), n)
-    q = by[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
-    order = np.lexsort((p, q - p))
-    p, shift = p[order], (q - p)[order]
-    edge = np.flatnonzero(np.r_[True, (shift[1:] != shift[:-1]) | (p[1:] != p[:-1] + 1), True]) if len(p) else np.zeros(1, int)
-    seen = np.unique(shift[edge[:-1]][np.diff(edge) >= run])
-    groups = np.split(seen, np.flatnonzero(np.diff(seen) > 16) + 1) if len(seen) else []
-    return sorted({x for s in groups for x in shared_runs(u, v, least, percent, (int(s[0]), int(s[-1])))})
-
-
-def _seeds(k: int, least: int, run: int):
-    """Grams of tokens picked so that any `run` tokens in a row hold one, by content alone: the least of each window."""
-    size = max(1, min(GRAM, run * 2 // 3))
-    wide = run - size + 1
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for a, tokens, edge in _tokens(batch.column(1), k):
-                n = len(tokens) - size + 1
-                if n < wide:
-                    continue
-                g = tokens[:n] * STEP[40]
-                for j in range(1, size):
-                    g += tokens[j : n + j] * STEP[40 + j]
-                g = mix(g)
-                least_of = sliding_window_view(g, wide).argmin(axis=1) + np.arange(n - wide + 1)
-                row = np.searchsorted(edge, np.arange(n - wide + 1), side="right") - 1
-                whole = (np.arange(n - wide + 1) + run <= edge[row + 1]) & (np.diff(edge)[row] >= least)
-                at = np.unique(least_of[whole])
-                row = np.searchsorted(edge, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(keys[a + row]), pa.array((at - edge[row]).astype(np.int32))], names=["g", "doc_id", "at"])
-
-    return mapped, size
-
-
-def _in_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = [b for b in batches if b.num_rows]
-    if table:
-        _, back, n = np.unique(np.concatenate([b.column(0).to_numpy() for b in table]), return_inverse=True, return_counts=True)
-        yield from pa.Table.from_batches(table).filter(pa.array(n[back] > 1)).to_batches()
-
-
 def _verify(least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             out: list[list] = [[], [], [], [], [], []]
-            for x, y, xs, xe, ys, ye, u, v in zip(*(c[n] for n in ("x", "y", "xs", "xe", "ys", "ye", "left", "right")), strict=True):
-                u, v = np.frombuffer(u, np.uint32)[xs:xe], np.frombuffer(v, np.uint32)[ys:ye]
-                for a, b, d, e in shared_runs(u, v, least, percent):
+            for x, y, xs, _, ys, _, near, far, u, v in zip(*(c[n] for n in (*STRETCH, "left", "right")), strict=True):
+                u, v = np.frombuffer(u, np.uint32), np.frombuffer(v, np.uint32)
+                # one token over and over aligns in many ways: ties far apart are followed at both ends, too
+                ways = {(near, far)} | ({(near, near), (far, far)} if far - near > DRIFT // 4 else set())
+                for a, b, d, e in {x for w in ways for x in shared_runs(u, v, least, percent, w)}:
                     for column, value in zip(out, (x, y, xs + a, xs + b, ys + d, ys + e), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["x", "y", "xs", "xe", "ys", "ye"])
@@ -315,141 +285,200 @@ def _verify(least: int, percent: int):
     return run
 
 
-def _verify_whole(least: int, percent: int, run: int):
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _around(least: int):
+    """A row for every distinct token around a cell (at most 2 x least - 1 of them)."""
+    names = ("h", "doc_id", "c", "lo", "hi", "comp", "open")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = [batch.column(n).to_pylist() for n in ("x", "y", "left", "right")]
-            rows = [(x, y, *r) for x, y, u, v in zip(*c, strict=True) for r in whole_runs(np.frombuffer(u, np.uint32), np.frombuffer(v, np.uint32), least, percent, run)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=["x", "y", "xs", "xe", "ys", "ye"])
-
-    return mapped
-
-
-def _linked(read: DataFrame, k: int, least: int, functions: int, need: int) -> DataFrame:
-    """Stretches of pairs of documents that the first and the last compact windows of the groups link."""
-    rows = cut(read.mapInArrow(_windows(k, least, functions), "kind int, h bigint, doc_id bigint, l int, c int, r int"), "windows")
-    columns = ["h", "doc_id", "l", "c", "r"]
-    asked = rows.where("kind <> 1").repartition("h").mapInArrow(_repeated, "h bigint, doc_id bigint, l int, c int, r int")
-    linked = cut(rows.where("kind = 1").select(*columns).unionByName(asked), "repeated")
-    discard(rows)
-    item = F.struct("doc_id", "c", "l", "r")
-    ends = cut(linked.groupBy("h").agg(F.min(item).alias("lo"), F.max(item).alias("hi")), "ends")
-    # a group's other windows are tied to its first and last; larger groups share those, so links stay in proportion
-    both = linked.join(ends, "h").select("doc_id", "c", "l", "r", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("p")).where("p.doc_id <> doc_id")
-    swap = F.col("p.doc_id") < F.col("doc_id")
-    one = lambda a, b, n: F.when(swap, F.col(a)).otherwise(F.col(b)).alias(n)
-    pair = both.select(
-        one("p.doc_id", "doc_id", "x"), one("doc_id", "p.doc_id", "y"),
-        F.struct(one("p.l", "l", "xl"), one("p.c", "c", "xc"), one("p.r", "r", "xr"), one("l", "p.l", "yl"), one("c", "p.c", "yc"), one("r", "p.r", "yr")).alias("e"),
-    )
-    grouped = pair.groupBy("x", "y").agg(F.collect_set("e").alias("links")).where(F.size("links") >= need)  # bounded by two documents
-    stretches = cut(grouped.mapInArrow(_stretches(least, need), "x bigint, y bigint, xs bigint, xe bigint, ys bigint, ye bigint"), "stretches")
-    discard(linked)
-    discard(ends)
-    return stretches
+            sets = [np.unique(np.frombuffer(t, np.uint32)) for t in batch.column("tokens").to_pylist()]
+            of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            t = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+            for s in range(0, len(of), 200_000):
+                part = batch.select(names).take(pa.array(of[s : s + 200_000]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(t[s : s + 200_000])], names=[*names, "t"])
 
+    return run
 
-def _let_go(spark: SparkSession) -> None:
-    """Spark deletes shuffle files once the plans they belong to are collected; big steps should not wait for that."""
-    gc.collect()
-    spark._jvm.System.gc()
 
+def _alike(common: int):
+    """Open pairs of cells of one pair of blocks that have `common` of the group's common tokens in common."""
 
-def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80, k: int = SHINGLE, functions: int = FUNCTIONS, need: int = NEED, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(x, y, xs, xe, ys, ye): passages (token places) of documents x < y, of at least min_words words, verified.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key"):
+            keys = table.column("key").to_numpy()
+            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                part = table.slice(s, e - s).combine_chunks()
+                d, comp, is_open, block = (part.column(n).to_numpy(zero_copy_only=False) for n in ("doc_id", "comp", "open", "block"))
+                lists = part.column("tokens").combine_chunks()
+                size = np.diff(lists.offsets.to_numpy())
+                _, t = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+                held = np.zeros((e - s, int(t.max()) + 1), np.float32)
+                held[np.repeat(np.arange(e - s), size), t] = 1
+                for r in range(0, e - s, 128):
+                    rows = slice(r, r + 128)
+                    ok = (held[rows] @ held.T >= common) & (d[rows][:, None] < d[None, :])
+                    ok &= is_open[rows][:, None] | is_open[None, :] | (comp[rows][:, None] != comp[None, :])
+                    # both of one block: only where that block meets itself
+                    ok &= (block[rows][:, None] != block[None, :]) | part.column("alone").to_numpy(zero_copy_only=False)[rows][:, None]
+                    i, j = np.nonzero(ok)
+                    for at in range(0, len(i), 100_000):
+                        cells = [part.select(["doc_id", "c", "lo", "hi"]).take(pa.array(k[at : at + 100_000])) for k in (i + r, j)]
+                        yield pa.RecordBatch.from_arrays([c.combine_chunks() for half in cells for c in half.columns], names=["x", "xc", "xl", "xh", "y", "yc", "yl", "yh"])
 
-    First the links of compact windows. Then pairs of documents that share a seed (a gram that any passage must hold in
-    common) which lies outside the passages found in one of them, or whose documents are still in different components:
-    those with the first and last of a seed's documents, and after these all that still are so."""
-    least = min_words - k + 1
-    read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    stretches = _linked(read, k, least, functions, need)
-    _let_go(docs.sparkSession)
-    found = _compared(read, stretches, k, _verify(least, percent), "passages")
-    run = sure_run(least, percent, k)
-    mapped, size = _seeds(k, least, run)
-    seeds = cut(read.mapInArrow(mapped, "g bigint, doc_id bigint, at int").repartition("g").mapInArrow(_in_common, "g bigint, doc_id bigint, at int"), "seeds")
-    for every in (False, True):
-        pairs = _open_pairs(seeds, found, size, every)
-        _let_go(docs.sparkSession)
-        more = _compared(read, pairs, k, _verify_whole(least, percent, run), "more")
-        found = cut(found.unionByName(more).distinct(), "all")
-    discard(seeds)
-    return found
-
-
-def _compared(read: DataFrame, pairs: DataFrame, k: int, verify, name: str) -> DataFrame:
-    """The passages that `verify` finds for pairs x, y (of their stretches xs, xe, ys, ye, or of all their tokens)."""
-    spark = read.sparkSession
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    bitmap = spark.sparkContext.broadcast(_bitmap(ids))
-    tokens = cut(read.mapInArrow(_sequences(k, bitmap), "doc_id bigint, tokens binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "tokens")
+    return run
+
+
+def _pair(a: str, b: str) -> list:
+    """Columns of a tie between the cells a and b, the smaller document first."""
+    swap = F.col(f"{b}.doc_id") < F.col(f"{a}.doc_id")
+    one = lambda p, q, field, n: F.when(swap, F.col(f"{q}.{field}")).otherwise(F.col(f"{p}.{field}")).alias(n)
+    return [one(p, q, field, side + n) for side, p, q in (("x", a, b), ("y", b, a)) for field, n in (("doc_id", ""), ("c", "c"), ("lo", "l"), ("hi", "h"))]
+
+
+def _ties_to_stretches(ties: DataFrame, name: str) -> DataFrame:
+    """Stretches of ties x, xc, xl, xh, y, yc, yl, yh; ends are exclusive."""
+    dealt = ties.repartition("x", "y")
+    by_shift = dealt.groupBy("x", "y", (F.col("xc") - F.col("yc")).alias("shift")).agg(F.min("xl").alias("xs"), (F.max("xh") + 1).alias("xe"), F.min("yl").alias("ys"), (F.max("yh") + 1).alias("ye"))
+    # bounded by the two documents
+    pairs = by_shift.groupBy("x", "y").agg(F.collect_list(F.struct("shift", "xs", "xe", "ys", "ye")).alias("ties"))
+    return cut(pairs.mapInArrow(_stretches, RUN + ", near bigint, far bigint"), name)
+
+
+def _compared(read: DataFrame, pairs: DataFrame, k: int, least: int, percent: int, name: str) -> DataFrame:
+    """The passages found in stretches of pairs."""
+    tokens = _token_rows(read, pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), k)
     # only the stretch of each document travels on
-    part = lambda side, s, e: F.expr(f"substring({side}, cast({s} * 4 + 1 as int), cast(({e} - {s}) * 4 as int))") if s in pairs.columns else F.col(side)
+    part = lambda side, s, e: F.expr(f"substring({side}, cast({s} * 4 + 1 as int), cast(({e} - {s}) * 4 as int))")
     first = pairs.join(tokens.select(F.col("doc_id").alias("x"), F.col("tokens").alias("left")), "x").withColumn("left", part("left", "xs", "xe"))
     second = first.join(tokens.select(F.col("doc_id").alias("y"), F.col("tokens").alias("right")), "y").withColumn("right", part("right", "ys", "ye"))
-    out = cut(second.select(*pairs.columns, "left", "right").mapInArrow(verify, "x bigint, y bigint, xs bigint, xe bigint, ys bigint, ye bigint"), name)
+    out = cut(second.select(*pairs.columns, "left", "right").mapInArrow(_verify(least, percent), RUN).distinct(), name)
     discard(tokens)
-    discard(pairs)
     return out
 
 
-def _open_pairs(seeds: DataFrame, found: DataFrame, size: int, every: bool) -> DataFrame:
-    """Pairs x < y of documents that share a seed outside the passages found in one of them, or in two components: every such
-    pair, or those with the seed's first and last document that has it outside (or with its first and last, if none has)."""
-    spans = found.select(F.col("x").alias("d"), F.struct(F.col("xs").alias("s"), F.col("xe").alias("e")).alias("span")).unionByName(found.select(F.col("y").alias("d"), F.struct(F.col("ys").alias("s"), F.col("ye").alias("e")).alias("span")))
+def _token_rows(read: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, tokens of the documents asked for."""
+    shared = read.sparkSession.sparkContext.broadcast(bitmap_of(ids))
+    return cut(read.mapInArrow(_sequences(k, shared), "doc_id bigint, tokens binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "tokens")
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    return found.select(F.col("x").alias("d"), F.col("xs").alias("s"), F.col("xe").alias("e")).unionByName(found.select(F.col("y").alias("d"), F.col("ys").alias("s"), F.col("ye").alias("e")))
+
+
+def _merged_spans(found: DataFrame) -> DataFrame:
+    """(d, spans): per document what its passages cover, ascending."""
+    # the longest of each start first: at most as many as the document has tokens
+    longest = _spans(found).groupBy("d", "s").agg(F.max("e").alias("e"))
+    joined = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("s", "e"))),
+        F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)"),
+        lambda a, x: F.when((F.size(a) > 0) & (x["s"] <= F.element_at(a, -1)["e"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(a, F.array(x))),
+    )
+    return longest.groupBy("d").agg(joined.alias("spans"))
+
+
+def _open_ties(read: DataFrame, cells: DataFrame, found: DataFrame, label: DataFrame, k: int, least: int, percent: int) -> DataFrame:
+    """Ties between cells of a group that are open still, but for those with the group's first and last, which were compared."""
+    known = cut(_merged_spans(found).join(label, F.col("d") == F.col("node")).select("d", "spans", "component"), "known")
+    inside = F.exists("spans", lambda r: (r["s"] <= F.col("c")) & (F.col("c") < r["e"]))
+    state = cells.join(known, F.col("doc_id") == F.col("d"), "left")
+    state = state.select("h", "doc_id", "c", "lo", "hi", F.coalesce("component", "doc_id").alias("comp"), (~F.coalesce(inside, F.lit(False))).alias("open"))
+    groups = state.groupBy("h").agg(F.count("*").alias("n"), F.max("open").alias("any"), F.min("comp").alias("one"), F.max("comp").alias("other"))
+    # of up to three, first and last show every pair
+    groups = cut(groups.where("n > 3 and (any or one <> other)").select("h", "n"), "open-groups")
+    members = cut(state.join(groups, "h"), "open-cells")
+    item = F.struct("doc_id", "c", "lo", "hi", "comp", "open")
+    needed = lambda a, b: (a["doc_id"] < b["doc_id"]) & (a["open"] | b["open"] | (a["comp"] != b["comp"]))
+    each = lambda array: F.explode(F.flatten(F.transform(array, lambda a: F.transform(F.filter(array, lambda b: needed(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    small = members.where(F.col("n") <= SMALL).groupBy("h").agg(F.array_sort(F.collect_list(item)).alias("m"))
+    ties = small.select(F.slice("m", 2, F.size("m") - 2).alias("m")).select(each(F.col("m")).alias("t")).select("t.a", "t.b").select(*_pair("a", "b"))
+    # larger groups, by the tokens around their cells
+    large = members.where(F.col("n") > SMALL)
+    tokens = _token_rows(read, large.select("doc_id").distinct(), k)
+    start = F.greatest(F.col("lo"), F.col("c") - (least - 1))
+    size = F.least(F.col("hi"), F.col("c") + (least - 1)) + 1 - start
+    cut_tokens = large.join(tokens, "doc_id").select("h", "doc_id", "c", "lo", "hi", "comp", "open", F.substring("tokens", start * 4 + 1, size * 4).alias("tokens"))
+    around = cut(cut_tokens.mapInArrow(_around(least), f"{CELL}, comp bigint, open boolean, t bigint"), "around")
+    often = cut(around.groupBy("h", "t").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    rare = around.join(often.where(F.col("n") <= SMALL).select("h", "t"), ["h", "t"]).groupBy("h", "t").agg(F.collect_list(item).alias("m"))
+    by_rare = rare.select(each(F.col("m")).alias("t")).select("t.a", "t.b").select(*_pair("a", "b"))
+    common = -(-2 * percent * least // (100 + percent))
+    hot = around.join(often.where(F.col("n") > SMALL).select("h", "t"), ["h", "t"]).groupBy("h", "doc_id", "c", "lo", "hi", "comp", "open").agg(F.collect_list("t").alias("tokens")).where(F.size("tokens") >= common)
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "c"), parts).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = hot.join(groups, "h").select("h", "doc_id", "c", "lo", "hi", "comp", "open", "tokens", own.alias("block"), F.explode(meets).alias("p"))
+    dealt = dealt.select(F.xxhash64("h", "p.i", "p.j").alias("key"), "block", (F.col("p.i") == F.col("p.j")).alias("alone"), "doc_id", "c", "lo", "hi", "comp", "open", "tokens")
+    by_common = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(common), "x bigint, xc int, xl int, xh int, y bigint, yc int, yl int, yh int")
+    out = cut(ties.unionByName(by_rare).unionByName(by_common), "open-ties")
+    for table in (known, groups, members, tokens, around, often):
+        discard(table)
+    return out
+
+
+def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(x, y, xs, xe, ys, ye): passages (token places, ends exclusive) of documents x < y, of at least min_words words, verified."""
+    return _passages_and_classes(docs, min_words, percent, k, bands, key, text)[0]
+
+
+def _passages_and_classes(docs: DataFrame, min_words: int, percent: int, k: int, bands: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    spark = docs.sparkSession
+    least = min_words - k + 1
+    read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    shared = spark.sparkContext.broadcast(repeated_bitmap(read.mapInArrow(_centres(k, least, bands), "h bigint, many boolean"), FILTER_BITS))
+    cells = cut(read.mapInArrow(_cells(k, least, bands, FILTER_BITS, shared), CELL), "cells")
+    item = F.struct("doc_id", "c", "lo", "hi")
+    ends = cells.groupBy("h").agg(F.min(item).alias("first"), F.max(item).alias("last")).where("first.doc_id <> last.doc_id")
+    ends = cut(ends, "ends")
+    grouped = cut(cells.join(ends.select("h"), "h", "left_semi"), "grouped")
+    discard(cells)
+    both = grouped.join(ends, "h").select(item.alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a.doc_id <> b.doc_id")
+    stretches = _ties_to_stretches(both.select(*_pair("a", "b")), "stretches")
+    discard(ends)
+    found = _compared(read, stretches, k, least, percent, "passages")
     label = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    longest = spans.groupBy("d", "span.s").agg(F.max("span.e").alias("e"))  # at most as many as the document has tokens
-    known = longest.groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("spans")).join(label, F.col("d") == F.col("node"))
-    inside = F.exists("spans", lambda r: (r["s"] <= F.col("at")) & (F.col("at") + size <= r["e"]))
-    state = seeds.join(known, F.col("doc_id") == F.col("d"), "left").select("g", "doc_id", (~F.coalesce(inside, F.lit(False))).alias("open"), F.coalesce("component", "doc_id").alias("comp"))
-    members = cut(state.groupBy("g", "doc_id", "comp").agg(F.max("open").alias("open")), "members")
-    groups = members.groupBy("g").agg(F.count("*").alias("n"), F.max("open").alias("any"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(~F.col("open"), "doc_id", "comp")).alias("head"), F.max(F.struct("open", "doc_id", "comp")).alias("tail")).where("n > 1 and (any or lo <> hi)")
-    needed = F.expr("a.open or b.open or a.comp <> b.comp")
-    if not every:
-        edge = lambda name, is_open: F.struct(F.col(f"{name}.doc_id").alias("doc_id"), F.col(f"{name}.comp").alias("comp"), is_open.alias("open"))
-        edges = groups.select("g", F.explode(F.array_distinct(F.array(edge("head", F.col("any")), edge("tail", F.col("any"))))).alias("b"))
-        both = members.select("g", F.struct("doc_id", "comp", "open").alias("a")).join(edges, "g").where(F.expr("a.doc_id <> b.doc_id") & needed)
-    else:
-        # a large group is dealt in pairs of blocks
-        parts = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * 1000003 + F.greatest(own, j))
-        dealt = members.join(groups.select("g", "n"), "g").select("g", F.explode(blocks).alias("block"), "doc_id", "comp", "open")
-        one, other = (dealt.select("g", "block", F.struct("doc_id", "comp", "open").alias(n)) for n in "ab")
-        both = one.join(other, ["g", "block"]).where(F.expr("a.doc_id < b.doc_id") & needed)
-    pairs = cut(both.select(F.least("a.doc_id", "b.doc_id").alias("x"), F.greatest("a.doc_id", "b.doc_id").alias("y")).distinct(), "pairs")
-    discard(members)
-    return pairs
-
-
-def passage_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Per document: doc_id, n_words, n_shared_words (words in passages shared with another document), n_links (verified
-    passage pairs it takes part in), class_id (the smallest doc_id linked, over any number of links), has_passage."""
-    k = options.get("k", SHINGLE)
+    ties = _open_ties(read, grouped, found, label, k, least, percent)
+    discard(grouped)
+    again = _ties_to_stretches(ties, "open-stretches")
+    discard(ties)
+    again = cut(again.join(stretches, STRETCH, "left_anti"), "again")
+    more = _compared(read, again, k, least, percent, "more")
+    # classes go on from those that are there
+    name = lambda side: F.coalesce(f"{side}.component", side[0]).alias(side)
+    one, other = (label.select(F.col("node").alias(f"{n}_node"), F.struct("component").alias(f"{n}_of")) for n in "xy")
+    links = more.select("x", "y").distinct().join(one, F.col("x") == F.col("x_node"), "left").join(other, F.col("y") == F.col("y_node"), "left")
+    links = links.select(name("x_of").alias("a"), name("y_of").alias("b"))
+    edges = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    for table in (stretches, again):
+        discard(table)
+    return found.unionByName(more), connected_components(edges)
+
+
+def passage_report(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: doc_id, n_words, n_shared_words (words in passages shared with another document), class_id (the smallest
+    doc_id linked, over any number of links), has_passage."""
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
     sized = cut(read.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("h1"), F.crc32(F.encode("text", "UTF-8")).alias("h2"), F.when(trimmed != "", F.size(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))).otherwise(0).cast("bigint").alias("n_words")), "sized")
-    same = cut(sized.where("h1 is not null and n_words > 0").groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")), "same")
+    same = cut(sized.where("doc_id is not null and h1 is not null and n_words > 0").groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")), "same")
     # equal texts are compared once, by the smallest doc_id
-    later = cut(sized.join(same.where("copies > 1"), ["h1", "h2", "n_words"]).where("doc_id <> rep").select("doc_id").distinct(), "later")
-    found = near_passages(read.join(later, "doc_id", "left_anti"), key="doc_id", text="text", **options)
-    spans = found.select(F.col("x").alias("d"), F.col("xs").alias("s"), F.col("xe").alias("e")).unionByName(found.select(F.col("y").alias("d"), F.col("ys").alias("s"), F.col("ye").alias("e")))
+    later = cut(sized.join(same.where("top > rep"), ["h1", "h2", "n_words"]).where("doc_id <> rep").select("doc_id").distinct(), "later")
+    found, label = _passages_and_classes(read.join(later, "doc_id", "left_anti"), min_words, percent, k, bands, "doc_id", "text")
     fold = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("s", "e"))),
+        "spans",
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
         lambda a, x: F.struct((a["n"] + F.greatest(x["e"] + k - 1 - F.greatest(x["s"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["e"] + k - 1).alias("end")),
     )["n"]
-    per = spans.groupBy("d").agg(fold.alias("shared"), F.count("*").alias("links"))
-    label = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    per = cut(per.join(label, F.col("d") == F.col("node")).select("d", "shared", "links", "component"), "per")
-    whole = options.get("min_words", MIN_WORDS)
+    per = cut(_merged_spans(found).join(label, F.col("d") == F.col("node")).select("d", fold.alias("shared"), "component"), "per")
     joined = sized.join(same, ["h1", "h2", "n_words"], "left").join(per, F.col("rep") == F.col("d"), "left")
-    copied = (F.coalesce("copies", F.lit(0)) > 1) & (F.col("n_words") >= whole)
+    copied = F.coalesce(F.col("top") > F.col("rep"), F.lit(False)) & (F.col("n_words") >= min_words) & F.col("doc_id").isNotNull()
+    mine = F.col("doc_id").isNotNull()
     return joined.select(
         "doc_id", "n_words",
-        F.when(copied, F.col("n_words")).otherwise(F.coalesce("shared", F.lit(0))).cast("bigint").alias("n_shared_words"),
-        (F.coalesce("links", F.lit(0)) + F.when(copied, F.col("copies") - 1).otherwise(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component", F.when(copied, F.col("rep")), "doc_id").alias("class_id"),
-        (copied | F.col("links").isNotNull()).alias("has_passage"),
+        F.when(copied, F.col("n_words")).when(mine, F.coalesce("shared", F.lit(0))).otherwise(0).cast("bigint").alias("n_shared_words"),
+        F.when(mine, F.coalesce("component", F.when(copied, F.col("rep")), "doc_id")).alias("class_id"),
+        (copied | (mine & F.col("shared").isNotNull())).alias("has_passage"),
     )

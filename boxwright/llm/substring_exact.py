@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.bytekit import BYTE, _powers, mix, pieces, text_bytes
-from boxwright.llm.common import cut, dedupe_columns
+from boxwright.llm.bytekit import BYTE, _powers, filter_place, mix, pieces, text_bytes
+from boxwright.llm.common import cut, dedupe_columns, repeated_bitmap
 
 LENGTH = 100
 GRAM = 24
@@ -94,37 +94,6 @@ def _gram_rows(length: int, gram: int):
     return run
 
 
-def _filter_words(bits: int):
-    """Of one hash partition's grams: the bitmap's words that those which repeat set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if not held:
-            return
-        h, back, n = np.unique(np.concatenate([x for x, _ in held]).view(np.uint64), return_inverse=True, return_counts=True)
-        many = np.bincount(back, np.concatenate([m for _, m in held])) > 0
-        at = np.unique(_filter_place(h[(n > 1) | many], bits))
-        if len(at):
-            word, start = np.unique(at >> 6, return_index=True)
-            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), start)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["w", "m"])
-
-    return run
-
-
-def _filter_place(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def repeated_grams(read: DataFrame, length: int, gram: int, bits: int) -> bytes:
-    """The bitmap (2**bits places) of the anchor grams that occur more than once in the corpus."""
-    rows = read.select("text").mapInArrow(_gram_rows(length, gram), "h bigint, many boolean").repartition("h")
-    words = rows.mapInArrow(_filter_words(bits), "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
-    return out.tobytes()
-
-
 def splitters(read: DataFrame, length: int, gram: int, buckets: int, sample: int = SAMPLE) -> list[bytes]:
     """Leading grams that part the suffixes of at most `sample` documents into as many equal shares."""
 
@@ -166,7 +135,7 @@ def _contexts(length: int, gram: int, bits: int, shared, cuts):
             for a, b in pieces(offsets):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 place, h, least, most = anchors(part, off, length, gram)
-                at = _filter_place(h, bits)
+                at = filter_place(h, bits)
                 through = np.flatnonzero((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 place, least, most = place[through], least[through], most[through]
                 power, inverse = _powers(len(part))
@@ -336,7 +305,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, filt
     """(doc_id, spans: array of s, e): the byte spans to remove, unmerged, of the documents that have any."""
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(repeated_grams(read, length, gram, filter_bits))
+    shared = spark.sparkContext.broadcast(repeated_bitmap(read.select("text").mapInArrow(_gram_rows(length, gram), "h bigint, many boolean"), filter_bits))
     buckets = min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = spark.sparkContext.broadcast(splitters(read, length, gram, buckets))
     schema = "bucket int, doc_id bigint, pos bigint, least int, most int, context binary"

@@ -6,6 +6,11 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
+from boxwright.llm import passages as passages_operator
+
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -91,3 +96,41 @@ def boilerplate(docs, least):
             if words(line) and s is not None:
                 sites[line].add(s)
     return {x for x, s in sites.items() if len(s) >= least}
+
+
+def sure_run(least: int, percent: int, k: int) -> int:
+    """Every passage has so many shared tokens in a row: an edit costs 2k - 1 tokens of the two sides at least, so g edits ask for
+    g (2k - 1) percent / (100 - percent) shared tokens, and these make g + 1 rows at most."""
+    shared = -(-2 * percent * least // (100 + percent))
+    edits = range(least) if percent < 100 else range(1)
+    return min(-(-max(shared, -(-g * (2 * k - 1) * percent // max(1, 100 - percent))) // (g + 1)) for g in edits)
+
+
+def whole_runs(u: np.ndarray, v: np.ndarray, least: int, percent: int, run: int) -> list[tuple[int, int, int, int]]:
+    """Passages of two whole documents: along every alignment that has `run` shared tokens in a row."""
+    by = np.argsort(v, kind="stable")
+    w = v[by]
+    first = np.searchsorted(w, u, "left")
+    n = np.searchsorted(w, u, "right") - first
+    p = np.repeat(np.arange(len(u)), n)
+    q = by[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+    order = np.lexsort((p, q - p))
+    p, shift = p[order], (q - p)[order]
+    edge = np.flatnonzero(np.r_[True, (shift[1:] != shift[:-1]) | (p[1:] != p[:-1] + 1), True]) if len(p) else np.zeros(1, int)
+    seen = np.unique(shift[edge[:-1]][np.diff(edge) >= run])
+    groups = np.split(seen, np.flatnonzero(np.diff(seen) > 16) + 1) if len(seen) else []
+    return sorted({x for s in groups for x in passages_operator.shared_runs(u, v, least, percent, (int(s[0]), int(s[-1])))})
+
+
+def passage_links(docs, least=46, percent=80):
+    """Pairs of documents with a passage in common, of those that share as many tokens in a row as such a pair must."""
+    run = sure_run(least, percent, 5)
+    tokens, by_run = {}, defaultdict(set)
+    for i, t in docs:
+        if i is not None and t is not None:
+            for _, u, _ in passages_operator._tokens(pa.array([t]), 5):
+                tokens[i] = (u >> np.uint64(32)).astype(np.uint32)
+                for j in range(len(u) - run + 1):
+                    by_run[tokens[i][j : j + run].tobytes()].add(i)
+    pairs = {(a, b) for s in by_run.values() for a in s for b in s if a < b}
+    return {p for p in pairs if whole_runs(tokens[p[0]], tokens[p[1]], least, percent, run)}

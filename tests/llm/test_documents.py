@@ -227,6 +227,56 @@ def test_added_tokens_are_ids():
     assert got.column("doc_tokens").to_pylist() == [5]
 
 
+def test_passages_agree_with_every_pair(docs, rows):
+    links = reference.passage_links([(r[0], r[1]) for r in rows])
+    first = {}
+    for i, t, *_ in rows:
+        first.setdefault(t, i)
+    want = reference.components([r[0] for r in rows], links)
+    got = {r["doc_id"]: r for r in passages.passage_report(docs).collect()}
+    assert len(links) > 100 and {i: got[i]["class_id"] for i in want} == want
+    assert {i for i in got if got[i]["has_passage"]} == {i for p in links for i in p}
+
+
+def test_passages_among_scattered_shingles_are_found(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    noise = lambda n: [word() for _ in range(n)]
+    data, pairs = [], []
+    for g in range(30):
+        p = noise(60)
+        scattered = lambda: " ".join(w for i in range(0, 56) for w in [*p[i : i + 5], *noise(5)])  # noqa: E731, B023
+        at = 10 * g
+        data += [(at, scattered()), (at + 9, scattered())] + [(at + 3 + k, " ".join([*noise(60), *p, *noise(60)])) for k in range(2)]
+        pairs.append((at + 3, at + 4))
+    r.shuffle(data)
+    found = {(x["x"], x["y"]) for x in passages.near_passages(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert found == set(pairs)
+
+
+def test_passages_in_a_large_open_group(spark):
+    """A phrase of 24 words in many documents makes large groups of unlike cells; pairs among them share more, or a line of 48 words."""
+    r = random.Random(4)
+    noise = lambda n: ["".join(r.choice("klmnopqrst") for _ in range(7)) for _ in range(n)]
+    phrase, line = noise(24), noise(48)
+    data = [(i, " ".join([*noise(40), *phrase, *noise(40)])) for i in range(120)]
+    twin = noise(40)
+    data += [(200 + k, " ".join([*noise(30), *phrase, *twin, *noise(30)])) for k in (0, 50)]
+    data += [(300 + k, " ".join([*noise(40), *line[:26], *noise(3), *line[26:], *noise(40)])) for k in range(40)]
+    data += [(150 + 400 * k, " ".join([*noise(40), *line, "same", "end", *noise(40)])) for k in range(2)]
+    want = reference.components([d[0] for d in data], reference.passage_links(data))
+    got = {x["doc_id"]: x["class_id"] for x in passages.passage_report(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert want[250] == 200 and want[550] == 150 and got == want
+
+
+def test_passages_with_null_keys_and_clashing_names(spark):
+    r = random.Random(2)
+    p = " ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(80))
+    data = [(1, p, "x", 1), (None, p, "y", 2), (2, "other " + p, "z", 3), (None, None, None, None), (3, None, None, 4)]
+    got = passages.passage_report(spark.createDataFrame(data, "doc_id bigint, text string, class_id string, h bigint")).collect()
+    assert sorted((x["doc_id"] or 0, x["class_id"] or 0, x["has_passage"]) for x in got) == [(0, 0, False), (0, 0, False), (1, 1, True), (2, 1, True), (3, 3, False)]
+
+
 def test_edited_passage_is_found(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
@@ -310,10 +360,10 @@ def test_runs_inside_and_across_edits():
     assert set(range(60)) <= covered(found, 0)
     q = [-w - 1 if 48 <= i < 53 else w for i, w in enumerate(p[:100])]
     assert passages.shared_runs(tokens(p[:100]), tokens(q), 46, 80) == [(0, 96, 0, 96)]
-    assert passages.sure_run(46, 80, 5) == 21
+    assert reference.sure_run(46, 80, 5) == 21
     # two passages in another order, in whole documents
     x, y = [*p[:70], *range(500, 560), *p[70:]], [*p[70:], *range(800, 900), *p[:70]]
-    assert passages.whole_runs(tokens(x), tokens(y), 46, 80, 21) == [(0, 66, 170, 236), (130, 196, 0, 66)]
+    assert reference.whole_runs(tokens(x), tokens(y), 46, 80, 21) == [(0, 66, 170, 236), (130, 196, 0, 66)]
 
 
 def test_compact_windows_cover_every_run():
