@@ -7,7 +7,7 @@ bounds the sample). Decoding takes the labelling with the best total over text i
 subtree is kept: an element is kept with its ancestors or not at all.
 
 Defined cases: null and empty pages have empty text; unclosed and stray tags are repaired as browsers do for
-paragraphs, list items and cells; very long pages are read whole; repeated rows give equal rows; extra columns are ignored.
+paragraphs, list items and cells; very long and broken pages are read whole, in time that grows as their length; a null page_id stays null; repeated rows give equal rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import html as entities
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,7 +28,8 @@ from boxwright.llm.boosting import BoostedTrees
 from boxwright.llm.common import dedupe_columns
 
 TRAIN_PAGES = 400
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+EDGE = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 #: Fixed values of HTML.
@@ -39,6 +40,9 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 CLOSES_P = BLOCKS - {"br", "option", "body", "html", "head"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Elements that no paragraph, item or cell is closed across, and those that no inline end tag reaches across.
+WALLS = frozenset("td th button article section div body li blockquote".split())
+INLINE_WALLS = frozenset("article td th table body".split())
 #: What authors call the parts of a page.
 BAD_NAMES = frozenset("ad ads advert advertisement adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot header head masthead topbar toolbar comment comments reply replies discussion disqus respond share sharing social cookie cookies consent gdpr notice alert popup modal overlay subscribe newsletter signup login form search related recommended recommend more widget tags tag pagination pager meta byline copyright legal disclaimer skip toc".split())
 GOOD_NAMES = frozenset("article content main post entry story body text page blog news maincontent articlebody".split())
@@ -54,50 +58,75 @@ class Node:
         self.own = self.total = self.linked = self.count = self.paragraphs = self.stops = 0
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end (of scripts and the like, after their content), slash, name and attributes of tags; comments have no name. Linear in the page: where a quote is
+    never closed, quotes count no more from there on, and without a further > the rest is text."""
+    at, close, quotes = page.find("<"), 0, True
+    while at >= 0:
+        end, slash, name, rest = -1, "", "", ""
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark = "-->" if page[at + 2] == "-" else "]]>"
+            end = page.find(mark, at + 4)
+            end = len(page) if end < 0 else end + 3
+        else:
+            close = page.find(">", at) if close <= at else close
+            if close < 0:
+                return
+            if page[at + 1] in "!?":
+                end = close + 1
+            elif m := NAME.match(page, at + 1):
+                slash, name = m[1], m[2].lower()
+                stop = EDGE.search(page, m.end()) if quotes else None
+                while stop and stop[0] != ">":
+                    shut = page.find(stop[0], stop.end())
+                    stop = EDGE.search(page, shut + 1) if shut >= 0 else None
+                quotes = quotes and stop is not None
+                close = stop.start() if stop else close
+                rest, end = page[m.end() : close], close + 1
+        if name in UNREAD and not slash:
+            shut = re.compile(rf"</{name}\s*>", re.I).search(page, end)
+            end = shut.end() if shut else len(page)
+        if end >= 0:
+            yield at, end, slash, name, rest
+        at = page.find("<", max(end, at + 1))
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """Elements in page order, parents first, and the events (element, text), text None for a block's edge."""
     nodes = [Node("#root", frozenset(), -1, 0, False)]
     events: list[tuple[int, str | None]] = []
-    stack, at, n = [0], 0, len(page)
+    stack, at = [0], 0
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
+    last = lambda tags: max((places[t][-1] for t in tags if places[t]), default=0)
 
     def pop_to(i: int) -> None:
         while len(stack) > i:
-            if nodes[stack[-1]].tag in BLOCKS:
+            tag = nodes[stack[-1]].tag
+            if tag in BLOCKS:
                 events.append((stack[-1], None))
+            places[tag].pop()
             stack.pop()
 
-    while at < n:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            events.append((stack[-1], page[at:end]))
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+    for start, end, slash, tag, rest in markup(page):
+        if start > at:
+            events.append((stack[-1], page[at:start]))
+        at = end
         if not tag:
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    pop_to(i)
-                    break
-                if nodes[stack[i]].tag in ("article", "td", "th", "table", "body") and tag not in BLOCKS:
-                    break
-            else:
-                if tag in ("p", "br"):
-                    events.append((stack[-1], None))
+        if slash:
+            mine, wall = last((tag,)), 0 if tag in BLOCKS else last(INLINE_WALLS)
+            if mine and mine >= wall:
+                pop_to(mine)
+            elif not wall and tag in ("p", "br"):
+                events.append((stack[-1], None))
             continue
         if tag in CLOSES_P or tag in CLOSED_BY:
-            for i in range(len(stack) - 1, 0, -1):
-                t = nodes[stack[i]].tag
-                if t in CLOSED_BY.get(tag, ()) or (t == "p" and tag in CLOSES_P):
-                    pop_to(i)
-                    break
-                if t in SCOPE.get(tag, ()) or t in ("td", "th", "button", "article", "section", "div", "body", "li", "blockquote") and t not in CLOSED_BY.get(tag, ()):
-                    break
+            closed = CLOSED_BY.get(tag, set())
+            mine = last(closed | {"p"} if tag in CLOSES_P else closed)
+            if mine > last((WALLS - closed) | SCOPE.get(tag, set())):
+                pop_to(mine)
         names, hidden = [], False
-        for a in ATTRIBUTE.finditer(m[3] or ""):
+        for a in ATTRIBUTE.finditer(rest):
             name, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
             if name in ("class", "id", "role"):
                 names += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", (a[2] or "")).lower())
@@ -111,12 +140,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             events.append((me, None))
         if tag in VOID:
             continue
-        if tag in UNREAD:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
-        if not m[3].rstrip().endswith("/") or tag in BLOCKS:
+        if tag not in UNREAD and (not rest.rstrip().endswith("/") or tag in BLOCKS):
+            places[tag].append(len(stack))
             stack.append(me)
+    if at < len(page):
+        events.append((stack[-1], page[at:]))
     for who, said in events:
         if said and (size := len(said) - said.count(" ")) and not said.isspace():
             nodes[who].own += size
@@ -186,11 +214,11 @@ def text_of(events: list[tuple[int, str | None]], kept: list[bool]) -> str:
     blocks, run = [], []
     for who, said in [*events, (0, None)]:
         if said is None:
-            if run and (block := " ".join(entities.unescape("".join(run)).split())):
+            if run and (block := " ".join("".join(run).split())):
                 blocks.append(block)
             run = []
         elif kept[who]:
-            run.append(said)
+            run.append(entities.unescape(said))  # a reference does not go on in the next element
     return " ".join(blocks)
 
 
