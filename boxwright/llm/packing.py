@@ -7,11 +7,12 @@ finished by first-fit decreasing on what is left. Documents are ranked within th
 common length is no single task), and the rank decides pattern, sequence and place.
 
 Defined cases: a null or empty text is the end token alone; a document longer than a sequence has several pieces, each
-id in exactly one; repeated rows are packed each for itself; an empty table gives no pieces; extra columns are ignored.
+id in exactly one; repeated rows are packed each for itself; a null doc_id stays null; an empty table gives no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ LENGTH = 2048
 GRID = 8
 END_ID = 1
 N_SALTS = 64
+LONG_RUN = 50_000
 #: Fixed value: how byte-level BPE cuts a text before merging.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -131,14 +133,31 @@ def byte_bpe(tokenizer_path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
 
 
+def token_ids(tokenizer_path: str):
+    """The function that gives a text's ids. Texts with very long runs of white space, on which the faster encoder's pattern
+    engine gives up, are read by the slower one."""
+    coder, slow = byte_bpe(tokenizer_path), []
+
+    def ids(text: str) -> list[int]:
+        if len(text) <= LONG_RUN or max(map(len, re.findall(r"\s+", text)), default=0) <= LONG_RUN:
+            return coder.encode(text, allowed_special="all")
+        if not slow:
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_file(tokenizer_path))
+        return slow[0].encode(text, add_special_tokens=False).ids
+
+    return ids
+
+
 def _cutter(tokenizer_path: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = byte_bpe(tokenizer_path)
+        encode = token_ids(tokenizer_path)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[list[int]] = [[], [], [], [], []]
             for i, key in enumerate(keys):
-                ids = np.array([*coder.encode(texts[i].as_py() or "", allowed_special="all"), end_id], "<u4")
+                ids = np.array([*encode(texts[i].as_py() or ""), end_id], "<u4")
                 for s in range(0, len(ids), length):
                     part = ids[s : s + length]
                     for column, value in zip(rows, (key, s, len(part), zlib.crc32(part.tobytes()), len(ids)), strict=True):
