@@ -15,7 +15,7 @@ Candidates: at similarity s, a pair misses all b bands of r values with probabil
 this under MISS at the threshold: 32 bands of 8 at .85 (4e-5; 1e-8 at .9), 42 of 6 at .8 (3e-6).
 
 Defined cases: a text with fewer words than a shingle is one shingle, the whole sequence; without words (or null) the
-set is empty and linked with nothing; rows that share a doc_id count as one document; an empty table gives no rows;
+set is empty and linked with nothing; rows that share a doc_id count as one document; a null doc_id is linked with nothing, kept, and has a null component; an empty table gives no rows;
 extra columns are ignored.
 """
 
@@ -184,8 +184,8 @@ def _setter(k: int, ids):
             if not len(through):
                 continue
             some = batch.take(pa.array(through))
-            rows = [(u >> np.uint64(32)).astype(np.uint32) for _, u in shingle_sets(some.column(1), k)]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([np.sort(u).tobytes() for u in rows], pa.binary())], names=["doc_id", "members"])
+            rows = [u.tobytes() for _, u in shingle_sets(some.column(1), k)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.binary())], names=["doc_id", "members"])
 
     return run
 
@@ -196,7 +196,7 @@ def _confirm(percent: int):
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             ok = []
             for x, y in zip(left, right, strict=True):
-                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(u, v, assume_unique=True)) if u is not v else len(u)
                 ok.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -209,20 +209,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, key: s
     spark = docs.sparkSession
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(read.mapInArrow(_signer(k, *banding(percent)), SIGNED), "signed")
-    classes = cut(signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    nodes = signed.where("n > 0").join(classes.select("f1", "f2", F.col("id").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "bands", "sig")
+    known = signed.where("n > 0 and doc_id is not null")
+    classes = cut(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
+    nodes = known.join(classes.select("f1", "f2", F.col("id").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "bands", "sig")
     keyed = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = cut(keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("low")).where("k > 1"), "buckets")
     members = cut(keyed.join(buckets, "key"), "members")
     held = cut(nodes.select("id", "n", "sig").join(members.select("id").distinct(), "id", "left_semi"), "held")
     least = least_agreement(percent)
-    edges = None
+    label = None
     for top in (1, None):
-        if edges is None:
+        if label is None:
             state = held.withColumn("comp", F.col("id"))
             rows = members
         else:
-            label = connected_components(edges)
             state = cut(held.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "state")
             # only buckets that still hold two components
             open_keys = members.join(state.select("id", "comp"), "id").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
@@ -243,11 +243,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, key: s
         left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right"))
         found = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
-        edges = found if edges is None else cut(edges.unionByName(found).distinct(), "edges")
-    label = connected_components(edges)
+        # the second round goes on from the components of the first
+        label = connected_components(found if label is None else label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     joined = signed.select("doc_id", "n", "f1", "f2").join(classes.select("f1", "f2", "id"), ["f1", "f2"], "left").join(label, F.col("id") == F.col("node"), "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
