@@ -47,6 +47,16 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> Iterator[str]:
+    """The names, each with as many underscores behind it as keep it apart from the columns of df."""
+    there = {c.lower() for c in df.columns}
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        yield name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once per row although body's lambdas use it for each element."""
     return F.transform(F.array(value), body)[0]

@@ -6,7 +6,7 @@ distinct count. Boilerplate lines are then taken out of every document: up to SM
 executors as one hash table and no text is shuffled; more are joined with the documents' lines.
 
 Defined cases: a line with no word is never boilerplate; a null site counts as none; a null text has no lines and stays
-null; repeated rows are cleaned alike; documents left without lines become empty; other columns are kept as they are;
+null; repeated rows are cleaned alike; documents left without lines become empty; other columns are kept as they are, whatever their names (one named `found` is replaced);
 an empty table stays empty.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import cut
+from boxwright.llm.common import cut, fresh
 
 MIN_SITES = 10
 LG_K = 12
@@ -48,23 +48,24 @@ def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id
     gone = boilerplate_lines(docs, min_sites, text, site)
     lines = F.split(F.col(f"`{text}`"), "\n")
     n = gone.count()
+    slots_at, kept_at, key_at, gone_at = fresh(docs, "_slots", "_kept", "_k", "_gone")
     if n <= small:
         size = 1 << max(0, n.bit_length() - 1)
         slots: list[list[int]] = [[] for _ in range(size)]
         for (h,) in gone.collect():
             slots[h % size].append(h)
         found_lines = spark.createDataFrame([(slots,)], "slots array<array<bigint>>")
-        joined = docs.withColumn("_slots", found_lines.scalar())
-        kept = F.filter(lines, lambda x: ~F.array_contains(F.get(F.col("_slots"), F.pmod(_hash(x), F.lit(size)).cast("int")), _hash(x)))
+        joined = docs.withColumn(slots_at, found_lines.scalar())
+        kept = F.filter(lines, lambda x: ~F.array_contains(F.get(F.col(slots_at), F.pmod(_hash(x), F.lit(size)).cast("int")), _hash(x)))
     else:
-        mine = docs.select(F.col(f"`{key}`").alias("_k"), F.explode(F.array_distinct(lines)).alias("_line")).select("_k", _hash(F.col("_line")).alias("line_hash"))
-        hits = cut(mine.join(gone, "line_hash").groupBy("_k").agg(F.collect_set("line_hash").alias("_gone")), "hits")  # bounded by the document
-        joined = docs.join(hits, F.col(f"`{key}`") == F.col("_k"), "left")
-        kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), _hash(x)), F.lit(False)))
-    joined = joined.withColumn("_kept", kept)
-    same = F.size("_kept") == F.size(lines)
-    cleaned = F.when(same | F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).otherwise(F.array_join("_kept", "\n"))
+        mine = docs.select(F.col(f"`{key}`").alias(key_at), F.explode(F.array_distinct(lines)).alias("_line")).select(key_at, _hash(F.col("_line")).alias("line_hash"))
+        hits = cut(mine.join(gone, "line_hash").groupBy(key_at).agg(F.collect_set("line_hash").alias(gone_at)), "hits")  # bounded by the document
+        joined = docs.join(hits, F.col(f"`{key}`").eqNullSafe(F.col(key_at)), "left")
+        kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(gone_at), _hash(x)), F.lit(False)))
+    joined = joined.withColumn(kept_at, kept)
+    same = F.size(kept_at) == F.size(lines)
+    cleaned = F.when(same | F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept_at, "\n"))
     columns = [cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != found]
     if found:
-        columns.append(F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("bigint").alias(found))
+        columns.append(F.coalesce(F.size(lines) - F.size(kept_at), F.lit(0)).cast("bigint").alias(found))
     return joined.select(*columns)
