@@ -1,6 +1,7 @@
 """Operator 10: WARC archives in Zstandard with a shared dictionary.
 
-Writing: each partition becomes one archive: a skippable frame that holds the dictionary, then one frame per record.
+Writing: a partition becomes archives of at most PER_ARCHIVE frames: a skippable frame that holds the dictionary, then one frame
+per record. Reading takes one archive at a time.
 Spark's own writer puts the bytes into files (so any Hadoop file system, its commit protocol and its retries apply);
 between frames it writes a separator, which is itself an empty skippable frame, so the file stays valid Zstandard.
 Reading: the dictionary comes from the leading skippable frame, each frame is decoded by itself, and header lines,
@@ -10,14 +11,17 @@ A payload of at least `least` bytes that occurs under several keys is stored onc
 the others are revisit records that name it. The dictionary is trained on at most `sample` payloads.
 
 Defined cases: a null payload is empty; empty tables give no records; equal rows of one key give equal records;
-null keys are not allowed (a record needs a name); extra columns are ignored.
+a null key is a record without a number and always a response; a null URL is left out and read back as null; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +34,8 @@ GAP = struct.pack("<II", 0x184D2A50, 0)  # an empty skippable frame; all its byt
 FRAME_MAGIC = 0xFD2FB528
 LEAST = 100
 SAMPLE = 256
+PER_ARCHIVE = 4000  # rows: the dictionary and records
+URL_UNSAFE = re.compile(r"[\x00-\x20\x7f-\U0010ffff]+")
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
@@ -51,16 +57,20 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw)
 
 
-def format_record(kind: str, key: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def format_record(kind: str, key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record. A revisit carries no payload; its length and digest are those of the payload it stands for."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{key}>",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Record-ID: <urn:page:{'' if key is None else key}>",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
+    if url is not None:
+        plain = URL_UNSAFE.sub(lambda m: quote(m[0], safe=""), url)
+        head.append(f"WARC-Target-URI: {plain}")
+        if plain != url:  # so that reading gives back what was stored
+            head.append(f"Stored-URI: {json.dumps(url)}")
     if kind == "revisit":
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -95,9 +105,11 @@ def parse_record(raw: bytes) -> dict:
         raise ValueError("the payload's length or digest is wrong")
     if kind == "revisit" and payload:
         raise ValueError("a revisit holds a payload")
-    number = lambda name: int(fields[name].removeprefix("<urn:page:").removesuffix(">"))
+    name_of = lambda name: fields[name].removeprefix("<urn:page:").removesuffix(">")
+    number = lambda name: int(name_of(name)) if name_of(name) else None
+    url = json.loads(fields["Stored-URI"]) if "Stored-URI" in fields else fields.get("WARC-Target-URI")
     return {
-        "page_id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload_bytes": n, "payload_digest": digest,
+        "page_id": number("WARC-Record-ID"), "url": url, "payload_bytes": n, "payload_digest": digest,
         "record_type": kind, "refers_to": number("WARC-Refers-To") if kind == "revisit" else None, "payload": payload,
     }
 
@@ -135,13 +147,16 @@ def _writer(dictionary: bytes, level: int):
         import zstandard
 
         coder = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary), write_content_size=True)
-        lead = [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary]
+        lead, written = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary, 0
         for batch in batches:
-            out = lead
+            out = []
             for key, url, html, digest, kind, refers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 payload = (html or "").encode()
-                out.append(coder.compress(format_record(kind, key, "".join((url or "").split()), payload, digest, refers)))
-            lead = []
+                if written % PER_ARCHIVE == 0:  # where Spark's writer begins a file
+                    out.append(lead)
+                    written += 1
+                written += 1
+                out.append(coder.compress(format_record(kind, key, url, payload, digest, refers)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     return run
@@ -185,7 +200,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, sample: int
     rows = rows.join(marked.hint("merge"), (F.col("page_id") == F.col("_k")) & (F.col("digest") == F.col("_d")), "left")
     kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
     framed = rows.select("page_id", "url", "html", "digest", kind.alias("kind"), "refers_to").mapInArrow(_writer(dictionary, level), "frame binary")
-    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", GAP.decode("ascii")).text(path)
+    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", GAP.decode("ascii")).option("maxRecordsPerFile", PER_ARCHIVE).text(path)
 
 
 def read_archives(spark, path: str, keep_payload: bool = False) -> DataFrame:
