@@ -192,7 +192,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != out)
     result, parts = docs.select(*[F.col(f"`{c}`") for c in base]), []
     for b in range(n_blocks):
-        rows = windows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect() if n_windows else []
+        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == b).collect() if n_windows else []
         block = Block([(r[0], r[1]) for r in rows])
         vocabulary = spark.sparkContext.broadcast(block.vocabulary())
         counts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_counter(vocabulary), "k int, h bigint, n bigint") if rows else None

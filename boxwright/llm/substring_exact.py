@@ -17,7 +17,7 @@ the least hash (leftmost of equals). Equal strings have equal anchors, so it is
 4. All but the earliest of a class lose those bytes; spans are merged per document.
 
 Defined cases: a null text is empty; documents under `length` bytes lose nothing; rows that share a doc_id and text are
-one document (they do not count as earlier than each other); an empty table gives no rows; extra columns are ignored.
+one document (they do not count as earlier than each other); a null doc_id is before and after none, so it loses nothing; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -304,6 +304,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, filter_bits: int = FILTER_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans: array of s, e): the byte spans to remove, unmerged, of the documents that have any."""
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    read = read.where("doc_id is not null")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(repeated_bitmap(read.select("text").mapInArrow(_gram_rows(length, gram), "h bigint, many boolean"), filter_bits))
     buckets = min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
