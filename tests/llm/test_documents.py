@@ -79,7 +79,6 @@ def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(tokenizer_path())
-    coder.encode_special_tokens = True
     pieces = packing.pack(docs, tokenizer_path(), length=256, grid=4).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -389,3 +388,60 @@ def test_fingerprint_is_of_the_set(spark):
     text = "a b c d e f g"
     got = near_dedup.near_duplicates(spark.createDataFrame([(7, text), (3, text.upper()), (5, " " + text)], "doc_id bigint, text string")).collect()
     assert {r["component_id"] for r in got} == {3}
+
+
+def test_long_runs_of_white_space_are_packed(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a" + " " * 1_000_000 + "b", "\n" * 200_000 + "<|endoftext|> x", "plain"]
+    coder = Tokenizer.from_file(tokenizer_path())
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), tokenizer_path())
+    want = {i: len(coder.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["doc_tokens"] for r in got.select("doc_id", "doc_tokens").distinct().collect()} == want
+
+
+def test_disjoint_large_sets_share_nothing():
+    import numpy as np
+
+    left, right = (pa.array([" ".join(f"{side}{i}" for i in range(120_000))]) for side in "ab")
+    (_, u), (_, v) = (next(near_dedup.shingle_sets(x, 5)) for x in (left, right))
+    assert len(u) == len(v) == 119_996 and not len(np.intersect1d(u, v, assume_unique=True))
+
+
+def test_null_keys_are_compared_with_nothing(spark):
+    text = " ".join(f"word{i}" for i in range(90))
+    df = spark.createDataFrame([(None, text), (2, text), (3, text), (None, None)], "doc_id bigint, text string")
+    near = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
+    assert near == [(0, None, True), (0, None, True), (2, 2, True), (3, 2, False)]
+    cut = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_exact.remove_repeats(df).collect())
+    assert cut == [(0, 0), (0, 0), (2, 0), (3, len(text))]
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_lines_with_clashing_names(spark, small):
+    rows = [(i, f"same line here\nown {i}", f"s{i}", [f"mine{i}"], i, "x") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _kept array<string>, _k bigint, _slots string")
+    got = line_dedup.remove_lines(df, small=small)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(i, f"own {i}", *r) for i, _, *r in rows]
+
+
+def test_sharding_repeated_rows_and_the_next_version(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    same = spark.createDataFrame([(1, "the same text")] * 2000 + [(None, "null")] * 100, "doc_id bigint, text string")
+    first = sharding.shard_by_bytes(same, 8, map_path=path).collect()
+    size = [sum(r["size"] for r in first if r["shard"] == s) for s in range(8)]
+    assert max(size) - min(size) <= 40 and {r["map_version"] for r in first} == {1}
+    assert all(sorted(r["slot"] for r in first if r["shard"] == s) == list(range(sum(r["shard"] == s for r in first))) for s in range(8))
+    again = sharding.shard_by_bytes(same.unionByName(spark.createDataFrame([(9, "y" * 900)], same.schema)), 8, map_path=path).collect()
+    assert {r["map_version"] for r in again} == {2} and len(again) == 2101
+    assert sharding.latest_version(spark, path) == 2
+
+
+def test_one_long_item_is_dealt_over_blocks(spark):
+    words = [f"w{i}" for i in range(300)]
+    items = [(1, " ".join(words)), (2, "just four words here")]
+    rows = [(1, " ".join(["x"] * 5 + words[40:80])), (2, " ".join(words[:9])), (3, "no just four words here !")]
+    found = decontamination.find_contamination(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_windows=50)
+    span = lambda c: sum(e - s for s, e in zip(c["starts"], c["ends"], strict=True))
+    got = {r["doc_id"]: (r["contamination"]["items"], span(r["contamination"])) for r in found.collect()}
+    assert got == {1: ([1], 40), 2: ([], 0), 3: ([2], 4)}

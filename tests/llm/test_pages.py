@@ -124,3 +124,29 @@ def test_equal_siblings_are_counted_on_long_pages():
     long, many = column("<body><h1>a</h1>" + "<p>b</p>" * 300 + "</body>")
     at = [i for i in range(len(short)) if short[i] == few and long[i] == many][0] + 1
     assert (few, many) == (4, 301) and short[at] == long[at] == 1.0
+
+
+def test_broken_pages_take_time_as_their_length():
+    import time
+
+    for piece in ("<a ", '<a href="', "<a '\">", "<", "<!-", "<div></b>", "<b><p>x"):
+        began = time.perf_counter()
+        html_extraction.parse(piece * (400_000 // len(piece)) + ">")
+        assert time.perf_counter() - began < 20, piece
+
+
+def test_references_end_with_their_element():
+    nodes, events = html_extraction.parse("<p>&<b>amp;</b> &lt; x</p>")
+    assert html_extraction.text_of(events, [True] * len(nodes)) == "&amp; < x"
+
+
+def test_archives_of_null_keys_and_odd_urls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PER_ARCHIVE", 5)
+    urls = ["http://a/b c", "http://é/\n", None, "http://plain/%20"]
+    rows = [(i if i % 7 else None, urls[i % 4], "same " * 40 if i % 2 else f"page {i}") for i in range(40)]
+    path = f"file://{tmp_path}/archives"
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2), path)
+    back = sorted(((r["page_id"] or -1, r["url"] or "", r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got.collect()), key=str)
+    kind = lambda i, h: ("revisit", 1) if i and i != 1 and len(h) > 99 else ("response", None)
+    assert back == sorted(((i or -1, u or "", len(h), *kind(i, h)) for i, u, h in rows), key=str)
+    assert spark.read.format("binaryFile").load(path).where("path like '%part-%'").count() >= 8
