@@ -5,18 +5,19 @@ its compact windows: a triple l <= c <= r says that every run of tokens that sta
 hash at c. Only windows of at least the passage length matter, about 2n / t of them per function.
 1. Functions come in pairs (`BANDS`). Within a document, the windows of a pair's two functions are joined as intervals: where
    they overlap by the passage length, all runs there share both minima, and the two tokens together are a cell's key.
-   Windows whose token is the centre of no other window of the first function are left out before (a bitmap of fixed size).
+   Windows whose token is the centre of no other window of the first function are left out before (a bitmap of fixed size);
+   of cells of one key, those within another are left out (a token over and over makes many).
    At similarity s a passage shares a given key with probability s^2, so one of four with .98 at .8, and always if equal.
 2. Cells with equal keys form a group. Each is tied to the group's first and last cell (so links grow as the cells do). Ties
    of two documents that lie on one alignment make a stretch, whose tokens are compared: the runs in it that begin and end
    with shared tokens and have the length and the similarity asked for are near-duplicate passages, those that overlap joined.
-3. First and last may be unlike the rest. What is still open is compared pair by pair: two cells of a group unless both lie in
-   passages found and their documents are linked already. Groups of up to `SMALL` cells give their open pairs at once. In
-   larger ones, a passage in common means common tokens around the cells: tokens that at most SMALL cells of the group hold
-   make small groups again; cells that share only commoner ones must share as many of these as a passage must have in common,
-   and are compared so in pairs of blocks.
-So every document with a passage in common with another is reported with it, and linked documents are in one class; of a
-passage that many documents hold, not all pairs are listed.
+3. First and last may be unlike the rest. Cells of a group whose documents are not in one class yet are compared pair by pair. A
+   passage in common has many tokens in common, so cells without as many tokens around that are around such cells of other
+   documents, too, are done with, and cells of a group's largest class without as many of those of its others (bitmaps
+   again). Groups of up to `SMALL` cells give their pairs at once. In larger ones, tokens that at most SMALL cells of the
+   group hold make small groups again; cells that share only commoner ones are compared by these, in pairs of blocks.
+So every document with a passage in common with another is reported, and linked documents are in one class. Pairs of documents
+that are in one class by others' links are not all listed, so the words counted are those of the passages that are.
 
 Defined cases: null, empty and short texts have no passages; rows that share a doc_id are one document; a null doc_id is
 compared with nothing and keeps a null class; equal texts are compared once, by their smallest doc_id, and inherit its
@@ -42,7 +43,7 @@ BANDS = 4
 DRIFT = 64  # tokens by which an alignment may leave the shifts of its ties
 FILTER_BITS = 27  # 16 MB
 SMALL = 16
-BLOCK = 512
+BLOCK = 256
 CELL = "h bigint, doc_id bigint, c int, lo int, hi int"
 RUN = "x bigint, y bigint, xs bigint, xe bigint, ys bigint, ye bigint"
 STRETCH = ["x", "y", "xs", "xe", "ys", "ye", "near", "far"]
@@ -64,7 +65,8 @@ def _trees(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int, points: np
         start = np.cumsum(size) - size
         at = np.repeat(lo - start, size) + np.arange(size.sum())
         hit = at[h[at] == np.repeat(low, size)]
-        c = hit[np.searchsorted(hit, lo)]  # the leftmost of equals
+        # the middle one of equals: a token over and over makes no deep tree
+        c = hit[(np.searchsorted(hit, lo) + np.searchsorted(hit, hi) - 1) // 2]
         yield lo, c, hi - 1
         lo, hi = np.stack([lo, c + 1], axis=1).ravel(), np.stack([c, hi], axis=1).ravel()
 
@@ -97,6 +99,14 @@ def joined_windows(windows, h: np.ndarray, first: np.ndarray, least: int) -> tup
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def outermost(key: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Indices of those s..e that lie in no other of equal key (one of equals); tokens over and over make such."""
+    by = np.lexsort((-e, s, key))
+    group = np.cumsum(np.r_[True, key[by][1:] != key[by][:-1]]) if len(by) else by
+    reach = np.maximum.accumulate(e[by] + group * (int(e.max()) + 2)) if len(by) else by
+    return by[np.r_[True, (reach[1:] > reach[:-1])]] if len(by) else by
+
+
 def _tokens(column: pa.Array, k: int):
     """Per piece of the batch: first row, token hashes with rows closed up, and the rows' edges in them."""
     data, offsets = text_bytes(column)
@@ -149,6 +159,8 @@ def _cells(k: int, least: int, bands: int, bits: int, shared):
                     of, c2, s, e = joined_windows((l, c, r), other, edge, least)
                     row = np.searchsorted(edge, s, side="right") - 1
                     key = mix(h[c[of]] * STEP[0] + other[c2] * STEP[1] + STEP[2 + f])
+                    outer = outermost(key, s, e)
+                    key, of, s, e, row = key[outer], of[outer], s[outer], e[outer], row[outer]
                     for column, value in zip(got, (key.view(np.int64), keys[a + row], c[of] - edge[row], s - edge[row], e - edge[row]), strict=True):
                         column.append(value)
                 h, d, *places = (np.concatenate(x) for x in got)
@@ -183,7 +195,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=STRETCH)
 
 
-def _sequences(k: int, ids):
+def _sequences(k: int, ids, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(np.frombuffer(ids.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
@@ -194,7 +206,7 @@ def _sequences(k: int, ids):
             some = batch.take(pa.array(through))
             rows = []
             for _, tokens, edge in _tokens(some.column(1), k):
-                t = (tokens >> np.uint64(32)).astype(np.uint32)
+                t = tokens if wide else (tokens >> np.uint64(32)).astype(np.uint32)
                 rows += [t[edge[i] : edge[i + 1]].tobytes() for i in range(len(edge) - 1)]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.binary())], names=["doc_id", "tokens"])
 
@@ -285,24 +297,95 @@ def _verify(least: int, percent: int):
     return run
 
 
-def _around(least: int):
-    """A row for every distinct token around a cell (at most 2 x least - 1 of them)."""
-    names = ("h", "doc_id", "c", "lo", "hi", "comp", "open")
+def _regions(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
+    """For each row: its index, its tokens, and from where to where the surroundings of its cells go."""
+    cells = batch.column("cells")
+    edges = cells.offsets.to_numpy()
+    c, lo, hi = (cells.values.field(n).to_numpy().astype(np.int64) for n in ("c", "lo", "hi"))
+    start, end = np.maximum(lo, c - least + 1), np.minimum(hi, c + least - 1) + 1
+    for i, body in enumerate(batch.column("tokens").to_pylist()):
+        of = slice(edges[i], edges[i + 1])
+        yield i, np.frombuffer(body, np.uint64), start[of], end[of]
+
+
+def _shared_tokens(least: int):
+    """Each batch's distinct tokens around cells, and whether several of its documents have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for _, u, start, end in _regions(batch, least):
+                inside = np.cumsum(np.bincount(start, minlength=len(u) + 1) - np.bincount(end, minlength=len(u) + 1))[: len(u)] > 0
+                got.append(np.unique(u[inside]))
+            if got:
+                h, n = np.unique(mix(np.concatenate(got)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "many"])
+
+    return run
+
+
+def _in_bitmap(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    at = filter_place(mix(h), bits)
+    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _promising(least: int, common: int, bits: int, shared):
+    """(row, cell, distinct tokens, their times) of the cells around which `common` tokens are in other documents, too, around other
+    cells; for a cell of its group's largest component: in the group's cells of others (`others`, a bitmap of group and token)."""
+
+    def of(batch: pa.RecordBatch, others: np.ndarray | None) -> Iterator[tuple]:
+        seen = np.frombuffer(shared.value, np.uint8)
+        cells = batch.column("cells")
+        edges, minor, group = cells.offsets.to_numpy(), cells.values.field("minor").to_numpy(zero_copy_only=False), cells.values.field("h").to_numpy().view(np.uint64)
+        for i, u, start, end in _regions(batch, least):
+            hit = _in_bitmap(seen, u, bits)
+            total = np.r_[0, np.cumsum(hit)]
+            for j in np.flatnonzero(total[end] - total[start] >= common).tolist():
+                cell = edges[i] + j
+                t = u[start[j] : end[j]][hit[start[j] : end[j]]]
+                if not minor[cell]:
+                    if others is None:
+                        continue
+                    t = t[_in_bitmap(others, t * STEP[0] + group[cell], bits)]
+                    if len(t) < common:
+                        continue
+                yield (i, cell, *np.unique(t, return_counts=True))
+
+    return of
+
+
+def _of_minor(promising):
+    """Group and token of the cells outside their group's largest component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.frombuffer(t, np.uint32)) for t in batch.column("tokens").to_pylist()]
-            of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            t = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-            for s in range(0, len(of), 200_000):
-                part = batch.select(names).take(pa.array(of[s : s + 200_000]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(t[s : s + 200_000])], names=[*names, "t"])
+            group = batch.column("cells").values.field("h").to_numpy().view(np.uint64)
+            got = [t * STEP[0] + group[cell] for _, cell, t, _ in promising(batch, None)]
+            if got:
+                h = np.unique(mix(np.concatenate(got)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.ones(len(h), bool))], names=["h", "many"])
+
+    return run
+
+
+def _promising_rows(promising, others):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = list(promising(batch, np.frombuffer(others.value, np.uint8)))
+            if not kept:
+                continue
+            row, cell, lists, times = zip(*kept, strict=True)
+            edge = np.r_[0, np.cumsum([len(t) for t in lists])].astype(np.int32)
+            held = pa.StructArray.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(np.concatenate(times).astype(np.int32))], ["t", "times"])
+            values, of = batch.column("cells").values.take(pa.array(cell)), pa.array(row)
+            columns = [values.field("h"), batch.column("doc_id").take(of), *(values.field(n) for n in ("c", "lo", "hi")), batch.column("comp").take(of)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(edge), held)], names=["h", "doc_id", "c", "lo", "hi", "comp", "tokens"])
 
     return run
 
 
 def _alike(common: int):
-    """Open pairs of cells of one pair of blocks that have `common` of the group's common tokens in common."""
+    """Open pairs of cells of one pair of blocks that have `common` places with the group's common tokens in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
@@ -310,16 +393,18 @@ def _alike(common: int):
             edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 part = table.slice(s, e - s).combine_chunks()
-                d, comp, is_open, block = (part.column(n).to_numpy(zero_copy_only=False) for n in ("doc_id", "comp", "open", "block"))
+                d, comp, block = (part.column(n).to_numpy() for n in ("doc_id", "comp", "block"))
                 lists = part.column("tokens").combine_chunks()
                 size = np.diff(lists.offsets.to_numpy())
-                _, t = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-                held = np.zeros((e - s, int(t.max()) + 1), np.float32)
-                held[np.repeat(np.arange(e - s), size), t] = 1
+                flat = lists.flatten()
+                _, t = np.unique(flat.field("t").to_numpy(), return_inverse=True)
+                times = np.zeros((e - s, int(t.max()) + 1), np.float32)
+                times[np.repeat(np.arange(e - s), size), t] = flat.field("times").to_numpy()
+                held = (times > 0).astype(np.float32)
                 for r in range(0, e - s, 128):
                     rows = slice(r, r + 128)
-                    ok = (held[rows] @ held.T >= common) & (d[rows][:, None] < d[None, :])
-                    ok &= is_open[rows][:, None] | is_open[None, :] | (comp[rows][:, None] != comp[None, :])
+                    ok = (times[rows] @ held.T >= common) & (held[rows] @ times.T >= common) & (d[rows][:, None] < d[None, :])
+                    ok &= comp[rows][:, None] != comp[None, :]
                     # both of one block: only where that block meets itself
                     ok &= (block[rows][:, None] != block[None, :]) | part.column("alone").to_numpy(zero_copy_only=False)[rows][:, None]
                     i, j = np.nonzero(ok)
@@ -358,20 +443,17 @@ def _compared(read: DataFrame, pairs: DataFrame, k: int, least: int, percent: in
     return out
 
 
-def _token_rows(read: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, tokens of the documents asked for."""
+def _token_rows(read: DataFrame, ids: DataFrame, k: int, wide: bool = False) -> DataFrame:
+    """doc_id, tokens (of four bytes, or of eight) of the documents asked for."""
     shared = read.sparkSession.sparkContext.broadcast(bitmap_of(ids))
-    return cut(read.mapInArrow(_sequences(k, shared), "doc_id bigint, tokens binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "tokens")
-
-
-def _spans(found: DataFrame) -> DataFrame:
-    return found.select(F.col("x").alias("d"), F.col("xs").alias("s"), F.col("xe").alias("e")).unionByName(found.select(F.col("y").alias("d"), F.col("ys").alias("s"), F.col("ye").alias("e")))
+    return cut(read.mapInArrow(_sequences(k, shared, wide), "doc_id bigint, tokens binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "tokens")
 
 
 def _merged_spans(found: DataFrame) -> DataFrame:
     """(d, spans): per document what its passages cover, ascending."""
+    spans = found.select(F.explode(F.array(F.struct(F.col("x").alias("d"), F.col("xs").alias("s"), F.col("xe").alias("e")), F.struct(F.col("y").alias("d"), F.col("ys").alias("s"), F.col("ye").alias("e")))).alias("p")).select("p.*")
     # the longest of each start first: at most as many as the document has tokens
-    longest = _spans(found).groupBy("d", "s").agg(F.max("e").alias("e"))
+    longest = spans.groupBy("d", "s").agg(F.max("e").alias("e"))
     joined = F.aggregate(
         F.array_sort(F.collect_list(F.struct("s", "e"))),
         F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)"),
@@ -380,41 +462,45 @@ def _merged_spans(found: DataFrame) -> DataFrame:
     return longest.groupBy("d").agg(joined.alias("spans"))
 
 
-def _open_ties(read: DataFrame, cells: DataFrame, found: DataFrame, label: DataFrame, k: int, least: int, percent: int) -> DataFrame:
-    """Ties between cells of a group that are open still, but for those with the group's first and last, which were compared."""
-    known = cut(_merged_spans(found).join(label, F.col("d") == F.col("node")).select("d", "spans", "component"), "known")
-    inside = F.exists("spans", lambda r: (r["s"] <= F.col("c")) & (F.col("c") < r["e"]))
-    state = cells.join(known, F.col("doc_id") == F.col("d"), "left")
-    state = state.select("h", "doc_id", "c", "lo", "hi", F.coalesce("component", "doc_id").alias("comp"), (~F.coalesce(inside, F.lit(False))).alias("open"))
-    groups = state.groupBy("h").agg(F.count("*").alias("n"), F.max("open").alias("any"), F.min("comp").alias("one"), F.max("comp").alias("other"))
+def _open_ties(read: DataFrame, cells: DataFrame, label: DataFrame, k: int, least: int, percent: int) -> DataFrame:
+    """Ties between cells of a group whose documents are not linked yet, but for those with the group's first and last, which were compared."""
+    state = cells.join(label, F.col("doc_id") == F.col("node"), "left").select("h", "doc_id", "c", "lo", "hi", F.coalesce("component", "doc_id").alias("comp"))
+    place = F.struct("doc_id", "c", "lo", "hi")
+    by_comp = state.groupBy("h", "comp").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    groups = by_comp.groupBy("h").agg(F.sum("n").alias("n"), F.min("comp").alias("one"), F.max("comp").alias("other"), F.min("first").alias("first"), F.max("last").alias("last"), F.max(F.struct("n", "comp"))["comp"].alias("most"))
     # of up to three, first and last show every pair
-    groups = cut(groups.where("n > 3 and (any or one <> other)").select("h", "n"), "open-groups")
-    members = cut(state.join(groups, "h"), "open-cells")
-    item = F.struct("doc_id", "c", "lo", "hi", "comp", "open")
-    needed = lambda a, b: (a["doc_id"] < b["doc_id"]) & (a["open"] | b["open"] | (a["comp"] != b["comp"]))
+    groups = cut(groups.where("n > 3 and one <> other").select("h", "first", "last", "most"), "open-groups")
+    members = cut(state.join(groups, "h").where((place != F.col("first")) & (place != F.col("last"))).withColumn("minor", F.col("comp") != F.col("most")).drop("first", "last", "most"), "open-cells")
+    # a passage in common shows in common tokens: cells without enough of them around are done with
+    common = -(-2 * percent * least // (100 + percent))
+    tokens = _token_rows(read, members.select("doc_id").distinct(), k, wide=True)
+    mine = members.groupBy("doc_id").agg(F.min("comp").alias("comp"), F.collect_list(F.struct("h", "c", "lo", "hi", "minor")).alias("cells"))  # bounded by the document
+    around = cut(tokens.join(mine, "doc_id"), "around")
+    bitmap = read.sparkSession.sparkContext.broadcast(repeated_bitmap(around.mapInArrow(_shared_tokens(least), "h bigint, many boolean"), FILTER_BITS))
+    promising = _promising(least, common, FILTER_BITS, bitmap)
+    others = read.sparkSession.sparkContext.broadcast(repeated_bitmap(around.mapInArrow(_of_minor(promising), "h bigint, many boolean"), FILTER_BITS))
+    near = cut(around.mapInArrow(_promising_rows(promising, others), f"{CELL}, comp bigint, tokens array<struct<t: bigint, times: int>>"), "promising")
+    sizes = cut(near.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    item = F.struct("doc_id", "c", "lo", "hi", "comp")
+    needed = lambda a, b: (a["doc_id"] < b["doc_id"]) & (a["comp"] != b["comp"])
     each = lambda array: F.explode(F.flatten(F.transform(array, lambda a: F.transform(F.filter(array, lambda b: needed(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-    small = members.where(F.col("n") <= SMALL).groupBy("h").agg(F.array_sort(F.collect_list(item)).alias("m"))
-    ties = small.select(F.slice("m", 2, F.size("m") - 2).alias("m")).select(each(F.col("m")).alias("t")).select("t.a", "t.b").select(*_pair("a", "b"))
-    # larger groups, by the tokens around their cells
-    large = members.where(F.col("n") > SMALL)
-    tokens = _token_rows(read, large.select("doc_id").distinct(), k)
-    start = F.greatest(F.col("lo"), F.col("c") - (least - 1))
-    size = F.least(F.col("hi"), F.col("c") + (least - 1)) + 1 - start
-    cut_tokens = large.join(tokens, "doc_id").select("h", "doc_id", "c", "lo", "hi", "comp", "open", F.substring("tokens", start * 4 + 1, size * 4).alias("tokens"))
-    around = cut(cut_tokens.mapInArrow(_around(least), f"{CELL}, comp bigint, open boolean, t bigint"), "around")
-    often = cut(around.groupBy("h", "t").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    rare = around.join(often.where(F.col("n") <= SMALL).select("h", "t"), ["h", "t"]).groupBy("h", "t").agg(F.collect_list(item).alias("m"))
+    small = near.drop("tokens").join(sizes.where(F.col("n") <= SMALL), "h").groupBy("h").agg(F.collect_list(item).alias("m"))
+    ties = small.select(each(F.col("m")).alias("t")).select("t.a", "t.b").select(*_pair("a", "b"))
+    # larger groups, by those tokens
+    large = near.join(sizes.where(F.col("n") > SMALL), "h")
+    apart = large.select("h", "doc_id", "c", "lo", "hi", "comp", F.inline("tokens"))
+    often = cut(apart.groupBy("h", "t").agg(F.count("*").alias("k")).where("k > 1"), "often")
+    rare = apart.join(often.where(F.col("k") <= SMALL).select("h", "t"), ["h", "t"]).groupBy("h", "t").agg(F.collect_list(item).alias("m"))
     by_rare = rare.select(each(F.col("m")).alias("t")).select("t.a", "t.b").select(*_pair("a", "b"))
-    common = -(-2 * percent * least // (100 + percent))
-    hot = around.join(often.where(F.col("n") > SMALL).select("h", "t"), ["h", "t"]).groupBy("h", "doc_id", "c", "lo", "hi", "comp", "open").agg(F.collect_list("t").alias("tokens")).where(F.size("tokens") >= common)
+    hot = apart.join(often.where(F.col("k") > SMALL).select("h", "t"), ["h", "t"]).groupBy("h", "doc_id", "c", "lo", "hi", "comp").agg(F.collect_list(F.struct("t", "times")).alias("tokens"))
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id", "c"), parts).cast("int")
     meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = hot.join(groups, "h").select("h", "doc_id", "c", "lo", "hi", "comp", "open", "tokens", own.alias("block"), F.explode(meets).alias("p"))
-    dealt = dealt.select(F.xxhash64("h", "p.i", "p.j").alias("key"), "block", (F.col("p.i") == F.col("p.j")).alias("alone"), "doc_id", "c", "lo", "hi", "comp", "open", "tokens")
+    dealt = hot.join(sizes, "h").select("h", "doc_id", "c", "lo", "hi", "comp", "tokens", own.alias("block"), F.explode(meets).alias("p"))
+    dealt = dealt.select(F.xxhash64("h", "p.i", "p.j").alias("key"), "block", (F.col("p.i") == F.col("p.j")).alias("alone"), "doc_id", "c", "lo", "hi", "comp", "tokens")
     by_common = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(common), "x bigint, xc int, xl int, xh int, y bigint, yc int, yl int, yh int")
     out = cut(ties.unionByName(by_rare).unionByName(by_common), "open-ties")
-    for table in (known, groups, members, tokens, around, often):
+    for table in (groups, members, tokens, around, near, sizes, often):
         discard(table)
     return out
 
@@ -440,7 +526,7 @@ def _passages_and_classes(docs: DataFrame, min_words: int, percent: int, k: int,
     discard(ends)
     found = _compared(read, stretches, k, least, percent, "passages")
     label = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    ties = _open_ties(read, grouped, found, label, k, least, percent)
+    ties = _open_ties(read, grouped, label, k, least, percent)
     discard(grouped)
     again = _ties_to_stretches(ties, "open-stretches")
     discard(ties)
@@ -458,7 +544,7 @@ def _passages_and_classes(docs: DataFrame, min_words: int, percent: int, k: int,
 
 
 def passage_report(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_shared_words (words in passages shared with another document), class_id (the smallest
+    """Per document: doc_id, n_words, n_shared_words (words in the passages found), class_id (the smallest
     doc_id linked, over any number of links), has_passage."""
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
