@@ -305,7 +305,8 @@ def _regions(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
     start, end = np.maximum(lo, c - least + 1), np.minimum(hi, c + least - 1) + 1
     for i, body in enumerate(batch.column("tokens").to_pylist()):
         of = slice(edges[i], edges[i + 1])
-        yield i, np.frombuffer(body, np.uint64), start[of], end[of]
+        u = np.frombuffer(body, np.uint64)
+        yield i, u, np.minimum(start[of], len(u)), np.minimum(end[of], len(u))
 
 
 def _shared_tokens(least: int):
@@ -443,10 +444,10 @@ def _compared(read: DataFrame, pairs: DataFrame, k: int, least: int, percent: in
     return out
 
 
-def _token_rows(read: DataFrame, ids: DataFrame, k: int, wide: bool = False) -> DataFrame:
-    """doc_id, tokens (of four bytes, or of eight) of the documents asked for."""
+def _token_rows(read: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, tokens (of four bytes) of the documents asked for."""
     shared = read.sparkSession.sparkContext.broadcast(bitmap_of(ids))
-    return cut(read.mapInArrow(_sequences(k, shared, wide), "doc_id bigint, tokens binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "tokens")
+    return cut(read.mapInArrow(_sequences(k, shared, False), "doc_id bigint, tokens binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "tokens")
 
 
 def _merged_spans(found: DataFrame) -> DataFrame:
@@ -462,20 +463,21 @@ def _merged_spans(found: DataFrame) -> DataFrame:
     return longest.groupBy("d").agg(joined.alias("spans"))
 
 
-def _open_ties(read: DataFrame, cells: DataFrame, label: DataFrame, k: int, least: int, percent: int) -> DataFrame:
+def _open_ties(read: DataFrame, cells: DataFrame, ends: DataFrame, label: DataFrame, k: int, least: int, percent: int) -> DataFrame:
     """Ties between cells of a group whose documents are not linked yet, but for those with the group's first and last, which were compared."""
     state = cells.join(label, F.col("doc_id") == F.col("node"), "left").select("h", "doc_id", "c", "lo", "hi", F.coalesce("component", "doc_id").alias("comp"))
     place = F.struct("doc_id", "c", "lo", "hi")
-    by_comp = state.groupBy("h", "comp").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
-    groups = by_comp.groupBy("h").agg(F.sum("n").alias("n"), F.min("comp").alias("one"), F.max("comp").alias("other"), F.min("first").alias("first"), F.max("last").alias("last"), F.max(F.struct("n", "comp"))["comp"].alias("most"))
     # of up to three, first and last show every pair
-    groups = cut(groups.where("n > 3 and one <> other").select("h", "first", "last", "most"), "open-groups")
-    members = cut(state.join(groups, "h").where((place != F.col("first")) & (place != F.col("last"))).withColumn("minor", F.col("comp") != F.col("most")).drop("first", "last", "most"), "open-cells")
+    mixed = cut(state.groupBy("h").agg(F.count("*").alias("n"), F.min("comp").alias("one"), F.max("comp").alias("other")).where("n > 3 and one <> other").select("h"), "mixed")
+    held = cut(state.join(mixed, "h").join(ends, "h").where((place != F.col("first")) & (place != F.col("last"))).drop("first", "last"), "held")
+    most = held.groupBy("h", "comp").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "comp"))["comp"].alias("most"))
+    members = cut(held.join(most, "h").withColumn("minor", F.col("comp") != F.col("most")).drop("most"), "open-cells")
     # a passage in common shows in common tokens: cells without enough of them around are done with
     common = -(-2 * percent * least // (100 + percent))
-    tokens = _token_rows(read, members.select("doc_id").distinct(), k, wide=True)
     mine = members.groupBy("doc_id").agg(F.min("comp").alias("comp"), F.collect_list(F.struct("h", "c", "lo", "hi", "minor")).alias("cells"))  # bounded by the document
-    around = cut(tokens.join(mine, "doc_id"), "around")
+    shared = read.sparkSession.sparkContext.broadcast(bitmap_of(mine.select("doc_id")))
+    tokens = read.mapInArrow(_sequences(k, shared, True), "doc_id bigint, tokens binary")
+    around = cut(tokens.join(mine, "doc_id").dropDuplicates(["doc_id"]), "around")
     bitmap = read.sparkSession.sparkContext.broadcast(repeated_bitmap(around.mapInArrow(_shared_tokens(least), "h bigint, many boolean"), FILTER_BITS))
     promising = _promising(least, common, FILTER_BITS, bitmap)
     others = read.sparkSession.sparkContext.broadcast(repeated_bitmap(around.mapInArrow(_of_minor(promising), "h bigint, many boolean"), FILTER_BITS))
@@ -500,7 +502,7 @@ def _open_ties(read: DataFrame, cells: DataFrame, label: DataFrame, k: int, leas
     dealt = dealt.select(F.xxhash64("h", "p.i", "p.j").alias("key"), "block", (F.col("p.i") == F.col("p.j")).alias("alone"), "doc_id", "c", "lo", "hi", "comp", "tokens")
     by_common = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(common), "x bigint, xc int, xl int, xh int, y bigint, yc int, yl int, yh int")
     out = cut(ties.unionByName(by_rare).unionByName(by_common), "open-ties")
-    for table in (groups, members, tokens, around, near, sizes, often):
+    for table in (mixed, held, members, around, near, sizes, often):
         discard(table)
     return out
 
@@ -523,11 +525,11 @@ def _passages_and_classes(docs: DataFrame, min_words: int, percent: int, k: int,
     discard(cells)
     both = grouped.join(ends, "h").select(item.alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a.doc_id <> b.doc_id")
     stretches = _ties_to_stretches(both.select(*_pair("a", "b")), "stretches")
-    discard(ends)
     found = _compared(read, stretches, k, least, percent, "passages")
     label = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    ties = _open_ties(read, grouped, label, k, least, percent)
+    ties = _open_ties(read, grouped, ends, label, k, least, percent)
     discard(grouped)
+    discard(ends)
     again = _ties_to_stretches(ties, "open-stretches")
     discard(ties)
     again = cut(again.join(stretches, STRETCH, "left_anti"), "again")
