@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from boxwright.functions.geometry import BOX, box, hbb_iou, intersects
 from boxwright.operators import matching
+from boxwright.sources import scratch
 from boxwright.taxonomy import coarse_of
 
 
@@ -35,8 +36,9 @@ def reject_then_quota(crops: DataFrame, truth: DataFrame, group: list[str], orde
 
 def ids_by_name(df: DataFrame, name: str, out: str = "id") -> DataFrame:
     """1, 2, ... in order of the name, without a global window: the rows are range-partitioned by name, counted per
-    partition, and each partition starts where those before it end (as many offsets as partitions, broadcast)."""
-    ranged = df.repartitionByRange(F.col(name)).sortWithinPartitions(name).withColumn("_p", F.spark_partition_id())
+    partition, and each partition starts where those before it end (as many offsets as partitions, broadcast). The ranges come
+    from a sample and may differ when they are made again, so the rows are written once with their partition's number."""
+    ranged = scratch.cut(df.repartitionByRange(F.col(name)).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))

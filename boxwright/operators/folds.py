@@ -1,21 +1,20 @@
-"""The ordered fold that greedy operators share.
+"""The ordered walks that greedy operators share.
 
-Rows of a group are gathered as an array of structs that sorts by its leading fields, and an aggregate walks it in that
-order with the accepted ones as state. Nothing leaves the JVM. The fold costs the square of a group's size in
-the worst case; groups are boxes of one image (and class), so they stay in the thousands. For denser images
-`by_pandas` gives the same result one group at a time in Python with the same order.
+Suppression gathers the rows of a group as an array of structs that sorts by its leading fields, and an aggregate walks it
+with the accepted ones as state. It costs the square of a group's size in the worst case; groups are boxes of one image and
+class. One-to-one matching has many more rows a group (pairs of boxes), but what it asks of its state is only whether a box
+is taken: `one_to_one` walks sorted partitions in Arrow batches with two sets a group, which is linear at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DENSE = 4000  # rows of a group from which the pandas form is the better choice
-
-
 def ordered(df: DataFrame, keys: list[str], fields: list[Column], out: str = "items") -> DataFrame:
     """One row per group: its rows as structs, sorted by the fields in order.
 
@@ -41,6 +40,32 @@ def accept_if_free(items: Column, clashes: Callable[[Column, Column], Column]) -
     return fold(items, none_of(items), step)
 
 
-def by_pandas(df: DataFrame, keys: list[str], schema: str, function: Callable) -> DataFrame:
-    """The group-at-a-time form, for groups of more than DENSE rows."""
-    return df.groupBy(*keys).applyInPandas(function, schema)
+def one_to_one(edges: DataFrame, group: list[str], order: list[Column], left: str, right: str) -> DataFrame:
+    """The edges that a walk in order within each group takes: those whose two ends are both free. `order` must end in
+    something unique. A task holds the taken ends of one group."""
+    at = [edges.columns.index(c) for c in (*group, left, right)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, taken = None, (set(), set())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            *keys, p, t = (batch.column(i).to_pylist() for i in at)
+            fresh = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                k = np.array(k, object)
+                fresh[1:] |= k[1:] != k[:-1]
+            fresh[0] = before != tuple(k[0] for k in keys)
+            before, keep = tuple(k[-1] for k in keys), []
+            for i, (new, a, b) in enumerate(zip(fresh.tolist(), p, t, strict=True)):
+                if new:
+                    taken = (set(), set())
+                if a not in taken[0] and b not in taken[1]:
+                    taken[0].add(a)
+                    taken[1].add(b)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    # a fixed number of partitions: rows are small beside the time a walk takes
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(n, *group).sortWithinPartitions(*group, *order).mapInArrow(run, edges.schema)

@@ -6,6 +6,8 @@ Detections: image_id, class_id, ord, score, x1, y1, x2, y2. Truth: image_id, cla
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,45 +41,14 @@ def candidate_edges(detections: DataFrame, truth: DataFrame, keys: tuple[str, ..
 
 def resolve(edges: DataFrame, group: tuple[str, ...] = ("image_id", "scope", "key")) -> DataFrame:
     """One-to-one matches: detections by falling score then place, each takes its best free truth (the first of equals)."""
-    fields = [(-F.col("score")).alias("s"), F.col("p_ord").alias("p"), (-F.col("iou")).alias("i"), F.col("t_ord").alias("t")]
-    grouped = folds.ordered(edges, list(group), fields, "edges")
-    # what is claimed is kept in plain arrays, so that each step is two primitive searches
-    kinds = dict(edges.dtypes)
-    claims = [F.array().cast(f"array<{kinds[c]}>").alias(n) for n, c in (("p", "p_ord"), ("t", "t_ord"))]
-
-    def step(acc: Column, x: Column) -> Column:
-        taken = F.array_contains(acc["p"], x["p"]) | F.array_contains(acc["t"], x["t"])
-        more = [F.concat(acc[n], F.array(v)).alias(n) for n, v in (("p", x["p"]), ("t", x["t"]), ("m", x))]
-        return F.when(taken, acc).otherwise(F.struct(*more))
-
-    zero = F.struct(*claims, folds.none_of(F.col("edges")).alias("m"))
-    each = grouped.select(*group, F.explode(F.aggregate("edges", zero, step, lambda acc: acc["m"])).alias("e"))
-    return each.select(*group, F.col("e.p").alias("p_ord"), F.col("e.t").alias("t_ord"), (-F.col("e.i")).alias("iou"), (-F.col("e.s")).alias("score"))
+    rows = edges.select(*group, "p_ord", "t_ord", "iou", "score")
+    return folds.one_to_one(rows, list(group), [F.desc("score"), F.col("p_ord"), F.desc("iou"), F.col("t_ord")], "p_ord", "t_ord")
 
 
 def greedy_match(detections: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("all", "coarse", "fine"), taxonomy: str = "xh25", iou: float | None = None) -> DataFrame:
     return resolve(candidate_edges(detections, truth, keys, taxonomy, iou))
 
 
-def resolve_dense(edges: DataFrame, group: tuple[str, ...] = ("image_id", "scope", "key")) -> DataFrame:
-    """As resolve, for images with more than folds.DENSE candidate pairs."""
-
-    def run(pdf):
-        pdf = pdf.sort_values(["score", "p_ord", "iou", "t_ord"], ascending=[False, True, False, True], kind="stable")
-        taken_p, taken_t, keep = set(), set(), []
-        for p, t in zip(pdf["p_ord"], pdf["t_ord"], strict=True):
-            ok = p not in taken_p and t not in taken_t
-            keep.append(ok)
-            if ok:
-                taken_p.add(p)
-                taken_t.add(t)
-        return pdf[keep][[*group, "p_ord", "t_ord", "iou", "score"]]
-
-    kinds = dict(edges.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*group, "p_ord", "t_ord", "iou", "score"))
-    return folds.by_pandas(edges, list(group), schema, run)
-
-
 def model_outcomes(models: DataFrame, truth: DataFrame, taxonomy: str = "xh25") -> DataFrame:
     """Coarse matches of several models at once: a detections table with a `model` column."""
     wide = models.withColumn("image_id", F.struct("model", "image_id"))
@@ -140,10 +111,8 @@ def first_fit_pairs(left: DataFrame, right: DataFrame, iou: float) -> DataFrame:
     l = left.select("image_id", F.col("ord").alias("l_ord"), F.col("score").alias("l_score"), *[F.col(c).alias(f"l_{c}") for c in BOX])
     r = right.select("image_id", F.col("ord").alias("r_ord"), F.col("score").alias("r_score"), *[F.col(c).alias(f"r_{c}") for c in BOX])
     edges = l.join(r, "image_id").where(hbb_iou(box("l_"), box("r_")) >= iou)
-    fields = [(-F.col("l_score")).alias("s"), F.col("l_ord").alias("p"), (-F.col("r_score")).alias("q"), F.col("r_ord").alias("t")]
-    grouped = folds.ordered(edges, ["image_id"], fields, "edges")
-    free = folds.accept_if_free(F.col("edges"), lambda k, x: (k["p"] == x["p"]) | (k["t"] == x["t"]))
-    return grouped.select("image_id", F.explode(free).alias("m")).select("image_id", F.col("m.p").alias("l_ord"), F.col("m.t").alias("r_ord"))
+    taken = folds.one_to_one(edges, ["image_id"], [F.desc("l_score"), F.col("l_ord"), F.desc("r_score"), F.col("r_ord")], "l_ord", "r_ord")
+    return taken.select("image_id", "l_ord", "r_ord")
 
 
 def consensus(main: DataFrame, first: DataFrame, second: DataFrame, truth: DataFrame, class_id: int = 24, iou: float = 0.35) -> DataFrame:
@@ -168,15 +137,17 @@ def ap_match(detections: DataFrame, truth: DataFrame, thresholds: list[float]) -
 
 def hamming_pairs(hashes: DataFrame, most: int = 6, key: str = "stem", group: str = "group_id", bits: str = "phash") -> DataFrame:
     """Unordered pairs of different groups whose 64-bit hashes (16 hex digits) differ in at most `most` < 8 bits. Eight byte
-    bands: that few flipped bits leave one band untouched, so no pair is lost."""
+    bands: so few flipped bits leave 8 - most bands untouched, so pairs that agree in two of them (one, for 7) lose none."""
     if most > 7:
         raise ValueError("eight bands only find pairs that differ in at most 7 bits")
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.substring(bits, 2 * i + 1, 2).alias("v")) for i in range(8)])
-    wide = hashes.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(bits).alias("b"), F.explode(bands).alias("band"))
-    half = lambda c, at: F.conv(F.substring(c, at, 8), 16, 10).cast("bigint")
+    half = lambda at: F.conv(F.substring(bits, at, 8), 16, 10).cast("bigint")
+    parsed = hashes.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(bits).alias("b"), half(1).alias("hi"), half(9).alias("lo"))
+    byte = lambda i: F.substring("b", 2 * i + 1, 2)
+    bands = F.array(*[F.concat(F.lit("".join(map(str, which))), *[byte(i) for i in which]) for which in combinations(range(8), min(2, 8 - most))])
+    wide = parsed.select("k", "g", "hi", "lo", F.explode(bands).alias("band"))
     a, b = wide.alias("a"), wide.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.g") != F.col("b.g")))
-    apart = sum((F.bit_count(half("a.b", at).bitwiseXOR(half("b.b", at))) for at in (1, 9)), F.lit(0))
+    apart = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
     return pairs.select(F.col("a.k").alias("left"), F.col("b.k").alias("right"), apart.alias("distance")).where(F.col("distance") <= most).distinct()
 
 

@@ -116,10 +116,10 @@ def g2(spark, d):
 def _pairs(spark, d):
     p, t = view(spark, d, "det"), view(spark, d, "truth")
     name = lambda df, x: df.select("image_id", F.col("ord").alias(f"{x}_ord"), *[F.col(c).alias(f"{x}_{c}") for c in G.BOX])
-    return name(p, "p").join(name(t, "t"), "image_id").where(F.abs(F.col("p_ord") - F.col("t_ord")) <= 9)
+    return name(p, "p").join(name(t, "t"), "image_id")
 
 
-PAIRS = "FROM det p JOIN truth t ON p.image_id = t.image_id WHERE abs(p.ord - t.ord) <= 9"
+PAIRS = "FROM det p JOIN truth t ON p.image_id = t.image_id"
 
 
 @query("G3", f"SELECT p.ord AS p_ord, t.ord AS t_ord, {iou_sql('p', 't')} AS iou {PAIRS}", ("det", "truth"))

@@ -527,7 +527,7 @@ CS = "SELECT ord, image_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS
 
 
 @query("K1", f"""WITH p AS ({CS.format('det')}), t AS ({CS.format('truth')}), q AS (SELECT p.ord AS p_ord, t.ord AS t_ord, (pow((p.cx - t.cx) / (p.w + 1e-7), 2) + pow((p.cy - t.cy) / (p.h + 1e-7), 2) + (pow((p.w - t.w) / (p.w + 1e-7), 2) + pow((p.h - t.h) / (p.h + 1e-7), 2)) / 4
- + pow((p.cx - t.cx) / (t.w + 1e-7), 2) + pow((p.cy - t.cy) / (t.h + 1e-7), 2) + (pow((p.w - t.w) / (t.w + 1e-7), 2) + pow((p.h - t.h) / (t.h + 1e-7), 2)) / 4) / 2 AS d FROM p JOIN t ON p.image_id = t.image_id WHERE abs(p.ord - t.ord) <= 9)
+ + pow((p.cx - t.cx) / (t.w + 1e-7), 2) + pow((p.cy - t.cy) / (t.h + 1e-7), 2) + (pow((p.w - t.w) / (t.w + 1e-7), 2) + pow((p.h - t.h) / (t.h + 1e-7), 2)) / 4) / 2 AS d FROM p JOIN t ON p.image_id = t.image_id)
 SELECT p_ord, t_ord, round(exp(1e-6 - sqrt(d + 1e-12)), 8) AS s FROM q""", ("det", "truth"))
 def k1(spark, d):
     from boxwright.plans.boxes import _pairs

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from boxwright.operators import matching, metrics
 from tests.helpers import UNIT, counts, detections, truths
 
@@ -84,8 +86,12 @@ def test_matching_against_loops(spark):
     assert len(want) > 5
     got = {(x["p_ord"], x["t_ord"]) for x in matching.greedy_match(ds, ts, ("all",)).collect()}
     assert got == want
-    dense = {(x["p_ord"], x["t_ord"]) for x in matching.resolve_dense(matching.candidate_edges(ds, ts, ("all",))).collect()}
-    assert dense == want
+    # the walk goes on over the batches of a partition
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {(x["p_ord"], x["t_ord"]) for x in matching.greedy_match(ds, ts, ("all",)).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_hamming_pairs(spark):
@@ -113,3 +119,17 @@ def test_average_precision_duplicate_truth(spark):
     d = detections(spark, [(1, 0, 0.9, UNIT)])
     assert metrics.average_precision(d, t, dedupe=True, thresholds=[0.5]).first()["truths"] == 1
     assert metrics.average_precision(d, t, dedupe=False, thresholds=[0.5]).first()["truths"] == 2
+
+
+def test_ids_by_name_are_gapless_at_any_size(spark):
+    from boxwright.operators import curation
+
+    n = 400_000
+    names = spark.range(n).select(F.format_string("stem%09d", F.pmod(F.col("id") * 7919, F.lit(n))).alias("stem"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "5")
+    try:
+        got = curation.ids_by_name(names.repartition(16), "stem")
+        row = got.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id"), F.sum((F.col("id") - 1 == F.substring("stem", 5, 9).cast("bigint")).cast("int"))).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    assert tuple(row) == (n, n, 1, n, n)
