@@ -113,30 +113,32 @@ def g2(spark, d):
     return view(spark, d, "det").select("ord", *[c.alias(n) for c, n in zip(sides, G.BOX, strict=True)])
 
 
-def _pairs(spark, d):
+def _pairs(spark, d, touching: bool = True, keys: tuple[str, ...] = ("image_id",)):
+    """Boxes of one image (and class): those that overlap, or all."""
     p, t = view(spark, d, "det"), view(spark, d, "truth")
-    name = lambda df, x: df.select("image_id", F.col("ord").alias(f"{x}_ord"), *[F.col(c).alias(f"{x}_{c}") for c in G.BOX])
-    return name(p, "p").join(name(t, "t"), "image_id")
+    name = lambda df, x: df.select(*keys, F.col("ord").alias(f"{x}_ord"), *[F.col(c).alias(f"{x}_{c}") for c in G.BOX])
+    return name(p, "p").join(name(t, "t"), list(keys)).where(G.intersects(G.box("p_"), G.box("t_")) if touching else F.lit(True))
 
 
 PAIRS = "FROM det p JOIN truth t ON p.image_id = t.image_id"
+TOUCH = "p.x1 < t.x2 AND t.x1 < p.x2 AND p.y1 < t.y2 AND t.y1 < p.y2"
 
 
-@query("G3", f"SELECT p.ord AS p_ord, t.ord AS t_ord, {iou_sql('p', 't')} AS iou {PAIRS}", ("det", "truth"))
+@query("G3", f"SELECT p.ord AS p_ord, t.ord AS t_ord, {iou_sql('p', 't')} AS iou {PAIRS} AND {TOUCH}", ("det", "truth"))
 def g3(spark, d):
     return _pairs(spark, d).select("p_ord", "t_ord", G.hbb_iou(G.box("p_"), G.box("t_")).alias("iou"))
 
 
-@query("G4", f"SELECT p.ord AS p_ord, t.ord AS t_ord, round({iou_sql('p', 't')}, 6) AS iou {PAIRS}", ("det", "truth"))
+@query("G4", f"SELECT p.ord AS p_ord, t.ord AS t_ord, round({iou_sql('p', 't')}, 6) AS iou {PAIRS} AND p.class_id = t.class_id AND {TOUCH}", ("det", "truth"))
 def g4(spark, d):
-    """Outlines of boxes: the clipper must give what the box formula gives. Rotated outlines are tested by themselves."""
-    return _pairs(spark, d).select("p_ord", "t_ord", F.round(G.polygon_iou(G.polygon(G.box("p_")), G.polygon(G.box("t_"))), 6).alias("iou"))
+    """Outlines of boxes of one class: the clipper must give what the box formula gives. Rotated outlines are tested by themselves."""
+    return _pairs(spark, d, keys=("image_id", "class_id")).select("p_ord", "t_ord", F.round(G.polygon_iou(G.polygon(G.box("p_")), G.polygon(G.box("t_"))), 6).alias("iou"))
 
 
 @query("G5", f"""SELECT p.ord AS p_ord, t.ord AS t_ord, {iou_sql('p', 't')} - (pow((p.x1 + p.x2) / 2 - (t.x1 + t.x2) / 2, 2) + pow((p.y1 + p.y2) / 2 - (t.y1 + t.y2) / 2, 2))
   / (pow(greatest(p.x2, t.x2) - least(p.x1, t.x1), 2) + pow(greatest(p.y2, t.y2) - least(p.y1, t.y1), 2)) AS diou {PAIRS}""", ("det", "truth"))
 def g5(spark, d):
-    return _pairs(spark, d).select("p_ord", "t_ord", G.diou(G.box("p_"), G.box("t_")).alias("diou"))
+    return _pairs(spark, d, touching=False).select("p_ord", "t_ord", G.diou(G.box("p_"), G.box("t_")).alias("diou"))
 
 
 @query("G6", """SELECT ord, CAST(least(greatest(round_even((x1 + x2 - 64) / 2, 0), 0), 56) AS INT) AS left_a, CAST(least(greatest(round_even((x1 + x2) / 2 - 32::DOUBLE, 0), 0), 56) AS INT) AS left_b FROM det""", ("det",))
@@ -153,7 +155,7 @@ def g7(spark, d):
 
 @query("G8", f"SELECT p.ord AS p_ord, t.ord AS t_ord, p.x1 < t.x2 AND t.x1 < p.x2 AND p.y1 < t.y2 AND t.y1 < p.y2 AS touch {PAIRS}", ("det", "truth"))
 def g8(spark, d):
-    return _pairs(spark, d).select("p_ord", "t_ord", G.intersects(G.box("p_"), G.box("t_")).alias("touch"))
+    return _pairs(spark, d, touching=False).select("p_ord", "t_ord", G.intersects(G.box("p_"), G.box("t_")).alias("touch"))
 
 
 @query("G9", """SELECT ord, ((greatest(x1, 20) - 20) + (least(x2, 90) - 20)) / 2 / 70 AS cx, ((greatest(y1, 10) - 10) + (least(y2, 80) - 10)) / 2 / 70 AS cy, ((least(x2, 90) - 20) - (greatest(x1, 20) - 20)) / 70 AS w,
@@ -289,9 +291,9 @@ def j6(spark, d):
     return matching.consensus(*(det.where(f"ord % 3 = {i}") for i in range(3)), t)
 
 
-@query("J7", f"SELECT p.ord FROM det p WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE p.image_id = t.image_id AND {iou_sql('p', 't')} >= 0.2::DOUBLE)", ("det", "truth"))
+@query("J7", f"SELECT p.ord FROM det p WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE p.image_id = t.image_id AND {iou_sql('p', 't')} >= 0.83::DOUBLE)", ("det", "truth"))
 def j7(spark, d):
-    return matching.overlapping(view(spark, d, "det"), view(spark, d, "truth"), 0.2, ["image_id"], "left_anti").select("ord")
+    return matching.overlapping(view(spark, d, "det"), view(spark, d, "truth"), 0.83, ["image_id"], "left_anti").select("ord")
 
 
 @query("J8", f"SELECT p.ord, (SELECT min(t.ord) FROM truth t WHERE p.image_id = t.image_id AND {iou_sql('p', 't')} >= 0.2::DOUBLE) AS t_ord FROM det p", ("det", "truth"))

@@ -294,9 +294,9 @@ def set_intersect(spark, d):
     return view(spark, d, "det").select("image_id", "class_id").intersect(view(spark, d, "truth").select("image_id", "class_id"))
 
 
-@query("SET_except", "SELECT image_id, class_id FROM det EXCEPT SELECT image_id, class_id FROM truth", ("det", "truth"))
+@query("SET_except", "SELECT image_id, class_id FROM det EXCEPT SELECT image_id, class_id FROM truth WHERE class_id % 2 = 0", ("det", "truth"))
 def set_except(spark, d):
-    return view(spark, d, "det").select("image_id", "class_id").distinct().exceptAll(view(spark, d, "truth").select("image_id", "class_id").distinct())
+    return view(spark, d, "det").select("image_id", "class_id").distinct().exceptAll(view(spark, d, "truth").where("class_id % 2 = 0").select("image_id", "class_id").distinct())
 
 
 # ---- reports and searches ----------------------------------------------------------------------------------------------
@@ -527,7 +527,7 @@ CS = "SELECT ord, image_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS
 
 
 @query("K1", f"""WITH p AS ({CS.format('det')}), t AS ({CS.format('truth')}), q AS (SELECT p.ord AS p_ord, t.ord AS t_ord, (pow((p.cx - t.cx) / (p.w + 1e-7), 2) + pow((p.cy - t.cy) / (p.h + 1e-7), 2) + (pow((p.w - t.w) / (p.w + 1e-7), 2) + pow((p.h - t.h) / (p.h + 1e-7), 2)) / 4
- + pow((p.cx - t.cx) / (t.w + 1e-7), 2) + pow((p.cy - t.cy) / (t.h + 1e-7), 2) + (pow((p.w - t.w) / (t.w + 1e-7), 2) + pow((p.h - t.h) / (t.h + 1e-7), 2)) / 4) / 2 AS d FROM p JOIN t ON p.image_id = t.image_id)
+ + pow((p.cx - t.cx) / (t.w + 1e-7), 2) + pow((p.cy - t.cy) / (t.h + 1e-7), 2) + (pow((p.w - t.w) / (t.w + 1e-7), 2) + pow((p.h - t.h) / (t.h + 1e-7), 2)) / 4) / 2 AS d FROM p JOIN t ON p.image_id = t.image_id AND p.cx - p.w / 2 < t.cx + t.w / 2 AND t.cx - t.w / 2 < p.cx + p.w / 2 AND p.cy - p.h / 2 < t.cy + t.h / 2 AND t.cy - t.h / 2 < p.cy + p.h / 2)
 SELECT p_ord, t_ord, round(exp(1e-6 - sqrt(d + 1e-12)), 8) AS s FROM q""", ("det", "truth"))
 def k1(spark, d):
     from boxwright.plans.boxes import _pairs
