@@ -4,17 +4,20 @@ A byte goes if a string of `length` bytes that covers it also starts earlier (sm
 
 Suffixes are taken at anchors only. Every string of `length` bytes has one: the place, among its grams of GRAM bytes, with
 the least hash (leftmost of equals). Equal strings have equal anchors, so it is enough to compare suffixes there.
-1. The grams of all anchors are counted (a map task sends each gram once, so a common gram costs a row a task). Those
-   that repeat go into a bitmap of fixed size, which is broadcast; when it fills up it only lets more through.
-2. Documents are read again. Anchors that the bitmap lets through have their contexts cut out: the bytes of the strings
-   that chose them, at most 2 x length - GRAM. Of equal contexts in a batch only the earliest goes on; the others
-   lose all strings at that anchor at once, and no text is shuffled for them.
+1. A string holds its anchor's gram and either the bytes behind it or those before it, by half of what the gram leaves
+   (38 of 76). Gram and half, the anchor's right or left key, are counted for all anchors (a map task sends each key once,
+   so a common one costs a row a task). Keys that repeat go into a bitmap of fixed size, which is broadcast; when it fills
+   up it only lets more through.
+2. Documents are read again. Anchors with a key that the bitmap lets through have their contexts cut out: the bytes of the
+   strings that chose them and hold such a key, at most 2 x length - GRAM. Of equal contexts in a batch only the earliest
+   goes on; the others lose all strings at that anchor at once, and no text is shuffled for them.
 3. The suffixes at the other anchors are range-partitioned by their leading bytes, by splitters from a sample of documents
    (which only balances the buckets). A bucket is sorted by multikey quicksort, a word of eight bytes at a time on the
    rows still tied; likewise the reversed bytes before the anchors. Neighbours' common prefixes give, for every number of
    bytes before the anchor, the classes of equal strings. Splitters are whole grams, and so are the chunks in
    which a bucket is worked off, so equal strings never lie on two sides of a boundary.
-4. All but the earliest of a class lose those bytes; spans are merged per document.
+4. All but the earliest of a class lose those bytes; spans are merged per document. Only documents that a bitmap of those
+   with spans lets through are shuffled to be joined with them.
 
 Defined cases: a null text is empty; documents under `length` bytes lose nothing; rows that share a doc_id and text are
 one document (they do not count as earlier than each other); a null doc_id is before and after none, so it loses nothing; an empty table gives no rows; extra columns are ignored.
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm.bytekit import BYTE, _powers, filter_place, mix, pieces, text_bytes
-from boxwright.llm.common import cut, dedupe_columns, repeated_bitmap
+from boxwright.llm.common import bitmap_of, cut, dedupe_columns, repeated_bitmap
 
 LENGTH = 100
 GRAM = 24
@@ -51,16 +54,24 @@ def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each anchor of the rows: its place, its gram's hash, and the least and greatest distance to the starts that choose it."""
+def _totals(data: np.ndarray) -> np.ndarray:
+    """Sums that a hash of any stretch of the bytes is made from."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * _powers(len(data))[0][: len(data)], out=total[1:])
+    return total
+
+
+def _stretch(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (total[end] - total[start]) * _powers(len(total))[1][start]
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, total: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """For each anchor of the rows: its place, and the least and greatest distance to the starts that choose it."""
     n, w = len(data), length - gram + 1
     z = np.zeros(0, np.int64)
     if n < length:
-        return z, z.astype(np.uint64), z, z
-    power, inverse = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[data] * power[:n], out=total[1:])
-    h = mix((total[gram:] - total[:-gram]) * inverse[: n - gram + 1])
+        return z, z, z
+    h = mix((total[gram:] - total[:-gram]) * _powers(n)[1][: n - gram + 1])
     # the hash's high half and the place in the low half: the least is leftmost among equals
     order = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     chosen = (_sliding(order, w, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -71,22 +82,37 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
             ok[a : b - length + 1] = True
     starts = np.flatnonzero(ok)
     if not len(starts):
-        return z, z.astype(np.uint64), z, z
+        return z, z, z
     at = chosen[starts]
     # starts that choose one anchor are consecutive
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1])])
     end = np.r_[new[1:], len(at)] - 1
     place = at[new]
-    return place, h[place], place - starts[end], place - starts[new]
+    return place, place - starts[end], place - starts[new]
+
 
+def anchor_keys(total: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Rows with a right key and the keys, rows with a left key and the keys.
 
-def _gram_rows(length: int, gram: int):
-    """Each batch's distinct anchor grams, and whether they repeat within it."""
+    Strings that start at most half before the anchor all hold its right key, the others its left key.
+    """
+    half = (length - gram) // 2
+    right, left = np.flatnonzero(least <= half), np.flatnonzero(most > half)
+    p, q = place[right], place[left]
+    return right, mix(_stretch(total, p, p + length - half)), left, mix(_stretch(total, q - half - 1, q + gram) + np.uint64(1))
+
+
+def _key_rows(length: int, gram: int):
+    """Each batch's distinct anchor keys, and whether they repeat within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            found = [anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)[1] for a, b in pieces(offsets)]
+            found = []
+            for a, b in pieces(offsets):
+                part = data[offsets[a] : offsets[b]]
+                total = _totals(part)
+                found += anchor_keys(total, *anchors(part, offsets[a : b + 1] - offsets[a], total, length, gram), length, gram)[1::2]
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "many"])
@@ -102,7 +128,7 @@ def splitters(read: DataFrame, length: int, gram: int, buckets: int, sample: int
             data, offsets = text_bytes(batch.column(0))
             for a, b in pieces(offsets):
                 part = data[offsets[a] : offsets[b]]
-                place = anchors(part, offsets[a : b + 1] - offsets[a], length, gram)[0][::4]
+                place = anchors(part, offsets[a : b + 1] - offsets[a], _totals(part), length, gram)[0][::4]
                 yield pa.RecordBatch.from_arrays([pa.array([part[p : p + gram].tobytes() for p in place], pa.binary())], names=["lead"])
 
     leads = read.select("text").limit(sample).mapInArrow(run, "lead binary").toArrow()
@@ -128,21 +154,29 @@ def _contexts(length: int, gram: int, bits: int, shared, cuts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, edges = np.frombuffer(shared.value, np.uint8), np.array(cuts.value, f"S{gram}")
+        half = (length - gram) // 2
+
+        def again(keys: np.ndarray) -> np.ndarray:
+            at = filter_place(keys, bits)
+            return ((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
         for batch in batches:
             keys = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
             got: list[list] = [[], [], [], [], []]
             for a, b in pieces(offsets):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                place, h, least, most = anchors(part, off, length, gram)
-                at = filter_place(h, bits)
-                through = np.flatnonzero((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                total = _totals(part)
+                place, least, most = anchors(part, off, total, length, gram)
+                right, right_keys, left, left_keys = anchor_keys(total, place, least, most, length, gram)
+                on_right, on_left = np.zeros((2, len(place)), bool)
+                on_right[right], on_left[left] = again(right_keys), again(left_keys)
+                # starts whose key comes once have no equal
+                most = np.where(on_left, most, np.minimum(most, half))
+                least = np.where(on_right, least, np.maximum(least, half + 1))
+                through = np.flatnonzero(on_right | on_left)
                 place, least, most = place[through], least[through], most[through]
-                power, inverse = _powers(len(part))
-                total = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(BYTE[part] * power[: len(part)], out=total[1:])
-                start, end = place - most, place + length - least
-                same = mix((total[end] - total[start]) * inverse[start]) + (most * length + least).astype(np.uint64)
+                same = mix(_stretch(total, place - most, place + length - least)) + (most * length + least).astype(np.uint64)
                 for column, value in zip(got, (place + offsets[a], a + np.searchsorted(off, place, side="right") - 1, least, most, same), strict=True):
                     column.append(value)
             if not got[0] or not sum(map(len, got[0])):
@@ -301,12 +335,26 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _of(ids, wanted: bool):
+    """Documents that the bitmap of ids lets through, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.frombuffer(ids.value, np.uint8)
+        for batch in batches:
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            at = mix(batch.column(0).fill_null(0).to_numpy().view(np.uint64)) & np.uint64(8 * len(seen) - 1)
+            there = known & (((seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1) == 1)
+            yield batch.filter(pa.array(there == wanted))
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, filter_bits: int = FILTER_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans: array of s, e): the byte spans to remove, unmerged, of the documents that have any."""
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     read = read.where("doc_id is not null")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(repeated_bitmap(read.select("text").mapInArrow(_gram_rows(length, gram), "h bigint, many boolean"), filter_bits))
+    shared = spark.sparkContext.broadcast(repeated_bitmap(read.select("text").mapInArrow(_key_rows(length, gram), "h bigint, many boolean"), filter_bits))
     buckets = min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = spark.sparkContext.broadcast(splitters(read, length, gram, buckets))
     schema = "bucket int, doc_id bigint, pos bigint, least int, most int, context binary"
@@ -320,6 +368,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     spans = cut(repeated_spans(docs, length, gram, key=key, text=text), "spans")
+    touched = docs.sparkSession.sparkContext.broadcast(bitmap_of(spans.select("doc_id"), FILTER_BITS))
     # one plan at every size: spans grow with the corpus, so they are never broadcast
-    joined = read.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    joined = read.mapInArrow(_of(touched, True), read.schema).join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
+    rest = read.mapInArrow(_of(touched, False), read.schema).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return joined.unionByName(rest).mapInArrow(_cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
