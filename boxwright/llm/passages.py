@@ -197,10 +197,10 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sequences(k: int, ids, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(np.frombuffer(ids.value, np.uint8), bitorder="little").view(bool)
+        seen = np.frombuffer(ids.value, np.uint8)
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            through = np.flatnonzero(seen[(mix(keys.astype(np.int64).view(np.uint64)) & np.uint64(len(seen) - 1)).view(np.int64)])
+            at = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(8 * len(seen) - 1)
+            through = np.flatnonzero((seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
             if not len(through):
                 continue
             some = batch.take(pa.array(through))
@@ -435,19 +435,22 @@ def _ties_to_stretches(ties: DataFrame, name: str) -> DataFrame:
 def _compared(read: DataFrame, pairs: DataFrame, k: int, least: int, percent: int, name: str) -> DataFrame:
     """The passages found in stretches of pairs."""
     tokens = _token_rows(read, pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), k)
+    # one row of each doc_id; both joins use this one exchange
+    one = tokens.dropDuplicates(["doc_id"])
     # only the stretch of each document travels on
     part = lambda side, s, e: F.expr(f"substring({side}, cast({s} * 4 + 1 as int), cast(({e} - {s}) * 4 as int))")
-    first = pairs.join(tokens.select(F.col("doc_id").alias("x"), F.col("tokens").alias("left")), "x").withColumn("left", part("left", "xs", "xe"))
-    second = first.join(tokens.select(F.col("doc_id").alias("y"), F.col("tokens").alias("right")), "y").withColumn("right", part("right", "ys", "ye"))
+    first = pairs.join(one.select(F.col("doc_id").alias("x"), F.col("tokens").alias("left")), "x").withColumn("left", part("left", "xs", "xe"))
+    second = first.join(one.select(F.col("doc_id").alias("y"), F.col("tokens").alias("right")), "y").withColumn("right", part("right", "ys", "ye"))
     out = cut(second.select(*pairs.columns, "left", "right").mapInArrow(_verify(least, percent), RUN).distinct(), name)
     discard(tokens)
     return out
 
 
 def _token_rows(read: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, tokens (of four bytes) of the documents asked for."""
-    shared = read.sparkSession.sparkContext.broadcast(bitmap_of(ids))
-    return cut(read.mapInArrow(_sequences(k, shared, False), "doc_id bigint, tokens binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "tokens")
+    """doc_id, tokens (of four bytes) of the documents asked for, and of others that their bitmap lets through; rows that share
+    a doc_id are still apart."""
+    shared = read.sparkSession.sparkContext.broadcast(bitmap_of(ids, FILTER_BITS))
+    return cut(read.mapInArrow(_sequences(k, shared, False), "doc_id bigint, tokens binary"), "tokens")
 
 
 def _merged_spans(found: DataFrame) -> DataFrame:
