@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm import decontamination, html_extraction, line_dedup, near_dedup, packing, passages, quality_rules, sharding, substring_exact, warc
+from boxwright.llm import decontamination, html_extraction, line_dedup, near_dedup, oracles, packing, passages, quality_rules, sentence_pieces, sharding, spelling, substring_exact, warc
 
 N_SHARDS = 8
 
@@ -20,6 +20,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *[F.col(f"quality.{f}").alias(f) for f in fields])
@@ -69,8 +75,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentence_pieces.encode(docs, pieces_path()).drop("text")
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    told = sentence_pieces.decode(coded, pieces_path())
+    return told.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_sharding, op5_substring_exact, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_passages, op10_warc)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_sharding, op5_substring_exact, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_passages, op10_warc, op11_spelling_variants, op13_sentence_pieces)}
 
 
 def _op1_sql() -> str:
@@ -125,6 +143,7 @@ hi AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS item
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+        "op11_spelling_variants": oracles.OP11,
         "op10_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
