@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm import decontamination, html_extraction, line_dedup, near_dedup, oracles, packing, passages, quality_rules, sentence_pieces, sharding, spelling, substring_exact, warc
+from boxwright.llm import decontamination, html_extraction, line_dedup, near_dedup, oracles, packing, passages, prefix_trie, quality_rules, sentence_pieces, sharding, spelling, substring_exact, warc
 
 N_SHARDS = 8
 
@@ -79,6 +79,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sentence_pieces.encode(docs, pieces_path()).drop("text")
@@ -88,7 +92,7 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_sharding, op5_substring_exact, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_passages, op10_warc, op11_spelling_variants, op13_sentence_pieces)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_sharding, op5_substring_exact, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_passages, op10_warc, op11_spelling_variants, op12_prefix_trie, op13_sentence_pieces)}
 
 
 def _op1_sql() -> str:
@@ -144,6 +148,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
         "op11_spelling_variants": oracles.OP11,
+        "op12_prefix_trie": oracles.OP12,
         "op10_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),

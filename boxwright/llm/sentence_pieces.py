@@ -7,6 +7,7 @@ vocabulary's) and travels with the tasks; the texts go through Arrow batches, ea
 
 A pair is joined only inside a piece, so a text falls into units that no piece crosses: a run of spaces with the word behind it,
 and characters that are in no longer piece. Units repeat, so a worker remembers the ids of short ones, up to a bound.
+Short units of a batch that are new are merged together, their agendas the rows of one array; a longer one has a heap.
 
 Taken are models that leave characters as they are (identity normalisation, spaces escaped, no user-defined symbols); others are refused.
 
@@ -20,10 +21,11 @@ import codecs
 import heapq
 import re
 import struct
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, groupby
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,10 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
 #: Units of at most this many characters are remembered, and so many of them in each of two generations.
-SHORT, REMEMBERED = 32, 150_000
-ROWS = 64
+SHORT, REMEMBERED = 32, 250_000
+#: Short units encoded together, and rows a batch.
+TOGETHER, ROWS = 4096, 128
+NONE = np.iinfo(np.int32).max
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | float | bytes]]:
@@ -75,22 +79,6 @@ def _one_per_byte(error: UnicodeError) -> tuple[str, int]:
 codecs.register_error("boxwright-per-byte", _one_per_byte)
 
 
-class _Remembered(dict):
-    """Ids by unit; a unit that is not there is encoded, and stays if it is short. Units not asked for in a generation go with the next."""
-
-    def __init__(self, encode: Callable[[str], tuple[int, ...]]) -> None:
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = self.older.get(unit) or self.encode(unit)
-        if len(unit) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[unit] = ids
-        return ids
-
-
 class Pieces:
     """The vocabulary of a model file."""
 
@@ -122,7 +110,31 @@ class Pieces:
         self.opens_with_space = [k == NORMAL and t.startswith(SPACE) for t, k in zip(self.text, kind)]
         self.silent = [k == CONTROL for k in kind]
         self.units = self._unit_pattern()
-        self.known = _Remembered(self._unit_ids)
+        self._pair_table(pieces)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _pair_table(self, pieces: list[dict]) -> None:
+        """Numbers for all symbols (pieces by id, then single characters of pieces that are none themselves), and for each pair of
+        symbols that joins to a piece its place in the order of scores."""
+        number = dict(self.id)
+        for c in sorted(set("".join(self.id)) - set(number)):
+            number[c] = len(self.text) + len(number) - len(self.id)
+        self.number, self.base = number, len(self.text) + len(number)
+        order = {v: k for k, v in enumerate(sorted({-v for v in self.score.values()}))}
+        rows = sorted((number[t[:i]] * self.base + number[t[i:]], order[-self.score[t]], number[t]) for t in self.id for i in range(1, len(t)) if t[:i] in number and t[i:] in number)
+        self.pair, self.rank, self.made = (np.array(c, k) for c, k in zip(zip(*rows, (2**62, NONE, 0)), (np.int64, np.int32, np.int32)))
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for c, k in number.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = k
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of symbols, the place in the order of scores (NONE, if they join to no piece) and what they join to."""
+        key = left.astype(np.int64) * self.base + right
+        at = np.searchsorted(self.pair, key)
+        there = (left >= 0) & (right >= 0) & (self.pair[at] == key)
+        return np.where(there, self.rank[at], NONE), self.made[at]
 
     def _unit_pattern(self) -> re.Pattern:
         """Matches one unit after the other. Where pieces hold spaces behind other characters, the whole text is one."""
@@ -156,22 +168,76 @@ class Pieces:
                     heapq.heappush(agenda, (-score[wider], ahead, left, wider))
         return [s for s in symbol if s]
 
-    def _unit_ids(self, unit: str) -> tuple[int, ...]:
+    def _merge_all(self, units: list[str]) -> list[bytes]:
+        """The ids of many short units at once: a row of places in the order of scores is a unit's agenda, and each round takes the best pair (the
+        first of equals) from every row."""
+        size = np.array(list(map(len, units)))
+        width, place = int(size.max()), np.arange(int(size.max()))
+        symbol = np.full((len(units), width), -1, np.int32)
+        symbol[place < size[:, None]] = self.of_char[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
+        rank = np.full((len(units), width), NONE, np.int32)
+        rank[:, :-1] = self._ranks(symbol[:, :-1].ravel(), symbol[:, 1:].ravel())[0].reshape(len(units), width - 1)
+        left, done, none = np.arange(len(units)), [b""] * len(units), np.int32(NONE)
+        while True:
+            k = rank.argmin(axis=1)
+            more = rank[np.arange(len(left)), k] < NONE
+            if not more.all():
+                over = symbol[~more]
+                raw, ends = over.astype("<i4").tobytes(), 4 * (over >= 0).sum(axis=1)
+                other = (over >= len(self.text)).any(axis=1)  # a character that is no piece
+                for j, (i, n, odd) in enumerate(zip(left[~more].tolist(), ends.tolist(), other.tolist())):
+                    done[i] = self._packed(self._merge(units[i])) if odd else raw[4 * width * j : 4 * width * j + n]
+                left, symbol, rank, k = left[more], symbol[more], rank[more], k[more]
+            if not len(left):
+                return done
+            row = np.arange(len(left))
+            joined = self._ranks(symbol[row, k], symbol[row, k + 1])[1]
+            at_row, at_place = np.nonzero(place[:-1] > k[:, None])  # what lies behind moves up
+            symbol[at_row, at_place] = symbol[at_row, at_place + 1]
+            rank[at_row, at_place] = rank[at_row, at_place + 1]
+            symbol[:, -1], rank[:, -1] = -1, none
+            symbol[row, k] = joined
+            rank[row, k] = self._ranks(joined, np.where(k + 1 < width, symbol[row, np.minimum(k + 1, width - 1)], -1))[0]
+            before = np.maximum(k - 1, 0)
+            rank[row, before] = np.where(k > 0, self._ranks(symbol[row, before], joined)[0], rank[row, before])
+
+    def _packed(self, symbols: Iterable[str]) -> bytes:
         ids: list[int] = []
-        for s in self._merge(unit):
+        for s in symbols:
             if s in self.id:
                 ids.append(self.id[s])
             elif self.byte_id:
                 ids += [self.byte_id[b] for b in s.encode("utf-8")]
             else:
                 ids.append(self.unknown)
-        return tuple(ids)
-
-    def encode(self, text: str | None) -> Iterable[int]:
+        return np.array(ids, "<i4").tobytes()
+
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """The ids of units that are not known; short ones are remembered."""
+        fresh = {u: self.older[u] for u in units if u in self.older}
+        rest = sorted(units.difference(fresh), key=len)
+        wide = {u: self._packed(self._merge(u)) for u in rest if len(u) > SHORT}
+        one = [u for u in rest if len(u) == 1]
+        fresh.update((u, self._packed(u)) for u in one)
+        short = rest[len(one) : len(rest) - len(wide)]
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            fresh.update(zip(part, self._merge_all(part)))
+        self.known.update(fresh)
+        return wide
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers, without an end id."""
+        split = [self.units.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.known) > REMEMBERED:  # what is not asked for in this generation goes with the next
+            self.known, self.older = {}, self.known
+        wide = self._learn({u for u in set().union(*split) if u not in self.known})
+        get = {**wide, **self.known}.__getitem__ if wide else self.known.__getitem__
+        return [b"".join(map(get, units)) for units in split]
+
+    def encode(self, text: str | None) -> list[int]:
         """The text's ids, without an end id."""
-        if not text:
-            return []
-        return chain.from_iterable(map(self.known.__getitem__, self.units.findall(self.prefix + text.replace(" ", SPACE))))
+        return np.frombuffer(self.encode_all([text])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the added first space is taken away, and a byte that is part of no character becomes U+FFFD. Bytes make
@@ -192,10 +258,13 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held)
+        end = np.array([pieces.end], "<i4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = pa.array([[*pieces.encode(t.as_py()), pieces.end] for t in part.column(text)], pa.list_(pa.int32()))
+                ids = [i + end for i in pieces.encode_all(part.column(text).to_pylist())]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
 
     return docs.mapInArrow(run, _with(docs, out, "array<int>"))
@@ -235,7 +304,7 @@ def differences(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 texts = batch.column(0).slice(at, ROWS).to_pylist()
                 wanted = library.encode([t or "" for t in texts], add_eos=True, num_threads=1)
-                rows = [(t, list(pieces.encode(t)) + [pieces.end]) for t in texts]
+                rows = [(t, pieces.encode(t) + [pieces.end]) for t in texts]
                 rows = [(t, ids, pieces.decode(ids), w, library.decode(w)) for (t, ids), w in zip(rows, wanted)]
                 odd = [(t, ids, d) for t, ids, d, w, x in rows if ids != w or d != x]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in odd], pa.string()), pa.array([o[1] for o in odd], pa.list_(pa.int32())), pa.array([o[2] for o in odd], pa.string())], names=["text", "ids", "decoded"])

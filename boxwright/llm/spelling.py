@@ -11,12 +11,19 @@ A group of words that differ at one place has at most as many members as the alp
 at most that many times the places, so no key is hot, however often its words occur. Occurrences are counted by map-side
 aggregation.
 
+Words of over LONG letters would take the square of their length in keys. Their keys are rolling hashes of 127 bits, and in the groups they stand
+as their first letters and their place in order, which sorts as the words do.
+
 Defined cases: a null text has no words; a null key is written as nothing before the colon; very long texts are split inside the JVM; repeated rows
 count again; an empty table gives no words; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +35,10 @@ MIN_COUNT = 2
 DELETE_EVERY = 31
 RATIO = 10
 BLANK = "*"  # no letter
+LONG = 64
+#: Of the rolling hash: a prime, and a number below it.
+PRIME, TURN = 2**127 - 1, 0x5DEECE66D_1F83D9ABFB41BD6B
+ROWS = "word string, n bigint, k string, itself boolean"
 
 
 def words(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,14 +57,57 @@ def _without(word: Column, at: Column, instead: str = "") -> Column:
     return F.concat(F.substring(word, F.lit(1), at), F.lit(instead), F.substring(word, at + 2, F.char_length(word)))
 
 
+def long_keys(word: str) -> tuple[str, list[str], set[str]]:
+    """The keys of a long word: of itself, with each letter blanked, and with each letter taken out."""
+    head, tail, power = [0], [0], [1]  # hashes of the first and the last k letters
+    for c in word:
+        head.append((head[-1] * TURN + ord(c)) % PRIME)
+        power.append(power[-1] * TURN % PRIME)
+    for k, c in enumerate(reversed(word)):
+        tail.append((ord(c) * power[k] + tail[-1]) % PRIME)
+    size = len(word)
+    name = lambda mark, n, h: f"{mark}#{n}:{h:x}"
+    blanked = [name(BLANK, size, (head[i] * power[size - i] + ord(BLANK) * power[size - i - 1] + tail[size - i - 1]) % PRIME) for i in range(size)]
+    if size - 1 <= LONG:
+        return name("", size, head[-1]), blanked, {word[:i] + word[i + 1 :] for i in range(size)}
+    return name("", size, head[-1]), blanked, {name("", size - 1, (head[i] * power[size - i - 1] + tail[size - i - 1]) % PRIME) for i in range(size)}
+
+
+def _long_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for word, short, n in zip(*(c.to_pylist() for c in batch.columns)):
+            own, blanked, less = long_keys(word)
+            keys = [own, *blanked, *sorted(less)]
+            for at in range(0, len(keys), 10_000):
+                part = keys[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([short] * len(part)), pa.array([n] * len(part), pa.int64()), pa.array(part), pa.array([k == own for k in part])], names=["word", "n", "k", "itself"])
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place, part = 0, TaskContext.get().partitionId()
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f"{part:08}:{k:012}" for k in range(place, place + batch.num_rows)], pa.string())], names=["word", "n", "place"])
+        place += batch.num_rows
+
+
 def near_words(vocabulary: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(word, n, n_near, best, best_n): the number of near words, and the one of largest n (the first in code-point order at ties)."""
-    at = F.sequence(F.lit(0), F.char_length("word") - 1)
+    size = F.char_length("word")
+    ranged = vocabulary.where(size > LONG).select("word", "n").repartitionByRange("word").sortWithinPartitions("word").mapInArrow(_in_order, "word string, n bigint, place string")
+    long = cut(ranged.select("word", F.concat(F.substring("word", 1, LONG), F.lit(":"), F.col("place")).alias("short"), "n"), "long")
+    at = F.sequence(F.lit(0), size - 1)
     blanked = F.transform(at, lambda i: _without(F.col("word"), i, BLANK))
-    shorter = F.when(F.char_length("word") > min_chars, F.array_distinct(F.transform(at, lambda i: _without(F.col("word"), i)))).otherwise(F.array())
+    shorter = F.when(size > min_chars, F.array_distinct(F.transform(at, lambda i: _without(F.col("word"), i)))).otherwise(F.array())
     # a group's key with a blank says place, prefix and suffix; a key without is a word or what a deletion leaves
     keys = F.concat(F.array("word"), blanked, shorter)
-    rows = vocabulary.select("word", "n", F.explode(keys).alias("k")).withColumn("itself", F.col("k") == F.col("word"))
+    rows = vocabulary.where(size <= LONG).select("word", "n", F.explode(keys).alias("k")).withColumn("itself", F.col("k") == F.col("word"))
+    near = _best(rows.unionByName(long.mapInArrow(_long_rows, ROWS)))
+    named = lambda df, c: df.join(long.select(F.col("short").alias(c), F.col("word").alias("_w")), c, "left").withColumn(c, F.coalesce("_w", c)).drop("_w")
+    return named(named(near, "word"), "best").select("word", "n", "n_near", "best", "best_n")
+
+
+def _best(rows: DataFrame) -> DataFrame:
+    """What each word learns from its groups: rows (word, n, k, itself), a row per word and key."""
     top = Window.partitionBy("k").orderBy(F.desc("itself"), F.desc("n"), "word")
     whole = top.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     entry = F.struct("word", "n", "itself")
