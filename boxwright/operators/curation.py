@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxwright.functions.geometry import BOX, box, hbb_iou, intersects
-from boxwright.operators import matching
+from boxwright.functions.geometry import BOX, box, intersects
+from boxwright.operators import matching, spatial
 from boxwright.sources import scratch
 from boxwright.taxonomy import coarse_of
 
@@ -84,8 +84,9 @@ def hard_negatives(detections: DataFrame, truth: DataFrame, images: DataFrame, m
     coarse = coarse_of(F.col("class_id"), taxonomy)
     t = truth.where(~F.col("difficult")).select(F.col("image_id").alias("t_image"), coarse.alias("t_coarse"), *[F.col(c).alias(f"t_{c}") for c in BOX])
     sure = detections.withColumn("coarse", coarse).where(F.col("coarse").isin("ship", "vehicle") & (F.col("score") >= min_score))
-    same = (F.col("image_id") == F.col("t_image")) & (F.col("coarse") == F.col("t_coarse"))
-    loose = sure.join(t, same & (hbb_iou(box(), box("t_")) >= match_iou(F.col("class_id"), taxonomy)), "left_anti").join(images, "image_id")
+    near = spatial.overlapping_pairs(sure, truth.where(~F.col("difficult")).withColumn("coarse", coarse), ["image_id", "coarse"], (["ord", "class_id"], []))
+    found = near.where(F.col("iou") >= match_iou(F.col("l.class_id"), taxonomy)).select("l.image_id", "l.ord").distinct()
+    loose = sure.join(found, ["image_id", "ord"], "left_anti").join(images, "image_id")
     side = lambda c: F.least(F.lit(size), F.col(c))
     left = crop_origin_from_corners(F.col("x1"), F.col("x2"), side("width"), F.col("width"))
     top = crop_origin_from_corners(F.col("y1"), F.col("y2"), side("height"), F.col("height"))
@@ -180,6 +181,5 @@ def confirmer_features(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def iou_existence(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """left with a flag: does any right box of its image reach that IoU?"""
-    r = right.select("image_id", *[F.col(c).alias(f"r_{c}") for c in BOX])
-    hit = left.join(r, "image_id").where(hbb_iou(box(), box("r_")) >= least).select("image_id", "ord").distinct().withColumn("hit", F.lit(True))
+    hit = spatial.pairs_at(left, right, ["image_id"], least, (["ord"], [])).select("l.image_id", "l.ord").distinct().withColumn("hit", F.lit(True))
     return left.join(hit, ["image_id", "ord"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))

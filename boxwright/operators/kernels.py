@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.functions.geometry import BOX, box
+from boxwright.operators import spatial
 
 
 def _centre_size(b: list[Column]) -> tuple[Column, Column, Column, Column]:
@@ -28,15 +31,23 @@ def gaussian_similarity(a: list[Column], b: list[Column], root_eps: float = 1e-1
 
 def dense_mask(boxes: DataFrame, scale: float, threshold: float, vehicle: int = 24) -> DataFrame:
     """boxes with dense: does any other vehicle of the image lie so near, in outline and in centre (over the mean diagonal), that
-    exp(-distance / scale) exceeds the threshold? An equi-join on the image with the distance as a residual."""
-    vehicles = boxes.where(F.col("class_id") == vehicle)
-    other = vehicles.select("image_id", F.col("ord").alias("o_ord"), *[F.col(c).alias(f"o_{c}") for c in BOX])
-    ax, ay, aw, ah = _centre_size(box())
-    bx, by, bw, bh = _centre_size(box("o_"))
+    exp(-distance / scale) exceeds the threshold? That bounds the distance, so sizes differ by less than the bound and centres by less
+    than the bound times a diagonal no box of such a size exceeds: only boxes whose squares of that reach overlap are compared."""
+    vehicles = boxes.where(F.col("class_id") == vehicle).select("image_id", "ord", *BOX)
+    reach = -scale * math.log(threshold) if threshold > 0 else math.inf
+    if reach <= 0:
+        return boxes.withColumn("dense", F.lit(False))
+    cx, cy, w, h = _centre_size(box())
+    half = F.greatest(F.sqrt((F.abs(w) + reach / 2) ** 2 + (F.abs(h) + reach / 2) ** 2), F.lit(1e-4)) * (reach / 2) * (1 + 1e-9)
+    told = vehicles.withColumn("b", F.struct(*BOX))
+    squares = told.select("image_id", "ord", "b", (cx - half).alias("x1"), (cy - half).alias("y1"), (cx + half).alias("x2"), (cy + half).alias("y2"))
+    pairs = spatial.overlapping_pairs(squares, squares, ["image_id"]) if math.isfinite(reach) else spatial.pairs_at(told, told, ["image_id"], 0.0)
+    ax, ay, aw, ah = _centre_size([F.col(f"l.b.{c}") for c in BOX])
+    bx, by, bw, bh = _centre_size([F.col(f"r.b.{c}") for c in BOX])
     outline = (aw - bw) ** 2 + (ah - bh) ** 2
     diagonal = ((aw + bw) / 2) ** 2 + ((ah + bh) / 2) ** 2
     apart = F.sqrt(outline + ((ax - bx) ** 2 + (ay - by) ** 2) / F.greatest(diagonal, F.lit(1e-9)))
-    near = vehicles.join(other, "image_id").where((F.col("ord") != F.col("o_ord")) & (F.exp(-apart / scale) > threshold))
+    near = pairs.where((F.col("l.ord") != F.col("r.ord")) & (F.exp(-apart / scale) > threshold)).select("l.image_id", "l.ord")
     hit = near.select("image_id", "ord").distinct().withColumn("dense", F.lit(True))
     return boxes.join(hit, ["image_id", "ord"], "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxwright.functions.geometry import BOX, box, hbb_iou
-from boxwright.operators import folds
+from boxwright.functions.geometry import BOX
+from boxwright.operators import folds, spatial
 from boxwright.taxonomy import coarse_of, match_iou
 
 
@@ -29,14 +29,20 @@ def keyed(df: DataFrame, keys: tuple[str, ...], taxonomy: str) -> DataFrame:
 
 def candidate_edges(detections: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("all", "coarse", "fine"), taxonomy: str = "xh25", iou: float | None = None) -> DataFrame:
     """Pairs of one image and key whose IoU reaches the truth's bound; pairs below it can never match, so they end here.
-    The join is an equi-join on (image, scope, key); the overlap test prunes boxes that do not touch before the ratio."""
-    p = keyed(detections, keys, taxonomy).select("image_id", "scope", "key", "score", F.col("ord").alias("p_ord"), *[F.col(c).alias(f"p_{c}") for c in BOX])
-    t = keyed(truth.where(~F.col("difficult")), keys, taxonomy)
-    bound = F.lit(iou) if iou is not None else match_iou(F.col("class_id"), taxonomy)
-    t = t.select("image_id", "scope", "key", F.col("ord").alias("t_ord"), bound.alias("bound"), *[F.col(c).alias(f"t_{c}") for c in BOX])
-    touch = (F.col("p_x1") < F.col("t_x2")) & (F.col("t_x1") < F.col("p_x2")) & (F.col("p_y1") < F.col("t_y2")) & (F.col("t_y1") < F.col("p_y2"))
-    pairs = p.join(t, ["image_id", "scope", "key"]).where(touch | (F.col("bound") <= 0))
-    return pairs.withColumn("iou", hbb_iou(box("p_"), box("t_"))).where("iou >= bound").select("image_id", "scope", "key", "score", "p_ord", "t_ord", "iou")
+    A finer key divides a coarser one, so boxes are paired once, by the coarsest key asked for, and a pair takes part in each
+    matching in which its keys agree."""
+    widest = next(k for k in ("all", "coarse", "fine") if k in keys)
+    bound = F.lit(float(iou)) if iou is not None else match_iou(F.col("class_id"), taxonomy)
+    own = {"all": [], "coarse": ["_coarse"], "fine": ["class_id"]}[widest]
+    p, t = (df.withColumn("_coarse", coarse_of(F.col("class_id"), taxonomy)) for df in (detections, truth.where(~F.col("difficult")).withColumn("_bound", bound)))
+    names = ["image_id", "_coarse", "class_id", "ord"]
+    fields = (names + ["score"], names + ["_bound"])
+    near = spatial.overlapping_pairs(p, t, ["image_id", *own], fields) if iou is None or iou > 0 else spatial.pairs_at(p, t, ["image_id", *own], iou, fields)
+    pairs = near.where("iou >= r._bound")
+    key = {"all": lambda s: F.lit("all"), "coarse": lambda s: F.col(f"{s}._coarse"), "fine": lambda s: F.col(f"{s}.class_id").cast("string")}
+    parts = F.array(*[F.when(key[k]("l") == key[k]("r"), F.struct(F.lit(k).alias("scope"), key[k]("r").alias("key"))) for k in keys])
+    wide = pairs.withColumn("m", F.explode(F.filter(parts, lambda x: x.isNotNull())))
+    return wide.select("l.image_id", "m.scope", "m.key", "l.score", F.col("l.ord").alias("p_ord"), F.col("r.ord").alias("t_ord"), "iou")
 
 
 def resolve(edges: DataFrame, group: tuple[str, ...] = ("image_id", "scope", "key")) -> DataFrame:
@@ -63,24 +69,21 @@ def false_positive_sources(detections: DataFrame, truth: DataFrame, taxonomy: st
     claimed one, else 'background'."""
     matched = greedy_match(detections, truth, ("coarse",), taxonomy).select("image_id", F.col("p_ord").alias("ord"))
     left = detections.withColumn("coarse", coarse_of(F.col("class_id"), taxonomy)).join(matched, ["image_id", "ord"], "left_anti")
-    t = truth.where(~F.col("difficult")).select("image_id", coarse_of(F.col("class_id"), taxonomy).alias("coarse"), *[F.col(c).alias(f"t_{c}") for c in BOX])
-    touching = left.join(t, ["image_id", "coarse"]).where(hbb_iou(box(), box("t_")) > 0).select("image_id", "ord").distinct()
+    t = truth.where(~F.col("difficult")).withColumn("coarse", coarse_of(F.col("class_id"), taxonomy))
+    touching = spatial.overlapping_pairs(left, t, ["image_id", "coarse"], (["ord"], [])).select("l.image_id", "l.ord").distinct()
     return left.join(touching.withColumn("hit", F.lit(True)), ["image_id", "ord"], "left").withColumn("source", F.when(F.col("hit"), "overlap").otherwise("background")).drop("hit")
 
 
 def overlapping(left: DataFrame, right: DataFrame, iou: float, on: list[str], how: str = "left_semi") -> DataFrame:
-    """Rows of left with (left_semi) or without (left_anti) a row of right of the same keys at that IoU."""
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in (*on, *BOX)])
-    same = F.lit(True)
-    for c in on:
-        same = same & (F.col(c) == F.col(f"r_{c}"))
-    return left.join(r, same & (hbb_iou(box(), box("r_")) >= iou), how)
+    """Rows of left (known by image_id and ord) with (left_semi) or without (left_anti) a row of right of the same keys at that IoU."""
+    hit = spatial.pairs_at(left, right, on, iou, (["image_id", "ord"], [])).select("l.image_id", "l.ord").distinct()
+    return left.join(hit, ["image_id", "ord"], how)
 
 
 def first_overlapping_truth(detections: DataFrame, truth: DataFrame, iou: float, on: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Each detection with the lowest place of a truth it overlaps, null if none."""
-    t = truth.select(*on, F.col("ord").alias("t_ord"), *[F.col(c).alias(f"t_{c}") for c in BOX])
-    hit = detections.join(t, list(on)).where(hbb_iou(box(), box("t_")) >= iou).groupBy("image_id", "ord").agg(F.min("t_ord").alias("t_ord"))
+    found = spatial.pairs_at(detections, truth, list(on), iou, (["image_id", "ord"], ["ord"]))
+    hit = found.groupBy("l.image_id", "l.ord").agg(F.min("r.ord").alias("t_ord"))
     return detections.join(hit, ["image_id", "ord"], "left")
 
 
@@ -108,9 +111,8 @@ def label_proposals(main: DataFrame, proposals: DataFrame, truth: DataFrame, cla
 def first_fit_pairs(left: DataFrame, right: DataFrame, iou: float) -> DataFrame:
     """One-to-one consensus of two models: left by falling score takes the first free right (by falling score) that overlaps
     enough, not the best one."""
-    l = left.select("image_id", F.col("ord").alias("l_ord"), F.col("score").alias("l_score"), *[F.col(c).alias(f"l_{c}") for c in BOX])
-    r = right.select("image_id", F.col("ord").alias("r_ord"), F.col("score").alias("r_score"), *[F.col(c).alias(f"r_{c}") for c in BOX])
-    edges = l.join(r, "image_id").where(hbb_iou(box("l_"), box("r_")) >= iou)
+    found = spatial.pairs_at(left, right, ["image_id"], iou, (["ord", "score"], ["ord", "score"]))
+    edges = found.select("l.image_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("ord", "score")])
     taken = folds.one_to_one(edges, ["image_id"], [F.desc("l_score"), F.col("l_ord"), F.desc("r_score"), F.col("r_ord")], "l_ord", "r_ord")
     return taken.select("image_id", "l_ord", "r_ord")
 
@@ -124,9 +126,8 @@ def consensus(main: DataFrame, first: DataFrame, second: DataFrame, truth: DataF
 def ap_match(detections: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
     """Matches of average precision, per class and threshold: each detection keeps its best truth, then each truth its
     best-scored detection. Two windows, no fold: this is not the greedy matching."""
-    t = truth.select("image_id", "class_id", F.col("ord").alias("t_ord"), *[F.col(c).alias(f"t_{c}") for c in BOX])
-    p = detections.select("image_id", "class_id", F.col("ord").alias("p_ord"), "score", *[F.col(c).alias(f"p_{c}") for c in BOX])
-    edges = p.join(t, ["image_id", "class_id"]).withColumn("iou", hbb_iou(box("p_"), box("t_"))).where(F.col("iou") >= min(thresholds))
+    found = spatial.pairs_at(detections, truth, ["image_id", "class_id"], min(thresholds), (["ord", "score"], ["ord"]))
+    edges = found.select("l.image_id", "l.class_id", F.col("l.ord").alias("p_ord"), F.col("r.ord").alias("t_ord"), "l.score", "iou")
     # a detection's best truth is the same at every threshold that it reaches
     best = Window.partitionBy("image_id", "p_ord").orderBy(F.desc("iou"), "t_ord")
     edges = edges.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from boxwright.functions import scalar as S
 from boxwright.functions.geometry import BOX
 from boxwright.operators import matching
+from boxwright.sources.scratch import cut
 from boxwright.taxonomy import COARSE, TAXONOMIES, coarse_of, dimension
 
 REPORT = ("scope", "key", "tp", "fp", "fn", "recall", "fdr")
@@ -39,7 +40,7 @@ def report_keys(spark, taxonomy: str) -> DataFrame:
 def evaluate(detections: DataFrame, truth: DataFrame, taxonomy: str = "xh25") -> DataFrame:
     """Overall (class-agnostic), coarse, fine and per-image counts; each keying is a matching of its own, and every class of
     the taxonomy has a row."""
-    counts = flags(detections, truth, taxonomy)
+    counts = cut(flags(detections, truth, taxonomy))  # read below for the keyings and again for the images
     overall = counts.withColumn("scope", F.when(F.col("scope") == "all", "overall").otherwise(F.col("scope")))
     images = overall.where("scope = 'overall'").withColumn("scope", F.lit("image")).withColumn("key", F.col("image_id").cast("string"))
     long = overall.unionByName(images).groupBy("scope", "key").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
@@ -106,48 +107,122 @@ def complementarity(models: DataFrame, truth: DataFrame, left: str, right: str,
 
 
 AP_THRESHOLDS = [0.5 + 0.05 * i for i in range(10)]
+#: Recalls at which precision is averaged, and points of the confidence axis.
+RECALL_POINTS, CONFIDENCE_POINTS = 101, 1000
+SMOOTHED = 0.1
 
 
-def average_precision(detections: DataFrame, truth: DataFrame, max_detections: int = 300, thresholds: list[float] | None = None, dedupe: bool = True) -> DataFrame:
-    """(class_id, threshold, truths, ap): area under the precision envelope over 101 recall points, joined by lines.
+def ranked_in_ranges(df: DataFrame, key: str, order: list[Column], sums: list[str], place: str = "k") -> DataFrame:
+    """df with `place`, each row's rank in order within its key, and with the columns `sums` replaced by their sums up to the row.
 
-    At most max_detections of an image by score; exact duplicate truths count once. Ranks run over a class; its curve is a
-    running sum, and the envelope a running maximum from the end.
+    No task holds a key: rows are ranged by (key, order), ranks and sums are made within a range, and what the ranges before hold of the key is
+    added. Only a key that goes on from one range to the next has something to add, so there are fewer such rows than ranges.
     """
-    thresholds = thresholds or AP_THRESHOLDS
+    ranged = cut(df.repartitionByRange(F.col(key), *order).withColumn("_p", F.spark_partition_id()))
+    shares = ranged.groupBy(key, "_p").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums)])
+    before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    told = ["_n", *[f"_s{i}" for i in range(len(sums))]]
+    offsets = shares.select(key, "_p", *[F.sum(c).over(before).alias(f"{c}_o") for c in told]).where("_n_o > 0")
+    within = Window.partitionBy(key, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.withColumns({place: F.count("*").over(within), **{c: F.sum(c).over(within) for c in sums}}).join(F.broadcast(offsets), [key, "_p"], "left")
+    more = lambda c, o: F.col(c) + F.coalesce(o, F.lit(0))
+    return rows.withColumns({place: more(place, "_n_o"), **{c: more(c, f"_s{i}_o") for i, c in enumerate(sums)}}).drop("_p", *[f"{c}_o" for c in told])
+
+
+def _judged(detections: DataFrame, truth: DataFrame, max_detections: int, thresholds: list[float], dedupe: bool) -> tuple[DataFrame, DataFrame]:
+    """The best max_detections of each image by falling score within their class, with rank k, hit_0 .. (does it match at that threshold?) and
+    tp_0 .. (how many have, up to it); and (class_id, truths)."""
     truth = truth.where(~F.col("difficult"))
     if dedupe:
         first = Window.partitionBy("image_id", "class_id", *BOX).orderBy("ord")
         truth = truth.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     top = Window.partitionBy("image_id").orderBy(F.desc("score"), "ord")
-    p = detections.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= max_detections).drop("_r")
-    hit = matching.ap_match(p, truth, thresholds).select("image_id", F.col("p_ord").alias("ord"), "threshold", F.lit(1).alias("tp"))
-    wide = p.select("image_id", "ord", "class_id", "score", F.explode(F.array(*[F.lit(float(v)) for v in thresholds])).alias("threshold"))
-    ranked = wide.join(hit, ["image_id", "ord", "threshold"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-    down = Window.partitionBy("class_id", "threshold").orderBy(F.desc("score"), "image_id", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    p = detections.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= max_detections).select("image_id", "class_id", "ord", "score", *BOX)
+    at = F.array_position(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("threshold")) - 1
+    hits = matching.ap_match(p, truth, thresholds).groupBy("image_id", F.col("p_ord").alias("ord")).agg(F.collect_set(at).alias("_at"))  # of at most the thresholds
+    flag = lambda i: F.coalesce(F.array_contains("_at", F.lit(i).cast("bigint")), F.lit(False)).cast("int")
+    marked = p.join(hits, ["image_id", "ord"], "left").select("class_id", "image_id", "ord", "score", *[flag(i).alias(f"hit_{i}") for i in range(len(thresholds))])
+    marked = marked.withColumns({f"tp_{i}": F.col(f"hit_{i}") for i in range(len(thresholds))})
     total = truth.groupBy("class_id").agg(F.count("*").alias("truths"))
-    curve = ranked.withColumn("_tp", F.sum("tp").over(down)).withColumn("_n", F.count("*").over(down)).join(F.broadcast(total), "class_id")
-    curve = curve.select("class_id", "threshold", "truths", "_n", (F.col("_tp") / F.col("truths")).alias("r"), (F.col("_tp") / F.col("_n")).alias("p"))
-    up = Window.partitionBy("class_id", "threshold").orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = curve.withColumn("p", F.max("p").over(up))
-    points = curve.groupBy("class_id", "threshold", "truths").agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), "r", "p"))).alias("c"))
-    # the curve from (0, 1) to (last recall, 0) and (1, 0), read at 0, .01 .. 1, each point by the segment it falls in
-    last = F.element_at("c", -1)
-    xs = F.concat(F.array(F.lit(0.0)), F.transform("c", lambda e: e["r"]), F.array(last["r"], F.lit(1.0)))
-    ys = F.concat(F.array(F.greatest(F.lit(1.0), F.element_at("c", 1)["p"])), F.transform("c", lambda e: e["p"]), F.array(F.lit(0.0), F.lit(0.0)))
-
-    def at(x: Column) -> Column:
-        i = F.size(F.filter(F.col("xs"), lambda v: v <= x))  # xs ascend
-        x0, x1 = F.get("xs", i - 1), F.get("xs", i)
-        y0, y1 = F.get("ys", i - 1), F.get("ys", i)
-        return F.when(i >= F.size("xs"), F.element_at("ys", -1)).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
-
-    grid = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: at(k / F.lit(100.0)))
-    area = F.aggregate(F.sequence(F.lit(0), F.lit(99)), F.lit(0.0), lambda s, k: s + (F.get("g", k) + F.get("g", k + 1)) / 2 * 0.01)
-    found = points.withColumn("xs", xs).withColumn("ys", ys).withColumn("g", grid).select("class_id", "threshold", area.alias("ap"))
-    levels = truth.sparkSession.createDataFrame([(float(v),) for v in thresholds], "threshold double")
-    every = total.crossJoin(F.broadcast(levels))  # classes x ten
-    return every.join(found, ["class_id", "threshold"], "left").select("class_id", "threshold", "truths", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return ranked_in_ranges(marked, "class_id", [F.desc("score"), F.col("image_id"), F.col("ord")], [f"tp_{i}" for i in range(len(thresholds))]), total
+
+
+def _area(ranked: DataFrame, total: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(class_id, threshold, truths, ap). The envelope at a recall is the best precision of a hit of greater recall: hits are counted into the last
+    point that they exceed, and a class has one row a point."""
+    joined = ranked.join(F.broadcast(total), "class_id")  # a row a class
+    hits = F.filter(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"hit_{i}").alias("hit"), (F.col(f"tp_{i}") / F.col("truths")).alias("r"), (F.col(f"tp_{i}") / F.col("k")).alias("p")) for i, t in enumerate(thresholds)]), lambda h: h["hit"] == 1)
+    each = joined.select("class_id", F.explode(hits).alias("h")).select("class_id", "h.threshold", "h.r", "h.p")
+    last, step = RECALL_POINTS - 1, 1 / (RECALL_POINTS - 1)
+    x = lambda g: F.when(g == last, 1.0).otherwise(g * F.lit(step))
+    near = F.ceil(F.col("r") * last).cast("int") - 1
+    point = F.when(x(near) >= F.col("r"), near - 1).when(x(near + 1) < F.col("r"), near + 1).otherwise(near)
+    best = each.withColumn("g", point).groupBy("class_id", "threshold", "g").agg(F.max("p").alias("p"))
+    points = best.groupBy("class_id", "threshold").agg(F.collect_list(F.struct("g", "p")).alias("c"))  # at most a point each
+    height = lambda i: F.coalesce(F.array_max(F.transform(F.filter("c", lambda e: e["g"] >= i), lambda e: e["p"])), F.lit(0.0))
+    heights = F.transform(F.sequence(F.lit(0), F.lit(last)), height)
+    area = F.aggregate(F.sequence(F.lit(1), F.lit(last)), F.lit(0.0), lambda s, i: s + (F.get("y", i - 1) + F.get("y", i)) / 2 * step)
+    found = points.withColumn("y", heights).select("class_id", "threshold", area.alias("ap"))
+    levels = total.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    return levels.join(found, ["class_id", "threshold"], "left").select("class_id", "threshold", "truths", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def average_precision(detections: DataFrame, truth: DataFrame, max_detections: int = 300, thresholds: list[float] | None = None, dedupe: bool = True) -> DataFrame:
+    """(class_id, threshold, truths, ap): area under the precision envelope over 101 recall points, joined by lines.
+
+    At most max_detections of an image by score; exact duplicate truths count once. Classes without truths have no row.
+    """
+    thresholds = thresholds or AP_THRESHOLDS
+    return _area(*_judged(detections, truth, max_detections, thresholds, dedupe), thresholds)
+
+
+def _curves(ranked: DataFrame, total: DataFrame) -> DataFrame:
+    """(class_id, g, p, r): precision and recall at the first threshold by confidence, at each point of a common axis; between two
+    scores by a line, above the greatest 1 and 0, below the least as there. A class has at most two rows a point."""
+    last = CONFIDENCE_POINTS - 1
+    x = lambda g: F.when(g == last, 1.0).otherwise(g * F.lit(1 / last))
+    near = F.floor(F.col("score") * last).cast("int")
+    held = F.greatest(F.lit(-1), F.least(F.lit(last), F.when(x(near) > F.col("score"), near - 1).when(x(near + 1) <= F.col("score"), near + 1).otherwise(near)))
+    row = F.struct("score", (F.col("tp_0") / F.col("k")).alias("p"), (F.col("tp_0") / F.col("truths")).alias("r"))
+    # the last point that a score reaches; per such point the first and the last row in order
+    ends = ranked.join(F.broadcast(total), "class_id").groupBy("class_id", held.alias("g")).agg(F.min_by(row, "k").alias("first"), F.max_by(row, "k").alias("last"))
+    grid = total.select("class_id", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("g")).join(ends, ["class_id", "g"], "full_outer")
+    up, down = (Window.partitionBy("class_id").orderBy(o) for o in (F.col("g"), F.desc("g")))
+    above = F.last("last", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))  # the last row that reaches the point
+    below = F.last("first", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1))  # the first that does not
+    told = grid.withColumn("a", above).withColumn("b", below).where("g >= 0").join(F.broadcast(total.select("class_id")), "class_id")
+
+    def at(v: str, left: float) -> Column:
+        line = F.col(f"a.{v}") + (F.col(f"b.{v}") - F.col(f"a.{v}")) * ((F.col("a.score") - x(F.col("g"))) / (F.col("a.score") - F.col("b.score")))
+        return F.when(F.col("a").isNull() & F.col("b").isNull(), 0.0).when(F.col("a").isNull(), left).when(F.col("b").isNull(), F.col(f"a.{v}")).otherwise(line)
+
+    return told.select("class_id", "g", at("p", 1.0).alias("p"), at("r", 0.0).alias("r"))
+
+
+def detection_metrics(detections: DataFrame, truth: DataFrame, max_detections: int = 300, thresholds: list[float] | None = None, dedupe: bool = True) -> DataFrame:
+    """(class_id, truths, precision, recall, f1, ap50, ap50_95) of each class that has truths: precision and recall at the confidence at which
+    the smoothed mean F1 over the classes is greatest (the least such confidence). Raises if there is no truth."""
+    thresholds = thresholds or AP_THRESHOLDS
+    ranked, total = _judged(detections, truth, max_detections, thresholds, dedupe)
+    ranked, total = cut(ranked), cut(total)
+    if not total.limit(1).count():
+        raise ValueError("no truth that is not difficult")
+    curves = cut(_curves(ranked, total).withColumn("f1", 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r") + 1e-16)))
+    mean = curves.groupBy("g").agg(F.avg("f1").alias("f1"))  # a row a point from here on
+    half = (round(CONFIDENCE_POINTS * SMOOTHED * 2) // 2 + 1) // 2
+    ends = mean.agg(F.min_by("f1", "g").alias("low"), F.max_by("f1", "g").alias("high"))
+    beside = Window.orderBy("g").rowsBetween(-half, half)
+    padded = F.greatest(F.lit(0), F.lit(half) - F.col("g")) * F.col("low") + F.greatest(F.lit(0), F.col("g") + half - CONFIDENCE_POINTS + 1) * F.col("high")
+    smooth = mean.withColumn("s", F.sum("f1").over(beside)).crossJoin(F.broadcast(ends)).select("g", F.round((F.col("s") + padded) / (2 * half + 1), 12).alias("s"))
+    best = smooth.agg(F.min_by("g", F.struct(-F.col("s"), "g")).alias("g"))
+    chosen = curves.join(F.broadcast(best), "g").drop("g")
+    ap = _area(ranked, total, thresholds).groupBy("class_id").agg(F.max(F.when(F.col("threshold") == thresholds[0], F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
+    return total.join(chosen, "class_id").join(ap, "class_id").select("class_id", "truths", F.col("p").alias("precision"), F.col("r").alias("recall"), "f1", "ap50", "ap50_95")
+
+
+def mean_detection_metrics(per_class: DataFrame) -> DataFrame:
+    """precision, recall, map50, map50_95: the means over the classes that have truths."""
+    return per_class.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("ap50").alias("map50"), F.avg("ap50_95").alias("map50_95"))
 
 
 def mean_average_precision(ap: DataFrame) -> DataFrame:
@@ -156,10 +231,11 @@ def mean_average_precision(ap: DataFrame) -> DataFrame:
 
 
 def binary_average_precision(df: DataFrame, score: str, label: str, order: str, *keys: str) -> DataFrame:
-    """Mean of the precision at each positive, ranked by falling score then order; 0 without positives."""
-    down = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(score), order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.select(*keys, F.col(label).alias("y"), F.count("*").over(down).alias("k"), F.sum(label).over(down).alias("tp"))
-    return ranked.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("y") == 1, F.col("tp") / F.col("k"))), F.lit(0.0)).alias("ap"))
+    """Mean of the precision at each positive, ranked by falling score then order; 0 without positives. Ranks come from ranges, so
+    neither a key nor a table without keys is one task."""
+    told = df.select(F.struct(*keys, F.lit(0).alias("_all")).alias("_key"), F.col(score).alias("_score"), F.col(order).alias("_order"), F.col(label).cast("bigint").alias("y")).withColumn("tp", F.col("y"))
+    ranked = ranked_in_ranges(told, "_key", [F.desc("_score"), F.col("_order")], ["tp"])
+    return ranked.groupBy("_key").agg(F.coalesce(F.avg(F.when(F.col("y") == 1, F.col("tp") / F.col("k"))), F.lit(0.0)).alias("ap")).select(*[F.col(f"_key.{c}").alias(c) for c in keys], "ap")
 
 
 def sampler_weights(df: DataFrame, label: str) -> DataFrame:

@@ -458,9 +458,30 @@ def a9(spark, d):
     return metrics.complementarity(_models(spark, d), view(spark, d, "truth"), "a", "b").select("coarse", "shared", "left_only", "right_only", "either", "truths", "oracle_recall")
 
 
-@query("A10")
+LEVELS = ", ".join(f"{v!r}::DOUBLE" for v in metrics.AP_THRESHOLDS)
+
+
+@query("A10", f"""WITH t AS (SELECT * FROM truth WHERE NOT difficult QUALIFY row_number() OVER (PARTITION BY image_id, class_id, x1, y1, x2, y2 ORDER BY ord) = 1),
+p AS (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) <= 300), th AS (SELECT unnest([{LEVELS}]) AS threshold), nt AS (SELECT class_id, count(*) AS truths FROM t GROUP BY 1),
+e AS (SELECT p.image_id, p.class_id, p.ord AS p_ord, t.ord AS t_ord, p.score, {iou_sql('p', 't')} AS iou FROM p JOIN t ON p.image_id = t.image_id AND p.class_id = t.class_id WHERE {iou_sql('p', 't')} >= 0.5::DOUBLE),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY p_ord ORDER BY iou DESC, t_ord) = 1),
+h AS (SELECT p_ord, threshold FROM b, th WHERE iou >= threshold QUALIFY row_number() OVER (PARTITION BY t_ord, threshold ORDER BY score DESC, p_ord) = 1),
+m AS (SELECT p.class_id, p.image_id, p.ord, p.score, th.threshold, h.p_ord IS NOT NULL AS hit FROM p CROSS JOIN th LEFT JOIN h ON h.p_ord = p.ord AND h.threshold = th.threshold),
+r AS (SELECT class_id, threshold, hit, count(*) OVER o AS k, count(*) FILTER (hit) OVER o AS tp FROM m WINDOW o AS (PARTITION BY class_id, threshold ORDER BY score DESC, image_id, ord ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT class_id, threshold, tp / truths AS r, tp / k AS p FROM r JOIN nt USING (class_id) WHERE hit),
+g AS (SELECT CAST(range AS INT) AS g, CASE WHEN range = 100 THEN 1.0::DOUBLE ELSE range * 0.01::DOUBLE END AS x FROM range(101)),
+y AS (SELECT nt.class_id, th.threshold, g, coalesce(max(p), 0) AS y FROM nt CROSS JOIN th CROSS JOIN g LEFT JOIN c ON c.class_id = nt.class_id AND c.threshold = th.threshold AND c.r > g.x GROUP BY nt.class_id, th.threshold, g)
+SELECT nt.class_id, threshold, truths, round(sum(CASE WHEN g IN (0, 100) THEN y / 2 ELSE y END) * 0.01, 8) AS ap FROM nt JOIN y USING (class_id) GROUP BY ALL""", ("det", "truth"))
 def a10(spark, d):
-    return metrics.average_precision(view(spark, d, "det"), view(spark, d, "truth"))
+    return metrics.average_precision(view(spark, d, "det"), view(spark, d, "truth")).withColumn("ap", F.round("ap", 8))
+
+
+@query("A10_classes")
+def a10_classes(spark, d):
+    """Precision, recall, F1 and both averages of each class, and their means (class_id null)."""
+    per = metrics.detection_metrics(view(spark, d, "det"), view(spark, d, "truth"))
+    mean = metrics.mean_detection_metrics(per)
+    return per.unionByName(mean.select(F.lit(None).cast("int").alias("class_id"), F.lit(None).cast("bigint").alias("truths"), "precision", "recall", F.lit(None).cast("double").alias("f1"), F.col("map50").alias("ap50"), F.col("map50_95").alias("ap50_95")))
 
 
 @query("A10_mean")
