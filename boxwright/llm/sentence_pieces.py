@@ -21,8 +21,7 @@ import codecs
 import heapq
 import re
 import struct
-from collections.abc import Iterable, Iterator
-from itertools import groupby
+from collections.abc import Iterable, Iterator, Sequence
 from operator import add
 
 import numpy as np
@@ -35,10 +34,12 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
 #: Units of at most this many characters are remembered, and so many of them in each of two generations.
-SHORT, REMEMBERED = 32, 250_000
+SHORT, REMEMBERED = 32, 500_000
 #: Short units encoded together, and rows a batch.
 TOGETHER, ROWS = 4096, 128
 NONE = np.iinfo(np.int32).max
+#: Places of the table of pairs, as a power of two.
+SLOTS = 19
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | float | bytes]]:
@@ -108,7 +109,7 @@ class Pieces:
         own = {NORMAL: lambda i: self.text[i].replace(SPACE, " ").encode(), BYTE: lambda i: bytes([int(self.text[i][1:-1], 16)]), UNKNOWN: lambda i: surface, CONTROL: lambda i: b""}
         self.bytes = [own[k](i) for i, k in enumerate(kind)]
         self.opens_with_space = [k == NORMAL and t.startswith(SPACE) for t, k in zip(self.text, kind)]
-        self.silent = [k == CONTROL for k in kind]
+        self.silent = np.array([k == CONTROL for k in kind])
         self.units = self._unit_pattern()
         self._pair_table(pieces)
         self.known: dict[str, bytes] = {}
@@ -123,18 +124,41 @@ class Pieces:
         self.number, self.base = number, len(self.text) + len(number)
         order = {v: k for k, v in enumerate(sorted({-v for v in self.score.values()}))}
         rows = sorted((number[t[:i]] * self.base + number[t[i:]], order[-self.score[t]], number[t]) for t in self.id for i in range(1, len(t)) if t[:i] in number and t[i:] in number)
-        self.pair, self.rank, self.made = (np.array(c, k) for c, k in zip(zip(*rows, (2**62, NONE, 0)), (np.int64, np.int32, np.int32)))
+        pair, rank, made = (np.array(c, k) for c, k in zip(zip(*rows, (2**62, NONE, 0)), (np.int64, np.int32, np.int32)))
+        self._deal(pair, rank, made)
         self.of_char = np.full(0x110000, -1, np.int32)
         for c, k in number.items():
             if len(c) == 1:
                 self.of_char[ord(c)] = k
 
+    def _deal(self, pair: np.ndarray, rank: np.ndarray, made: np.ndarray) -> None:
+        """Pairs by two hashes: the first of a place in the first table, the others in the second by value, so a look-up is two reads for nearly all."""
+        place = self._place(pair)
+        _, first = np.unique(place, return_index=True)
+        self.table = np.full(1 << SLOTS, -1, np.int64)
+        self.table_rank, self.table_made = np.full(1 << SLOTS, NONE, np.int32), np.zeros(1 << SLOTS, np.int32)
+        self.table[place[first]], self.table_rank[place[first]], self.table_made[place[first]] = pair[first], rank[first], made[first]
+        rest = np.setdiff1d(np.arange(len(pair)), first)
+        self.crowded = np.zeros(1 << SLOTS, bool)
+        self.crowded[place[rest]] = True
+        self.pair, self.rank, self.made = np.append(pair[rest], 2**62), np.append(rank[rest], NONE), np.append(made[rest], 0)
+
+    @staticmethod
+    def _place(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs of symbols, the place in the order of scores (NONE, if they join to no piece) and what they join to."""
-        key = left.astype(np.int64) * self.base + right
-        at = np.searchsorted(self.pair, key)
-        there = (left >= 0) & (right >= 0) & (self.pair[at] == key)
-        return np.where(there, self.rank[at], NONE), self.made[at]
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.base + right, -2)
+        place = self._place(key)
+        there = self.table[place] == key
+        rank, made = np.where(there, self.table_rank[place], np.int32(NONE)), self.table_made[place]
+        again = np.flatnonzero(self.crowded[place] & ~there)
+        if len(again):
+            at = np.searchsorted(self.pair, key[again])
+            found = self.pair[at] == key[again]
+            rank[again[found]], made[again[found]] = self.rank[at[found]], self.made[at[found]]
+        return rank, made
 
     def _unit_pattern(self) -> re.Pattern:
         """Matches one unit after the other. Where pieces hold spaces behind other characters, the whole text is one."""
@@ -231,7 +255,7 @@ class Pieces:
         split = [self.units.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:  # what is not asked for in this generation goes with the next
             self.known, self.older = {}, self.known
-        wide = self._learn({u for u in set().union(*split) if u not in self.known})
+        wide = self._learn(set().union(*split).difference(self.known))
         get = {**wide, **self.known}.__getitem__ if wide else self.known.__getitem__
         return [b"".join(map(get, units)) for units in split]
 
@@ -239,12 +263,18 @@ class Pieces:
         """The text's ids, without an end id."""
         return np.frombuffer(self.encode_all([text])[0], "<i4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: the added first space is taken away, and a byte that is part of no character becomes U+FFFD. Bytes make
         no character across a control id."""
-        said = "".join(b"".join(map(self.bytes.__getitem__, run)).decode("utf-8", "boxwright-per-byte") for control, run in groupby(ids, self.silent.__getitem__) if not control)
-        first = next((i for i in ids if not self.silent[i]), None)
-        return said[1:] if self.prefix and first is not None and self.opens_with_space[first] else said
+        ids = np.asarray(ids, np.int64)
+        controls = np.flatnonzero(self.silent[ids])
+        runs, at = [], 0
+        for k in (*controls.tolist(), len(ids)):
+            if k > at:
+                runs.append(ids[at:k].tolist())
+            at = k + 1
+        said = "".join(b"".join(map(self.bytes.__getitem__, run)).decode("utf-8", "boxwright-per-byte") for run in runs)
+        return said[1:] if self.prefix and runs and self.opens_with_space[runs[0][0]] else said
 
 
 def _model_bytes(path: str) -> bytes:
@@ -279,7 +309,9 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = pa.array([None if i.as_py() is None else pieces.decode(i.as_py()) for i in part.column(ids)], pa.string())
+                column = part.column(ids)
+                flat, ends, there = column.values.to_numpy(), column.offsets.to_numpy(), column.is_valid().to_pylist()
+                texts = pa.array([pieces.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), there)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out])
 
     return rows.mapInArrow(run, _with(rows, out, "string"))
