@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from boxwright.functions.geometry import BOX
 from boxwright.operators import folds, spatial
+from boxwright.sources.scratch import cut
 from boxwright.taxonomy import coarse_of, match_iou
 
 
@@ -97,10 +98,11 @@ def label_proposals(main: DataFrame, proposals: DataFrame, truth: DataFrame, cla
     """
     of = lambda df: df.where(F.col("class_id") == class_id)
     main, truth, wanted = of(main), of(truth).where(~F.col("difficult")), of(proposals)
-    by_main = greedy_match(main, truth, ("all",), iou=iou).select("image_id", F.col("t_ord").alias("ord"))
-    again = overlapping(wanted, main, iou, ["image_id"]).select("image_id", "ord").withColumn("duplicate", F.lit(True))
+    # each of these is read more than once below
+    by_main = cut(greedy_match(main, truth, ("all",), iou=iou).select("image_id", F.col("t_ord").alias("ord")))
+    again = cut(overlapping(wanted, main, iou, ["image_id"]).select("image_id", "ord").withColumn("duplicate", F.lit(True)))
     rest = wanted.join(again, ["image_id", "ord"], "left_anti")
-    won = greedy_match(rest, truth.join(by_main, ["image_id", "ord"], "left_anti"), ("all",), iou=iou).select("image_id", F.col("p_ord").alias("ord"), F.col("t_ord").alias("won"))
+    won = cut(greedy_match(rest, truth.join(by_main, ["image_id", "ord"], "left_anti"), ("all",), iou=iou).select("image_id", F.col("p_ord").alias("ord"), F.col("t_ord").alias("won")))
     claimed = truth.join(by_main.unionByName(won.select("image_id", F.col("won").alias("ord"))), ["image_id", "ord"], "left_semi")
     over = first_overlapping_truth(rest, claimed, iou).select("image_id", "ord", F.col("t_ord").alias("held"))
     joined = wanted.join(won, ["image_id", "ord"], "left").join(again, ["image_id", "ord"], "left").join(over, ["image_id", "ord"], "left")
@@ -119,7 +121,7 @@ def first_fit_pairs(left: DataFrame, right: DataFrame, iou: float) -> DataFrame:
 
 def consensus(main: DataFrame, first: DataFrame, second: DataFrame, truth: DataFrame, class_id: int = 24, iou: float = 0.35) -> DataFrame:
     """Proposals of two models that agree, one to one in first-fit order: (image_id, l_ord, r_ord, label of the first's)."""
-    a, b = (label_proposals(main, p, truth, class_id, iou).where("reason <> 'duplicate_main'") for p in (first, second))
+    a, b = (cut(label_proposals(main, p, truth, class_id, iou).where("reason <> 'duplicate_main'")) for p in (first, second))
     return first_fit_pairs(a, b, iou).join(a.select("image_id", F.col("ord").alias("l_ord"), "label"), ["image_id", "l_ord"])
 
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Collection, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,81 +73,68 @@ def required_groups(n: int, ratio: float) -> int:
     return max(1, min(n - 1, round(n * ratio)))
 
 
-def cover(vectors: Mapping[str, Mapping[str, int]], ratio: float, seed: int = 42) -> set[str]:
-    """Groups that together hold every class in at least its required number of groups, found with backtracking; states that
-    failed are remembered. A class in one group alone cannot be split and asks for nothing."""
-    names = sorted({n for v in vectors.values() for n in v if n[0] == "f"})
-    holders = {n: sorted((g for g in vectors if vectors[g].get(n)), key=lambda g: (vectors[g]["images"], rank(seed, g))) for n in names}
+def cover(vectors: Mapping[str, Mapping[str, int]], ratio: float, seed: int = 42, start: Collection[str] = ()) -> set[str]:
+    """Groups that together hold every class in at least its required number of groups, found with backtracking from the groups of `start`;
+    states that failed are remembered. A class in one group alone cannot be split and asks for nothing."""
+    holders = {n: [] for n in sorted({n for v in vectors.values() for n in v if n[0] == "f"})}
+    for g in sorted(vectors, key=lambda g: (vectors[g]["images"], rank(seed, g))):
+        for n in vectors[g]:
+            if n[0] == "f" and vectors[g][n]:
+                holders[n].append(g)
     need = {n: required_groups(len(h), ratio) for n, h in holders.items() if len(h) > 1}
+    shown = {g: [n for n in v if n in need and v[n]] for g, v in vectors.items()}
+    chosen, have = set(start), dict.fromkeys(need, 0)
+    for g in chosen:
+        for n in shown[g]:
+            have[n] += 1
+    spoils = lambda g: any(have[n] + 1 >= len(holders[n]) for n in shown[g])
     failed: set[frozenset] = set()
+    path: list[tuple[str, Iterator[str]]] = []
+    while short := [n for n, k in need.items() if have[n] < k]:
+        rarest = min(short, key=lambda n: (len(holders[n]), n))
+        tried = iter([] if failed and frozenset(chosen) in failed else [g for g in holders[rarest] if g not in chosen])
+        while (g := next((g for g in tried if not spoils(g)), None)) is None:
+            failed.add(frozenset(chosen))
+            if not path:
+                raise ValueError("no set of groups covers every class")
+            last, tried = path.pop()
+            chosen.remove(last)
+            for n in shown[last]:
+                have[n] -= 1
+        path.append((g, tried))
+        chosen.add(g)
+        for n in shown[g]:
+            have[n] += 1
+    return chosen
 
-    def spoils(chosen: set[str], g: str) -> bool:
-        return any(set(holders[n]) <= chosen | {g} for n in need if vectors[g].get(n))
-
-    def extend(chosen: set[str]) -> set[str] | None:
-        short = [n for n, k in need.items() if sum(g in chosen for g in holders[n]) < k]
-        if not short:
-            return chosen
-        key = frozenset(chosen)
-        if key in failed:
-            return None
-        n = min(short, key=lambda n: (len(holders[n]), n))
-        for g in holders[n]:
-            if g not in chosen and not spoils(chosen, g) and (found := extend(chosen | {g})) is not None:
-                return found
-        failed.add(key)
-        return None
-
-    found = extend(set())
-    if found is None:
-        raise ValueError("no set of groups covers every class")
-    return found
-
-
-def objective(chosen: set[str], vectors: Mapping[str, Mapping[str, int]], total: Mapping[str, int], ratio: float) -> tuple[float, float, float, float]:
-    """The greatest deviation of a fine class's boxes from the ratio; squared, then plain deviations of boxes, presence and
-    coarse classes summed; that of the images."""
-    mine: dict[str, int] = {}
-    for g in chosen:
-        for name, n in vectors[g].items():
-            mine[name] = mine.get(name, 0) + n
-    apart = {n: abs(mine.get(n, 0) / t - ratio) for n, t in total.items() if t}
-    counted = [apart[n] for n in sorted(apart) if n[0] in "fcp"]
-    return max((v for n, v in apart.items() if n[0] == "f"), default=0.0), sum(v * v for v in counted), sum(counted), apart["images"]
 
+def select_validation(vectors: Mapping[str, Mapping[str, int]], ratio: float, seed: int = 42, frozen: Collection[str] = ()) -> set[str]:
+    """Cover (from the frozen groups on), fill by seeded rank up to the share of images, then local search with the share as its least number
+    of images and, as its greatest, what one group can bring it over."""
+    from boxwright.operators.split_search import improve
 
-def select_validation(vectors: Mapping[str, Mapping[str, int]], ratio: float, seed: int = 42, rounds: int = 512, beam: int = 48) -> set[str]:
-    """Cover, fill by seeded rank up to the share of images, then local search by adding, removing and swapping groups.
-    Over 20,000 possible swaps, only the `beam` most promising groups of each side are tried."""
-    total: dict[str, int] = {}
+    chosen = cover(vectors, ratio, seed, frozen)
+    target = math.ceil(sum(v["images"] for v in vectors.values()) * ratio)
+    whole: dict[str, int] = {}
     for v in vectors.values():
-        for name, n in v.items():
-            total[name] = total.get(name, 0) + n
-    must = cover(vectors, ratio, seed)
-    need = {n: required_groups(k, ratio) for n in total if n[0] == "f" and (k := sum(1 for v in vectors.values() if v.get(n))) > 1}
-    have = lambda s, n: sum(1 for g in s if vectors[g].get(n))
-    whole = {n: sum(1 for v in vectors.values() if v.get(n)) for n in need}
-    valid = lambda s: all(k <= have(s, n) < whole[n] for n, k in need.items())
-    chosen = set(must)
-    for g in sorted(vectors, key=lambda g: rank(seed, g)):
-        if sum(vectors[x]["images"] for x in chosen) >= total["images"] * ratio:
+        for n in v:
+            if n[0] == "f" and v[n]:
+                whole[n] = whole.get(n, 0) + 1
+    have = {n: sum(1 for g in chosen if vectors[g].get(n)) for n in whole}
+    images = sum(vectors[g]["images"] for g in chosen)
+    for g in sorted(set(vectors) - chosen, key=lambda g: rank(seed, g)):
+        if images >= target:
             break
-        if g not in chosen and valid(chosen | {g}):
+        shown = [n for n in vectors[g] if n[0] == "f" and vectors[g][n]]
+        if all(have[n] + 1 < whole[n] for n in shown if whole[n] > 1):
             chosen.add(g)
-    best = objective(chosen, vectors, total, ratio)
-    for _ in range(rounds):
-        outside = sorted(set(vectors) - chosen, key=lambda g: rank(seed, g))
-        inside = sorted(chosen, key=lambda g: rank(seed, g))
-        moves = [(chosen | {g}) for g in outside] + [(chosen - {g}) for g in inside]
-        if len(inside) * len(outside) > 20_000:
-            inside, outside = inside[:beam], outside[:beam]
-        moves += [(chosen - {a}) | {b} for a, b in itertools.product(inside, outside)]
-        scored = [(objective(m, vectors, total, ratio), i) for i, m in enumerate(moves) if m and valid(m)]
-        if not scored or min(scored)[0] >= best:
-            break
-        best, at = min(scored)
-        chosen = moves[at]
-    return chosen
+            images += vectors[g]["images"]
+            for n in shown:
+                have[n] += 1
+    if images < target:
+        raise ValueError(f"too few images while every class keeps a group for training: target={target}, actual={images}")
+    most = max(images, target + max(v["images"] for v in vectors.values()) - 1)
+    return improve(vectors, chosen, ratio, seed, frozen, target, most)
 
 
 def expert_split(vehicles: Mapping[str, int], ratio: float, seed: int = 42, least: int = 3) -> set[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
 from boxwright.functions import scalar as S
-from boxwright.operators import filters, inference, matching, metrics, suppression
+from boxwright.operators import filters, inference, matching, metrics, outlines, suppression
 from boxwright.plans.registry import MATCHED, accept_sql, coarse_sql, iou_sql, query, table, view
 from boxwright.taxonomy import coarse_of, dimension
 
@@ -356,6 +356,45 @@ def n1_polygons(spark, d):
     return suppression.merge_detections(view(spark, d, "nmsbox").where("true"), 0.3037, polygons=True)
 
 
+#: Outlines around each box, by kind: a diamond, a notched arrow, a bow tie, a horseshoe; each with its IoU with the box and, last, that of two diamonds a quarter apart.
+OUTLINE_SQL = "CASE ord % 5 WHEN 0 THEN 0.5 WHEN 1 THEN 0.375 WHEN 2 THEN 0 WHEN 3 THEN 0.75 ELSE round(9.0::DOUBLE / 23, 9) END"
+
+
+def _shape(*corners: tuple[float, float]):
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return F.array(*[F.struct((F.col("x1") + w * u).alias("x"), (F.col("y1") + h * v).alias("y")) for u, v in corners])
+
+
+@query("G4_outlines", f"SELECT ord, CAST({OUTLINE_SQL} AS DOUBLE) AS iou FROM det", ("det",))
+def g4_outlines(spark, d):
+    diamond, moved = [(0.5, 0), (1, 0.5), (0.5, 1), (0, 0.5)], [(0.75, 0), (1.25, 0.5), (0.75, 1), (0.25, 0.5)]
+    shapes = [diamond, [(0, 0), (0.5, 0.25), (1, 0), (0.5, 1)], [(0, 0), (1, 1), (0, 1), (1, 0)], [(0, 0), (0.25, 0), (0.25, 0.5), (0.75, 0.5), (0.75, 0), (1, 0), (1, 1), (0, 1)], diamond]
+    kind = F.col("ord") % 5
+    pick = F.when(kind == 0, _shape(*shapes[0]))
+    for k in range(1, 5):
+        pick = pick.when(kind == k, _shape(*shapes[k]))
+    other = F.when(kind == 4, _shape(*moved)).otherwise(_shape((0, 0), (1, 0), (1, 1), (0, 1)))
+    found = outlines.with_iou(view(spark, d, "det").select("ord", pick.alias("p"), other.alias("q")), "p", "q")
+    return found.select("ord", F.round("iou", 9).alias("iou"))
+
+
+#: An L is two boxes that share no area: its upper left quarter beside the left half, so SQL can tell what two of them share.
+ELLS = """l AS (SELECT *, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my FROM nmsbox), ls AS (SELECT image_id, class_id, ord, score, x1, y1, x2, y2, 3 * (x2 - x1) * (y2 - y1) / 4 AS size,
+[{'a': x1, 'b': y1, 'c': mx, 'd': y2}, {'a': mx, 'b': my, 'c': x2, 'd': y2}] AS parts FROM l)"""
+ELL_SHARED = "list_sum(list_transform(k.parts, lambda p: list_sum(list_transform(x.parts, lambda q: greatest(0, least(p.c, q.c) - greatest(p.a, q.a)) * greatest(0, least(p.d, q.d) - greatest(p.b, q.b))))))"
+
+
+@query("N1_outlines", f"""WITH RECURSIVE {ELLS}, e AS (SELECT x.ord AS later, k.ord AS sooner FROM ls x JOIN ls k ON k.image_id = x.image_id AND k.class_id = x.class_id AND (k.score > x.score OR (k.score = x.score AND k.ord < x.ord))
+WHERE {ELL_SHARED} / (k.size + x.size - {ELL_SHARED}) >= 0.3037::DOUBLE),
+r AS (SELECT ord, row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, ord) AS n, image_id, class_id FROM ls),
+g AS (SELECT image_id, class_id, list({{'o': ord, 'b': b}} ORDER BY n) AS l FROM r LEFT JOIN (SELECT later, list(sooner) AS b FROM e GROUP BY later) ON later = ord GROUP BY ALL),
+w AS (SELECT image_id, class_id, 0 AS i, []::BIGINT[] AS kept, l FROM g UNION ALL SELECT image_id, class_id, i + 1, CASE WHEN list_has_any(coalesce(l[i + 1].b, []::BIGINT[]), kept) THEN kept ELSE list_append(kept, l[i + 1].o) END, l FROM w WHERE i < len(l))
+SELECT image_id, class_id, unnest(kept) AS ord FROM w WHERE i = len(l)""", ("nmsbox",))
+def n1_outlines(spark, d):
+    ell = _shape((0, 0), (0.5, 0), (0.5, 0.5), (1, 0.5), (1, 1), (0, 1))
+    return outlines.suppress_outlines(view(spark, d, "nmsbox").withColumn("polygon", ell), 0.3037).select("image_id", "class_id", "ord")
+
+
 @query("N2", nms_sql("(SELECT * FROM nmsbox WHERE class_id <> 24)", f"{iou_sql('k', 'x')} >= CASE WHEN x.class_id = 0 THEN 0.2::DOUBLE ELSE 0.4::DOUBLE END") + f" UNION ALL SELECT image_id, class_id, ord, score, x1, y1, x2, y2 FROM nmsbox WHERE class_id = 24", ("nmsbox",))
 def n2(spark, d):
     rules = spark.createDataFrame([(0, "iou", 0.2), (12, "iou", 0.4)], "class_id int, method string, threshold double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.functions import geometry as G
-from boxwright.operators import curation, inference, kernels, matching, metrics, search, splitting
+from boxwright.operators import calibration, curation, inference, kernels, matching, metrics, search, splitting
 from boxwright.plans.boxes import DET, EVAL, HASHES, _hashes, _vehicles
 from boxwright.plans.registry import MATCHED, accept_sql, coarse_sql, iou_sql, query, table, view
 from boxwright.sources import readers, sinks
@@ -379,6 +379,44 @@ def o10(spark, d):
     return c.groupBy("candidate").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
 
 
+OOF = """, ck AS (SELECT sum(hold_tp) AS tp, sum(hold_fp) AS fp, sum(hold_fn) AS fn, sum(ship_tp) AS stp, sum(ship_fp) AS sfp, sum(ship_fn) AS sfn, max(CASE WHEN ship_tp + ship_fp > 0 THEN ship_fp / (ship_tp + ship_fp) ELSE 0 END) AS worst, {ranges} FROM ch),
+cs AS (SELECT 'oof_recall' AS name, CAST(tp / (tp + fn) AS DOUBLE) AS value, 0.5::DOUBLE AS lim, true AS at_least FROM ck UNION ALL SELECT 'oof_fdr', fp / (tp + fp), 0.3::DOUBLE, false FROM ck UNION ALL SELECT 'ship_recall', stp / (stp + sfn), 0.4::DOUBLE, true FROM ck UNION ALL SELECT 'ship_fdr', sfp / (stp + sfp), 0.9::DOUBLE, false FROM ck {more})
+SELECT name, value, lim AS "limit", at_least, CASE WHEN at_least THEN value >= lim ELSE value <= lim END AS passed FROM cs"""
+OOF_LIMITS = {"oof_recall": 0.5, "oof_fdr": 0.3, "ship_recall": 0.4, "ship_fdr": 0.9}
+SHIPS = """sm AS (SELECT d.image_id, d.score, m.p_ord IS NOT NULL AS hit FROM det d LEFT JOIN (SELECT * FROM matched WHERE scope = 'coarse' AND key = 'ship') m ON d.ord = m.p_ord WHERE d.class_id <= 3),
+sh AS (SELECT fold, threshold, count(*) FILTER (score >= threshold AND hit) AS tp, count(*) FILTER (score >= threshold AND NOT hit) AS fp FROM fo CROSS JOIN th LEFT JOIN sm USING (image_id) GROUP BY ALL),
+st AS (SELECT fold, count(*) AS t FROM truth JOIN fo USING (image_id) WHERE NOT difficult AND class_id <= 3 GROUP BY fold), ss AS (SELECT fold, threshold, tp AS ship_tp, fp AS ship_fp, t - tp AS ship_fn FROM sh JOIN st USING (fold))"""
+
+
+@query("O9_checks", f"""WITH {FT}, {SHIPS}, ba AS (SELECT fold, recall - 0.2::DOUBLE AS floor, fdr + 0.2::DOUBLE AS cap FROM sc WHERE threshold = 0.3::DOUBLE),
+ps AS (SELECT sc.* FROM sc JOIN ba USING (fold) WHERE recall >= floor AND fdr <= cap), ti AS (SELECT * FROM ps QUALIFY f1 >= max(f1) OVER (PARTITION BY fold) - 0.0001::DOUBLE),
+ch AS (SELECT ti.*, ship_tp, ship_fp, ship_fn FROM ti JOIN ss USING (fold, threshold) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY fdr, -recall, threshold) = 1){OOF.format(ranges="max(threshold) - min(threshold) AS rg", more="UNION ALL SELECT 'threshold_range', rg, 0.05::DOUBLE, false FROM ck")}""", ("det", "truth", "img"))
+def o9_checks(spark, d):
+    found = calibration.calibrate_threshold(view(spark, d, "det"), view(spark, d, "truth"), _folds(spark, d), GRID, 0.3, recall_slack=0.2, fdr_slack=0.2, limits=OOF_LIMITS | {"threshold_range": 0.05})
+    return found.checks.select("name", "value", "limit", "at_least", "passed")
+
+
+PAIR_GRID = [0.3, 0.7]
+
+
+@query("O10_checks", f"""WITH {FT}, {SHIPS}, cd AS (SELECT a.threshold AS ship, b.threshold AS general FROM th a, th b WHERE a.threshold IN (0.3::DOUBLE, 0.7::DOUBLE) AND b.threshold IN (0.3::DOUBLE, 0.7::DOUBLE)),
+kp AS (SELECT ship, general, d.* FROM det d, cd WHERE score >= CASE WHEN class_id <= 3 THEN ship ELSE general END),
+ed AS (SELECT ship, general, p.image_id, p.ord AS p, t.ord AS t, p.score AS s, {iou_sql('p', 't')} AS i FROM kp p JOIN truth t ON p.image_id = t.image_id AND NOT t.difficult WHERE {iou_sql('p', 't')} >= CASE WHEN t.class_id = 24 THEN 0.35::DOUBLE ELSE 0.5::DOUBLE END),
+mt AS (SELECT ship, general, image_id, unnest({accept_sql('l', 'k.p = x.p OR k.t = x.t')}) AS m FROM (SELECT ship, general, image_id, list({{'p': p, 't': t}} ORDER BY s DESC, p, i DESC, t) AS l FROM ed GROUP BY ALL)),
+pt AS (SELECT ship, general, fold, count(*) AS tp FROM mt JOIN fo USING (image_id) GROUP BY ALL), pn AS (SELECT ship, general, fold, count(*) AS n FROM kp JOIN fo USING (image_id) GROUP BY ALL), ft2 AS (SELECT fold, count(*) AS t FROM truth JOIN fo USING (image_id) WHERE NOT difficult GROUP BY fold),
+hc AS (SELECT ship, general, fold, tp AS hold_tp, n - tp AS hold_fp, t - tp AS hold_fn FROM pn JOIN pt USING (ship, general, fold) JOIN ft2 USING (fold)),
+al AS (SELECT *, sum(hold_tp) OVER w - hold_tp AS tp, sum(hold_fp) OVER w - hold_fp AS fp, sum(hold_fn) OVER w - hold_fn AS fn FROM hc WINDOW w AS (PARTITION BY ship, general)),
+s2 AS (SELECT *, sum(ship_tp) OVER w - ship_tp AS a, sum(ship_fp) OVER w - ship_fp AS b, sum(ship_fn) OVER w - ship_fn AS c FROM ss WINDOW w AS (PARTITION BY threshold)),
+ba AS (SELECT fold, recall - 0.2::DOUBLE AS floor, fdr + 0.2::DOUBLE AS cap FROM sc WHERE threshold = 0.3::DOUBLE),
+ps AS (SELECT al.*, 2 * tp / (2 * tp + fp + fn) AS f1, tp / (tp + fn) AS rc, fp / (tp + fp) AS fd, b / (a + b) AS sfd, ship_tp, ship_fp, ship_fn FROM al JOIN s2 ON s2.fold = al.fold AND s2.threshold = al.ship JOIN ba ON ba.fold = al.fold
+  WHERE tp / (tp + fn) >= floor AND fp / (tp + fp) <= cap AND a / (a + c) >= 0.2::DOUBLE AND b / (a + b) <= 0.99::DOUBLE),
+ti AS (SELECT * FROM ps QUALIFY f1 >= max(f1) OVER (PARTITION BY fold) - 0.0001::DOUBLE), ch AS (SELECT * FROM ti QUALIFY row_number() OVER (PARTITION BY fold ORDER BY sfd, fd, -rc, ship, general) = 1){OOF.format(ranges="max(ship) - min(ship) AS sr, max(general) - min(general) AS gr", more="UNION ALL SELECT 'worst_fold_ship_fdr', worst, 0.25::DOUBLE, false FROM ck UNION ALL SELECT 'ship_threshold_range', sr, 0.05::DOUBLE, false FROM ck UNION ALL SELECT 'general_threshold_range', gr, 0.05::DOUBLE, false FROM ck")}""", ("det", "truth", "img"))
+def o10_checks(spark, d):
+    limits = OOF_LIMITS | {"worst_fold_ship_fdr": 0.25, "ship_threshold_range": 0.05, "general_threshold_range": 0.05}
+    found = calibration.calibrate_pair(view(spark, d, "det"), view(spark, d, "truth"), _folds(spark, d), PAIR_GRID, 0.3, recall_slack=0.2, fdr_slack=0.2, ship_floor=0.2, ship_cap=0.99, limits=limits)
+    return found.checks.select("name", "value", "limit", "at_least", "passed")
+
+
 @query("O8", f"WITH {PC} , sf AS (SELECT *, 2 * tp / (2 * tp + fp + fn) AS f1 FROM pc) SELECT arg_min(candidate, {{'b': fp / (tp + fp), 'r': -tp / (tp + fn), 'c': candidate}}) AS candidate FROM (SELECT * FROM sf QUALIFY f1 >= max(f1) OVER () - 0.0001::DOUBLE)", ("det", "truth"))
 def o8(spark, d):
     c = o10(spark, d).select(F.lit(0).alias("fold"), "candidate", *[F.col(x).alias(f"train_{x}") for x in ("tp", "fp", "fn")], *[F.lit(0).alias(f"hold_{x}") for x in ("tp", "fp", "fn")])

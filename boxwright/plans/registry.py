@@ -45,6 +45,8 @@ def with_views(sql: str, *names: str) -> str:
             text = text.replace("{" + t + "}", t)
         parts.append(f"{n} AS ({text})")
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join(parts) + ", " + body[5:]
     return "WITH " + ", ".join(parts) + " " + body
