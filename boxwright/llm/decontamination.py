@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm.bytekit import NOT_ALNUM, STEP, mix, pieces, shingle_hashes, text_bytes, word_hashes, words
-from boxwright.llm.common import dedupe_columns
+from boxwright.llm.common import cut, dedupe_columns, fresh
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_WINDOWS = 1_000_000
+BLOCK_WINDOWS = 50_000  # about 0.1 GB of the driver
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 FOUND = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<bigint>>"
@@ -185,12 +185,14 @@ def _matcher(shared, text_at: int, out: str):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, text: str = "text", out: str = "contamination") -> DataFrame:
     """Every row of docs with a struct `out`: n_words, starts and ends of the hit word spans (merged), items."""
     spark = docs.sparkSession
-    windows = item_windows(benchmark, window)
+    windows = cut(item_windows(benchmark, window), "windows")
     n_windows = windows.count()
     n_blocks = max(1, -(-n_windows // block_windows))
     base = [c for c in docs.columns if c != out]
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != out)
-    result, parts = docs.select(*[F.col(f"`{c}`") for c in base]), []
+    result = docs.select(*[F.col(f"`{c}`") for c in base])
+    part_names = [out] if n_blocks == 1 else list(fresh(docs, *[f"{out}_{b}" for b in range(n_blocks)]))
+    parts: list[str] = []
     for b in range(n_blocks):
         rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == b).collect() if n_windows else []
         block = Block([(r[0], r[1]) for r in rows])
@@ -198,14 +200,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         counts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_counter(vocabulary), "k int, h bigint, n bigint") if rows else None
         frequency = {(k, h & (2**64 - 1)): n for k, h, n in counts.groupBy("k", "h").agg(F.sum("n")).collect()} if rows else {}
         shared = spark.sparkContext.broadcast((block.texts, block.items, block.length, block.whole, block.anchor(frequency)))
-        name = f"{out}_{b}" if n_blocks > 1 else out
+        name = part_names[b]
         earlier = ", ".join(f"`{p}` {FOUND}" for p in parts)
         result = result.mapInArrow(_matcher(shared, base.index(text), name), ", ".join(x for x in (names, earlier, f"`{name}` {FOUND}") if x))
         parts.append(name)
     if n_blocks == 1:
         return result
     # spans of different blocks may overlap; merged by an ordered fold
-    every = lambda f: F.flatten(F.array(*[F.col(p)[f] for p in parts]))
+    every = lambda f: F.flatten(F.array(*[F.col(f"`{p}`")[f] for p in parts]))
+    (spans_at,) = fresh(result, "spans")
     spans = F.array_sort(F.arrays_zip(every("starts").alias("s"), every("ends").alias("e")))
     fold = F.aggregate(
         spans,
@@ -216,8 +219,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
     )
     merged = F.filter(fold, lambda x: x.isNotNull())
-    joined = result.withColumn("_spans", merged).withColumn(
-        out, F.struct(F.col(parts[0])["n_words"].alias("n_words"), F.col("_spans.s").alias("starts"), F.col("_spans.e").alias("ends"), F.array_sort(F.array_distinct(every("items"))).alias("items"))
+    joined = result.withColumn(spans_at, merged).withColumn(
+        out, F.struct(F.col(f"`{parts[0]}`")["n_words"].alias("n_words"), F.col(f"{spans_at}.s").alias("starts"), F.col(f"{spans_at}.e").alias("ends"), F.array_sort(F.array_distinct(every("items"))).alias("items"))
     )
     return joined.select(*[F.col(f"`{c}`") for c in base], out)
 
@@ -228,6 +231,6 @@ def hit_words(found) -> F.Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows in which a benchmark window occurs; the columns of docs."""
-    out = "_contamination"
+    """docs without the rows in which a benchmark window occurs; the columns of docs, whatever their names."""
+    (out,) = fresh(docs, "contamination")
     return find_contamination(docs, benchmark, out=out, **options).where(F.size(F.col(out)["starts"]) == 0).drop(out)

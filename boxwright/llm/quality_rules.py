@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import let
+from boxwright.llm.common import fresh, let
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -114,8 +114,10 @@ def compile_rules(rules: tuple[Rule, ...], m: Column) -> Column:
     return verdict
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "quality") -> DataFrame:
-    """Every row of docs with a struct column `out`: the counts, base_failed and kept."""
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str | None = None) -> DataFrame:
+    """Every row of docs with a struct column behind the others: the counts, base_failed and kept. It is called `quality`, with underscores behind it
+    if docs have such a column; a column named by `out` is replaced."""
+    out = out or next(fresh(docs, "quality"))
     counts = "n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_stop_words n_upper".split()
 
     def judged(m: Column) -> Column:
