@@ -201,7 +201,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         p = sub.add_parser(name, help=f.__doc__)
         for names, more in arguments:
             p.add_argument(*names, **more)
-        p.add_argument("--taxonomy", choices=sorted(TAXONOMIES), default="xh25")
+        p.add_argument("--taxonomy", choices=sorted(TAXONOMIES), default="scenes25")
         p.add_argument("--out", help="folder for JSON instead of stdout")
     a = parser.parse_args(argv)
     a.status = 0

@@ -77,7 +77,7 @@ def _verdict(chosen: DataFrame, folds: DataFrame, names: Sequence[str], limits:
 
 def calibrate_threshold(
     detections: DataFrame, truth: DataFrame, folds: DataFrame, grid: Sequence[float] = GRID, baseline: float = 0.25, baseline_detections: DataFrame | None = None,
-    recall_slack: float = 0.005, fdr_slack: float = 0.005, tie: float = 0.0001, limits: dict[str, float] | None = None, taxonomy: str = "xh25",
+    recall_slack: float = 0.005, fdr_slack: float = 0.005, tie: float = 0.0001, limits: dict[str, float] | None = None, taxonomy: str = "scenes25",
 ) -> Verdict:
     """One threshold for all classes; folds: (image_id, fold)."""
     gates = _gates(detections if baseline_detections is None else baseline_detections, truth, folds, baseline, recall_slack, fdr_slack, taxonomy)
@@ -99,7 +99,7 @@ def _with_ship(chosen: DataFrame, ship: DataFrame, by: str) -> DataFrame:
 
 def calibrate_pair(
     detections: DataFrame, truth: DataFrame, folds: DataFrame, grid: Sequence[float] = GRID, baseline: float = 0.25, baseline_detections: DataFrame | None = None,
-    recall_slack: float = 0.005, fdr_slack: float = 0.005, ship_floor: float = 0.80, ship_cap: float = 0.17, tie: float = 0.0001, limits: dict[str, float] | None = None, taxonomy: str = "xh25",
+    recall_slack: float = 0.005, fdr_slack: float = 0.005, ship_floor: float = 0.80, ship_cap: float = 0.17, tie: float = 0.0001, limits: dict[str, float] | None = None, taxonomy: str = "scenes25",
 ) -> Verdict:
     """A threshold for ships and one for the other classes. A ship's matching does not depend on the other classes' threshold, so ship counts
     are those of one threshold. Of tied pairs: lowest ship FDR, lowest FDR, greatest recall, lowest ship, then lowest general threshold."""

@@ -66,7 +66,7 @@ def repeat(df: DataFrame, stem: str, factor: Column, suffix: str, out: str = "al
     return copies.withColumn(out, F.when(F.col("_i") == 0, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit(f"__{suffix}"), F.format_string("%02d", F.col("_i"))))).drop("_i")
 
 
-def demo_samples(annotations: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def demo_samples(annotations: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     return annotations.groupBy(coarse_of(F.col("class_id"), taxonomy).alias("coarse")).agg(F.min("stem").alias("stem"))
 
 
@@ -75,7 +75,7 @@ def class_frequency(classes: Column, factors: dict[int, int]) -> Column:
     return F.greatest(F.lit(1), *[F.when(F.array_contains(classes, c), F.lit(k)).otherwise(F.lit(1)) for c, k in factors.items()], F.lit(1))
 
 
-def hard_negatives(detections: DataFrame, truth: DataFrame, images: DataFrame, min_score: float, size: int, margin: float, per_group: int, seed: int = 42, taxonomy: str = "xh25") -> DataFrame:
+def hard_negatives(detections: DataFrame, truth: DataFrame, images: DataFrame, min_score: float, size: int, margin: float, per_group: int, seed: int = 42, taxonomy: str = "scenes25") -> DataFrame:
     """Crops around confident ship and vehicle detections that match no truth of their coarse class, and that, widened by a margin,
     touch no truth at all; the best of each source group. images: image_id, stem, group_id, width, height."""
     from boxwright.functions.geometry import crop_origin_from_corners
@@ -113,7 +113,7 @@ def _seeded(seed: int, kind: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(kind), "stem", F.col("ord").cast("string")), 256)
 
 
-def hard_examples(detections: DataFrame, truth: DataFrame, images: DataFrame, per_positive: int, per_negative: int, floor: float, size: int, seed: int = 42, taxonomy: str = "xh25") -> DataFrame:
+def hard_examples(detections: DataFrame, truth: DataFrame, images: DataFrame, per_positive: int, per_negative: int, floor: float, size: int, seed: int = 42, taxonomy: str = "scenes25") -> DataFrame:
     """Ship and vehicle truths that were missed (smallest first) and confident unmatched detections that touch no truth (best
     first), with caps per group and coarse class; negatives whose crop touches a truth go after the cap. size 0: no crops."""
     found = matching.greedy_match(detections, truth, ("coarse",), taxonomy)

@@ -19,7 +19,7 @@ def over_class_threshold(detections: DataFrame, thresholds: DataFrame) -> DataFr
     return joined.where(F.col("score") >= F.coalesce("threshold", F.lit(0.0))).select(*detections.columns)
 
 
-def pipeline_filter(detections: DataFrame, thresholds: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def pipeline_filter(detections: DataFrame, thresholds: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """score >= the class's threshold; a class without one is dropped, an id outside the taxonomy raises."""
     ok = F.when(F.col("class_id").between(0, n_classes(taxonomy) - 1), F.lit(True)).otherwise(F.raise_error(F.lit("class outside the taxonomy")).cast("boolean"))
     joined = detections.where(ok).join(F.broadcast(thresholds), "class_id")
@@ -30,7 +30,7 @@ def at_threshold(detections: DataFrame, threshold: float) -> DataFrame:
     return detections.where(F.col("score") >= threshold)
 
 
-def at_ship_override(detections: DataFrame, general: float, ship: float, taxonomy: str = "xh25") -> DataFrame:
+def at_ship_override(detections: DataFrame, general: float, ship: float, taxonomy: str = "scenes25") -> DataFrame:
     bound = F.when(coarse_of(F.col("class_id"), taxonomy) == "ship", F.lit(ship)).otherwise(F.lit(general))
     return detections.where(F.col("score") >= bound)
 

@@ -28,7 +28,7 @@ def keyed(df: DataFrame, keys: tuple[str, ...], taxonomy: str) -> DataFrame:
     return df.withColumn("_m", F.explode(match_keys(F.col("class_id"), keys, taxonomy))).select("*", "_m.scope", "_m.key").drop("_m")
 
 
-def candidate_edges(detections: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("all", "coarse", "fine"), taxonomy: str = "xh25", iou: float | None = None) -> DataFrame:
+def candidate_edges(detections: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("all", "coarse", "fine"), taxonomy: str = "scenes25", iou: float | None = None) -> DataFrame:
     """Pairs of one image and key whose IoU reaches the truth's bound; pairs below it can never match, so they end here.
     A finer key divides a coarser one, so boxes are paired once, by the coarsest key asked for, and a pair takes part in each
     matching in which its keys agree."""
@@ -52,11 +52,11 @@ def resolve(edges: DataFrame, group: tuple[str, ...] = ("image_id", "scope", "ke
     return folds.one_to_one(rows, list(group), [F.desc("score"), F.col("p_ord"), F.desc("iou"), F.col("t_ord")], "p_ord", "t_ord")
 
 
-def greedy_match(detections: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("all", "coarse", "fine"), taxonomy: str = "xh25", iou: float | None = None) -> DataFrame:
+def greedy_match(detections: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("all", "coarse", "fine"), taxonomy: str = "scenes25", iou: float | None = None) -> DataFrame:
     return resolve(candidate_edges(detections, truth, keys, taxonomy, iou))
 
 
-def model_outcomes(models: DataFrame, truth: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def model_outcomes(models: DataFrame, truth: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """Coarse matches of several models at once: a detections table with a `model` column."""
     wide = models.withColumn("image_id", F.struct("model", "image_id"))
     names = models.select("model").distinct()
@@ -65,7 +65,7 @@ def model_outcomes(models: DataFrame, truth: DataFrame, taxonomy: str = "xh25")
     return found.select(F.col("image_id.model").alias("model"), F.col("image_id.image_id").alias("image_id"), F.col("key").alias("coarse"), "p_ord", "t_ord", "iou", "score")
 
 
-def false_positive_sources(detections: DataFrame, truth: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def false_positive_sources(detections: DataFrame, truth: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """Detections that match nothing of their coarse class: source 'overlap' if they touch any truth of that class, even a
     claimed one, else 'background'."""
     matched = greedy_match(detections, truth, ("coarse",), taxonomy).select("image_id", F.col("p_ord").alias("ord"))

@@ -15,7 +15,7 @@ from boxwright.taxonomy import COARSE, TAXONOMIES, coarse_of, dimension
 REPORT = ("scope", "key", "tp", "fp", "fn", "recall", "fdr")
 
 
-def flags(detections: DataFrame, truth: DataFrame, taxonomy: str = "xh25", keys: tuple[str, ...] = ("all", "coarse", "fine")) -> DataFrame:
+def flags(detections: DataFrame, truth: DataFrame, taxonomy: str = "scenes25", keys: tuple[str, ...] = ("all", "coarse", "fine")) -> DataFrame:
     """(image_id, scope, key, tp, fp, fn) counts of one pass over all keyings."""
     keyed = lambda df: matching.keyed(df, keys, taxonomy).groupBy("image_id", "scope", "key").agg(F.count("*").alias("n"))
     found = matching.greedy_match(detections, truth, keys, taxonomy).groupBy("image_id", "scope", "key").agg(F.count("*").alias("n"))
@@ -37,7 +37,7 @@ def report_keys(spark, taxonomy: str) -> DataFrame:
     return spark.createDataFrame(rows, "scope string, key string").unionByName(fine)
 
 
-def evaluate(detections: DataFrame, truth: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def evaluate(detections: DataFrame, truth: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """Overall (class-agnostic), coarse, fine and per-image counts; each keying is a matching of its own, and every class of
     the taxonomy has a row."""
     counts = cut(flags(detections, truth, taxonomy))  # read below for the keyings and again for the images
@@ -49,7 +49,7 @@ def evaluate(detections: DataFrame, truth: DataFrame, taxonomy: str = "xh25") ->
     return rated(full.select("scope", "key", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])).select(*REPORT)
 
 
-def false_positive_audit(detections: DataFrame, truth: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def false_positive_audit(detections: DataFrame, truth: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """(coarse, overlap, background, total)."""
     found = matching.false_positive_sources(detections, truth, taxonomy).groupBy("coarse").agg(F.count_if(F.col("source") == "overlap").alias("overlap"), F.count_if(F.col("source") == "background").alias("background"))
     names = detections.sparkSession.createDataFrame([(n,) for n in COARSE], "coarse string")
@@ -58,7 +58,7 @@ def false_positive_audit(detections: DataFrame, truth: DataFrame, taxonomy: str
     return joined.select("coarse", zero("overlap").alias("overlap"), zero("background").alias("background"), (zero("overlap") + zero("background")).alias("total"))
 
 
-def class_counts(detections: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def class_counts(detections: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """(scope, key, n) for every coarse and fine class, zero-filled."""
     found = matching.keyed(detections, ("coarse", "fine"), taxonomy).groupBy("scope", "key").agg(F.count("*").alias("n"))
     keys = report_keys(detections.sparkSession, taxonomy).where("scope <> 'overall'")
@@ -77,7 +77,7 @@ def audit_statistics(images: DataFrame, annotations: DataFrame) -> DataFrame:
     )
 
 
-def split_counts(annotations: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def split_counts(annotations: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """Boxes per split, coarse and fine class."""
     return annotations.groupBy("split", coarse_of(F.col("class_id"), taxonomy).alias("coarse"), "class_id").agg(F.count("*").alias("n"))
 
@@ -93,7 +93,7 @@ def latency_gate(df: DataFrame, value: str, limit: float, reserve: float, *keys:
     return durations(df, value, *keys).join(df.groupBy(*keys).agg(F.every(F.col(value) <= F.lit(limit - reserve)).alias("passed")), list(keys)) if keys else df.agg(F.every(F.col(value) <= F.lit(limit - reserve)).alias("passed"))
 
 
-def complementarity(models: DataFrame, truth: DataFrame, left: str, right: str, taxonomy: str = "xh25") -> DataFrame:
+def complementarity(models: DataFrame, truth: DataFrame, left: str, right: str, taxonomy: str = "scenes25") -> DataFrame:
     """Per coarse class: truths that both, one or either model finds, and the recall of the union."""
     found = matching.model_outcomes(models, truth, taxonomy)
     side = lambda name: found.where(F.col("model") == name).select("coarse", "image_id", "t_ord").withColumn(name, F.lit(True))
@@ -244,7 +244,7 @@ def sampler_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(counts), label)
 
 
-def group_statistics(images: DataFrame, annotations: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def group_statistics(images: DataFrame, annotations: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """Per source group: images, boxes, boxes by coarse class, and the classes present."""
     boxes = annotations.join(images.select("image_id", "group_id"), "image_id")
     coarse = coarse_of(F.col("class_id"), taxonomy)
@@ -256,7 +256,7 @@ def group_statistics(images: DataFrame, annotations: DataFrame, taxonomy: str =
     return n.join(counts, "group_id", "left").select("group_id", "images", *zero)
 
 
-def resample_accounting(annotations: DataFrame, factors: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def resample_accounting(annotations: DataFrame, factors: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """(coarse, original, duplicated, balanced) boxes when each image is repeated `factor` times."""
     n = annotations.join(factors, "image_id").groupBy(coarse_of(F.col("class_id"), taxonomy).alias("coarse")).agg(F.count("*").alias("original"), F.sum("factor").cast("bigint").alias("balanced"))
     return n.select("coarse", "original", (F.col("balanced") - F.col("original")).alias("duplicated"), "balanced")
@@ -274,7 +274,7 @@ def operating_curve(proposals: DataFrame, thresholds: list[float], base_tp: int,
     return n.withColumn("recall", S.rate(tp, F.lit(truths))).withColumn("fdr", S.false_discovery(tp, fp)).withColumn("feasible", S.false_discovery(tp, fp) <= max_fdr)
 
 
-def sweep(detections: DataFrame, truth: DataFrame, thresholds: list[float], taxonomy: str = "xh25") -> DataFrame:
+def sweep(detections: DataFrame, truth: DataFrame, thresholds: list[float], taxonomy: str = "scenes25") -> DataFrame:
     """(place, threshold, tp, fp, fn, recall, fdr) of global thresholds, in input order.
 
     Filtering by one threshold keeps a prefix of the score order, so a single class-agnostic matching serves all: a

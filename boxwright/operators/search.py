@@ -59,7 +59,7 @@ def select_best(candidates: Sequence[tuple[float, Objective]], recall_floor: flo
     return best
 
 
-def candidate_counts(detections: DataFrame, truth: DataFrame, candidates: DataFrame, key: str = "all", taxonomy: str = "xh25") -> DataFrame:
+def candidate_counts(detections: DataFrame, truth: DataFrame, candidates: DataFrame, key: str = "all", taxonomy: str = "scenes25") -> DataFrame:
     """(candidate, image_id, tp, fp, fn). `candidates`: (candidate, class_id, threshold), a small table of complete maps.
 
     The IoU pairs are computed once. A per-class map does not keep a prefix of the score order, so each
@@ -84,7 +84,7 @@ def _objectives(counts: DataFrame) -> dict[int, Objective]:
     return {r[0]: Objective(r[1], r[2], r[3]) for r in counts.groupBy("candidate").agg(F.sum("tp"), F.sum("fp"), F.sum("fn")).orderBy("candidate").collect()}
 
 
-def optimize_thresholds(detections: DataFrame, truth: DataFrame, grid: Sequence[float], recall_floor: float, taxonomy: str = "xh25", passes: int = 2) -> tuple[dict[int, float], Objective]:
+def optimize_thresholds(detections: DataFrame, truth: DataFrame, grid: Sequence[float], recall_floor: float, taxonomy: str = "scenes25", passes: int = 2) -> tuple[dict[int, float], Objective]:
     """The best global threshold, then class by class (those that occur) the best for that class with the others held."""
     from boxwright.operators.filters import n_classes
 
@@ -123,7 +123,7 @@ def group_counts(detections: DataFrame, truth: DataFrame, coarse: str, maps: Seq
     return [found.get(i, Objective(0, 0, 0)) for i in range(len(maps))]
 
 
-def optimize_ranking(detections: DataFrame, truth: DataFrame, baseline: dict[str, Objective], grid: Sequence[float], taxonomy: str = "xh25", passes: int = 2) -> dict[int, float]:
+def optimize_ranking(detections: DataFrame, truth: DataFrame, baseline: dict[str, Objective], grid: Sequence[float], taxonomy: str = "scenes25", passes: int = 2) -> dict[int, float]:
     """Per coarse class the best common threshold (the first of equals), then class by class a strictly better one."""
     from boxwright.taxonomy import TAXONOMIES
 
@@ -145,7 +145,7 @@ def optimize_ranking(detections: DataFrame, truth: DataFrame, baseline: dict[str
     return out
 
 
-def threshold_counts(detections: DataFrame, truth: DataFrame, grid: Sequence[float], taxonomy: str = "xh25") -> DataFrame:
+def threshold_counts(detections: DataFrame, truth: DataFrame, grid: Sequence[float], taxonomy: str = "scenes25") -> DataFrame:
     """(image_id, threshold, tp, fp, fn) for global thresholds, from one matching (the sweep's argument, per image)."""
     matched = matching.greedy_match(detections, truth, ("all",), taxonomy).select("image_id", F.col("p_ord").alias("ord")).withColumn("tp", F.lit(1))
     scored = detections.select("image_id", "ord", "score").join(matched, ["image_id", "ord"], "left")
@@ -158,7 +158,7 @@ def threshold_counts(detections: DataFrame, truth: DataFrame, grid: Sequence[flo
     return joined.select("image_id", "threshold", zero("tp").alias("tp"), (zero("n") - zero("tp")).alias("fp"), (zero("t") - zero("tp")).alias("fn"))
 
 
-def pair_counts(detections: DataFrame, truth: DataFrame, general: Sequence[float], ship: Sequence[float], taxonomy: str = "xh25") -> DataFrame:
+def pair_counts(detections: DataFrame, truth: DataFrame, general: Sequence[float], ship: Sequence[float], taxonomy: str = "scenes25") -> DataFrame:
     """(candidate, image_id, tp, fp, fn) for pairs (general, ship threshold); candidate = general index x len(ship) + ship index."""
     spark = detections.sparkSession
     from boxwright.operators.filters import n_classes

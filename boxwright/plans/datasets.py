@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.functions import geometry as G
-from boxwright.operators import calibration, curation, inference, kernels, matching, metrics, search, splitting
+from boxwright.operators import calibration, curation, inference, kernels, matching, metrics, prepare, rasters, search, splitting
 from boxwright.plans.boxes import DET, EVAL, HASHES, _hashes, _vehicles
 from boxwright.plans.registry import MATCHED, accept_sql, coarse_sql, iou_sql, query, table, view
-from boxwright.sources import readers, sinks
+from boxwright.sources import documents, readers, scratch, sinks, tile_cache
 from boxwright.taxonomy import coarse_of
 
 # ---- sources: files are made of a view, an image a file, and read back ------------------------------------------------
@@ -201,6 +205,82 @@ def snk14(spark, d):
     return sinks.misses(t, t.where("image_id % 4 = 0")).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
+@query("SNK14_cache", """SELECT image_id, count(*) FILTER (image_id % 4 = 0) AS hits, count(*) FILTER (image_id % 4 <> 0) AS misses, CAST(coalesce(sum(CASE WHEN image_id % 4 = 0 THEN 1 + image_id % 3 END), 0) AS BIGINT) AS boxes FROM (
+SELECT image_id, unnest(list_distinct(list_append(range(0, CAST(width - 63 AS BIGINT), 48), CAST(width - 64 AS BIGINT)))) AS x FROM (SELECT image_id, width, unnest(list_distinct(list_append(range(0, CAST(height - 63 AS BIGINT), 48), CAST(height - 64 AS BIGINT)))) AS y FROM img)) GROUP BY image_id""", ("img",))
+def snk14_cache(spark, d):
+    """Every fourth image's tiles saved in two batches, the second over the first, then all looked up."""
+    t = inference.tiles(view(spark, d, "img"), 64, 0.25).withColumns({"config": F.lit("c"), "fingerprint": F.sha2(F.col("image_id").cast("string"), 256)})
+    corner = lambda x, y: F.array(F.lit(float(x)), F.lit(float(y)))
+    box = F.struct((F.col("image_id") % 25).alias("class_id"), F.lit(0.5).alias("score"), F.array(corner(0, 0), corner(9, 0), corner(9, 9), corner(0, 9)).alias("polygon"))
+    held = t.where("image_id % 4 = 0").select(*tile_cache.KEY, F.array_repeat(box, (1 + F.col("image_id") % 3).cast("int")).alias("predictions"))
+    folder = f"{scratch.shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    tile_cache.save(held.withColumn("predictions", F.slice("predictions", 1, 1)), folder)
+    tile_cache.save(held, folder)
+    found = tile_cache.load(t, folder)
+    return found.groupBy("image_id").agg(F.count("predictions").alias("hits"), F.count_if(F.col("predictions").isNull()).alias("misses"), F.coalesce(F.sum(F.size("predictions").cast("bigint")), F.lit(0)).alias("boxes"))
+
+
+@query("SNK10_parts", f"WITH {ASSIGNED} SELECT split, row_number() OVER (PARTITION BY split ORDER BY stem) AS line, stem FROM ag", ("img",))
+def snk10_parts(spark, d):
+    """Manifests as ordered parts, read again; a line's number is its place in the parts."""
+    folder = f"{scratch.shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
+    out = None
+    for split, names in documents.write_manifests(_assigned(spark, d), folder).items():
+        places = spark.createDataFrame([(n.rsplit("/", 1)[-1], i) for i, n in enumerate(names)], "file string, part int")  # a row a part
+        rows = spark.read.text(names).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("at")).join(F.broadcast(places), "file")
+        told = rows.select(F.lit(split).alias("split"), F.row_number().over(Window.partitionBy(F.lit(split)).orderBy("part", "value")).alias("line"), F.col("value").alias("stem"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query("SNK3_parts", f"WITH {EVAL} SELECT scope, key, tp, fp, fn FROM report", ("det", "truth"))
+def snk3_parts(spark, d):
+    """The report as a document of ordered parts, put together and read by the report reader."""
+    folder = f"{scratch.shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    names = documents.write_report(metrics.evaluate(view(spark, d, "det"), view(spark, d, "truth")), folder)
+    whole = spark.read.text(names, wholetext=True).withColumn("file", F.col("_metadata.file_path")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "value"))), lambda e: e["value"]), "").alias("value"))
+    return readers.report_json(whole).select("scope", "key", "tp", "fp", "fn")
+
+
+def _rasters(spark, d):
+    """A grey raster of each image, of its place and number."""
+
+    def run(batches):
+        for batch in batches:
+            for i, w, h in zip(*(c.to_pylist() for c in batch.columns)):
+                y, x = np.mgrid[:h, :w]
+                data = ((x * 7 + y * 13 + i) % 256).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([1], pa.int32()), pa.array(["uint8"]), pa.array([data], pa.binary())], names=[c.split()[0] for c in rasters.RASTER.split(", ")])
+
+    return view(spark, d, "img").select("image_id", "width", "height").mapInArrow(run, rasters.RASTER.format(id="bigint"))
+
+
+@query("TG2", """WITH y AS (SELECT image_id, width, height, unnest(CASE WHEN height <= 50 THEN [0] ELSE list_distinct(list_append(range(0, CAST(height - 49 AS BIGINT), 40), CAST(height - 50 AS BIGINT))) END) AS y FROM img),
+x AS (SELECT *, unnest(CASE WHEN width <= 50 THEN [0] ELSE list_distinct(list_append(range(0, CAST(width - 49 AS BIGINT), 40), CAST(width - 50 AS BIGINT))) END) AS x FROM y),
+p AS (SELECT image_id, x, y, unnest(range(x, least(x + 50, width))) AS px, height FROM x), q AS (SELECT image_id, x, y, px, unnest(range(y, least(y + 50, height))) AS py FROM p)
+SELECT image_id || '__x' || x || '_y' || y || '_s50' AS tile_id, CAST(sum((px * 7 + py * 13 + image_id) % 256) + 9 * (2500 - count(*)) AS BIGINT) AS total FROM q GROUP BY image_id, x, y""", ("img",))
+def tg2(spark, d):
+    """Tiles of 50 with a fifth in common, padded with 9: the sum of each one's bytes."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(np.frombuffer(p, np.uint8).sum()) for p in batch.column(1).to_pylist()], pa.int64())], names=["tile_id", "total"])
+
+    return rasters.tile_pixels(_rasters(spark, d), 50, 0.2, 9).select("tile_id", "pixels").mapInArrow(run, "tile_id string, total bigint")
+
+
+@query("G13_pixels")
+def g13_pixels(spark, d):
+    """PNG bytes of each image's raster to its hash."""
+
+    def run(batches):
+        for batch in batches:
+            made = [rasters.encode_png(np.frombuffer(p, np.uint8).reshape(h, w, 1)) for w, h, p in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "pixels")))]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(made, pa.binary())], names=["image_id", "content"])
+
+    return rasters.image_hashes(_rasters(spark, d).mapInArrow(run, "image_id bigint, content binary"), "image_id").select("image_id", "phash", "fault")
+
+
 # ---- windows, quotas, orders -------------------------------------------------------------------------------------------
 
 
@@ -554,6 +634,32 @@ def o29(spark, d):
     return metrics.split_counts(view(spark, d, "truth").join(a, "image_id"))
 
 
+@query("O29_prepare", """WITH n AS (SELECT count(*) AS images, count(DISTINCT group_id) AS groups FROM img), l AS (SELECT count(*) AS labels FROM truth JOIN img USING (image_id)),
+g AS (SELECT CASE WHEN image_id % 9 = 4 AND image_id >= 3 THEN 'scene' || CAST(CAST(floor(image_id / 3) AS BIGINT) - 1 AS VARCHAR) ELSE NULL END AS tied FROM img)
+SELECT 'images' AS what, images AS n FROM n UNION ALL SELECT 'labels', labels FROM l UNION ALL SELECT 'source groups', groups FROM n UNION ALL SELECT 'groups in both splits', 0 UNION ALL SELECT 'enough for validation', 1 UNION ALL SELECT 'manifest lines', images FROM n
+UNION ALL SELECT 'reviewed in validation', count(*) FROM img WHERE image_id % 50 = 7 UNION ALL SELECT 'groups after union', (SELECT groups FROM n) - count(tied) FROM g""", ("truth", "img"))
+def o29_prepare(spark, d):
+    """The whole flow into a scratch folder, and what came out as it is read again."""
+    img = view(spark, d, "img").select("stem", "width", "height", "mode", "image_id")
+    labels = view(spark, d, "truth").join(img.select("image_id", "stem"), "image_id").drop("image_id")
+    reviewed = labels.join(img.where("image_id % 50 = 7").select("stem"), "stem", "left_semi")
+    first = img.where("image_id % 9 = 4 and image_id >= 3").select(F.col("stem").alias("left"), F.concat(F.lit("scene"), (F.floor(F.col("image_id") / 3) - 1).cast("string"), F.lit("_crop0")).alias("right"))
+    folder = f"{scratch.shared_folder(spark)}/prepared-{uuid.uuid4().hex}"
+    made = prepare.prepare(img.drop("image_id"), labels, folder, 0.15, 42, reviewed, first)
+    lines = spark.read.text([f"{folder}/manifests/{s}.txt" for s in ("train", "val")])
+    one = lambda df, what: df.agg(F.lit(what).alias("what"), F.count("*").alias("n")).select("what", "n")
+    val = made.images.where("split = 'val'")
+    enough = val.agg((F.count("*") >= made.report["minimum_val_images"]).cast("bigint").alias("n")).select(F.lit("enough for validation").alias("what"), "n")
+    parts = [
+        one(made.images, "images"), one(made.labels, "labels"), one(made.images.select("source_group").distinct(), "source groups"), one(splitting.disjoint(made.images), "groups in both splits"), enough,
+        one(lines, "manifest lines"), one(val.join(reviewed, "stem", "left_semi"), "reviewed in validation"), one(made.images.select("group_id").distinct(), "groups after union"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("O32", f"WITH {ASSIGNED} SELECT split, count(*) AS images, count(DISTINCT group_id) AS groups FROM ag GROUP BY split", ("img",))
 def o32(spark, d):
     return _assigned(spark, d).groupBy("split").agg(F.count("*").alias("images"), F.countDistinct("group_id").alias("groups"))

@@ -49,7 +49,7 @@ def _good_box(b: Column) -> Column:
     return (F.size(b) == 4) & F.forall(b, _finite) & (F.get(b, 2) > 0) & (F.get(b, 3) > 0)
 
 
-def coco_predictions(files: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def coco_predictions(files: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """A JSON array of objects with exactly image_id, category_id, bbox and score."""
     keys = F.transform(F.from_json("value", "array<string>"), lambda s: F.array_sort(F.json_object_keys(s)))
     exact = F.forall(keys, lambda k: k == F.array(*[F.lit(x) for x in ("bbox", "category_id", "image_id", "score")]))
@@ -60,7 +60,7 @@ def coco_predictions(files: DataFrame, taxonomy: str = "xh25") -> DataFrame:
     return each.select(F.col("p.image_id").alias("image_id"), F.col("p.category_id").alias("class_id"), F.col("ord").cast("bigint").alias("ord"), F.col("p.score").alias("score"), *_corners(F.col("p.bbox")))
 
 
-def coco_truth(files: DataFrame, taxonomy: str = "xh25") -> DataFrame:
+def coco_truth(files: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """The annotations of a COCO object; iscrowd 0, 1 or a boolean becomes difficult; further keys are allowed."""
     each = files.select(F.posexplode(F.from_json("value", GROUND_TRUTH)["annotations"]).alias("ord", "a"))
     crowd = F.coalesce(F.lower("a.iscrowd"), F.lit("0"))
@@ -79,7 +79,7 @@ def image_groups(truth_files: DataFrame, group_files: DataFrame) -> DataFrame:
     return checked.select("image_id", F.col("g.group").alias("group_id"))
 
 
-def yolo_boxes(files: DataFrame, taxonomy: str = "xh25", slack: float = 1e-6) -> DataFrame:
+def yolo_boxes(files: DataFrame, taxonomy: str = "scenes25", slack: float = 1e-6) -> DataFrame:
     """Lines `class cx cy w h`, normalised; sides may pass 0 or 1 by the slack and are clamped. Errors name path and line."""
     f = F.split(F.trim("value"), "\\s+")
     v = [F.get(f, i).try_cast("double") for i in range(1, 5)]
