@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwright.functions import scalar as S
-from boxwright.operators import curation, matching, metrics, search, splitting, suppression
+from boxwright.operators import calibration, curation, matching, metrics, outlines, prepare, rasters, search, splitting, suppression
 from boxwright.sources import readers
+from boxwright.sources.configs import MultiscalePolicy, PipelineConfig
 from boxwright.taxonomy import COARSE, TAXONOMIES
 
 COMMANDS: dict[str, tuple[Callable, list[tuple[tuple, dict]]]] = {}
@@ -39,6 +40,10 @@ def _truth(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return readers.coco_truth(readers.whole_files(spark, a.truth), a.taxonomy)
 
 
+def _text(spark: SparkSession, where: str) -> str:
+    return "\n".join(r["value"] for r in spark.read.text(where, wholetext=True).collect())  # one small file
+
+
 def _grid(text: str) -> list[float]:
     values = sorted({float(v) for v in text.split(",")})
     if not all(0 <= v <= 1 for v in values):
@@ -116,13 +121,10 @@ def fuse_ranking(spark, a):
 @command("fuse-same-weight-multiscale", path("small"), path("middle"), path("large"), path("policy"))
 def fuse_multiscale(spark, a):
     """The policy is YAML: class_thresholds, and for each of aircraft and ship a supplement threshold and a duplicate IoU."""
-    names = {"class_thresholds", "aircraft_supplement_threshold", "aircraft_duplicate_iou", "ship_supplement_threshold", "ship_duplicate_iou", "vehicle_score_ceiling", "vehicle_min_area"}
-    text = "\n".join(r["value"] for r in spark.read.text(a.policy, wholetext=True).collect())  # one small file
-    p = readers.yaml_config(text, names)
-    t = spark.createDataFrame([(int(c), float(v)) for c, v in p["class_thresholds"].items()], "class_id int, threshold double")
+    p = MultiscalePolicy.from_yaml(_text(spark, a.policy))
+    t = spark.createDataFrame([(c, float(v)) for c, v in p.class_thresholds.items()], "class_id int, threshold double")
     s, m, large = (_detections(spark, a, x) for x in (a.small, a.middle, a.large))
-    pair = lambda n: (float(p[f"{n}_supplement_threshold"]), float(p[f"{n}_duplicate_iou"]))
-    return suppression.fuse_multiscale(s, m, large, t, pair("aircraft"), pair("ship"), float(p["vehicle_score_ceiling"]), float(p["vehicle_min_area"]))
+    return suppression.fuse_multiscale(s, m, large, t, p.pair("aircraft"), p.pair("ship"), float(p.vehicle_score_ceiling), float(p.vehicle_min_area))
 
 
 @command("analyze-complementarity", path("left"), path("right"), path("truth"))
@@ -181,6 +183,58 @@ def duplicates(spark, a):
     return curation.duplicate_components(matching.hamming_pairs(h, a.bits), h)
 
 
+@command("evaluate-detection-metrics", path("predictions"), path("truth"), (("--max-detections",), {"type": int, "default": 300}))
+def evaluate_detection_metrics(spark, a):
+    """Precision, recall, F1 and average precision of each class."""
+    return metrics.detection_metrics(_detections(spark, a, a.predictions), _truth(spark, a), a.max_detections)
+
+
+def _fold_verdict(spark, a, judge) -> DataFrame:
+    """The checks; the exit status is 1 if the calibration did not pass. folds: Parquet with image_id, fold."""
+    found = judge(_detections(spark, a, a.predictions), _truth(spark, a), spark.read.parquet(a.fold_table), a.thresholds, taxonomy=a.taxonomy)
+    a.status = 0 if found.passed else 1
+    return found.checks
+
+
+@command("accept-threshold", path("predictions"), path("truth"), path("fold_table"), GRID)
+def accept_threshold(spark, a):
+    return _fold_verdict(spark, a, calibration.calibrate_threshold)
+
+
+@command("accept-threshold-pair", path("predictions"), path("truth"), path("fold_table"), GRID)
+def accept_pair(spark, a):
+    return _fold_verdict(spark, a, calibration.calibrate_pair)
+
+
+@command("prepare-dataset", path("images"), path("labels"), path("target"), (("--ratio",), {"type": float, "default": 0.15}), (("--seed",), {"type": int, "default": 42}), (("--reviewed",), {}), (("--duplicates",), {}))
+def prepare_dataset(spark, a):
+    """images: Parquet with stem, width, height, mode; labels: with stem, class_id, ord, box, difficult; reviewed: labels as well; duplicates: CSV with left, right."""
+    reviewed = spark.read.parquet(a.reviewed) if a.reviewed else None
+    pairs = spark.read.csv(a.duplicates, header=True) if a.duplicates else None
+    made = prepare.prepare(spark.read.parquet(a.images), spark.read.parquet(a.labels), a.target, a.ratio, a.seed, reviewed, pairs, a.taxonomy)
+    return made.images.groupBy("split").agg(F.count("*").alias("images"), F.countDistinct("group_id").alias("groups"))
+
+
+@command("hash-images", path("files"))
+def hash_images(spark, a):
+    """files: PNG files. Their hashes, or what is wrong with them."""
+    return rasters.image_hashes(spark.read.format("binaryFile").load(a.files))
+
+
+@command("suppress-outlines", path("detections"), (("--iou",), {"type": float, "default": 0.3}))
+def suppress_outlines(spark, a):
+    """detections: Parquet with image_id, class_id, ord, score, polygon."""
+    return outlines.suppress_outlines(spark.read.parquet(a.detections), a.iou)
+
+
+@command("check-config", path("config"))
+def check_config(spark, a):
+    """A pipeline's YAML, with every default filled in."""
+    import json
+
+    return spark.createDataFrame([(json.dumps(PipelineConfig.from_yaml(_text(spark, a.config)).to_dict(), sort_keys=True),)], "config string")
+
+
 @command("benchmark-summary", path("samples"), (("--limit",), {"type": float, "default": 20.0}), (("--reserve",), {"type": float, "default": 1.0}))
 def benchmark(spark, a):
     """samples: Parquet with stage, seconds."""

@@ -34,8 +34,11 @@ def candidate_edges(detections: DataFrame, truth: DataFrame, keys: tuple[str, ..
     matching in which its keys agree."""
     widest = next(k for k in ("all", "coarse", "fine") if k in keys)
     bound = F.lit(float(iou)) if iou is not None else match_iou(F.col("class_id"), taxonomy)
-    own = {"all": [], "coarse": ["_coarse"], "fine": ["class_id"]}[widest]
-    p, t = (df.withColumn("_coarse", coarse_of(F.col("class_id"), taxonomy)) for df in (detections, truth.where(~F.col("difficult")).withColumn("_bound", bound)))
+    own = {"all": [], "coarse": ["_within"], "fine": ["class_id"]}[widest]
+    coarse = coarse_of(F.col("class_id"), taxonomy)
+    # classes outside the taxonomy have no coarse key, but a fine one each
+    within = {"_coarse": coarse, "_within": F.coalesce(coarse, F.col("class_id").cast("string"))}
+    p, t = (df.withColumns(within) for df in (detections, truth.where(~F.col("difficult")).withColumn("_bound", bound)))
     names = ["image_id", "_coarse", "class_id", "ord"]
     fields = (names + ["score"], names + ["_bound"])
     near = spatial.overlapping_pairs(p, t, ["image_id", *own], fields) if iou is None or iou > 0 else spatial.pairs_at(p, t, ["image_id", *own], iou, fields)

@@ -401,7 +401,10 @@ def n2(spark, d):
     return suppression.suppress_classes(view(spark, d, "nmsbox"), rules)
 
 
-@query("N2_diou")
+CENTRES = "(pow((k.x1 + k.x2) / 2 - (x.x1 + x.x2) / 2, 2) + pow((k.y1 + k.y2) / 2 - (x.y1 + x.y2) / 2, 2)) / (pow(greatest(k.x2, x.x2) - least(k.x1, x.x1), 2) + pow(greatest(k.y2, x.y2) - least(k.y1, x.y1), 2))"
+
+
+@query("N2_diou", nms_sql("nmsbox", f"CASE WHEN x.class_id = 24 THEN true ELSE {iou_sql('k', 'x')} - {CENTRES} >= CASE WHEN x.class_id = 0 THEN 0.15::DOUBLE ELSE 0.3::DOUBLE END END"), ("nmsbox",))
 def n2_diou(spark, d):
     rules = spark.createDataFrame([(0, "diou", 0.15), (12, "diou", 0.3), (24, "iou", 0.0)], "class_id int, method string, threshold double")
     return suppression.suppress_classes(view(spark, d, "nmsbox"), rules)

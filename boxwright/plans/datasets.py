@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxwright.functions import geometry as G
-from boxwright.operators import calibration, curation, inference, kernels, matching, metrics, prepare, rasters, search, splitting
-from boxwright.plans.boxes import DET, EVAL, HASHES, _hashes, _vehicles
+from boxwright.operators import calibration, confirmer, curation, inference, kernels, matching, metrics, prepare, rasters, search, splitting
+from boxwright.plans.boxes import DET, EVAL, HASHES, _hashes, _j5_sql, _vehicles
 from boxwright.plans.registry import MATCHED, accept_sql, coarse_sql, iou_sql, query, table, view
 from boxwright.sources import documents, readers, scratch, sinks, tile_cache
 from boxwright.taxonomy import coarse_of
@@ -610,13 +610,24 @@ def o23(spark, d):
     return curation.expert_crops(det, t, view(spark, d, "img"), 30, 0.2, 3, 1.5).select("image_id", "kind", "ord", "score")
 
 
-@query("O24")
+@query("O24", f"WITH {_j5_sql()} SELECT lab.image_id, ord, label, reason, score, (x2 - x1) / width AS width_norm, (y2 - y1) / height AS height_norm FROM lab JOIN img ON img.image_id = lab.image_id", ("det", "truth", "img"))
 def o24(spark, d):
     det, t = _vehicles(view(spark, d, "det")), _vehicles(view(spark, d, "truth"))
     labelled = matching.label_proposals(det.where("ord % 2 = 0"), det.where("ord % 2 = 1"), t)
     return curation.confirmer_features(labelled, view(spark, d, "img").select("image_id", "width", "height"))
 
 
+@query("O24_crops")
+def o24_crops(spark, d):
+    """The examples' crops of pixels: each one's place, label and bytes."""
+    det, t = _vehicles(view(spark, d, "det")), _vehicles(view(spark, d, "truth"))
+    labelled = matching.label_proposals(det.where("ord % 30 = 0"), det.where("ord % 10 = 1"), t.where("ord % 25 = 0"))
+    policy = confirmer.CropPolicy(2.0, 16, 64, 24)
+    made = scratch.cut(confirmer.examples(labelled, view(spark, d, "img"), policy))
+    pixels = confirmer.crops(made, _rasters(spark, d), policy).select("crop", F.md5("content").alias("content_md5"))
+    return made.join(pixels, "crop").select("crop", "ord", "label", "content_md5")
+
+
 @query("O28", "SELECT CAST(image_id AS VARCHAR) AS path, CAST(CASE WHEN ord % 3 = 0 THEN 0 ELSE 1 END AS INT) AS class_id, count(*) AS n FROM det WHERE ord % 3 <> 2 AND ord % 4 <> 0 GROUP BY ALL", ("det",))
 def o28(spark, d):
     """DOTA lines -> classes without the difficult and invalid ones, counted."""
