@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions.geometry import box, polygon, obb_to_hbb, clip_polygon, shift_polygon
+from boxwright.operators.small import small
 from boxwright.taxonomy import TAXONOMIES, coarse_of
 
 
@@ -15,14 +16,14 @@ def n_classes(taxonomy: str) -> int:
 
 def over_class_threshold(detections: DataFrame, thresholds: DataFrame) -> DataFrame:
     """score >= the class's threshold; a class without one passes at 0."""
-    joined = detections.join(F.broadcast(thresholds), "class_id", "left")
+    joined = detections.join(small(thresholds), "class_id", "left")
     return joined.where(F.col("score") >= F.coalesce("threshold", F.lit(0.0))).select(*detections.columns)
 
 
 def pipeline_filter(detections: DataFrame, thresholds: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """score >= the class's threshold; a class without one is dropped, an id outside the taxonomy raises."""
     ok = F.when(F.col("class_id").between(0, n_classes(taxonomy) - 1), F.lit(True)).otherwise(F.raise_error(F.lit("class outside the taxonomy")).cast("boolean"))
-    joined = detections.where(ok).join(F.broadcast(thresholds), "class_id")
+    joined = detections.where(ok).join(small(thresholds), "class_id")
     return joined.where(F.col("score") >= F.col("threshold")).select(*detections.columns)
 
 
@@ -41,7 +42,7 @@ def box_area() -> Column:
 
 def drop_low_and_small(detections: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules: (class_id, min_score, min_area). A box goes only if it is under both."""
-    joined = detections.join(F.broadcast(rules), "class_id", "left")
+    joined = detections.join(small(rules), "class_id", "left")
     gone = F.coalesce((F.col("score") < F.col("min_score")) & (box_area() < F.col("min_area")), F.lit(False))
     return joined.where(~gone).select(*detections.columns)
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from boxwright.functions.geometry import BOX
 from boxwright.operators import folds, spatial
+from boxwright.operators.small import small
 from boxwright.sources.scratch import cut
 from boxwright.taxonomy import coarse_of, match_iou
 
@@ -63,7 +64,7 @@ def model_outcomes(models: DataFrame, truth: DataFrame, taxonomy: str = "scenes2
     """Coarse matches of several models at once: a detections table with a `model` column."""
     wide = models.withColumn("image_id", F.struct("model", "image_id"))
     names = models.select("model").distinct()
-    spread = truth.crossJoin(F.broadcast(names)).withColumn("image_id", F.struct("model", "image_id")).drop("model")  # one row per model, a handful
+    spread = truth.crossJoin(small(names)).withColumn("image_id", F.struct("model", "image_id")).drop("model")  # one row per model, a handful
     found = greedy_match(wide, spread, ("coarse",), taxonomy)
     return found.select(F.col("image_id.model").alias("model"), F.col("image_id.image_id").alias("image_id"), F.col("key").alias("coarse"), "p_ord", "t_ord", "iou", "score")
 

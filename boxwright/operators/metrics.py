@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from boxwright.functions import scalar as S
 from boxwright.functions.geometry import BOX
 from boxwright.operators import matching
+from boxwright.operators.small import small
 from boxwright.sources.scratch import cut
 from boxwright.taxonomy import COARSE, TAXONOMIES, coarse_of, dimension
 
@@ -150,7 +151,7 @@ def _judged(detections: DataFrame, truth: DataFrame, max_detections: int, thresh
 def _area(ranked: DataFrame, total: DataFrame, thresholds: list[float]) -> DataFrame:
     """(class_id, threshold, truths, ap). The envelope at a recall is the best precision of a hit of greater recall: hits are counted into the last
     point that they exceed, and a class has one row a point."""
-    joined = ranked.join(F.broadcast(total), "class_id")  # a row a class
+    joined = ranked.join(small(total), "class_id")  # a row a class
     hits = F.filter(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"hit_{i}").alias("hit"), (F.col(f"tp_{i}") / F.col("truths")).alias("r"), (F.col(f"tp_{i}") / F.col("k")).alias("p")) for i, t in enumerate(thresholds)]), lambda h: h["hit"] == 1)
     each = joined.select("class_id", F.explode(hits).alias("h")).select("class_id", "h.threshold", "h.r", "h.p")
     last, step = RECALL_POINTS - 1, 1 / (RECALL_POINTS - 1)
@@ -185,12 +186,12 @@ def _curves(ranked: DataFrame, total: DataFrame) -> DataFrame:
     held = F.greatest(F.lit(-1), F.least(F.lit(last), F.when(x(near) > F.col("score"), near - 1).when(x(near + 1) <= F.col("score"), near + 1).otherwise(near)))
     row = F.struct("score", (F.col("tp_0") / F.col("k")).alias("p"), (F.col("tp_0") / F.col("truths")).alias("r"))
     # the last point that a score reaches; per such point the first and the last row in order
-    ends = ranked.join(F.broadcast(total), "class_id").groupBy("class_id", held.alias("g")).agg(F.min_by(row, "k").alias("first"), F.max_by(row, "k").alias("last"))
+    ends = ranked.join(small(total), "class_id").groupBy("class_id", held.alias("g")).agg(F.min_by(row, "k").alias("first"), F.max_by(row, "k").alias("last"))
     grid = total.select("class_id", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("g")).join(ends, ["class_id", "g"], "full_outer")
     up, down = (Window.partitionBy("class_id").orderBy(o) for o in (F.col("g"), F.desc("g")))
     above = F.last("last", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))  # the last row that reaches the point
     below = F.last("first", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1))  # the first that does not
-    told = grid.withColumn("a", above).withColumn("b", below).where("g >= 0").join(F.broadcast(total.select("class_id")), "class_id")
+    told = grid.withColumn("a", above).withColumn("b", below).where("g >= 0").join(small(total.select("class_id")), "class_id")
 
     def at(v: str, left: float) -> Column:
         line = F.col(f"a.{v}") + (F.col(f"b.{v}") - F.col(f"a.{v}")) * ((F.col("a.score") - x(F.col("g"))) / (F.col("a.score") - F.col("b.score")))
@@ -241,7 +242,7 @@ def binary_average_precision(df: DataFrame, score: str, label: str, order: str,
 def sampler_weights(df: DataFrame, label: str) -> DataFrame:
     """Each row with one over the count of its label: counts combine before the shuffle, and the few labels are broadcast."""
     counts = df.groupBy(label).agg((1.0 / F.count("*")).alias("weight"))
-    return df.join(F.broadcast(counts), label)
+    return df.join(small(counts), label)
 
 
 def group_statistics(images: DataFrame, annotations: DataFrame, taxonomy: str = "scenes25") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import scalar as S
 from boxwright.operators import matching
+from boxwright.operators.small import small
 from boxwright.sources.scratch import cut
 from boxwright.taxonomy import coarse_of
 
@@ -67,13 +68,13 @@ def candidate_counts(detections: DataFrame, truth: DataFrame, candidates: DataFr
     """
     edges = cut(matching.candidate_edges(detections, truth, (key,), taxonomy))
     classes = detections.select("image_id", "ord", "class_id", "score")
-    wide = classes.join(F.broadcast(candidates), "class_id").where(F.col("score") >= F.col("threshold")).select("candidate", "image_id", "ord")
+    wide = classes.join(small(candidates), "class_id").where(F.col("score") >= F.col("threshold")).select("candidate", "image_id", "ord")
     kept = wide.join(edges.withColumnRenamed("p_ord", "ord"), ["image_id", "ord"]).withColumnRenamed("ord", "p_ord")
     found = matching.resolve(kept, ("candidate", "image_id", "scope", "key")).groupBy("candidate", "image_id").agg(F.count("*").alias("tp"))
     n = wide.groupBy("candidate", "image_id").agg(F.count("*").alias("n"))
     t = truth.where(~F.col("difficult")).groupBy("image_id").agg(F.count("*").alias("t"))
     images = detections.select("image_id").union(truth.select("image_id")).distinct()
-    every = images.crossJoin(F.broadcast(candidates.select("candidate").distinct()))  # images x the grid
+    every = images.crossJoin(small(candidates.select("candidate").distinct()))  # images x the grid
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     joined = every.join(n, ["candidate", "image_id"], "left").join(found, ["candidate", "image_id"], "left").join(t, "image_id", "left")
     tp = zero("tp")

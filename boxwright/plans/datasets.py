@@ -705,10 +705,13 @@ def k3(spark, d):
     return kernels.density_top_k(c, 3).select("ord", "candidate")
 
 
-@query("K4")
+@query("K4", """WITH v AS (SELECT CAST(floor(vec_id / 32) AS BIGINT) AS batch, vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v),
+u AS (SELECT batch, id, label, CASE WHEN size > 0 THEN list_transform(e, lambda x: x / size) ELSE list_transform(e, lambda x: 0.0::DOUBLE) END AS u FROM n),
+p AS (SELECT a.batch, a.id, a.label AS la, b.label AS lb, list_dot_product(a.u, b.u) / 0.5 AS s FROM u a JOIN u b ON a.batch = b.batch AND a.id <> b.id),
+r AS (SELECT batch, id, ln(sum(exp(s))) AS z, avg(s) FILTER (la = lb) AS m1, avg(s) FILTER (la % 3 = lb % 3) AS m2 FROM p GROUP BY ALL) SELECT batch, round(avg(coalesce(z - m1, 0) + coalesce((z - m2) * 0.5, 0)), 6) AS loss FROM r GROUP BY batch""")
 def k4(spark, d):
     b = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 32).alias("batch"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("fine"), (F.col("label") % 3).alias("coarse"))
-    return kernels.hierarchical_loss(b, ["fine", "coarse"], 0.5, [1.0, 0.5])
+    return kernels.hierarchical_loss(b, ["fine", "coarse"], 0.5, [1.0, 0.5]).withColumn("loss", F.round("loss", 6))
 
 
 @query("K5", """WITH v AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v), m AS (SELECT label, i, 0.9::DOUBLE * 1.0 + 0.1::DOUBLE * avg(x) AS x FROM u GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS s FROM m GROUP BY label)

@@ -115,7 +115,7 @@ def out_of_fold_predictions(detections: DataFrame, folds: DataFrame, verdict: Ve
 
 
 def write_calibration(folder: str, verdict: Verdict, detections: DataFrame, truth: DataFrame, folds: DataFrame, base_config: Mapping[str, object] | None = None, taxonomy: str = "scenes25") -> list[str]:
-    """calibration-summary.json, fold-results.json; as parts fold-assignments.json, oof-report.json and oof-predictions.jsonl (a record a line). Only if it passed
+    """calibration-summary.json, fold-results.json; as parts fold-assignments.json, oof-report.json and oof-predictions.json. Only if it passed
     calibrated-thresholds.yaml and, with a base configuration, calibrated-config.yaml; a base configuration of a failed run raises."""
     if base_config is not None and not verdict.passed:
         raise ValueError("a failed calibration publishes no configuration")
@@ -135,9 +135,8 @@ def write_calibration(folder: str, verdict: Verdict, detections: DataFrame, trut
     documents.write_object(folds.select(F.col("image_id").cast("string").alias("key"), F.col("fold").cast("string").alias("body")), f"{root}/fold-assignments.json")
     kept = out_of_fold_predictions(detections, folds, verdict, taxonomy)
     box = F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    records = kept.select("image_id", "ord", F.to_json(F.struct("image_id", F.col("class_id").alias("category_id"), box.alias("bbox"), "score")).alias("value"))
-    documents.write_ordered(records, ["image_id", "ord"], f"{root}/oof-predictions.jsonl")
-    names += ["fold-assignments.json", "oof-predictions.jsonl"]
+    documents.write_coco(kept.select("image_id", "ord", F.col("class_id").alias("category_id"), box.alias("bbox"), "score"), f"{root}/oof-predictions.json")
+    names += ["fold-assignments.json", "oof-predictions.json"]
     if verdict.final:
         documents.write_report(metrics.evaluate(kept, truth, taxonomy), f"{root}/oof-report.json")
         names.append("oof-report.json")

@@ -78,6 +78,22 @@ def write_object(entries: DataFrame, folder: str, key: str = "key", body: str =
     return write_ordered(told.unionByName(ends), ["at", "k"], folder)
 
 
+def write_array(rows: DataFrame, order: list[str], folder: str, body: str = "body") -> list[str]:
+    """One JSON array as parts: the column `body` of rows (JSON text) in order, between brackets. `order` must be unique."""
+    spark = rows.sparkSession
+    place = F.struct(*order)
+    first = rows.agg(F.min(place).alias("_first"))
+    told = rows.join(F.broadcast(first)).select(F.lit(1).alias("at"), place.alias("k"), F.concat(F.when(place == F.col("_first"), "").otherwise(","), F.col(body)).alias("value"))
+    ends = spark.createDataFrame([(0, "["), (2, "]")], "at int, value string").select("at", F.lit(None).cast(told.schema["k"].dataType).alias("k"), "value")
+    return write_ordered(told.unionByName(ends), ["at", "k"], folder)
+
+
+def write_coco(rows: DataFrame, folder: str) -> list[str]:
+    """Detections in COCO form (image_id, category_id, bbox, score, and ord, their place in the image) as one JSON array."""
+    record = F.to_json(F.struct("image_id", "category_id", "bbox", "score"))
+    return write_array(rows.select("image_id", "ord", record.alias("body")), ["image_id", "ord"], folder)
+
+
 def write_source_groups(assigned: DataFrame, folder: str) -> list[str]:
     """{"<stem>": {"group": .., "split": ..}, ..} over all stems; assigned: (stem, group_id, split)."""
     body = F.to_json(F.struct(F.col("group_id").alias("group"), "split"))

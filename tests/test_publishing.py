@@ -108,6 +108,16 @@ def test_objects_of_ordered_parts(spark, tmp_path):
         documents.write_source_groups(rows.unionByName(rows.limit(1)), folder)
 
 
+def test_arrays_of_ordered_parts(spark, tmp_path):
+    folder = f"file://{tmp_path}/coco.json"
+    rows = spark.range(60).select((F.col("id") % 7).alias("image_id"), F.col("id").alias("ord"), F.lit(3).alias("category_id"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0)).alias("bbox"), (F.col("id") / 100).alias("score"))
+    documents.write_coco(rows.repartition(4), folder)
+    got = json.loads(text_of(spark, folder))
+    assert [(g["image_id"], g["score"]) for g in got] == [(i, k / 100) for i in range(7) for k in range(i, 60, 7)] and got[0]["bbox"] == [1.0, 2.0, 3.0, 4.0]
+    documents.write_coco(rows.limit(0), folder)
+    assert json.loads(text_of(spark, folder)) == []
+
+
 def source(spark, groups=40):
     images = [(f"scene{g}_crop{k}", 100, 80, "RGB") for g in range(groups) for k in range(1 + g % 3)]
     labels = [(s, g % 5, o, 1.0, 2.0, 30.0, 40.0, False) for s, *_ in images for g in [int(s[5:].split("_")[0])] for o in range(1 + g % 2)]
