@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.geometry import axis_positions, tile_stride
 from boxwright.operators import filters, suppression
+from boxwright.sources.scratch import cut
 
 TILE_BOX = "image_id bigint, tile_id string, tile_x bigint, tile_y bigint, valid_width bigint, valid_height bigint, image_width int, image_height int, class_id int, ord bigint, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -64,15 +66,43 @@ def detect(tile_rows: DataFrame, detector: Callable[[list[dict]], list[list[dict
     return tile_rows.mapInPandas(run, TILE_BOX)
 
 
-def run_pipeline(images: DataFrame, detector: Callable, thresholds: DataFrame, size: int, overlap: float, margin: float, merge_iou: float, rules: DataFrame | None = None, area_rules: DataFrame | None = None) -> DataFrame:
-    """Tiles -> detector -> class thresholds -> edge filter -> projection -> merging -> class suppression -> area filter."""
-    found = filters.pipeline_filter(detect(tiles(images, size, overlap), detector), thresholds)
-    placed = filters.to_image(found.where(filters.inside_tile(margin)))
+def place(found: DataFrame, thresholds: DataFrame, margin: float, merge_iou: float) -> DataFrame:
+    """Boxes of tiles over their class thresholds, without those at inner edges, on the image, merged."""
+    placed = filters.to_image(filters.pipeline_filter(found, thresholds).where(filters.inside_tile(margin)))
     # one order over the image: the tile's place, then the place in it
     ranked = placed.withColumn("ord", F.xxhash64("tile_y", "tile_x") * 0 + F.col("tile_y") * 10_000_000_000 + F.col("tile_x") * 10_000 + F.col("ord"))
-    merged = suppression.merge_detections(ranked.select(*suppression.FIELDS), merge_iou)
+    return suppression.merge_detections(ranked.select(*suppression.FIELDS), merge_iou)
+
+
+def run_pipeline(images: DataFrame, detector: Callable, thresholds: DataFrame, size: int, overlap: float, margin: float, merge_iou: float, rules: DataFrame | None = None, area_rules: DataFrame | None = None) -> DataFrame:
+    """Tiles -> detector -> class thresholds -> edge filter -> projection -> merging -> class suppression -> area filter."""
+    merged = place(detect(tiles(images, size, overlap), detector), thresholds, margin, merge_iou)
     if rules is not None:
         merged = suppression.suppress_classes(merged, rules)
     if area_rules is not None:
         merged = filters.drop_low_and_small(merged, area_rules)
     return merged
+
+
+STAGES = ("preprocess", "inference", "postprocess")
+
+
+def benchmark(images: DataFrame, detector: Callable, thresholds: DataFrame, size: int, overlap: float, margin: float, merge_iou: float, repeats: int = 5, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """(stage, repeat, seconds) of each stage of the pipeline and of all ('total'), after one run that does not count. A stage ends when its rows are
+    written, so that the next one does not do its work again. metrics.durations and latency_gate sum them up."""
+    if isinstance(repeats, bool) or not isinstance(repeats, int) or repeats <= 0:
+        raise ValueError("repeats must be a positive whole number")
+
+    def once() -> list[float]:
+        began = [clock()]
+        cutout = cut(tiles(images, size, overlap))
+        began.append(clock())
+        found = cut(detect(cutout, detector))
+        began.append(clock())
+        place(found, thresholds, margin, merge_iou).write.format("noop").mode("overwrite").save()
+        began.append(clock())
+        return [b - a for a, b in zip(began, began[1:])]
+
+    once()
+    rows = [(stage, k, s) for k in range(repeats) for took in [once()] for stage, s in (*zip(STAGES, took), ("total", sum(took)))]
+    return images.sparkSession.createDataFrame(rows, "stage string, repeat int, seconds double")
