@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.geometry import BOX, diou, hbb_iou, polygon, polygon_iou
 from boxwright.operators import folds
-from boxwright.operators.small import small
+from boxwright.operators.small import small as small_table
 from boxwright.taxonomy import coarse_of
 
 FIELDS = ("image_id", "class_id", "ord", "score", *BOX)
@@ -42,11 +42,11 @@ def merge_detections(detections: DataFrame, iou: float, polygons: bool = False)
 def suppress_classes(detections: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules: (class_id, method 'iou' or 'diou', threshold), one row a class and broadcast. A box goes if one kept before
     overlaps it by at least the threshold (at threshold 0 only the first stays). Classes without a rule are untouched."""
-    ruled = detections.join(small(rules), "class_id")
+    ruled = detections.join(small_table(rules), "class_id")
     grouped = folds.ordered(ruled, ["image_id", "class_id", "method", "threshold"], _structs())
     overlap = lambda k, x: F.when(F.col("method") == "diou", diou(_sides(k), _sides(x))).otherwise(hbb_iou(_sides(k), _sides(x)))
     kept = _rows(grouped, folds.accept_if_free(F.col("items"), lambda k, x: overlap(k, x) >= F.col("threshold")), ["image_id", "class_id"])
-    rest = detections.join(small(rules.select("class_id")), "class_id", "left_anti")
+    rest = detections.join(small_table(rules.select("class_id")), "class_id", "left_anti")
     return kept.unionByName(rest.select(*kept.columns))
 
 
@@ -81,7 +81,7 @@ def fuse_multiscale(small: DataFrame, middle: DataFrame, large: DataFrame, thres
     without one raises); `aircraft` and `ship` are the supplements' score bound and the IoU at which they are duplicates."""
 
     def over(df: DataFrame, coarse: str) -> DataFrame:
-        joined = df.where(coarse_of(F.col("class_id")) == coarse).join(small(thresholds), "class_id", "left")
+        joined = df.where(coarse_of(F.col("class_id")) == coarse).join(small_table(thresholds), "class_id", "left")
         bound = F.coalesce("threshold", F.raise_error(F.concat(F.lit("no threshold for class "), F.col("class_id").cast("string"))).cast("double"))
         return joined.where(F.col("score") >= bound).select(*FIELDS)
 

@@ -62,6 +62,13 @@ def test_missing_threshold_raises(spark):
         suppression.fuse_multiscale(d, d, d, none, (0.5, 0.5), (0.5, 0.5), 0.5, 1.0).collect()
 
 
+def test_multiscale_fusion(spark):
+    d = detections(spark, [(1, 5, 0.9, UNIT), (1, 5, 0.3, (50, 50, 60, 60)), (1, 0, 0.8, UNIT), (1, 24, 0.4, UNIT), (1, 24, 0.4, (0, 0, 40, 40))])
+    bounds = spark.createDataFrame([(5, 0.5), (0, 0.5), (24, 0.3)], "class_id int, threshold double")
+    rows = suppression.fuse_multiscale(d, d, d, bounds, (0.25, 0.5), (0.5, 0.5), 0.5, 1000.0).collect()
+    assert sorted(r["ord"] for r in rows) == [0, 1, 2, 4]
+
+
 def test_tiles(spark):
     t = inference.tiles(spark.createDataFrame([(1, 50, 40), (2, 128, 64), (3, 129, 64)], "image_id bigint, width int, height int"), 64, 0.0)
     xs = {}
