@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,21 @@ def test_against_counted_points():
     assert seen > 15
 
 
+def test_rows_together():
+    """Pairs of many shapes at once: as pair by pair, null and empty outlines, repeated corners and slices of a column included."""
+    r = random.Random(11)
+    shapes = [None, [], SQUARE, SQUARE + SQUARE[:1], [(0, 0), (10, 10), (0, 10), (10, 0)], [(math.nan, 0), (10, 0), (10, 10)], [(0, 0), (10, 0), (20, 0)], [(0, 0), (4, 0), (4, 4), (2, 4), (2, 0), (2, 4), (0, 4)]]
+    shapes += [star(r, n).tolist() for n in (3, 4, 6, 9) for _ in range(12)]
+    pairs = [(p, q) for p in shapes for q in shapes]
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    p, q = (pa.array([None if v is None else [{"x": x, "y": y} for x, y in v] for v in side], kind) for side in zip(*pairs))
+    plain = np.array([0.0 if a is None or b is None else O.outline_iou(np.array(a), np.array(b)) for a, b in pairs])
+    assert np.allclose(O.outline_ious(p, q), plain, rtol=0, atol=1e-12) and (plain > 0.1).sum() > 200
+    assert np.allclose(O.outline_ious(p[100:], q[100:]), plain[100:], rtol=0, atol=1e-12)
+    bounded = O.outline_ious(p, q, 0.3)
+    assert np.allclose(bounded[plain >= 0.3], plain[plain >= 0.3], rtol=0, atol=1e-12) and (bounded[plain < 0.3] < 0.3).all()
+
+
 def test_suppression(spark):
     r = random.Random(3)
     rows = [(k % 3, k % 2, k, round(r.random(), 1), star(r).tolist()) for k in range(60)]
