@@ -133,3 +133,15 @@ def test_ids_by_name_are_gapless_at_any_size(spark):
     finally:
         spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
     assert tuple(row) == (n, n, 1, n, n)
+
+
+def test_hashes_within_a_family(spark):
+    """Two families whose hashes come within six bits by chance stay apart where a common head is asked for (O12's SQL does)."""
+    from boxwright.operators import curation
+
+    rows = [(0, "a", "00000000000000" + "00"), (1, "b", "00000000000000" + "0f"), (2, "c", "00000000000001" + "00"), (3, "d", "00000000000001" + "01")]
+    h = spark.createDataFrame(rows, "stem bigint, group_id string, phash string")
+    pairs = lambda **k: {(r["left"], r["right"]) for r in matching.hamming_pairs(h, **k).collect()}
+    assert (0, 2) in pairs() and pairs(within=F.substring("phash", 1, 14)) == {(0, 1), (2, 3)}
+    groups = curation.duplicate_components(matching.hamming_pairs(h, within=F.substring("phash", 1, 14)), h)
+    assert {r["stem"]: r["canonical"] for r in groups.collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
