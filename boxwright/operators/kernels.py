@@ -55,7 +55,9 @@ def dense_mask(boxes: DataFrame, scale: float, threshold: float, vehicle: int =
 def density_top_k(candidates: DataFrame, k: int) -> DataFrame:
     """candidates: (image_id, ord, candidate, affinity, dense). A dense box keeps its best candidate, others the best k."""
     w = Window.partitionBy("image_id", "ord").orderBy(F.desc("affinity"), "candidate")
-    return candidates.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.when(F.col("dense"), 1).otherwise(k)).drop("_r")
+    # the plain bound first: rows past it end before they are shuffled
+    first = candidates.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(k, 1))
+    return first.where(F.col("_r") <= F.when(F.col("dense"), 1).otherwise(k)).drop("_r")
 
 
 def dot(a: Column, b: Column) -> Column:
