@@ -120,3 +120,16 @@ def test_padding_of_another_kind():
         with pytest.raises(TypeError):
             rasters._pad(value, "uint8")
     assert np.isnan(rasters._pad(math.nan, "float32")) and rasters._pad(3.0, "uint8") == 3
+
+
+def test_images_unfiltered_together(monkeypatch):
+    """Files of several sizes and kinds and damaged ones, few at a time: as one by one."""
+    r = np.random.default_rng(5)
+    images = [r.integers(0, 256, (5 + k % 3, 7 + k % 2, (1, 3)[k % 4 == 0]), dtype=np.uint8) for k in range(24)]
+    files = [rasters.encode_png(p, (k % 5, 4, 3)) for k, p in enumerate(images)]
+    files[3] = b"no"
+    for most in (1, 200, 1 << 22):
+        monkeypatch.setattr(rasters, "BYTES", most)
+        found = dict(rasters.decode_pngs(files))
+        assert sorted(found) == list(range(24)) and str(found[3]) == "no PNG"
+        assert all((found[k] == images[k]).all() and found[k].shape == images[k].shape for k in range(24) if k != 3)
