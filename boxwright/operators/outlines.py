@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.operators import spatial
@@ -236,6 +236,14 @@ def bounded(boxes: DataFrame, outline: str = "polygon") -> DataFrame:
     return boxes.withColumns({"x1": at(F.array_min, "x"), "y1": at(F.array_min, "y"), "x2": at(F.array_max, "x"), "y2": at(F.array_max, "y")})
 
 
+def _shoelace(p: Column) -> Column:
+    """The area that a simple outline encloses; corners are taken from the first, as those far off would cost digits."""
+    x, y = (lambda q: q["x"].cast("double") - p[0]["x"]), (lambda q: q["y"].cast("double") - p[0]["y"])
+    after = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
+    turns = F.zip_with(p, after, lambda a, b: x(a) * y(b) - x(b) * y(a))
+    return F.abs(F.aggregate(turns, F.lit(0.0), lambda s, v: s + v)) / 2
+
+
 def suppress_outlines(detections: DataFrame, iou: float, outline: str = "polygon") -> DataFrame:
     """Rows of detections (image_id, class_id, ord, score, a polygon) that are kept, by falling score then ord within image and class: a row goes if
     one kept before has a positive IoU of at least `iou` with it.
@@ -246,7 +254,8 @@ def suppress_outlines(detections: DataFrame, iou: float, outline: str = "polygon
     n = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hulls = bounded(detections.select("image_id", "class_id", "ord", "score", F.col(outline).alias("polygon")))
     keep = ["ord", "score", "polygon"]
-    near = spatial.overlapping_pairs(hulls, hulls, ["image_id", "class_id"], (keep, keep))
+    sized = hulls.withColumn("size", _shoelace(F.col("polygon")))
+    near = spatial.overlapping_pairs(sized, sized, ["image_id", "class_id"], (keep, keep), iou / (1 + iou) if iou > 0 else None)
     # by falling score, then place; rows without a score come last
     same = F.col("l.score").eqNullSafe(F.col("r.score")) & (F.col("l.ord") > F.col("r.ord"))
     later = F.coalesce(F.col("l.score") < F.col("r.score"), F.col("l.score").isNull() & F.col("r.score").isNotNull()) | same
@@ -262,6 +271,7 @@ def suppress_outlines(detections: DataFrame, iou: float, outline: str = "polygon
                 if (image, cls) != group or place != current:
                     if current is not None and free:
                         kept.add(current)
+                    elif current is not None:
                         out.append((*group, current))
                     if (image, cls) != group:
                         group, kept = (image, cls), set()
@@ -271,11 +281,11 @@ def suppress_outlines(detections: DataFrame, iou: float, outline: str = "polygon
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
                 out = []
-        if current is not None and free:
+        if current is not None and not free:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*group, current), kinds)], names=names)
 
     names = ["image_id", "class_id", "ord"]
     schema = hulls.select(*names).schema
     kinds = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.int32() if f.dataType.simpleString() == "int" else pa.string() for f in schema]
     walked = rows.repartition(n, "image_id", "class_id").sortWithinPartitions("image_id", "class_id", F.desc("score"), "ord", F.asc_nulls_first("before"))
-    return detections.join(walked.mapInArrow(run, schema), names, "left_semi")
+    return detections.join(walked.mapInArrow(run, schema), names, "left_anti")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.functions.geometry import BOX, diou, hbb_iou, polygon, polygon_iou
-from boxwright.operators import folds
+from boxwright.functions.geometry import BOX, box, diou, hbb_iou, polygon
+from boxwright.operators import folds, outlines
 from boxwright.operators.small import small as small_table
 from boxwright.taxonomy import coarse_of
 
@@ -30,10 +30,13 @@ def merge_detections(detections: DataFrame, iou: float, polygons: bool = False)
     """Non-maximum suppression per (image, class): a box goes if one kept before overlaps it (IoU over 0 and at least iou).
     With polygons, the box test comes first and only boxes that touch have their outlines compared."""
 
+    if polygons:
+        outlined = detections.withColumn("polygon", polygon(box()))
+        return outlines.suppress_outlines(outlined, iou).select("image_id", "class_id", "ord", "score", *BOX)
+
     def clash(k: Column, x: Column) -> Column:
         rough = hbb_iou(_sides(k), _sides(x))
-        exact = polygon_iou(polygon(_sides(k)), polygon(_sides(x))) if polygons else rough
-        return F.when(rough > 0, (exact > 0) & (exact >= iou)).otherwise(F.lit(False))
+        return F.when(rough > 0, rough >= iou).otherwise(F.lit(False))
 
     grouped = folds.ordered(detections, ["image_id", "class_id"], _structs())
     return _rows(grouped, folds.accept_if_free(F.col("items"), clash), ["image_id", "class_id"])

@@ -92,3 +92,19 @@ def test_suppression(spark):
 def test_null_outlines(spark):
     df = spark.range(1).select(F.lit(None).cast("array<struct<x:double,y:double>>").alias("p"), F.array(F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))).alias("q"))
     assert O.with_iou(df, "p", "q").first()["iou"] == 0.0
+
+
+def test_boxes_as_outlines(spark):
+    """Suppression of boxes by their outlines is that of the boxes, in plans that fold no pair in an expression; rows without an image stay."""
+    from boxwright.operators import suppression
+    from tests.helpers import detections
+
+    r = random.Random(8)
+    boxes = [(x, y, x + r.randint(5, 20), y + r.randint(5, 20)) for x, y in ((r.randint(0, 40), r.randint(0, 40)) for _ in range(80))]
+    d = detections(spark, [(k % 3, k % 2, r.randint(0, 9) / 10, b if k % 7 else (*b[2:], *b[:2])) for k, b in enumerate(boxes)])
+    whole = lambda df: sorted(map(tuple, df.collect()))
+    found = suppression.merge_detections(d, 0.2037, polygons=True)
+    assert whole(found) == whole(suppression.merge_detections(d, 0.2037)) and 10 < found.count() < 80
+    assert "aggregate(items" not in found._jdf.queryExecution().optimizedPlan().toString()
+    lost = d.withColumn("image_id", F.lit(None).cast("bigint"))
+    assert suppression.merge_detections(lost, 0.2037, polygons=True).count() == 80
