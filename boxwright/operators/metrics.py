@@ -97,9 +97,10 @@ def latency_gate(df: DataFrame, value: str, limit: float, reserve: float, *keys:
 def complementarity(models: DataFrame, truth: DataFrame, left: str, right: str, taxonomy: str = "scenes25") -> DataFrame:
     """Per coarse class: truths that both, one or either model finds, and the recall of the union."""
     found = matching.model_outcomes(models, truth, taxonomy)
-    side = lambda name: found.where(F.col("model") == name).select("coarse", "image_id", "t_ord").withColumn(name, F.lit(True))
-    both = side(left).join(side(right), ["coarse", "image_id", "t_ord"], "full_outer")
-    a, b = F.col(left).isNotNull(), F.col(right).isNotNull()
+    # one matching for both: a join of the two sides would make it twice
+    by = found.where(F.col("model").isin(left, right)).groupBy("coarse", "image_id", "t_ord")
+    both = by.agg(*[F.bool_or(F.col("model") == m).alias(n) for m, n in ((left, "_left"), (right, "_right"))])
+    a, b = F.col("_left"), F.col("_right")
     counts = both.groupBy("coarse").agg(F.count_if(a & b).alias("shared"), F.count_if(a & ~b).alias("left_only"), F.count_if(b & ~a).alias("right_only"), F.count("*").alias("either"))
     total = truth.where(~F.col("difficult")).groupBy(coarse_of(F.col("class_id"), taxonomy).alias("coarse")).agg(F.count("*").alias("truths"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")

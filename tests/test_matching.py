@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from boxwright.operators import matching, metrics
+from boxwright.operators import folds, matching, metrics
 from tests.helpers import UNIT, counts, detections, truths
 
 
@@ -145,3 +145,33 @@ def test_hashes_within_a_family(spark):
     assert (0, 2) in pairs() and pairs(within=F.substring("phash", 1, 14)) == {(0, 1), (2, 3)}
     groups = curation.duplicate_components(matching.hamming_pairs(h, within=F.substring("phash", 1, 14)), h)
     assert {r["stem"]: r["canonical"] for r in groups.collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_two_models_are_matched_once(spark):
+    """One walk for both models, and truths found by both, either or none."""
+    rows = [("a", 1, 0, 0, 0.9, UNIT), ("b", 1, 0, 1, 0.8, UNIT), ("a", 1, 4, 2, 0.7, UNIT), ("b", 2, 4, 3, 0.7, UNIT), ("c", 2, 0, 4, 0.9, UNIT)]
+    models = spark.createDataFrame([(m, i, c, o, s, *b) for m, i, c, o, s, b in rows], "model string, image_id bigint, class_id int, ord bigint, score double, x1 double, y1 double, x2 double, y2 double")
+    t = truths(spark, [(1, 0, UNIT), (1, 4, UNIT), (2, 4, UNIT), (2, 0, UNIT), (2, 24, UNIT)])
+    found = metrics.complementarity(models, t, "a", "b")
+    assert {r["coarse"]: tuple(r)[1:6] for r in found.collect()} == {"ship": (1, 0, 0, 1, 2), "aircraft": (0, 1, 1, 2, 2), "vehicle": (0, 0, 0, 0, 1)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_walk_over_many_batches_and_keys(spark):
+    """Keys with fields and nulls, groups that end within and across batches."""
+    r = random.Random(3)
+    rows = [((r.choice(["a", None]), k // 50), r.choice(["x", "y", None]), r.randint(0, 6), r.randint(0, 6), r.random(), k) for k in range(600)]
+    edges = spark.createDataFrame(rows, "g struct<m: string, i: bigint>, key string, p bigint, t bigint, s double, n bigint")
+    want, taken = set(), {}
+    for g, key, p, t, s, n in sorted(rows, key=lambda x: (-x[4], x[5])):
+        ends = taken.setdefault((g, key), (set(), set()))
+        if p not in ends[0] and t not in ends[1]:
+            ends[0].add(p)
+            ends[1].add(t)
+            want.add(n)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {x["n"] for x in folds.one_to_one(edges, ["g", "key"], [F.desc("s"), F.col("n")], "p", "t").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -75,3 +75,22 @@ def test_dense_mask(spark, scale, threshold):
 
     want = {k for k, a in enumerate(rows) if a[1] == 24 and any(b[1] == 24 and j != k and near(a[2], b[2]) for j, b in enumerate(rows))}
     assert {x["ord"] for x in kernels.dense_mask(truths(spark, rows), scale, threshold).where("dense").collect()} == want
+
+
+@pytest.mark.parametrize("least", [0.05, 0.35, 0.5, 0.9, 1.0])
+def test_pairs_at_a_bound(spark, least):
+    """No pair at the bound is lost, be it met exactly; boxes that overlap far less are not paired."""
+    r = random.Random(8)
+    left = [(k, 1, (x := r.choice([r.uniform(-200, 200), 16.0 * r.randint(-9, 9), 1e6]), y := r.uniform(-50, 50), x + r.choice([4, 16, 20, 64]), y + r.choice([4, 16, 20]))) for k in range(250)]
+    moved = lambda b, dx, dy: (b[0] + dx, b[1] + dy, b[2] + dx, b[3] + dy)
+    right = [(k, 1, moved(b, *r.choice([(0, 0), ((b[2] - b[0]) / 3, 0), (0, (b[3] - b[1]) / 3), (r.uniform(-9, 9), r.uniform(-9, 9)), (0, (b[3] - b[1]) * 0.65 / 1.35)]))) for k, _, b in left]
+    frame = lambda rows: spark.createDataFrame([(k, im, *map(float, b)) for k, im, b in rows], COLUMNS)
+    want = {(a[0], b[0]) for a in left for b in right if iou(a[2], b[2]) >= least}
+    got = spatial.pairs_at(frame(left), frame(right), ["image_id"], least, (["ord"], ["ord"])).collect()
+    assert len(got) == len(want) and {(x["l"]["ord"], x["r"]["ord"]) for x in got} == want and len(want) > 20
+
+
+def test_cores_that_are_apart_are_not_paired(spark):
+    frame = lambda x: spark.createDataFrame([(0, 1, x, 0.0, x + 20, 20.0)], COLUMNS)
+    found = lambda *t: spatial.overlapping_pairs(frame(0.0), frame(15.0), ["image_id"], least=tuple(map(F.lit, t))).count()
+    assert found(0.5, 0.5) == 0 and found(0.1, 0.1) == 1
