@@ -85,7 +85,7 @@ def examples(labelled: DataFrame, images: DataFrame, policy: CropPolicy) -> Data
     counts = kept.groupBy("group_id").agg(F.sum("label").cast("int").alias("p"), F.count("*").cast("int").alias("n")).collect()  # a row a source group
     if not counts:
         raise ValueError("no proposals but duplicates")
-    held = splitting.combination_split({r["group_id"]: [1] * r["p"] + [0] * (r["n"] - r["p"]) for r in counts}, policy.holdout_ratio, policy.seed)
+    held = splitting.combination_of_counts({r["group_id"]: (r["p"], r["n"] - r["p"]) for r in counts}, policy.holdout_ratio, policy.seed)
     splits = kept.sparkSession.createDataFrame([(r["group_id"], "holdout" if r["group_id"] in held else "train") for r in counts], "group_id string, split string")
     numbered = metrics.ranked_in_ranges(kept.join(splits, "group_id"), "split", [F.col("group_id"), F.col("image_id"), F.col("ord")], [], "number")
     name = F.concat(F.lit("crops/"), "split", F.lit("/"), F.lpad(F.col("number").cast("string"), 6, "0"), F.lit(".png"))
@@ -95,7 +95,9 @@ def examples(labelled: DataFrame, images: DataFrame, policy: CropPolicy) -> Data
 
 def crops(made: DataFrame, pictures: DataFrame, policy: CropPolicy) -> DataFrame:
     """(crop, content): the PNG of each example; pictures: rasters of uint8."""
-    boxes = made.groupBy("image_id").agg(F.collect_list(F.struct("crop", "x1", "y1", "x2", "y2")).alias("boxes"))  # an image's proposals
+    # a crop costs far more time than its row's bytes say, so the partitions are not merged by size
+    n = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    boxes = made.repartition(n, "image_id").groupBy("image_id").agg(F.collect_list(F.struct("crop", "x1", "y1", "x2", "y2")).alias("boxes"))  # an image's proposals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

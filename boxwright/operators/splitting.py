@@ -160,28 +160,35 @@ def expert_split(vehicles: Mapping[str, int], ratio: float, seed: int = 42, leas
 def combination_split(labels: Mapping[str, Sequence[int]], ratio: float, seed: int = 42, least: int = 3) -> set[str]:
     """Holdout groups: the first smallest combination of groups with positives, by seeded rank, that (with one more group, if need
     be) holds `least` positives and leaves positives and negatives on both sides; then groups by rank up to a half-even share."""
-    order = sorted(labels, key=lambda g: rank(seed, g))
+    return combination_of_counts({g: (sum(v), len(v) - sum(v)) for g, v in labels.items()}, ratio, seed, least)
+
+
+def combination_of_counts(counts: Mapping[str, tuple[int, int]], ratio: float, seed: int = 42, least: int = 3) -> set[str]:
+    """As combination_split, of each group's numbers of positives and negatives."""
+    order = sorted(counts, key=lambda g: rank(seed, g))
     if len(order) < 2:
         raise ValueError("fewer than two groups")
-    pos = {g: sum(labels[g]) for g in order}
-    neg = {g: len(labels[g]) - pos[g] for g in order}
+    pos, neg = ({g: counts[g][i] for g in order} for i in (0, 1))
     all_pos, all_neg = sum(pos.values()), sum(neg.values())
     if all_pos < 2 or all_neg < 2:
         raise ValueError("fewer than two positives or negatives")
     need = min(least, all_pos - 1)
-    valid = lambda s: need <= sum(pos[g] for g in s) < all_pos and 0 < sum(neg[g] for g in s) < all_neg
+    fits = lambda p, n: need <= p < all_pos and 0 < n < all_neg
+    valid = lambda s: fits(sum(pos[g] for g in s), sum(neg[g] for g in s))
     having = [g for g in order if pos[g]]
     chosen = (set(c) for size in range(1, len(having) + 1) for c in itertools.combinations(having, size))
-    tried = (t for c in chosen if sum(pos[g] for g in c) >= need for t in (c, *(c | {g} for g in order if g not in c)))
+    tried = (t for c in chosen if sum(pos[g] for g in c) >= need for t in itertools.chain((c,), (c | {g} for g in order if g not in c)))
     held = next(filter(valid, tried), None)
     if held is None:
         raise ValueError("no combination has positives and negatives on both sides")
     n = max(1, min(len(order) - 1, round(len(order) * ratio)))
+    held_pos, held_neg = sum(pos[g] for g in held), sum(neg[g] for g in held)
     for g in order:
         if len(held) >= n:
             break
-        if valid(held | {g}):
-            held = held | {g}
+        if g not in held and fits(held_pos + pos[g], held_neg + neg[g]):
+            held.add(g)
+            held_pos, held_neg = held_pos + pos[g], held_neg + neg[g]
     return held
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -90,3 +91,10 @@ def test_expert_split(seed):
     n = max(1, min(len(order) - 1, round(len(order) * 0.25)))
     first = set(order[:n])
     assert len(first - held) <= 1 and all(vehicles[g] for g in held - first)  # one may go back, and only groups with vehicles come in
+
+
+def test_many_groups_are_split_in_linear_time():
+    counts = {f"g{i:06}": (i % 3, 2) for i in range(60_000)}
+    began = time.process_time()
+    held = splitting.combination_of_counts(counts, 0.2)
+    assert len(held) == 12_000 and time.process_time() - began < 5
