@@ -31,3 +31,11 @@ def test_one_matching_of_a_calibration(spark, seen):
     assert len(seen) == 1 and {r["threshold"] for r in chosen.collect()} == {0.35} and told["threshold"] == 0.35
     search.calibrate(d, t, folds, [0.35, 0.65], 0.15, 0.9, 0.9, baseline_detections=d.where("image_id < 20"))
     assert len(seen) == 3
+
+
+def test_fold_totals_hold_no_matching(spark):
+    d, t = detections(spark, [(i, 0, 0.9, UNIT) for i in range(4)]), truths(spark, [(i, 0, UNIT) for i in range(3)])
+    folds = spark.createDataFrame([(i, i % 2) for i in range(4)], "image_id bigint, fold int")
+    totals = search.fold_totals(search.threshold_counts(d, t, [0.5]), folds, "threshold")
+    assert "MapInArrow" not in totals._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in totals.collect()) == [(0, 0.5, 1, 1, 0, 2, 0, 0), (1, 0.5, 2, 0, 0, 1, 1, 0)]
