@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,18 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Of what runs inside, Arrow batches have at most so many rows: a batch is held several times over by the JVM and by Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), most) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, *names: str) -> Iterator[str]:
     """The names, each with as many underscores behind it as keep it apart from the columns of df."""
     there = {c.lower() for c in df.columns}
@@ -139,11 +152,16 @@ def repeated_bitmap(rows: DataFrame, bits: int) -> bytes:
     is fixed; with very many such h it only lets more through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        held = []
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            # many in one row: as if it came twice
+            held += [h, h[b.column(1).to_numpy(zero_copy_only=False)]]
         if held:
-            h, back, n = np.unique(np.concatenate([x for x, _ in held]).view(np.uint64), return_inverse=True, return_counts=True)
-            many = np.bincount(back, np.concatenate([m for _, m in held])) > 0
-            yield _words_of(np.unique(filter_place(h[(n > 1) | many], bits)))
+            h = np.concatenate(held)
+            held.clear()
+            h.sort()
+            yield _words_of(np.unique(filter_place(h[1:][h[1:] == h[:-1]], bits)))
 
     return _collected(rows.repartition("h").mapInArrow(run, "w bigint, m bigint"), bits)
 

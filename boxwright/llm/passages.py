@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm.bytekit import SPACES, STEP, filter_place, mix, pieces, shingle_hashes, text_bytes, whole_groups, word_hashes, words
-from boxwright.llm.common import bitmap_of, connected_components, cut, dedupe_columns, discard, repeated_bitmap
+from boxwright.llm.common import arrow_rows, bitmap_of, connected_components, cut, dedupe_columns, discard, repeated_bitmap
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -44,6 +44,8 @@ DRIFT = 64  # tokens by which an alignment may leave the shifts of its ties
 FILTER_BITS = 27  # 16 MB
 SMALL = 16
 BLOCK = 256
+ARROW_ROWS = 1000  # whole texts or their tokens
+HELD = 1 << 20  # hashes that a task gathers before it tells their distinct ones
 CELL = "h bigint, doc_id bigint, c int, lo int, hi int"
 RUN = "x bigint, y bigint, xs bigint, xe bigint, ys bigint, ye bigint"
 STRETCH = ["x", "y", "xs", "xe", "ys", "ye", "near", "far"]
@@ -125,21 +127,35 @@ def _hashed(tokens: np.ndarray, f: int) -> np.ndarray:
     return mix((tokens ^ STEP[20 + f]) * STEP[40 + f])
 
 
+def _distinct(arrays: Iterator[np.ndarray], several: bool = False) -> Iterator[pa.RecordBatch]:
+    """Distinct hashes of arrays, about HELD at a time, and whether they repeat there (`several`: said of all)."""
+    held, n = [], 0
+
+    def told() -> pa.RecordBatch:
+        h, times = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((times > 1) | several)], names=["h", "many"])
+
+    for x in arrays:
+        held.append(x)
+        n += len(x)
+        if n >= HELD:
+            yield told()
+            held, n = [], 0
+    if held:
+        yield told()
+
+
 def _centres(k: int, least: int, bands: int):
-    """Each batch's distinct centres of windows of the first functions, and whether they repeat within it."""
+    """Distinct centres of windows of the first functions, and whether they repeat among those told together."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            got = []
             for _, tokens, edge in _tokens(batch.column(1), k):
                 for f in range(bands):
                     h = _hashed(tokens, f)
-                    got.append(mix(h[compact_windows(h, edge, least)[1]]))
-            if got:
-                h, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "many"])
+                    yield mix(h[compact_windows(h, edge, least)[1]])
 
-    return run
+    return lambda batches: _distinct(of(batches))
 
 
 def _cells(k: int, least: int, bands: int, bits: int, shared):
@@ -310,19 +326,15 @@ def _regions(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
 
 
 def _shared_tokens(least: int):
-    """Each batch's distinct tokens around cells, and whether several of its documents have them."""
+    """Distinct tokens around cells, and whether several of the documents told together have them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            got = []
             for _, u, start, end in _regions(batch, least):
                 inside = np.cumsum(np.bincount(start, minlength=len(u) + 1) - np.bincount(end, minlength=len(u) + 1))[: len(u)] > 0
-                got.append(np.unique(u[inside]))
-            if got:
-                h, n = np.unique(mix(np.concatenate(got)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "many"])
+                yield mix(np.unique(u[inside]))
 
-    return run
+    return lambda batches: _distinct(of(batches))
 
 
 def _in_bitmap(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
@@ -358,15 +370,13 @@ def _promising(least: int, common: int, bits: int, shared):
 def _of_minor(promising):
     """Group and token of the cells outside their group's largest component."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             group = batch.column("cells").values.field("h").to_numpy().view(np.uint64)
-            got = [t * STEP[0] + group[cell] for _, cell, t, _ in promising(batch, None)]
-            if got:
-                h = np.unique(mix(np.concatenate(got)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.ones(len(h), bool))], names=["h", "many"])
+            for _, cell, t, _ in promising(batch, None):
+                yield mix(t * STEP[0] + group[cell])
 
-    return run
+    return lambda batches: _distinct(of(batches), True)
 
 
 def _promising_rows(promising, others):
@@ -450,7 +460,9 @@ def _token_rows(read: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """doc_id, tokens (of four bytes) of the documents asked for, and of others that their bitmap lets through; rows that share
     a doc_id are still apart."""
     shared = read.sparkSession.sparkContext.broadcast(bitmap_of(ids, FILTER_BITS))
-    return cut(read.mapInArrow(_sequences(k, shared, False), "doc_id bigint, tokens binary"), "tokens")
+    out = cut(read.mapInArrow(_sequences(k, shared, False), "doc_id bigint, tokens binary"), "tokens")
+    shared.destroy()
+    return out
 
 
 def _merged_spans(found: DataFrame) -> DataFrame:
@@ -507,12 +519,15 @@ def _open_ties(read: DataFrame, cells: DataFrame, ends: DataFrame, label: DataFr
     out = cut(ties.unionByName(by_rare).unionByName(by_common), "open-ties")
     for table in (mixed, held, members, around, near, sizes, often):
         discard(table)
+    for bits in (shared, bitmap, others):
+        bits.destroy()
     return out
 
 
 def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(x, y, xs, xe, ys, ye): passages (token places, ends exclusive) of documents x < y, of at least min_words words, verified."""
-    return _passages_and_classes(docs, min_words, percent, k, bands, key, text)[0]
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return _passages_and_classes(docs, min_words, percent, k, bands, key, text)[0]
 
 
 def _passages_and_classes(docs: DataFrame, min_words: int, percent: int, k: int, bands: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -521,6 +536,7 @@ def _passages_and_classes(docs: DataFrame, min_words: int, percent: int, k: int,
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     shared = spark.sparkContext.broadcast(repeated_bitmap(read.mapInArrow(_centres(k, least, bands), "h bigint, many boolean"), FILTER_BITS))
     cells = cut(read.mapInArrow(_cells(k, least, bands, FILTER_BITS, shared), CELL), "cells")
+    shared.destroy()
     item = F.struct("doc_id", "c", "lo", "hi")
     ends = cells.groupBy("h").agg(F.min(item).alias("first"), F.max(item).alias("last")).where("first.doc_id <> last.doc_id")
     ends = cut(ends, "ends")
@@ -557,7 +573,8 @@ def passage_report(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 8
     same = cut(sized.where("doc_id is not null and h1 is not null and n_words > 0").groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")), "same")
     # equal texts are compared once, by the smallest doc_id
     later = cut(sized.join(same.where("top > rep"), ["h1", "h2", "n_words"]).where("doc_id <> rep").select("doc_id").distinct(), "later")
-    found, label = _passages_and_classes(read.join(later, "doc_id", "left_anti"), min_words, percent, k, bands, "doc_id", "text")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        found, label = _passages_and_classes(read.join(later, "doc_id", "left_anti"), min_words, percent, k, bands, "doc_id", "text")
     fold = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),

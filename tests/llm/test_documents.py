@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from boxwright.llm import decontamination, line_dedup, near_dedup, packing, passages, quality_rules, sharding, substring_exact
+from boxwright.llm import common, decontamination, line_dedup, near_dedup, packing, passages, quality_rules, sharding, substring_exact
 from boxwright.llm.queries import tokenizer_path
 from tests.llm import reference
 
@@ -253,6 +253,31 @@ def test_passages_among_scattered_shingles_are_found(spark):
     assert found == set(pairs)
 
 
+def test_passages_hold_small_batches(spark, docs, monkeypatch):
+    """No Arrow batch of texts or tokens has more than ARROW_ROWS rows; the session's setting comes back, and hashes are told over batches."""
+    name, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(passages, "connected_components", lambda edges, f=passages.connected_components: sizes.append(spark.conf.get(name)) or f(edges))
+    passages.passage_report(docs).collect()
+    assert sizes and set(sizes) == {str(passages.ARROW_ROWS)} and spark.conf.get(name) == before
+    text = " ".join(f"word{i}" for i in range(80))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [text]}) for i in range(2)]
+    (told,) = passages._centres(5, 46, 4)(iter(batches))
+    assert told.num_rows and all(told.column("many").to_pylist())
+
+
+def test_repeated_bitmap(spark):
+    r = random.Random(8)
+    rows = [(r.getrandbits(64) - 2**63, r.random() < 0.1) for _ in range(300)]
+    rows += r.sample(rows, 60)
+    n = defaultdict(int)
+    for h, many in rows:
+        n[h] += 1 + many
+    want = {(h % 2**64) >> 52 for h in n if n[h] > 1}
+    bits = common.repeated_bitmap(spark.createDataFrame(rows, "h bigint, many boolean"), 12)
+    assert {i for i in range(1 << 12) if bits[i >> 3] >> (i & 7) & 1} == want
+
+
 def test_passages_in_a_large_open_group(spark):
     """A phrase of 24 words in many documents makes large groups of unlike cells; pairs among them share more, or a line of 48 words."""
     r = random.Random(4)
