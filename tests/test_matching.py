@@ -175,3 +175,18 @@ def test_a_walk_over_many_batches_and_keys(spark):
         assert {x["n"] for x in folds.one_to_one(edges, ["g", "key"], [F.desc("s"), F.col("n")], "p", "t").collect()} == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_consensus_shares_its_joins(spark, monkeypatch):
+    """As each model labelled for itself, with a box join for the main model's claims, duplicates, the rest's claims and the agreement."""
+    r = random.Random(11)
+    box = lambda: (lambda x, y: (x, y, x + 10, y + 10))(r.randint(0, 40), r.randint(0, 40))
+    main, first, second = (detections(spark, [(r.randint(0, 2), 24, r.randint(0, 9) / 10, box()) for _ in range(n)]) for n in (12, 40, 40))
+    truth = truths(spark, [(r.randint(0, 2), 24, box(), r.random() < 0.1) for _ in range(40)])
+    a, b = (matching.label_proposals(main, p, truth).where("reason <> 'duplicate_main'") for p in (first, second))
+    want = matching.first_fit_pairs(a, b, 0.35).join(a.select("image_id", F.col("ord").alias("l_ord"), "label"), ["image_id", "l_ord"]).collect()
+    joins = []
+    monkeypatch.setattr(matching.spatial, "overlapping_pairs", lambda *a, f=matching.spatial.overlapping_pairs, **k: joins.append(1) or f(*a, **k))
+    got = matching.consensus(main, first, second, truth)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(joins) == 4
+    assert {x["label"] for x in got.collect()} == {0, 1}
