@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +52,23 @@ def evaluate(detections: DataFrame, truth: DataFrame, taxonomy: str = "scenes25"
     return rated(full.select("scope", "key", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])).select(*REPORT)
 
 
+def reports_above(detections: DataFrame, truth: DataFrame, scores: Sequence[float | None], taxonomy: str = "scenes25", keys: tuple[str, ...] = ("all", "coarse", "fine")) -> list[DataFrame]:
+    """Reports, without images, of the detections of at least each score (None: of all). They are one matching, as a threshold
+    keeps a prefix of its order."""
+    above = [F.lit(True) if s is None else F.coalesce(F.col("score") >= s, F.lit(False)) for s in scores]
+    totals = lambda df, name: df.groupBy("scope", "key").agg(*[F.count_if(v).alias(f"{name}{i}") for i, v in enumerate(above)])
+    p = totals(matching.keyed(detections, keys, taxonomy), "p")
+    m = totals(matching.greedy_match(detections, truth, keys, taxonomy), "m")
+    t = matching.keyed(truth.where(~F.col("difficult")), keys, taxonomy).groupBy("scope", "key").agg(F.count("*").alias("t"))
+    counts = p.join(m, ["scope", "key"], "full_outer").join(t, ["scope", "key"], "full_outer")
+    # a row a key, read by each report
+    counts = cut(counts.withColumn("scope", F.when(F.col("scope") == "all", "overall").otherwise(F.col("scope"))))
+    asked = report_keys(detections.sparkSession, taxonomy).where(F.col("scope").isin(*["overall" if k == "all" else k for k in keys]))
+    named = asked.join(counts, ["scope", "key"], "left").na.fill(0)
+    side = lambda i: named.select("scope", "key", F.col(f"m{i}").alias("tp"), (F.col(f"p{i}") - F.col(f"m{i}")).alias("fp"), (F.col("t") - F.col(f"m{i}")).alias("fn"))
+    return [rated(side(i)).select(*REPORT) for i in range(len(scores))]
+
+
 def false_positive_audit(detections: DataFrame, truth: DataFrame, taxonomy: str = "scenes25") -> DataFrame:
     """(coarse, overlap, background, total)."""
     found = matching.false_positive_sources(detections, truth, taxonomy).groupBy("coarse").agg(F.count_if(F.col("source") == "overlap").alias("overlap"), F.count_if(F.col("source") == "background").alias("background"))

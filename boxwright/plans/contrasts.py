@@ -53,7 +53,7 @@ SELECT b.key, round(b.recall - report.recall, 9) AS recall_change, round(b.fdr -
 def o25_changes(spark, d):
     """All detections against those of half the score: a threshold keeps a prefix of the matching's order."""
     det, t = view(spark, d, "det"), view(spark, d, "truth")
-    both = search.compare_reports(metrics.evaluate(det, t), metrics.evaluate(det.where("score >= 0.5"), t)).where("scope = 'fine'")
+    both = search.compare_reports(*metrics.reports_above(det, t, (None, 0.5), keys=("fine",)))
     return both.select("key", F.round("recall_change", 9).alias("recall_change"), F.round("fdr_change", 9).alias("fdr_change"))
 
 

@@ -190,3 +190,18 @@ def test_consensus_shares_its_joins(spark, monkeypatch):
     got = matching.consensus(main, first, second, truth)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(joins) == 4
     assert {x["label"] for x in got.collect()} == {0, 1}
+
+
+def test_reports_above_are_one_matching(spark, monkeypatch):
+    r = random.Random(12)
+    box = lambda: (lambda x, y: (x, y, x + r.randint(8, 10), y + 10))(r.randint(0, 15), r.randint(0, 15))
+    d = detections(spark, [(r.randint(0, 2), r.randint(0, 4), r.randint(0, 9) / 10, box()) for _ in range(120)])
+    t = truths(spark, [(r.randint(0, 2), r.randint(0, 4), box(), r.random() < 0.1) for _ in range(60)])
+    want = [metrics.evaluate(x, t).where("scope <> 'image'") for x in (d, d.where("score >= 0.5"))]
+    want = [sorted(map(tuple, x.collect())) for x in want]
+    made = []
+    monkeypatch.setattr(metrics.matching, "greedy_match", lambda *a, f=matching.greedy_match, **k: made.append(1) or f(*a, **k))
+    got = metrics.reports_above(d, t, (None, 0.5))
+    assert [sorted(map(tuple, x.collect())) for x in got] == want and want[0] != want[1] and len(made) == 1
+    (fine,) = metrics.reports_above(d, t, (0.5,), keys=("fine",))
+    assert sorted(map(tuple, fine.collect())) == [x for x in want[1] if x[0] == "fine"]
