@@ -35,13 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm.bytekit import BYTE, _powers, filter_place, mix, pieces, text_bytes
-from boxwright.llm.common import bitmap_of, cut, dedupe_columns, repeated_bitmap
+from boxwright.llm.common import arrow_rows, bitmap_of, cut, dedupe_columns, discard, repeated_bitmap
 
 LENGTH = 100
 GRAM = 24
 FILTER_BITS = 27  # 16 MB; about 16 places a repeated gram for 8 million of them
 SAMPLE = 1000
-TOP = np.uint32(2**32 - 1)
+PIECE = 1 << 18  # bytes whose hashes are held at once
+HELD = 1 << 20  # keys of which a task tells the distinct ones
+ARROW_ROWS = 1000  # whole texts
+GATHERED = 16 << 20  # bytes of the texts of which equal contexts are told
+EMITTED = 4000  # contexts cut out at once
+CHUNK = 20_000  # suffixes sorted at once, or all of one gram
+ROWS = 4096
+REPORT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -103,19 +110,27 @@ def anchor_keys(total: np.ndarray, place: np.ndarray, least: np.ndarray, most: n
 
 
 def _key_rows(length: int, gram: int):
-    """Each batch's distinct anchor keys, and whether they repeat within it."""
+    """Distinct anchor keys, of about HELD at a time, and whether they repeat there."""
+
+    def told(found: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            found = []
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, PIECE):
                 part = data[offsets[a] : offsets[b]]
                 total = _totals(part)
-                found += anchor_keys(total, *anchors(part, offsets[a : b + 1] - offsets[a], total, length, gram), length, gram)[1::2]
-            if found:
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "many"])
+                keys = anchor_keys(total, *anchors(part, offsets[a : b + 1] - offsets[a], total, length, gram), length, gram)[1::2]
+                found += keys
+                n += sum(map(len, keys))
+                if n >= HELD:
+                    yield told(found)
+                    found, n = [], 0
+        if found:
+            yield told(found)
 
     return run
 
@@ -126,7 +141,7 @@ def splitters(read: DataFrame, length: int, gram: int, buckets: int, sample: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, PIECE):
                 part = data[offsets[a] : offsets[b]]
                 place = anchors(part, offsets[a : b + 1] - offsets[a], _totals(part), length, gram)[0][::4]
                 yield pa.RecordBatch.from_arrays([pa.array([part[p : p + gram].tobytes() for p in place], pa.binary())], names=["lead"])
@@ -149,6 +164,19 @@ def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return doc[new], s[new], (reach - shift)[np.r_[new[1:], len(doc)] - 1]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about `most` bytes, a larger one alone."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _contexts(length: int, gram: int, bits: int, shared, cuts):
     schema = ["bucket", "doc_id", "pos", "least", "most", "context"]
 
@@ -160,11 +188,11 @@ def _contexts(length: int, gram: int, bits: int, shared, cuts):
             at = filter_place(keys, bits)
             return ((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
-        for batch in batches:
+        for batch in _gathered(batches, GATHERED):
             keys = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
             got: list[list] = [[], [], [], [], []]
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, PIECE):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 total = _totals(part)
                 place, least, most = anchors(part, off, total, length, gram)
@@ -191,8 +219,8 @@ def _contexts(length: int, gram: int, bits: int, shared, cuts):
             d, s, e = _merged(doc[later], (pos - most)[later], (pos - least + length)[later])
             yield pa.RecordBatch.from_arrays([pa.array((d * 7919 % (len(edges) + 1)).astype(np.int32)), pa.array(d), pa.array(s.astype(np.int64)), pa.array(np.full(len(d), -1, np.int32)), pa.array((e - s).astype(np.int32)), pa.nulls(len(d), pa.binary())], names=schema)
             keep = by[first]
-            for k in range(0, len(keep), 50_000):
-                of = keep[k : k + 50_000]
+            for k in range(0, len(keep), EMITTED):
+                of = keep[k : k + EMITTED]
                 size = most[of] + length - least[of]
                 edge = np.r_[0, np.cumsum(size)]
                 index = np.repeat(place[of] - most[of] - edge[:-1], size) + np.arange(edge[-1])
@@ -224,19 +252,26 @@ def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
         tied = ~new | np.r_[~new[1:], False]
         live = live[tied]
-    same = rows[order[1:]] == rows[order[:-1]] if n else np.zeros((0, width), bool)
-    common = np.where(same.all(axis=1), width, same.argmin(axis=1)) if n > 1 else np.zeros(0, np.int64)
-    return order, np.r_[0, common] if n else common
+    common = np.zeros(n, np.int64)
+    for k in range(1, n, ROWS):
+        at = order[k - 1 : k + ROWS]
+        same = rows[at[1:]] == rows[at[:-1]]
+        common[k : k + ROWS] = np.where(same.all(axis=1), width, same.argmin(axis=1))
+    return order, common
 
 
 def _sides(table: pa.Table, most: np.ndarray, wide: int, narrow: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes from the anchor on, and those before it backwards, as rows padded with zeros."""
     data, offsets = text_bytes(table.column("context"))
     anchor, j, k = offsets[:-1] + most, np.arange(wide)[None, :], np.arange(narrow)[None, :]
-    top = len(data) - 1
-    after, before = anchor[:, None] + j, anchor[:, None] - 1 - k
-    right = np.where(after < offsets[1:, None], data[np.minimum(after, top)], 0).astype(np.uint8)
-    left = np.where(before >= offsets[:-1, None], data[np.maximum(before, 0)], 0).astype(np.uint8)
+    n, top = len(anchor), len(data) - 1
+    right, left = np.zeros((n, wide), np.uint8), np.zeros((n, narrow), np.uint8)
+    for at in range(0, n, ROWS):
+        some = slice(at, at + ROWS)
+        start, end, mid = offsets[:-1][some, None], offsets[1:][some, None], anchor[some, None]
+        after, before = mid + j, mid - 1 - k
+        right[some] = np.where(after < end, data[np.minimum(after, top)], 0)
+        left[some] = np.where(before >= start, data[np.maximum(before, 0)], 0)
     return right, left
 
 
@@ -282,7 +317,7 @@ def _later(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come in order of the leading gram: whole grams are worked off as soon as enough rows are there
-        held, size = [], 0
+        held, size, most = [], 0, CHUNK
         for batch in batches:
             table = pa.Table.from_batches([batch])
             done = table.filter(pc.equal(table.column("least"), -1))
@@ -292,7 +327,7 @@ def _later(length: int, gram: int):
             table = table.filter(pc.not_equal(table.column("least"), -1))
             held.append(table)
             size += len(table)
-            if size > 60_000:
+            if size > most:
                 table = pa.concat_tables(held).combine_chunks()
                 lead = table.column("lead")
                 tail = lead[len(lead) - 1].as_py()
@@ -302,6 +337,7 @@ def _later(length: int, gram: int):
                 if k:
                     yield chunk(table.slice(0, k))
                 held, size = [table.slice(k)], len(table) - k
+                most = max(CHUNK, 2 * size)  # of a common gram, not looked through anew with every batch
         if size:
             yield chunk(pa.concat_tables(held).combine_chunks())
 
@@ -336,7 +372,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _of(ids, wanted: bool):
-    """Documents that the bitmap of ids lets through, or the others."""
+    """Rows of documents that the bitmap of ids lets through, or of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(ids.value, np.uint8)
@@ -349,6 +385,16 @@ def _of(ids, wanted: bool):
     return run
 
 
+def _uncut(ids):
+    """The report of the documents that the bitmap of ids does not let through; they lose nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = (b.append_column("spans", pa.nulls(b.num_rows)) for b in _of(ids, False)(batches))
+        return _cut_out(rest)
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, filter_bits: int = FILTER_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans: array of s, e): the byte spans to remove, unmerged, of the documents that have any."""
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -367,9 +413,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, filt
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    spans = cut(repeated_spans(docs, length, gram, key=key, text=text), "spans")
-    touched = docs.sparkSession.sparkContext.broadcast(bitmap_of(spans.select("doc_id"), FILTER_BITS))
-    # one plan at every size: spans grow with the corpus, so they are never broadcast
-    joined = read.mapInArrow(_of(touched, True), read.schema).join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
-    rest = read.mapInArrow(_of(touched, False), read.schema).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    return joined.unionByName(rest).mapInArrow(_cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    # batches of whole texts are held several times over by the JVM and by Python
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        spans = cut(repeated_spans(docs, length, gram, key=key, text=text), "spans")
+        touched = docs.sparkSession.sparkContext.broadcast(bitmap_of(spans.select("doc_id"), FILTER_BITS))
+        # one plan at every size: spans grow with the corpus, so they are never broadcast
+        joined = read.mapInArrow(_of(touched, True), read.schema).join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
+        out = cut(joined.mapInArrow(_cut_out, REPORT).unionByName(read.mapInArrow(_uncut(touched), REPORT)), "cut-out")
+    touched.destroy()
+    discard(spans)
+    return out

@@ -145,6 +145,35 @@ def test_exact_substrings_of_few_letters(spark, seed):
     assert got == reference.exact_substrings(data)
 
 
+def test_exact_substrings_hold_little_memory():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, 2000).astype(np.uint8).tobytes().decode() for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    shared, edges = SimpleNamespace(value=b"\xff" * (1 << 17)), SimpleNamespace(value=[])
+
+    def peak(run, batches):
+        next(run(iter(batches)))  # tables that stay
+        tracemalloc.start()
+        n = sum(b.num_rows for b in run(iter(batches)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, most / (1 << 20)
+
+    n, most = peak(substring_exact._contexts(100, 24, 20, shared, edges), [batch])
+    assert n > 50_000 and most < 60
+    n, most = peak(substring_exact._key_rows(100, 24), [batch.select(["text"])])
+    assert n > 100_000 and most < 60
+    found = pa.Table.from_batches(substring_exact._contexts(100, 24, 20, shared, edges)(iter([batch])))
+    rows = found.to_pylist()
+    found = found.append_column("lead", pa.array([r["context"][r["most"] : r["most"] + 24] for r in rows], pa.binary())).sort_by("lead")
+    assert peak(substring_exact._later(100, 24), found.to_batches(max_chunksize=10_000))[1] < 60
+
+
 def test_multikey_sort():
     import numpy as np
 
