@@ -14,8 +14,8 @@ hash at c. Only windows of at least the passage length matter, about 2n / t of t
 3. First and last may be unlike the rest. Cells of a group whose documents are not in one class yet are compared pair by pair. A
    passage in common has many tokens in common, so cells without as many tokens around that are around such cells of other
    documents, too, are done with, and cells of a group's largest class without as many of those of its others (bitmaps
-   again). Groups of up to `SMALL` cells give their pairs at once. In larger ones, tokens that at most SMALL cells of the
-   group hold make small groups again; cells that share only commoner ones are compared by these, in pairs of blocks.
+   again). Groups of up to `SMALL` cells give their pairs at once. In larger ones, cells are compared by those tokens, in pairs of
+   blocks of about `BLOCK` cells; no token becomes a row.
 So every document with a passage in common with another is reported, and linked documents are in one class. Pairs of documents
 that are in one class by others' links are not all listed, so the words counted are those of the passages that are.
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwright.llm.bytekit import SPACES, STEP, filter_place, mix, pieces, shingle_hashes, text_bytes, whole_groups, word_hashes, words
@@ -43,7 +43,8 @@ BANDS = 4
 DRIFT = 64  # tokens by which an alignment may leave the shifts of its ties
 FILTER_BITS = 27  # 16 MB
 SMALL = 16
-BLOCK = 256
+BLOCK = 512
+COLUMNS = 2048  # tokens whose places in two blocks are held at once
 ARROW_ROWS = 1000  # whole texts or their tokens
 HELD = 1 << 20  # hashes that a task gathers before it tells their distinct ones
 CELL = "h bigint, doc_id bigint, c int, lo int, hi int"
@@ -211,7 +212,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=STRETCH)
 
 
-def _sequences(k: int, ids, wide: bool):
+def _sequences(k: int, ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(ids.value, np.uint8)
         for batch in batches:
@@ -222,7 +223,7 @@ def _sequences(k: int, ids, wide: bool):
             some = batch.take(pa.array(through))
             rows = []
             for _, tokens, edge in _tokens(some.column(1), k):
-                t = tokens if wide else (tokens >> np.uint64(32)).astype(np.uint32)
+                t = (tokens >> np.uint64(32)).astype(np.uint32)
                 rows += [t[edge[i] : edge[i + 1]].tobytes() for i in range(len(edge) - 1)]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.binary())], names=["doc_id", "tokens"])
 
@@ -321,7 +322,7 @@ def _regions(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
     start, end = np.maximum(lo, c - least + 1), np.minimum(hi, c + least - 1) + 1
     for i, body in enumerate(batch.column("tokens").to_pylist()):
         of = slice(edges[i], edges[i + 1])
-        u = np.frombuffer(body, np.uint64)
+        u = np.frombuffer(body, np.uint32).astype(np.uint64)
         yield i, u, np.minimum(start[of], len(u)), np.minimum(end[of], len(u))
 
 
@@ -395,8 +396,25 @@ def _promising_rows(promising, others):
     return run
 
 
+def _places_shared(cell: np.ndarray, token: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+    """[i, j]: of the places of cell i, how many hold a token that cell j has, too."""
+    found, t, k = np.unique(token, return_inverse=True, return_counts=True)
+    # tokens of one cell alone are shared with none
+    t = (np.cumsum(k > 1) - 1)[t][(several := k[t] > 1)]
+    cell, times = cell[several], times[several]
+    by = np.argsort(t, kind="stable")
+    cell, t, times = cell[by], t[by], times[by]
+    out = np.zeros((n, n), np.float32)
+    for start in range(0, int(t[-1]) + 1 if len(t) else 0, COLUMNS):
+        of = slice(*np.searchsorted(t, [start, start + COLUMNS]))
+        places = np.zeros((n, COLUMNS), np.float32)
+        places[cell[of], t[of] - start] = times[of]
+        out += places @ (places > 0).astype(np.float32).T
+    return out
+
+
 def _alike(common: int):
-    """Open pairs of cells of one pair of blocks that have `common` places with the group's common tokens in common."""
+    """Open pairs of cells of one pair of blocks that have `common` places with tokens in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
@@ -406,22 +424,15 @@ def _alike(common: int):
                 part = table.slice(s, e - s).combine_chunks()
                 d, comp, block = (part.column(n).to_numpy() for n in ("doc_id", "comp", "block"))
                 lists = part.column("tokens").combine_chunks()
-                size = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten()
-                _, t = np.unique(flat.field("t").to_numpy(), return_inverse=True)
-                times = np.zeros((e - s, int(t.max()) + 1), np.float32)
-                times[np.repeat(np.arange(e - s), size), t] = flat.field("times").to_numpy()
-                held = (times > 0).astype(np.float32)
-                for r in range(0, e - s, 128):
-                    rows = slice(r, r + 128)
-                    ok = (times[rows] @ held.T >= common) & (held[rows] @ times.T >= common) & (d[rows][:, None] < d[None, :])
-                    ok &= comp[rows][:, None] != comp[None, :]
-                    # both of one block: only where that block meets itself
-                    ok &= (block[rows][:, None] != block[None, :]) | part.column("alone").to_numpy(zero_copy_only=False)[rows][:, None]
-                    i, j = np.nonzero(ok)
-                    for at in range(0, len(i), 100_000):
-                        cells = [part.select(["doc_id", "c", "lo", "hi"]).take(pa.array(k[at : at + 100_000])) for k in (i + r, j)]
-                        yield pa.RecordBatch.from_arrays([c.combine_chunks() for half in cells for c in half.columns], names=["x", "xc", "xl", "xh", "y", "yc", "yl", "yh"])
+                cell, flat = np.repeat(np.arange(e - s), np.diff(lists.offsets.to_numpy())), lists.flatten()
+                shared = _places_shared(cell, flat.field("t").to_numpy(), flat.field("times").to_numpy(), e - s) >= common
+                ok = shared & shared.T & (d[:, None] < d[None, :]) & (comp[:, None] != comp[None, :])
+                # both of one block: only where that block meets itself
+                ok &= (block[:, None] != block[None, :]) | part.column("alone").to_numpy(zero_copy_only=False)[:, None]
+                i, j = np.nonzero(ok)
+                for at in range(0, len(i), 100_000):
+                    cells = [part.select(["doc_id", "c", "lo", "hi"]).take(pa.array(k[at : at + 100_000])) for k in (i, j)]
+                    yield pa.RecordBatch.from_arrays([c.combine_chunks() for half in cells for c in half.columns], names=["x", "xc", "xl", "xh", "y", "yc", "yl", "yh"])
 
     return run
 
@@ -444,23 +455,14 @@ def _ties_to_stretches(ties: DataFrame, name: str) -> DataFrame:
 
 def _compared(read: DataFrame, pairs: DataFrame, k: int, least: int, percent: int, name: str) -> DataFrame:
     """The passages found in stretches of pairs."""
-    tokens = _token_rows(read, pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), k)
-    # one row of each doc_id; both joins use this one exchange
-    one = tokens.dropDuplicates(["doc_id"])
+    shared = read.sparkSession.sparkContext.broadcast(bitmap_of(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), FILTER_BITS))
+    # one row of each doc_id that the bitmap lets through; both joins use this one exchange
+    one = read.mapInArrow(_sequences(k, shared), "doc_id bigint, tokens binary").dropDuplicates(["doc_id"])
     # only the stretch of each document travels on
     part = lambda side, s, e: F.expr(f"substring({side}, cast({s} * 4 + 1 as int), cast(({e} - {s}) * 4 as int))")
     first = pairs.join(one.select(F.col("doc_id").alias("x"), F.col("tokens").alias("left")), "x").withColumn("left", part("left", "xs", "xe"))
     second = first.join(one.select(F.col("doc_id").alias("y"), F.col("tokens").alias("right")), "y").withColumn("right", part("right", "ys", "ye"))
     out = cut(second.select(*pairs.columns, "left", "right").mapInArrow(_verify(least, percent), RUN).distinct(), name)
-    discard(tokens)
-    return out
-
-
-def _token_rows(read: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, tokens (of four bytes) of the documents asked for, and of others that their bitmap lets through; rows that share
-    a doc_id are still apart."""
-    shared = read.sparkSession.sparkContext.broadcast(bitmap_of(ids, FILTER_BITS))
-    out = cut(read.mapInArrow(_sequences(k, shared, False), "doc_id bigint, tokens binary"), "tokens")
     shared.destroy()
     return out
 
@@ -478,20 +480,19 @@ def _merged_spans(found: DataFrame) -> DataFrame:
     return longest.groupBy("d").agg(joined.alias("spans"))
 
 
-def _open_ties(read: DataFrame, cells: DataFrame, ends: DataFrame, label: DataFrame, k: int, least: int, percent: int) -> DataFrame:
+def _open_ties(read: DataFrame, cells: DataFrame, label: DataFrame, k: int, least: int, percent: int) -> DataFrame:
     """Ties between cells of a group whose documents are not linked yet, but for those with the group's first and last, which were compared."""
-    state = cells.join(label, F.col("doc_id") == F.col("node"), "left").select("h", "doc_id", "c", "lo", "hi", F.coalesce("component", "doc_id").alias("comp"))
-    place = F.struct("doc_id", "c", "lo", "hi")
-    # of up to three, first and last show every pair
-    mixed = cut(state.groupBy("h").agg(F.count("*").alias("n"), F.min("comp").alias("one"), F.max("comp").alias("other")).where("n > 3 and one <> other").select("h"), "mixed")
-    held = cut(state.join(mixed, "h").join(ends, "h").where((place != F.col("first")) & (place != F.col("last"))).drop("first", "last"), "held")
+    state = cells.join(label, F.col("doc_id") == F.col("node"), "left").select("h", "doc_id", "c", "lo", "hi", "end", F.coalesce("component", "doc_id").alias("comp"))
+    group = Window.partitionBy("h")
+    mixed = state.withColumn("one", F.min("comp").over(group)).withColumn("other", F.max("comp").over(group)).where("one <> other and not end")
+    held = cut(mixed.select("h", "doc_id", "c", "lo", "hi", "comp"), "held")
     most = held.groupBy("h", "comp").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "comp"))["comp"].alias("most"))
     members = cut(held.join(most, "h").withColumn("minor", F.col("comp") != F.col("most")).drop("most"), "open-cells")
     # a passage in common shows in common tokens: cells without enough of them around are done with
     common = -(-2 * percent * least // (100 + percent))
     mine = members.groupBy("doc_id").agg(F.min("comp").alias("comp"), F.collect_list(F.struct("h", "c", "lo", "hi", "minor")).alias("cells"))  # bounded by the document
     shared = read.sparkSession.sparkContext.broadcast(bitmap_of(mine.select("doc_id")))
-    tokens = read.mapInArrow(_sequences(k, shared, True), "doc_id bigint, tokens binary")
+    tokens = read.mapInArrow(_sequences(k, shared), "doc_id bigint, tokens binary")
     around = cut(tokens.join(mine, "doc_id").dropDuplicates(["doc_id"]), "around")
     bitmap = read.sparkSession.sparkContext.broadcast(repeated_bitmap(around.mapInArrow(_shared_tokens(least), "h bigint, many boolean"), FILTER_BITS))
     promising = _promising(least, common, FILTER_BITS, bitmap)
@@ -503,21 +504,15 @@ def _open_ties(read: DataFrame, cells: DataFrame, ends: DataFrame, label: DataFr
     each = lambda array: F.explode(F.flatten(F.transform(array, lambda a: F.transform(F.filter(array, lambda b: needed(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
     small = near.drop("tokens").join(sizes.where(F.col("n") <= SMALL), "h").groupBy("h").agg(F.collect_list(item).alias("m"))
     ties = small.select(each(F.col("m")).alias("t")).select("t.a", "t.b").select(*_pair("a", "b"))
-    # larger groups, by those tokens
-    large = near.join(sizes.where(F.col("n") > SMALL), "h")
-    apart = large.select("h", "doc_id", "c", "lo", "hi", "comp", F.inline("tokens"))
-    often = cut(apart.groupBy("h", "t").agg(F.count("*").alias("k")).where("k > 1"), "often")
-    rare = apart.join(often.where(F.col("k") <= SMALL).select("h", "t"), ["h", "t"]).groupBy("h", "t").agg(F.collect_list(item).alias("m"))
-    by_rare = rare.select(each(F.col("m")).alias("t")).select("t.a", "t.b").select(*_pair("a", "b"))
-    hot = apart.join(often.where(F.col("k") > SMALL).select("h", "t"), ["h", "t"]).groupBy("h", "doc_id", "c", "lo", "hi", "comp").agg(F.collect_list(F.struct("t", "times")).alias("tokens"))
+    # larger groups, by those tokens: a cell travels with them, once for each block that its own meets
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id", "c"), parts).cast("int")
     meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = hot.join(sizes, "h").select("h", "doc_id", "c", "lo", "hi", "comp", "tokens", own.alias("block"), F.explode(meets).alias("p"))
+    dealt = near.join(sizes.where(F.col("n") > SMALL), "h").select("h", "doc_id", "c", "lo", "hi", "comp", "tokens", own.alias("block"), F.explode(meets).alias("p"))
     dealt = dealt.select(F.xxhash64("h", "p.i", "p.j").alias("key"), "block", (F.col("p.i") == F.col("p.j")).alias("alone"), "doc_id", "c", "lo", "hi", "comp", "tokens")
     by_common = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(common), "x bigint, xc int, xl int, xh int, y bigint, yc int, yl int, yh int")
-    out = cut(ties.unionByName(by_rare).unionByName(by_common), "open-ties")
-    for table in (mixed, held, members, around, near, sizes, often):
+    out = cut(ties.unionByName(by_common), "open-ties")
+    for table in (held, members, around, near, sizes):
         discard(table)
     for bits in (shared, bitmap, others):
         bits.destroy()
@@ -535,20 +530,21 @@ def _passages_and_classes(docs: DataFrame, min_words: int, percent: int, k: int,
     least = min_words - k + 1
     read = dedupe_columns(docs, [key, text]).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     shared = spark.sparkContext.broadcast(repeated_bitmap(read.mapInArrow(_centres(k, least, bands), "h bigint, many boolean"), FILTER_BITS))
-    cells = cut(read.mapInArrow(_cells(k, least, bands, FILTER_BITS, shared), CELL), "cells")
+    item, group = F.struct("doc_id", "c", "lo", "hi"), Window.partitionBy("h")
+    # cells go to their groups once; all that is asked of a group later is told here
+    cells = read.mapInArrow(_cells(k, least, bands, FILTER_BITS, shared), CELL)
+    told = cells.withColumn("first", F.min(item).over(group)).withColumn("last", F.max(item).over(group)).withColumn("n", F.count("*").over(group))
+    grouped = cut(told.where("first.doc_id <> last.doc_id"), "grouped")
     shared.destroy()
-    item = F.struct("doc_id", "c", "lo", "hi")
-    ends = cells.groupBy("h").agg(F.min(item).alias("first"), F.max(item).alias("last")).where("first.doc_id <> last.doc_id")
-    ends = cut(ends, "ends")
-    grouped = cut(cells.join(ends.select("h"), "h", "left_semi"), "grouped")
-    discard(cells)
-    both = grouped.join(ends, "h").select(item.alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a.doc_id <> b.doc_id")
+    both = grouped.select(item.alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a.doc_id <> b.doc_id")
     stretches = _ties_to_stretches(both.select(*_pair("a", "b")), "stretches")
+    # of up to three cells, first and last show every pair
+    several = cut(grouped.where("n > 3").select("h", "doc_id", "c", "lo", "hi", ((item == F.col("first")) | (item == F.col("last"))).alias("end")), "several")
+    discard(grouped)
     found = _compared(read, stretches, k, least, percent, "passages")
     label = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    ties = _open_ties(read, grouped, ends, label, k, least, percent)
-    discard(grouped)
-    discard(ends)
+    ties = _open_ties(read, several, label, k, least, percent)
+    discard(several)
     again = _ties_to_stretches(ties, "open-stretches")
     discard(ties)
     again = cut(again.join(stretches, STRETCH, "left_anti"), "again")

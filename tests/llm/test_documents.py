@@ -322,6 +322,44 @@ def test_passages_in_a_large_open_group(spark):
     assert want[250] == 200 and want[550] == 150 and got == want
 
 
+@pytest.mark.parametrize("block", [passages.BLOCK, 16])
+def test_passages_in_a_large_open_group_make_no_row_a_token(spark, monkeypatch, block):
+    """Cells of one group travel with their tokens; the groups are told from one exchange of the cells."""
+    r = random.Random(5)
+    noise = lambda n: ["".join(r.choice("klmnopqrst") for _ in range(7)) for _ in range(n)]
+    line = noise(48)
+    data = [(i, " ".join([*noise(40), *line[:26], *noise(3), *line[26:], *noise(40)])) for i in range(60)]
+    data += [(150 + 400 * k, " ".join([*noise(40), *line, "same", "end", *noise(40)])) for k in range(2)]
+    plans, tables = [], []
+
+    def cut(df, name, f=passages.cut):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        tables.append(name)
+        return f(df, name)
+
+    monkeypatch.setattr(passages, "cut", cut)
+    monkeypatch.setattr(passages, "BLOCK", block)
+    got = {x["doc_id"]: x["class_id"] for x in passages.passage_report(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert got == reference.components([d[0] for d in data], reference.passage_links(data))
+    assert "open-ties" in tables and not any("inline(" in p for p in plans) and not {"cells", "ends", "tokens"} & set(tables)
+
+
+def test_places_shared(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(passages, "COLUMNS", 3)
+    rng = np.random.default_rng(3)
+    lists = [np.unique(rng.integers(0, 25, rng.integers(0, 12))) for _ in range(30)]
+    times = [rng.integers(1, 4, len(x)) for x in lists]
+    got = passages._places_shared(np.repeat(np.arange(30), [len(x) for x in lists]), np.concatenate(lists) * 2**40, np.concatenate(times), 30)
+    for i in range(30):
+        for j in range(30):
+            want = sum(n for t, n in zip(lists[i].tolist(), times[i].tolist(), strict=True) if t in lists[j].tolist())
+            # tokens of one cell alone are shared with none, nor with itself
+            assert i == j or got[i, j] == want
+    assert not passages._places_shared(np.arange(3), np.arange(3), np.ones(3), 3).any()
+
+
 def test_passages_with_null_keys_and_clashing_names(spark):
     r = random.Random(2)
     p = " ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(80))
